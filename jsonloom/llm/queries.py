@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import bpe, leaks, neighbours, together
+from jsonloom.llm import bpe, leaks, neighbours, spans, together
 from jsonloom.session import table
 
 DIM = 384
@@ -61,7 +61,15 @@ def p9_near(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_near(_leak_index(spark, sf), table(spark, sf, "eval_items"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_pairs, p8_ids, p8_tokens, p9_found, p9_report, p9_near)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_share(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_amount(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_pairs, p8_ids, p8_tokens, p9_found, p9_report, p9_near, p10_found, p10_share)}
 
 _PAIRS = """
 with o as (select *, row_number() over (partition by order_id order by ingested_at desc, record_id desc) rn from order_transactions where order_id is not null),
