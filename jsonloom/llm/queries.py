@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import bpe, leaks, neighbours, spans, together
+from jsonloom.llm import bpe, leaks, neighbours, pii, spans, together
 from jsonloom.session import table
 
 DIM = 384
 
 
+TEXTS = ["review_text", "description"]
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer_interactions")
+    return pii.find_pii(rows, "record_id", TEXTS, pii.fit_model(rows, "record_id", TEXTS))
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer_interactions")
+    return pii.redact_pii(rows, "record_id", TEXTS, pii.fit_model(rows, "record_id", TEXTS))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     got = neighbours.similar_rows(table(spark, sf, "json_chunks"), "chunk_no", "embedding", DIM, k=10, least=0.9)
     return got.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).distinct()
@@ -69,7 +82,7 @@ def p10_share(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_amount(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_pairs, p8_ids, p8_tokens, p9_found, p9_report, p9_near, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_pairs, p8_ids, p8_tokens, p9_found, p9_report, p9_near, p10_found, p10_share)}
 
 _PAIRS = """
 with o as (select *, row_number() over (partition by order_id order by ingested_at desc, record_id desc) rn from order_transactions where order_id is not null),
