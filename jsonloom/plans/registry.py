@@ -1,8 +1,8 @@
 """All queries outside the llm subpackage and their SQL."""
 
-from jsonloom.plans import problems
+from jsonloom.plans import corpus, problems
 
-MODULES = [problems]
+MODULES = [problems, corpus]
 
 
 def queries():
