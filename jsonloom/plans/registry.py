@@ -1,8 +1,8 @@
 """All queries outside the llm subpackage and their SQL."""
 
-from jsonloom.plans import corpus, problems
+from jsonloom.plans import corpus, problems, reference
 
-MODULES = [problems, corpus]
+MODULES = [problems, corpus, reference]
 
 
 def queries():
