@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = r"^[\s\u00a0]+|[\s\u00a0]+$"
+#: Characters trimmed from keys.
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
 
 
 def norm_key(c: Column) -> Column:
     """The key a dirty cell denotes: blanks trimmed, upper case; null and blank are no key."""
-    k = F.upper(F.regexp_replace(c, BLANKS, ""))
+    k = F.upper(F.btrim(c, F.lit(BLANKS)))
     return F.when(k != "", k)
 
 
 def iso_micros(c: Column) -> Column:
     """Microseconds since 1970 (UTC) of an ISO-8601 text; no zone means UTC, unreadable gives null."""
     t = F.trim(c)
-    zoned = F.when(t.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$") & t.rlike(r":"), t).when(t.rlike(r":"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("T00:00:00Z")))
+    sign = lambda k: F.substring(t, -k, 1).isin("+", "-")
+    clock = F.contains(t, F.lit(":"))
+    zoned = F.when(~clock, F.concat(t, F.lit("T00:00:00Z"))).when(F.substring(t, -1, 1).isin("Z", "z") | sign(6) | sign(5) | sign(3), t).otherwise(F.concat(t, F.lit("Z")))
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.jsonwalk import clean, document, kind, walk
 from jsonloom.operators.nodes import text_of
+from jsonloom.session import spread
 
 # What counts as a timestamp in a text, and as the beginning of an HTTP status.
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2}"
@@ -51,7 +52,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def json_objects(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every object, roots included: (row_key, node_path, members, kinds, texts)."""
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_batches, "row_key bigint, node_path string, members array<string>, kinds array<string>, texts array<string>")
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_batches, "row_key bigint, node_path string, members array<string>, kinds array<string>, texts array<string>")
 
 
 def _has(keys: list[str]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.jsonwalk import clean, document
+from jsonloom.session import spread
 
 #: Bounds of an object that stays whole: members, nested members, characters of its scalars.
 ENTITY_MEMBERS = (2, 5)
@@ -78,7 +79,7 @@ _NAMES = ["row_key", "file_path", "ordinal", "path", "chunk_json", "context", "p
 _TYPES = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 6]
 
 
-def _run(split, most: int | None):
+def _run(split, most: int | None, context: bool):
     def batch_of(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [()] * len(_NAMES)
         return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, _TYPES)], _NAMES)
@@ -95,7 +96,7 @@ def _run(split, most: int | None):
                 for n, (path, v, ctx, above, meta) in enumerate(split(doc)):
                     if most is not None and n >= most:
                         break
-                    rows.append((key, file, n, clean(path), dump(v), dump(ctx), None if above is None else clean(above), _PYTHON_KIND[type(v)], dump(meta)))
+                    rows.append((key, file, n, clean(path), dump(v), dump(ctx) if context else None, None if above is None else clean(above), _PYTHON_KIND[type(v)], dump(meta)))
                 if len(rows) >= 2048:
                     yield batch_of(rows)
                     rows = []
@@ -104,21 +105,25 @@ def _run(split, most: int | None):
     return run
 
 
-def _chunks(df: DataFrame, key: str, file: str, text: str, split, most: int | None) -> DataFrame:
-    got = df.select(F.col(key).cast("bigint"), F.col(file), F.col(text)).mapInArrow(_run(split, most), "row_key bigint, file_path string, ordinal int, path string, chunk_json string, context string, parent_path string, value_type string, metadata string")
+def _chunks(df: DataFrame, key: str, file: str, text: str, split, most: int | None, context: bool) -> DataFrame:
+    got = spread(df.select(F.col(key).cast("bigint"), F.col(file), F.col(text))).mapInArrow(_run(split, most, context), "row_key bigint, file_path string, ordinal int, path string, chunk_json string, context string, parent_path string, value_type string, metadata string")
     parent = F.when(F.col("parent_path").isNotNull(), chunk_id(F.col("file_path"), F.col("parent_path")))
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", r"\.")))
     return got.withColumns({"chunk_id": chunk_id(F.col("file_path"), F.col("path")), "parent_id": parent, "depth": depth})
 
 
-def json_chunks(df: DataFrame, key: str, file: str, text: str, strategy: str = "hybrid", most: int | None = 100) -> DataFrame:
-    """Chunks of each document, the first `most` of them in document order (None: all)."""
+def json_chunks(df: DataFrame, key: str, file: str, text: str, strategy: str = "hybrid", most: int | None = 100, context: bool = True) -> DataFrame:
+    """Chunks of each document, the first `most` of them in document order (None: all).
+
+    context: also what stands around each chunk, which can be much longer than the chunk.
+    """
     whole = strategy == "hybrid"
-    return _chunks(df, key, file, text, lambda d: _hybrid(d, whole), most)
+    return _chunks(df, key, file, text, lambda d: _hybrid(d, whole), most, context)
 
 
-def leaf_chunks(df: DataFrame, key: str, file: str, text: str, most: int | None = 100) -> DataFrame:
-    return _chunks(df, key, file, text, _leaves, most)
+def leaf_chunks(df: DataFrame, key: str, file: str, text: str, most: int | None = 100, context: bool = True) -> DataFrame:
+    """Scalars of each document as chunks."""
+    return _chunks(df, key, file, text, _leaves, most, context)
 
 
 def hierarchy_info(chunks: DataFrame) -> DataFrame:

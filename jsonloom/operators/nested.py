@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jsonloom.functions.jsonwalk import clean, document, kind, walk
+from jsonloom.session import spread
 
 #: Distinct (table, member, kind) that a merged schema may have before it is refused.
 MAX_SCHEMA = 100_000
@@ -47,7 +48,7 @@ def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def json_object_paths(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_key, node_path, parent_path) of each object below the root of the JSON texts."""
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_path_batches, "row_key bigint, node_path string, parent_path string")
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_path_batches, "row_key bigint, node_path string, parent_path string")
 
 
 def _schema_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def merged_schema(df: DataFrame, text: str) -> DataFrame:
 
     Members '' with kind 'object' stand for the table itself, also if all its objects are empty.
     """
-    return df.select(F.col(text)).mapInArrow(_schema_batches, "table_path string, member string, kind string").distinct()
+    return spread(df.select(F.col(text))).mapInArrow(_schema_batches, "table_path string, member string, kind string").distinct()
 
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def json_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     node_id and parent_id are the surrogate keys (root objects have no parent), ordinal the position
     in the array around the node, node_json the node's own scalar members.
     """
-    nodes = df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_node_batches, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int, node_json string")
+    nodes = spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_node_batches, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int, node_json string")
     link = lambda p: F.when(F.col(p).isNotNull(), F.xxhash64("row_key", p))
     return nodes.withColumn("node_id", link("node_path")).withColumn("parent_id", link("parent_path"))
 

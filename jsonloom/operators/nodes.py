@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.jsonwalk import clean, document, kind, walk
+from jsonloom.session import spread
 
 SCHEMA = "row_key bigint, ordinals array<int>, path string, parent_path string, container_path string, member string, kind string, value string, number double, depth int, size int"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -59,7 +60,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     """All nodes below the root. parent_path is the nearest object, container_path the object or array around."""
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_batches, SCHEMA)
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_batches, SCHEMA)
 
 
 def key_value_pairs(nodes: DataFrame) -> DataFrame:

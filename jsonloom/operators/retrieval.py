@@ -6,10 +6,13 @@ collection against all others there is an index elsewhere.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.session import broadcast_if_small
+#: Query vectors that go to the workers at once.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,18 +38,54 @@ def nearest(rows: DataFrame, vector: str, query: list[float], k: int = 3, metric
     return rows.withColumn("distance", d).where("distance is not null").withColumn("relevance", 1 - F.col("distance")).orderBy("distance", tie).limit(k)
 
 
-def nearest_each(queries: DataFrame, rows: DataFrame, k: int = 3, metric: str = "cosine", same: str | None = None) -> DataFrame:
-    """(q, id, distance, rank): for each row (q, qv) of a small query set the k nearest of (id, v).
+def nearest_each(queries: DataFrame, rows: DataFrame, k: int = 3, metric: str = "cosine") -> DataFrame:
+    """(q, id, distance, rank): for each row (q, qv) of a stated query set the k nearest of (id, v), itself left out.
 
-    The query set is counted and broadcast. Spark keeps the k best per query of each partition
-    before the shuffle (a limit on the window's rank). same: both sides must agree in it.
+    The query set is taken to the workers in blocks of `BLOCK` vectors; each partition of rows keeps
+    its own k best per query, so only those are shuffled. Rows whose vector is null, of another
+    length or, for cosine, all zero are nobody's neighbours. Distances are double; ties go to the smaller id.
     """
-    q = broadcast_if_small(queries, 20_000)
-    pairs = rows.join(q, same) if same else rows.join(q, F.lit(True))
-    d = F.round(1 - cosine(F.col("qv"), F.col("v")) if metric == "cosine" else l2(F.col("qv"), F.col("v")), 9)
-    pairs = pairs.where("q <> id").select("q", "id", d.alias("distance")).where("distance is not null")
+    out, block = None, []
+    for r in queries.select("q", "qv").where("qv is not null").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == BLOCK:
+            got, block = _near_block(rows, block, k, metric), []
+            out = got if out is None else out.unionByName(got)
+    if block or out is None:
+        got = _near_block(rows, block, k, metric)
+        out = got if out is None else out.unionByName(got)
     w = Window.partitionBy("q").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _near_block(rows: DataFrame, block: list, k: int, metric: str) -> DataFrame:
+    dim = len(block[0][1]) if block else 0
+    ids = np.array([q for q, v in block if len(v) == dim], np.int64)
+    x = np.array([v for _, v in block if len(v) == dim], np.float64).reshape(len(ids), dim)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches):
+        ids, x = shared.value
+        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        for pdf in batches:
+            good = [i for i, v in enumerate(pdf["v"]) if v is not None and len(v) == dim]
+            if not good or not len(ids):
+                continue
+            own, y = pdf["id"].to_numpy(np.int64)[good], np.array([pdf["v"].iloc[i] for i in good], np.float64)
+            if metric == "cosine":
+                size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.where(size > 0, 1 - (x @ y.T) / size, np.inf)
+            else:
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
+            d = np.where(ids[:, None] == own[None, :], np.inf, np.round(d, 9))
+            d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, (len(ids), len(own)))])
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        q, n = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"q": ids[q], "id": best_i[q, n], "distance": best_d[q, n]})
+
+    return rows.select("id", "v").mapInPandas(run, "q bigint, id bigint, distance double")
 
 
 # Least score of a band and the share of the budget that is used up when the band stops.

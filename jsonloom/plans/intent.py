@@ -54,7 +54,7 @@ def time_range(q: Column, as_of_year: int) -> Column:
     tries = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(str(m)).alias("m")) for m, ps in enumerate(shapes, 1) for p in ps])
     part = lambda t, g: F.nullif(F.call_function("regexp_extract", low, t["p"], F.lit(g)), F.lit(""))
     dates = F.transform(tries, lambda t: F.try_to_timestamp(F.concat(F.coalesce(part(t, 2), F.lit(str(as_of_year))), F.lit("-"), t["m"], F.lit("-"), part(t, 1)), F.lit("yyyy-M-d")))
-    day = F.get(F.array_compact(dates), 0).cast("timestamp_ntz")
+    day = F.get(F.array_compact(F.when(low.rlike(MONTHS), dates)), 0).cast("timestamp_ntz")
     p = r"(before|after)\s+(\d{1,2}):?(\d{2})?\s*(am|pm)?"
     side, half = F.regexp_extract(low, p, 1), F.regexp_extract(low, p, 4)
     hour, minute = F.regexp_extract(low, p, 2).try_cast("int"), F.coalesce(F.regexp_extract(low, p, 3).try_cast("int"), F.lit(0))

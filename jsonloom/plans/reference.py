@@ -82,17 +82,17 @@ def depth_stats(spark, sf):
 
 @query()
 def hybrid_chunks(spark, sf):
-    return C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None).select("row_key", "ordinal", "chunk_id", "path", "parent_path", "depth", "value_type", "chunk_json", "metadata")
+    return C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "ordinal", "chunk_id", "path", "parent_path", "depth", "value_type", "chunk_json", "metadata")
 
 
 @query(DOCS + f", f as (select chunk_no, file_path from json_chunks) select t.chunk_no as row_key, md5(regexp_replace(file_path, '^/+', '') || ':' || trim(replace(t.node, ' ', ''), '.')) as chunk_id, t.node as path, case {_KIND} when 'string' then 'str' when 'null' then 'NoneType' else {_KIND} end as value_type from t join f using (chunk_no) where {_SCALAR} and t.parent is not null union all select chunk_no, md5(regexp_replace(file_path, '^/+', '') || ':'), '', case json_type(js) when 'VARCHAR' then 'str' when 'NULL' then 'NoneType' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' else 'int' end from raw join f using (chunk_no) where json_type(js) not in ('OBJECT', 'ARRAY')")
 def leaf_chunks(spark, sf):
-    return C.leaf_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None).select("row_key", "chunk_id", "path", "value_type")
+    return C.leaf_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "chunk_id", "path", "value_type")
 
 
 @query()
 def chunk_children(spark, sf):
-    c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", "full", most=None).dropDuplicates(["chunk_id"])
+    c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", "full", most=None, context=False).dropDuplicates(["chunk_id"])
     return C.children(c)
 
 
