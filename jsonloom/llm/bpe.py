@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text for these vocabularies, with \s as Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -120,7 +122,7 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k",
                 ids = [enc.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, f"{key} bigint, ids array<int>")
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(run, f"{key} bigint, ids array<int>")
 
 
 def decode_texts(df: DataFrame, key: str, ids: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.session import written
+from jsonloom.session import spread, written
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENT_WORDS = 400_000
@@ -70,7 +70,7 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def build_index(df: DataFrame, key: str, text: str) -> DataFrame:
     """The index of df's texts, written to the shared folder; each segment is one row."""
-    segs = df.select(F.col(key).cast("bigint"), F.col(text)).where(F.col(key).isNotNull()).mapInPandas(_segments, INDEX)
+    segs = spread(df.select(F.col(key).cast("bigint"), F.col(text)).where(F.col(key).isNotNull())).mapInPandas(_segments, INDEX)
     return written(segs, "postings")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.session import broadcast_if_small, written
+from jsonloom.session import broadcast_if_small, spread, written
 
 ROUNDS = 4
 EDGE = 2**ROUNDS - 1
@@ -195,7 +195,7 @@ def _in_two(df: DataFrame, by: list[str]) -> DataFrame:
 def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFrame:
     """(doc_id, start_pos, end_pos): maximal runs of characters that lie in spans of `least` or more that another text has too."""
     assert least >= 2 * EDGE + REACH + LONGEST + 16, "shorter spans need a smaller ROUNDS or REACH"
-    docs = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"), F.length(text).alias("n")).where(F.col(key).isNotNull() & (F.col("n") >= least))
+    docs = spread(df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))).withColumn("n", F.length("text")).where(F.col(key).isNotNull() & (F.col("n") >= least))
     docs = docs.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary"))))
     multi = written(docs.groupBy("same").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep <> last").select("same", "rep"), "text-classes")
     told = docs.join(broadcast_if_small(multi), "same", "left")
