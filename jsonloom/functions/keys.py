@@ -21,7 +21,7 @@ def iso_micros(c: Column) -> Column:
     sign = lambda k: F.substring(t, -k, 1).isin("+", "-")
     clock = F.contains(t, F.lit(":"))
     zoned = F.when(~clock, F.concat(t, F.lit("T00:00:00Z"))).when(F.substring(t, -1, 1).isin("Z", "z") | sign(6) | sign(5) | sign(3), t).otherwise(F.concat(t, F.lit("Z")))
-    return F.unix_micros(zoned.try_cast("timestamp"))
+    return F.unix_micros(F.when(F.substring(t, 5, 1) == "-", zoned).try_cast("timestamp"))
 
 
 def micros(c: Column) -> Column:

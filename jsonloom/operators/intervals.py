@@ -11,8 +11,12 @@ def within(left: DataFrame, right: DataFrame, key: str, at: str, micros: int) ->
 
     Both sides are cut into buckets of `micros`; a left row also looks into the two neighbouring
     buckets. So the join is an equi-join on (key, bucket), and a hot key is spread over its buckets.
-    Rows without key or time pair with nothing.
+    Rows without key or time pair with nothing. Further columns of the right side that the left side
+    has too get the suffix _right.
     """
+    for c in right.columns:
+        if c in left.columns and c not in (key, at):
+            right = right.withColumnRenamed(c, f"{c}_right")
     l = left.where(F.col(key).isNotNull() & F.col(at).isNotNull())  # noqa: E741
     r = right.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     size = F.lit(max(1, micros))
