@@ -111,10 +111,11 @@ def signatures(codes: np.ndarray, text_of: np.ndarray, ends: np.ndarray, least:
         return none
     kept = np.unique(_least(sig, low[full], high[full]))
     sig, at, size, own = sig[kept], at[kept], size[kept], own[kept]
-    # in a run many starts have one name: they are thinned to one in `spread` characters
-    same = np.zeros(len(sig), bool)
-    same[1:] = (sig[1:] == sig[:-1]) & (own[1:] == own[:-1]) & (at[1:] // spread == at[:-1] // spread)
-    return sig[~same], at[~same], size[~same]
+    # in a run many starts have one name: of those in `spread` characters the first and the last stay
+    link = (sig[1:] == sig[:-1]) & (own[1:] == own[:-1]) & (at[1:] // spread == at[:-1] // spread)
+    inner = np.zeros(len(sig), bool)
+    inner[1:-1] = link[1:] & link[:-1]
+    return sig[~inner], at[~inner], size[~inner]
 
 
 def _pieces(docs: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
