@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jsonloom.functions.keys import iso_micros
+from jsonloom.operators.relations import expand
+
 #: Query vectors that go to the workers at once.
 BLOCK = 4096
 
@@ -88,6 +91,33 @@ def _near_block(rows: DataFrame, block: list, k: int, metric: str) -> DataFrame:
     return rows.select("id", "v").mapInPandas(run, "q bigint, id bigint, distance double")
 
 
+def hybrid_search(chunks: DataFrame, edges: DataFrame, query: list[float], k: int = 3, related: int = 3, depth: int = 2, where: Column | None = None, least: float = 0.0) -> DataFrame:
+    """(seed, chunk, role, place, distance): the k chunks (id, v) nearest to a query, and what edges lead to from them.
+
+    Edges (source, target, confidence ...) below `least` are left out; each seed brings at most
+    `related` chunks within `depth` steps, nearer ones first. The seeds are k rows, so the graph is
+    only followed from them.
+    """
+    seeds = nearest(chunks, "v", query, k, where=where).select("id", "distance")
+    w = Window.orderBy("distance", "id")  # over the k seeds
+    seeds = seeds.withColumn("place", F.row_number().over(w)).persist()
+    own = seeds.select(F.col("id").alias("seed"), F.col("id").alias("chunk"), F.lit("base").alias("role"), "place", "distance")
+    step = edges.where(F.col("confidence") >= least)
+    got = expand(step, seeds.select(F.col("id").alias("chunk")), depth, related)
+    held = chunks.select(F.col("id").alias("chunk"))
+    more = got.join(held, "chunk", "left_semi").select("seed", "chunk", F.lit("related").alias("role"), F.col("depth").alias("place"), F.lit(None).cast("double").alias("distance"))
+    return own.unionByName(more)
+
+
+def context_needs(chunks: DataFrame) -> DataFrame:
+    """One row: distinct identifiers and the time span of JSON objects (chunk_json), with how many they are."""
+    f = F.from_json("chunk_json", "map<string,string>")
+    e = chunks.select(F.explode(F.map_entries(f)).alias("e")).select("e.key", "e.value")
+    ident = (F.col("key") == "id") | F.col("key").endswith("_id")
+    stamp = F.when(F.col("key").rlike("time|date"), iso_micros(F.col("value")))
+    return e.agg(F.count_distinct(F.when(ident, F.col("value"))).alias("identifiers"), F.min(stamp).alias("first_at"), F.max(stamp).alias("last_at"))
+
+
 # Least score of a band and the share of the budget that is used up when the band stops.
 BANDS = [("Primary Information", 0.8, 0.7), ("Supporting Information", 0.6, 0.9), ("Additional Context", None, 1.0)]
 

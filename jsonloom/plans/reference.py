@@ -9,6 +9,7 @@ from jsonloom.functions import scalars as S
 from jsonloom.functions.embedding import embed
 from jsonloom.operators import archetypes as A
 from jsonloom.operators import chunks as C
+from jsonloom.operators import enrich as X
 from jsonloom.operators import entities as E
 from jsonloom.operators import nodes as N
 from jsonloom.operators import relations as R
@@ -96,6 +97,17 @@ def chunk_children(spark, sf):
     return C.children(c)
 
 
+@query()
+def enhanced_chunks(spark, sf):
+    c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", "full", most=None, context=False)
+    return X.enhance(c).select("row_key", "path", "tagged", "path_depth", "path_kind", "path_category", F.col("numeric_meta.magnitude").alias("magnitude"), F.col("string_meta.length").alias("length"), F.col("temporal_meta.weekday").alias("weekday"))
+
+
+@query()
+def ancestor_context(spark, sf):
+    return X.ancestor_context(_docs(spark, sf), "chunk_no", "chunk_json")
+
+
 # -- scalar functions ---------------------------------------------------------------------------------
 
 _CATEGORY = "case " + " ".join(f"when regexp_matches(s, '{p}') then '{c}'" for c, p in S.SEGMENT_ENDS) + " end"
@@ -290,6 +302,19 @@ def knn_each(spark, sf):
     return got.select("q", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(f"with e as (select vec_id as source, lead(vec_id) over (partition by label order by vec_id) as target from embeddings), seed as (select vec_id, round(1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), 6) as distance, row_number() over (order by 1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), vec_id)::int as place from embeddings qualify place <= 5) select vec_id as seed, vec_id as chunk, 'base' as role, place, distance from seed union all select s.vec_id, a.target, 'related', 1, null from seed s join e a on a.source = s.vec_id where a.target is not null union all select s.vec_id, b.target, 'related', 2, null from seed s join e a on a.source = s.vec_id join e b on b.source = a.target where b.target is not null")
+def hybrid_search(spark, sf):
+    e = table(spark, sf, "embeddings")
+    edges = e.select(F.col("vec_id").alias("source"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("target"), F.lit(1.0).alias("confidence")).where("target is not null")
+    got = V.hybrid_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), edges, _first_vector(spark, sf), 5)
+    return got.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def context_needs(spark, sf):
+    return V.context_needs(_docs(spark, sf))
+
+
 def _records(spark, sf):
     i = table(spark, sf, "customer_interactions").select(F.to_json(F.struct("timestamp", "type")).alias("f"), F.col("rating").cast("double").alias("v"))
     e = table(spark, sf, "events").select(F.to_json(F.struct(F.col("event_type").alias("type"))).alias("f"), F.col("value").alias("v"))
