@@ -66,7 +66,7 @@ def key_value_pairs(spark, sf):
     return N.key_value_pairs(_nodes(spark, sf))
 
 
-@query(_ANCESTORS + "select t.chunk_no as row_key, count(*) as nodes, max(depth) as max_depth, " + ", ".join(f"count(*) filter ({c}) as n_{k}" for k, c in (("array", "type = 'ARRAY'"), ("object", "type = 'OBJECT'"), ("string", "type = 'VARCHAR'"), ("int", "type in ('UBIGINT', 'BIGINT', 'HUGEINT')"), ("float", "type = 'DOUBLE'"), ("bool", "type = 'BOOLEAN'"), ("null", "type = 'NULL'"))) + " from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where t.parent is not null group by 1")
+@query(_ANCESTORS + "select t.chunk_no as row_key, count(*) as nodes, max(depth)::int as max_depth, " + ", ".join(f"count(*) filter ({c}) as n_{k}" for k, c in (("array", "type = 'ARRAY'"), ("object", "type = 'OBJECT'"), ("string", "type = 'VARCHAR'"), ("int", "type in ('UBIGINT', 'BIGINT', 'HUGEINT')"), ("float", "type = 'DOUBLE'"), ("bool", "type = 'BOOLEAN'"), ("null", "type = 'NULL'"))) + " from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where t.parent is not null group by 1")
 def structure_stats(spark, sf):
     return N.structure_stats(_nodes(spark, sf))
 
@@ -76,7 +76,7 @@ def key_frequencies(spark, sf):
     return N.key_frequencies(_nodes(spark, sf))
 
 
-@query(_ANCESTORS + f"select min(depth) as min_depth, max(depth) as max_depth, round(avg(depth), 6) as avg_depth from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where {_SCALAR}")
+@query(_ANCESTORS + f"select min(depth)::int as min_depth, max(depth)::int as max_depth, round(avg(depth), 6) as avg_depth from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where {_SCALAR}")
 def depth_stats(spark, sf):
     return N.depth_stats(_nodes(spark, sf))
 
