@@ -45,6 +45,12 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+def p5_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair that occurs together, however seldom."""
+    got = together.pairs_together(together.order_baskets(table(spark, sf, "order_transactions")), "products")
+    return got.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -82,7 +88,7 @@ def p10_share(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_amount(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_pairs, p8_ids, p8_tokens, p9_found, p9_report, p9_near, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_pairs, p5_all, p8_ids, p8_tokens, p9_found, p9_report, p9_near, p10_found, p10_share)}
 
 _PAIRS = """
 with o as (select *, row_number() over (partition by order_id order by ingested_at desc, record_id desc) rn from order_transactions where order_id is not null),
@@ -98,6 +104,7 @@ _G2 = " + ".join(_X.format(k) for k in ("n_ab", "(n_a - n_ab)::double", "(n_b -
 ORACLE = {
     "p5_found": _PAIRS + "select a as product_a, b as product_b from full_pair where n_ab >= 12 and n_ab::double * n_all >= 6.0 * n_a * n_b",
     "p5_pairs": _PAIRS + f"select a as product_a, b as product_b, n_ab, n_a, n_b, n_all, round(lift, 6) as lift, round(greatest(0.0, 2 * ({_G2})), 4) as llr from full_pair where n_ab >= 5",
+    "p5_all": _PAIRS + f"select a as product_a, b as product_b, n_ab, n_a, n_b, n_all, round(lift, 6) as lift, round(greatest(0.0, 2 * ({_G2})), 4) as llr from full_pair",
     "p9_found": """
 with w as (select doc_id id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from documents where text is not null),
 v as (select item_id id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from eval_items where text is not null),

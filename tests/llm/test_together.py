@@ -49,3 +49,14 @@ def test_orders_as_they_stand(spark):
     df = spark.createDataFrame(rows, "record_id bigint, order_id string, ingested_at timestamp, items array<struct<product_id:string,sku:string>>")
     got = sorted(([x for x in r["products"] or []] for r in T.order_baskets(df).collect()), key=str)
     assert got == [["A", None, "A", None], []]
+
+
+def test_registered_pairs_are_all_pairs(spark, tmp_path):
+    import datetime as D
+
+    from jsonloom.llm.registry import queries
+
+    rows = [(n, f"o{n}", D.datetime(2025, 1, 1), [{"product_id": p, "sku": None} for p in ps]) for n, ps in enumerate(["ab"] * 6 + ["ac"] * 4 + ["bd"])]
+    spark.createDataFrame(rows, "record_id bigint, order_id string, ingested_at timestamp, items array<struct<product_id:string,sku:string>>").write.parquet(str(tmp_path / "order_transactions.parquet"))
+    got = {(r["product_a"], r["product_b"]): (r["n_ab"], r["lift"]) for r in queries()["p5_all"](spark, str(tmp_path)).collect()}
+    assert got == {("A", "B"): (6, round(6 * 11 / (10 * 7), 6)), ("A", "C"): (4, round(4 * 11 / (10 * 4), 6)), ("B", "D"): (1, round(11 / 7, 6))}
