@@ -8,7 +8,7 @@ their spans mapped back, so positions are code points of the text as it stands.
 E-mail, phone and identity numbers and addresses are patterns with the words around them as
 evidence; names are what follows or precedes words that introduce a person (forms of address,
 sign-offs, contact lines, recipients ...) and is built like a name. Where a name ends among
-capitalised words is decided by word statistics fitted on a bounded sample of the texts: how often
+capitalised words is decided by word statistics over all distinct texts of the table: how often
 a word starts sentences, stands in lower case, and leads or ends clear names.
 
 Defined cases: null and empty texts have nothing; spans of one text don't overlap (the earlier
@@ -21,6 +21,7 @@ import re as _re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -28,11 +29,11 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.session import spread
+from jsonloom.session import spread, written
 
 KINDS = ("email", "address", "id_number", "phone", "name")
-#: Texts, at most, that the word statistics are fitted on.
-SAMPLE = 60_000
+#: What the word statistics count.
+PLACES = ("small", "cap", "start", "first", "last")
 
 # -- transducers ------------------------------------------------------------------------------------
 
@@ -182,6 +183,7 @@ BEFORE = re.compile(
     r"|(?i:\b(?:you can |please |could you |just )ask|\bask for|\bspeak (?:to|with)|\bship (?:it|this|them) to|\bdeliver (?:it|this|them) to|\bat pick-?up by|\blabel says?|\bdoes the label say|\bin the name of|\bcare of|\bc/o|\blieferung an|\bliefern sie an|\bz\. ?hd\.|\bà livrer chez|\blivrer à|\bà l'attention de|\bentregar a|\bentréguen?lo a|\ba la atención de|\ba nombre de|\bpregunte(?:n)? por|\bfragen sie nach|\bdemandez)\s+"
     rf"|(?<![\p{{L}}]){TITLE}\s+)"
 )
+TITLED = re.compile(rf"{TITLE}\s")
 CLEAR = re.compile(rf"({WORD})(?: \p{{Lu}}\.)? ({WORD})(?: ({WORD}))?(?=[,.;:)(]|\n| \p{{Ll}}|$)")
 AFTER = re.compile(r"\s+(?:signed for|has signed|picked (?:it|this|up)|hat (?:das paket|die lieferung|die sendung|den empfang)|firmó (?:la|el)|ha firmado|a signé|a réceptionné)\b", re.I)
 SENTENCE = re.compile(r"(?:^|[.!?…:;]\s+|\n\s*|\s{2,}|[^\p{L}\d\s,'\-()\"]\s+)$")
@@ -189,10 +191,10 @@ NAME_STOP = frozenset("a an and i is it the we you my our your he she they when
 
 
 class Model:
-    """Word statistics, fitted on a bounded sample."""
+    """Word statistics."""
 
     def __init__(self):
-        self.small, self.cap, self.start, self.first, self.last = (Counter() for _ in range(5))
+        self.small, self.cap, self.start, self.first, self.last = (Counter() for _ in PLACES)
 
     @staticmethod
     def count(texts: list[str]) -> Counter:
@@ -300,8 +302,8 @@ def read_name(t: str, at: int, model: Model) -> tuple[int, int] | None:
         return None
     end, full, given = None, 0, 0
     for k, (s, e, w) in enumerate(ws):
-        if not fits(w, k):
-            break
+        if not fits(w, k) or k and BEFORE.match(t, s) and not TITLED.match(t, s):
+            break  # no word of it, or another introduction, as in 'Regards, A B Lieferung an C D'
         if INITIAL.fullmatch(w):
             if k and full:
                 # an initial between given and family name needs a word after it
@@ -347,6 +349,19 @@ def _names(t: str, model: Model) -> Iterator[tuple[int, int]]:
         yield from best or ends[:1]
 
 
+def used(texts: list[str]) -> set[str]:
+    """The words, and parts of words with hyphens, that `_names` can ask the model for (some more, never fewer)."""
+    got: set[str] = set()
+    for text in texts:
+        t = normalise(text).text
+        for m in BEFORE.finditer(t):
+            got.update(w[0].lower() for w in islice(TOKEN.finditer(t, m.end()), 6))
+        for m in AFTER.finditer(t):
+            got.update(w[0].lower() for w in TOKEN.finditer(t, max(0, m.start() - 80), m.start()))
+            got.update(w[0].lower() for w in islice(TOKEN.finditer(t, m.start()), 6))
+    return got | {p for w in got for p in w.split("-")}
+
+
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
@@ -412,21 +427,42 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def fit_model(df: DataFrame, key: str, fields: list[str]) -> Model:
-    """The model of the SAMPLE rows with the smallest hash of the key."""
-    n = df.count()
-    # the smallest hashes lie below this share of them, so that little more than the sample is sorted
-    share = min(1.0, 1.2 * SAMPLE / max(1, n) + 1000 / max(1, n))
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("_h"), F.col(key), *fields)
-    rows = rows.where(F.col("_h") < int(share * (1 << 30)) + 1).orderBy("_h", key).limit(SAMPLE).select(*fields)
+    """The model of all distinct texts of the fields, for finding names in these texts.
+
+    Counts are added up and reduced to words on the workers. Only words that decisions about names
+    in these texts can ask for, and for which an answer is yes, come to the driver.
+    """
+    texts = df.select(F.explode(F.array(*fields)).alias("t")).where("t <> ''").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = Model.count(list(dict.fromkeys(t for f in fields for t in pdf[f] if t)))
-            yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["what", "a", "b", "c", "n"])
-
-    counts = rows.repartition(16, *fields).mapInPandas(run, "what string, a string, b string, c string, n bigint")
-    total = counts.groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()  # words of SAMPLE texts
-    return Model().fit({(r["what"], r["a"], r["b"], r["c"]): r["n"] for r in total})
+            own = list(pdf["t"])
+            rows = [("use", w, "", "", 1) for w in used(own)]
+            for (what, a, b, c), n in Model.count(own).items():
+                if what != "name" or not c or not (c[0].islower() or len(c) < 2):
+                    rows.append((what, a, b, c.lower(), n))
+            yield pd.DataFrame(rows, columns=["what", "a", "b", "c", "n"])
+
+    counts = texts.mapInPandas(run, "what string, a string, b string, c string, n bigint").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n"))
+    counts = written(counts, "name-words")
+    of = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")).otherwise(0)).alias(what)
+    words = counts.where("what <> 'name'").groupBy(F.col("a").alias("w")).agg(of("small"), of("cap"), of("start"), of("use"))
+    names = counts.where("what = 'name'").select("a", "b", "c", "n")
+    # a third word counts where it seldom stands in lower case or first in a sentence
+    ends = words.where(F.col("start") + F.col("small") < F.col("cap")).select(F.col("w").alias("c"))
+    names = names.where("c = ''").unionByName(names.where("c <> ''").join(ends, "c", "left_semi"))
+    part = lambda w, first, last: F.struct(w.alias("w"), first.alias("first"), last.alias("last"))
+    n, no = F.col("n"), F.lit(0).cast("bigint")
+    parts = F.concat(F.transform(F.split("a", "-"), lambda p: part(p, n, no)), F.array(part(F.col("b"), no, n), part(F.col("c"), no, n)))
+    parts = names.select(F.explode(parts).alias("p")).select("p.*").where("w <> ''")
+    total = words.unionByName(parts, allowMissingColumns=True).groupBy("w").agg(*[F.coalesce(F.sum(c), no).alias(c) for c in ("use", *PLACES)])
+    small, cap, start, first, last = (F.col(c) for c in PLACES)
+    told = (first > last) | (last >= 2) & (last >= first) | (small + start > F.greatest(cap, 4 * (first + last)))
+    model = Model()
+    for r in total.where((F.col("use") > 0) & told).collect():  # words beside words that introduce a person
+        for c in PLACES:
+            getattr(model, c)[r["w"]] = r[c]
+    return model
 
 
 def find_pii(df: DataFrame, key: str, fields: list[str], model: Model) -> DataFrame:

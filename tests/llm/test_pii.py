@@ -84,3 +84,34 @@ def test_spark(spark, rows):
     assert P.redact_pii(df, "record_id", ["review_text", "description"], m).where("record_id = 2").first()["description"] == "call [PHONE]"
     none = df.limit(0)
     assert P.find_pii(none, "record_id", ["review_text"], P.fit_model(none, "record_id", ["review_text"])).count() == 0
+
+
+def test_statistics_of_all_rows(spark):
+    # the two texts that make the word a family name have the keys with the largest hashes of 70,000
+    ids = spark.range(70_000)
+    far = [r["id"] for r in ids.orderBy(P.F.pmod(P.F.xxhash64("id"), P.F.lit(1 << 30)).desc()).limit(2).collect()]
+    other = next(i for i in range(3) if i not in far)
+    texts = {far[0]: "Contact: Iris Dunleary, one.", far[1]: "Contact: Iris Dunleary, two.", other: "Please tell Ms Dunleary, thanks."}
+    t = P.F.concat(P.F.lit("n "), P.F.col("id").cast("string"))
+    for i, x in texts.items():
+        t = P.F.when(P.F.col("id") == i, x).otherwise(t)
+    df = ids.select("id", t.alias("t"))
+    got = P.find_pii(df, "id", ["t"], P.fit_model(df, "id", ["t"])).where(P.F.col("id") == other).collect()
+    assert [(r["pii_type"], texts[other][r["start_pos"] : r["end_pos"]]) for r in got] == [("name", "Dunleary")]
+
+
+def test_reduced_statistics_decide_alike(spark):
+    texts = [f"Contact: {n}, now. Regards, {n}\nPlease send it." for n in [*NAMES, "Anna-Lena Berg-Fenmore", "Nuria Campuzano Vidal", "Nuria Campuzano Please", "Jean Dupont VIDAL", "O'Neil, Pat"]]
+    texts += ["Frau Berg-Fenmore hat das Paket. Vidal, Nuria signed for it. we met tamsin fenmore. I saw Vidal and Campuzano.", "Ms Mаrrick, Ms Please, Ms Fenmore and Anna. J. Marrick picked it.", "my name is anna-lena berg and so on"]
+    full = P.Model().fit(P.Model.count(texts))
+    small = P.fit_model(spark.createDataFrame([(1, t, None) for t in texts] + [(2, None, texts[0])], "id bigint, a string, b string"), "id", ["a", "b"])
+    assert [P.find(t, small) for t in texts] == [P.find(t, full) for t in texts]
+    for w in P.used(texts):
+        assert (small.given(w), small.family(w), small.common(w)) == (full.given(w), full.family(w), full.common(w)), w
+
+
+def test_a_name_ends_before_another_introduction():
+    texts = [f"Regards, {n} Lieferung an {m}, bitte." for n in NAMES for m in NAMES] + [f"Die Lieferung kam. Contact: {n}, x." for n in NAMES]
+    model = P.Model().fit(P.Model.count(texts))
+    assert model.family("Lieferung")
+    assert found("Regards, Iris Dunleary Lieferung an Percy Marrick, bitte", model) == [("name", "Iris Dunleary"), ("name", "Percy Marrick")]
