@@ -19,7 +19,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,7 @@ from jsonloom.session import spread
 #: Distinct (table, member, kind) that a merged schema may have before it is refused.
 MAX_SCHEMA = 100_000
 FLUSH = 4096
+LINKS = ["row_key", "node_id", "parent_id", "ordinal", "node_path"]
 
 
 def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +78,46 @@ def merged_schema(df: DataFrame, text: str) -> DataFrame:
     return spread(df.select(F.col(text))).mapInArrow(_schema_batches, "table_path string, member string, kind string").distinct()
 
 
+def _values(array: list) -> list | None:
+    """An array with null in place of its objects, which are rows of their own; None if it holds nothing else."""
+    out: list = []
+    todo, some = [(array, out)], False
+    while todo:
+        old, new = todo.pop()
+        some |= not old
+        for v in old:
+            if isinstance(v, list):
+                new.append([])
+                todo.append((v, new[-1]))
+            else:
+                new.append(None if isinstance(v, dict) else v)
+                some |= not isinstance(v, dict)
+    return out if some else None
+
+
+def _text(members: dict) -> str:
+    """JSON of scalars and arrays of any depth."""
+    try:
+        return json.dumps(members, ensure_ascii=False)
+    except RecursionError:
+        pass
+    end, comma = object(), object()
+    parts = []
+    for k, v in members.items():
+        out, todo = [json.dumps(k, ensure_ascii=False) + ": "], [v]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):
+                out.append("[")
+                todo.append(end)
+                for n in range(len(x) - 1, -1, -1):
+                    todo += [x[n], comma] if n else [x[n]]
+            else:
+                out.append("]" if x is end else ", " if x is comma else json.dumps(x, ensure_ascii=False))
+        parts.append("".join(out))
+    return "{" + ", ".join(parts) + "}"
+
+
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth", "node_json"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
@@ -92,77 +133,124 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             nodes = [("", None, (0,), None, doc, None, "")] + list(walk(doc)) if ok else []
             for path, parent, ords, member, value, _, general in nodes:
                 if isinstance(value, dict):
-                    flat = {k: v for k, v in value.items() if not isinstance(v, (dict, list))}
+                    flat = {k: _values(v) if isinstance(v, list) else v for k, v in value.items() if not isinstance(v, dict)}
+                    flat = {k: v for k, v in flat.items() if v is not None or value[k] is None}
                     up = None if parent is None else clean(parent)
-                    rows.append((key, clean(general), clean(path), up, ords[-1] if member is None and path else None, len(ords) if path else 0, clean(json.dumps(flat, ensure_ascii=False))))
+                    rows.append((key, clean(general), clean(path), up, ords[-1] if member is None and path else None, len(ords) if path else 0, clean(_text(flat))))
             if len(rows) >= FLUSH:
                 yield flush(rows)
                 rows = []
         yield flush(rows)
 
 
+def _link(path: str) -> Column:
+    """The surrogate key of the object at a path of a row."""
+    return F.when(F.col(path).isNotNull(), F.xxhash64("row_key", path))
+
+
 def json_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     """All related tables of the JSON texts in one DataFrame, told apart by table_path.
 
     node_id and parent_id are the surrogate keys (root objects have no parent), ordinal the position
-    in the array around the node, node_json the node's own scalar members.
+    in the array around the node, node_json the node's own members: scalars, and arrays with null in
+    place of objects.
     """
     nodes = spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_node_batches, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int, node_json string")
-    link = lambda p: F.when(F.col(p).isNotNull(), F.xxhash64("row_key", p))
-    return nodes.withColumn("node_id", link("node_path")).withColumn("parent_id", link("parent_path"))
+    return nodes.withColumn("node_id", _link("node_path")).withColumn("parent_id", _link("parent_path"))
+
+
+def _free_names(members: list[str]) -> list[tuple[str, str]]:
+    """Each member with the name of its column: members named like a link column get the suffix _value."""
+    taken, out = {x.lower() for x in LINKS}, []
+    for member in members:
+        name = member
+        while name.lower() in taken:
+            name += "_value"
+        taken.add(name.lower())
+        out.append((member, name))
+    return out
 
 
 def child_table(tables: DataFrame, schema: DataFrame, table_path: str) -> DataFrame:
-    """One related table with typed columns: those members that hold scalars somewhere.
+    """One related table with typed columns: those members that hold scalars or arrays somewhere.
 
-    A member of one scalar kind gets its type (int and float give double), others are strings.
-    Members named like a link column get the suffix _value.
+    A member of one scalar kind gets its type (int and float give double), others are strings, arrays
+    as JSON (null if they hold objects only). Members named like a link column get the suffix _value.
     """
     entries = schema.where(F.col("table_path") == table_path).limit(MAX_SCHEMA).collect()  # one table's columns
     kinds: dict[str, set[str]] = {}
     for r in entries:
-        if r["kind"] not in ("object", "array"):
+        if r["kind"] != "object":
             kinds.setdefault(r["member"], set()).add(r["kind"])
     types = {frozenset(["int"]): T.LongType(), frozenset(["float"]): T.DoubleType(), frozenset(["int", "float"]): T.DoubleType(), frozenset(["bool"]): T.BooleanType()}
     fields = [T.StructField(m, types.get(frozenset(k - {"null"}), T.StringType())) for m, k in sorted(kinds.items())]
-    links = ["row_key", "node_id", "parent_id", "ordinal", "node_path"]
     rows = tables.where(F.col("table_path") == table_path)
     if not fields:
-        return rows.select(*links)
+        return rows.select(*LINKS)
     parsed = rows.withColumn("_f", F.from_json("node_json", T.StructType(fields)))
-    taken = {x.lower() for x in links}
-    cols = []
-    for f in fields:
-        name = f.name
-        while name.lower() in taken:
-            name += "_value"
-        taken.add(name.lower())
-        cols.append(F.col("_f").getField(f.name).alias(name))
-    return parsed.select(*links, *cols)
+    return parsed.select(*LINKS, *[F.col("_f").getField(m).alias(n) for m, n in _free_names([f.name for f in fields])])
 
 
-def struct_object_paths(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(row_key, node_path, parent_path) of each struct in a native column, at any level of it.
+def _has_struct(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) or isinstance(t, T.ArrayType) and _has_struct(t.elementType)
+
+
+def _levels(df: DataFrame, key: str, column: str) -> list[tuple[str, int, T.StructType, DataFrame]]:
+    """(table_path, depth, type, rows of row_key, v, node_path, parent_path and ordinal) of each struct level of a native column.
 
     The column's type is the merged schema; each array level is one Spark generator.
     """
-    spec = df.schema[column].dataType
-    start = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(column).alias("v"), F.lit(column).alias("node_path"), F.lit("").alias("parent_path")).where("v is not null")
-    out: list[DataFrame] = []
+    none = F.lit(None).cast("int")
+    start = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(column).alias("v"), F.lit(column).alias("node_path"), F.lit("").alias("parent_path"), none.alias("ordinal")).where("v is not null")
+    out: list[tuple[str, int, T.StructType, DataFrame]] = []
 
-    def level(rows: DataFrame, t: T.DataType) -> None:
+    def level(rows: DataFrame, t: T.DataType, general: str, depth: int) -> None:
         if isinstance(t, T.ArrayType):
-            rows = rows.select("row_key", "node_path", "parent_path", F.posexplode("v").alias("i", "v")).where("v is not null")
-            level(rows.withColumn("node_path", F.concat("node_path", F.lit("["), F.col("i").cast("string"), F.lit("]"))).drop("i"), t.elementType)
+            rows = rows.select("row_key", "node_path", "parent_path", F.posexplode("v").alias("ordinal", "v")).where("v is not null")
+            rows = rows.withColumn("node_path", F.concat("node_path", F.lit("["), F.col("ordinal").cast("string"), F.lit("]")))
+            level(rows, t.elementType, f"{general}[]", depth + 1)
         elif isinstance(t, T.StructType):
-            out.append(rows.select("row_key", "node_path", "parent_path"))
+            out.append((general, depth, t, rows))
             for f in t.fields:
-                if isinstance(f.dataType, (T.ArrayType, T.StructType)):
-                    inner = rows.select("row_key", F.col("v").getField(f.name).alias("v"), F.concat("node_path", F.lit("." + f.name)).alias("node_path"), F.col("node_path").alias("parent_path"))
-                    level(inner.where("v is not null"), f.dataType)
+                if _has_struct(f.dataType):
+                    inner = rows.select("row_key", F.col("v").getField(f.name).alias("v"), F.concat("node_path", F.lit("." + f.name)).alias("node_path"), F.col("node_path").alias("parent_path"), none.alias("ordinal"))
+                    level(inner.where("v is not null"), f.dataType, f"{general}.{f.name}", depth + 1)
+
+    level(start, df.schema[column].dataType, column, 1)
+    return out
 
-    level(start, spec)
-    got = out[0] if out else start.select("row_key", "node_path", "parent_path").limit(0)
+
+def struct_object_paths(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(row_key, node_path, parent_path) of each struct in a native column, at any level of it."""
+    out = [rows.select("row_key", "node_path", "parent_path") for _, _, _, rows in _levels(df, key, column)]
+    got = out[0] if out else df.select(F.col(key).cast("bigint").alias("row_key"), F.lit(column).alias("node_path"), F.lit("").alias("parent_path")).limit(0)
     for x in out[1:]:
         got = got.unionByName(x)
     return got
+
+
+def _members(t: T.StructType) -> list[str]:
+    """The fields that are values of the struct itself, not rows of a table below it."""
+    return [f.name for f in t.fields if not _has_struct(f.dataType)]
+
+
+def struct_tables(df: DataFrame, key: str, column: str) -> DataFrame:
+    """All related tables of a native column in one DataFrame, as json_tables gives them.
+
+    The parent of a struct that no other is around is the row itself, with parent_path ''.
+    """
+    got = None
+    for general, depth, t, rows in _levels(df, key, column):
+        own = F.to_json(F.struct(*[F.col("v").getField(m).alias(m) for m in _members(t)]), {"ignoreNullFields": "false"}) if _members(t) else F.lit("{}")
+        one = rows.select("row_key", F.lit(general).alias("table_path"), "node_path", "parent_path", "ordinal", F.lit(depth).alias("depth"), own.alias("node_json"))
+        got = one if got is None else got.unionByName(one)
+    if got is None:
+        raise ValueError(f"no struct in column {column}")
+    return got.withColumn("node_id", _link("node_path")).withColumn("parent_id", _link("parent_path"))
+
+
+def struct_table(df: DataFrame, key: str, column: str, table_path: str) -> DataFrame:
+    """One related table of a native column, with the struct's own fields as columns of their types."""
+    t, rows = next((t, rows) for general, _, t, rows in _levels(df, key, column) if general == table_path)
+    links = rows.select("row_key", _link("node_path").alias("node_id"), _link("parent_path").alias("parent_id"), "ordinal", "node_path", "v")
+    return links.select(*LINKS, *[F.col("v").getField(m).alias(n) for m, n in _free_names(_members(t))])

@@ -41,8 +41,22 @@ def p2_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, sf: str) -> DataFrame:
-    t = nested.json_tables(table(spark, sf, "json_chunks"), "chunk_no", "chunk_json")
-    return t.select("row_key", "table_path", "node_path", "parent_path", "ordinal", "depth", "node_id", "parent_id")
+    """The related tables of all three columns in one; node_json has the members, node_id is a key within a source_table."""
+    parts = [
+        ("order_transactions", nested.struct_tables(table(spark, sf, "order_transactions"), "record_id", "items")),
+        ("product_catalog", nested.struct_tables(table(spark, sf, "product_catalog"), "record_id", "variants")),
+        ("json_chunks", nested.json_tables(table(spark, sf, "json_chunks"), "chunk_no", "chunk_json")),
+    ]
+    out = [df.select(F.lit(name).alias("source_table"), "row_key", "table_path", "node_path", "parent_path", "ordinal", "depth", "node_id", "parent_id", "node_json") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def p2_items(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.struct_table(table(spark, sf, "order_transactions"), "record_id", "items", "items[]")
+
+
+def p2_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.struct_table(table(spark, sf, "product_catalog"), "record_id", "variants", "variants[]")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +76,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.catalog_changes(table(spark, sf, "product_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_schema, p2_tables, p6_found, p6_rolling, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_schema, p2_tables, p2_items, p2_variants, p6_found, p6_rolling, p7_found)}
 
 # -- SQL ---------------------------------------------------------------------------------------------
 

@@ -59,3 +59,42 @@ def test_related_tables(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k bigint, t string")
     assert N.json_object_paths(df, "k", "t").count() == N.merged_schema(df, "t").count() == N.json_tables(df, "k", "t").count() == 0
+
+
+def test_native_tables_have_keys_and_fields(spark, tmp_path):
+    item = "named_struct('product_id', 'P1', 'sku', 'S1', 'quantity', 2L, 'price', 1.5D, 'ordinal', 'x', 'tags', array('a', 'b'), 'parts', array(named_struct('n', 7)))"
+    df = spark.sql(f"select 7L as id, array({item}, null) as items union all select 8L, null").cache()
+    row = N.struct_table(df, "id", "items", "items[]").first().asDict()
+    assert row["row_key"] == 7 and row["ordinal"] == 0 and row["node_path"] == "items[0]" and row["ordinal_value"] == "x"
+    assert (row["product_id"], row["sku"], row["quantity"], row["price"], row["tags"]) == ("P1", "S1", 2, 1.5, ["a", "b"]) and "parts" not in row
+    part = N.struct_table(df, "id", "items", "items[].parts[]").first()
+    assert part["parent_id"] == row["node_id"] and part["n"] == 7
+    # as from the same rows written as JSON
+    text = spark.sql("select 7L as id, '{\"items\": [{\"product_id\": \"P1\", \"sku\": \"S1\", \"quantity\": 2, \"price\": 1.5, \"ordinal\": \"x\", \"tags\": [\"a\", \"b\"], \"parts\": [{\"n\": 7}]}, null]}' as t")
+    names = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth", "node_id", "parent_id", "node_json"]
+    plain = lambda t: sorted((*tuple(r)[:-1], json.loads(r["node_json"])) for r in t.where("node_path <> ''").select(*names).collect())
+    assert plain(N.struct_tables(df, "id", "items")) == plain(N.json_tables(text, "id", "t"))
+
+
+def test_p2_tables_hold_all_member_values(spark):
+    from jsonloom.plans.registry import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries()["p2_tables"](spark, sf).cache()
+    for name, column, query in (("order_transactions", "items", "p2_items"), ("product_catalog", "variants", "p2_variants")):
+        want = sorted((r["record_id"], k, tuple(x)) for r in spark.read.parquet(f"{sf}/{name}.parquet").collect() for k, x in enumerate(r[column] or []) if x is not None)
+        assert sorted((r["row_key"], r["ordinal"], tuple(json.loads(r["node_json"]).values())) for r in got.where(f"source_table = '{name}'").collect()) == want
+        assert sorted((r["row_key"], r["ordinal"], tuple(r)[5:]) for r in queries()[query](spark, sf).collect()) == want
+    below = got.where("node_path <> ''").select("source_table", "row_key", "node_path", "parent_path")
+    assert below.exceptAll(queries()["p2_found"](spark, sf)).count() == 0
+
+
+def test_arrays_of_values_are_members(spark):
+    deep = "[" * 5000 + "1" + "]" * 5000
+    df = spark.createDataFrame([(1, '{"a": ["x", {"b": 1}, [2, {}]], "o": [{"c": null}], "e": [], "n": null}'), (2, '{"a": 3, "d": %s}' % deep)], "k bigint, t string")
+    tables = N.json_tables(df, "k", "t").cache()
+    got = {(r["row_key"], r["node_path"]): r["node_json"] for r in tables.collect()}
+    assert json.loads(got[1, ""]) == {"a": ["x", None, [2, None]], "e": [], "n": None} and json.loads(got[1, "o[0]"]) == {"c": None}
+    assert got[2, ""].replace(" ", "") == '{"a":3,"d":%s}' % deep
+    root = {r["row_key"]: r["a"] for r in N.child_table(tables.where("row_key = 1 or node_path <> ''"), N.merged_schema(df, "t"), "").collect()}
+    assert json.loads(root[1]) == ["x", None, [2, None]]
