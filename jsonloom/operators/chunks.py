@@ -21,6 +21,8 @@ from jsonloom.session import spread
 ENTITY_MEMBERS = (2, 5)
 ENTITY_NESTED = 2
 ENTITY_CHARS = 800
+#: Characters of chunks and contexts that a worker holds before it hands them on.
+FLUSH_CHARS = 1 << 24
 _PYTHON_KIND = {str: "str", bool: "bool", int: "int", float: "float", type(None): "NoneType", dict: "dict", list: "list"}
 
 
@@ -88,7 +90,7 @@ def _run(split, most: int | None, context: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, chars = [], 0
             for key, file, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ok, doc = document(text)
                 if not ok:
@@ -97,9 +99,10 @@ def _run(split, most: int | None, context: bool):
                     if most is not None and n >= most:
                         break
                     rows.append((key, file, n, clean(path), dump(v), dump(ctx) if context else None, None if above is None else clean(above), _PYTHON_KIND[type(v)], dump(meta)))
-                if len(rows) >= 2048:
-                    yield batch_of(rows)
-                    rows = []
+                    chars += len(rows[-1][4]) + len(rows[-1][5] or "")
+                    if len(rows) >= 2048 or chars >= FLUSH_CHARS:  # contexts of a wide object are long, all of them together
+                        yield batch_of(rows)
+                        rows, chars = [], 0
             yield batch_of(rows)
 
     return run

@@ -14,10 +14,13 @@ from jsonloom.sources.files import changed, json_files
 from jsonloom.sources.store import Store
 
 
-def ingest_rows(files: DataFrame, store: Store) -> None:
-    """Take (filename, file_hash, last_modified, raw, corrupt) rows into the store."""
+def ingest_rows(files: DataFrame, store: Store, most: int | None = None) -> None:
+    """Take (filename, file_hash, last_modified, raw, corrupt) rows into the store.
+
+    most: only the first chunks of each document, so many of them (None: all).
+    """
     docs = files.where("not corrupt").select(F.xxhash64("filename").alias("row_key"), "filename", "raw")
-    got = written(C.json_chunks(docs, "row_key", "filename", "raw"), "ingest-chunks")
+    got = written(C.json_chunks(docs, "row_key", "filename", "raw", most=most), "ingest-chunks")
     rows = got.withColumns({"embedding": embed(F.col("chunk_json")), "updated_at": F.current_timestamp()})
     store.upsert("json_chunks", rows)
     nodes = json_nodes(docs, "row_key", "raw")

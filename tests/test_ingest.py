@@ -55,3 +55,17 @@ def test_questions(tmp_path):
 
 def test_unsupported(spark):
     assert ask(spark, "/nowhere", "hello there").first()["status"] == "unsupported"
+
+
+def test_all_chunks_of_a_long_document(spark, tmp_path):
+    src, root = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    orders = [{"order_id": f"O-{i}", "n": i} for i in range(150)]
+    (src / "a.json").write_text(json.dumps(DOC | {"orders": orders, "late_id": "L-1"}))
+    ingest(spark, str(src), root)
+    store = Store(spark, root)
+    held = {r["path"]: r["chunk_id"] for r in store.read("json_chunks").collect()}
+    assert set(held) == {*(k for k in DOC if k != "orders"), *(f"orders[{i}]" for i in range(150)), "late_id"}
+    edges = {(r["source"], r["target"]) for r in store.read("chunk_relationships").collect()}
+    assert {(held[f"orders[{i}]"], held["late_id"]) for i in range(150)} <= edges
+    assert store.read("chunk_key_values").where("path = 'late_id'").first()["chunk_id"] in held.values()
