@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from jsonloom.functions.jsonwalk import clean, document, kind, walk
 from jsonloom.session import spread
 
-#: Distinct (table, member, kind) that a merged schema may have before it is refused.
+#: Distinct (member, kind) that a table may have before child_table refuses it.
 MAX_SCHEMA = 100_000
 FLUSH = 4096
 LINKS = ["row_key", "node_id", "parent_id", "ordinal", "node_path"]
@@ -177,7 +177,9 @@ def child_table(tables: DataFrame, schema: DataFrame, table_path: str) -> DataFr
     A member of one scalar kind gets its type (int and float give double), others are strings, arrays
     as JSON (null if they hold objects only). Members named like a link column get the suffix _value.
     """
-    entries = schema.where(F.col("table_path") == table_path).limit(MAX_SCHEMA).collect()  # one table's columns
+    entries = schema.where(F.col("table_path") == table_path).limit(MAX_SCHEMA + 1).collect()  # one table's columns
+    if len(entries) > MAX_SCHEMA:
+        raise ValueError(f"more than {MAX_SCHEMA} schema entries for table {table_path!r}")
     kinds: dict[str, set[str]] = {}
     for r in entries:
         if r["kind"] != "object":

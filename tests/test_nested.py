@@ -98,3 +98,13 @@ def test_arrays_of_values_are_members(spark):
     assert got[2, ""].replace(" ", "") == '{"a":3,"d":%s}' % deep
     root = {r["row_key"]: r["a"] for r in N.child_table(tables.where("row_key = 1 or node_path <> ''"), N.merged_schema(df, "t"), "").collect()}
     assert json.loads(root[1]) == ["x", None, [2, None]]
+
+
+def test_too_wide_a_table_is_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": 2, "c": 3}')], "k bigint, t string")
+    tables, schema = N.json_tables(df, "k", "t"), N.merged_schema(df, "t")
+    monkeypatch.setattr(N, "MAX_SCHEMA", 4)
+    assert N.child_table(tables, schema, "").columns[-3:] == ["a", "b", "c"]
+    monkeypatch.setattr(N, "MAX_SCHEMA", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        N.child_table(tables, schema, "")
