@@ -28,6 +28,8 @@ WORD = re.compile(r"[^\W_]+")
 SEGMENT_WORDS = 400_000
 #: Words of query texts that are broadcast at once.
 BLOCK_WORDS = 1_000_000
+#: Words of a stretch of an item, at least, that is looked for by proximity.
+NEAR_WORDS = 8
 SHIFT = 32
 INDEX = "terms array<string>, starts array<int>, df array<int>, posting array<bigint>, docs array<bigint>"
 
@@ -175,27 +177,39 @@ def find_passages(index: DataFrame, items: DataFrame, item_key: str, item_text:
     return out
 
 
+def _near_terms(ws: list[str], rank: dict[str, int], terms: int, stretch: float) -> set[tuple[tuple[str, ...], int]]:
+    """(words, span) to look for: the rarest known words of the item and of each of its stretches of at least NEAR_WORDS words."""
+    rarest = lambda known: tuple(sorted(known, key=lambda w: (rank[w], w))[:terms])
+    known = {w for w in ws if w in rank}  # words the corpus lacks cannot stand there
+    got = {(rarest(known), int(len(ws) * stretch))} if known else set()
+    for o in range(len(ws)):
+        part: set[str] = set()
+        for e in range(o, len(ws)):
+            if ws[e] in rank:
+                part.add(ws[e])
+            if e + 1 - o >= NEAR_WORDS and len(part) >= terms:
+                got.add((rarest(part), int((e + 1 - o) * stretch)))
+                break
+    return got
+
+
 def find_near(index: DataFrame, items: DataFrame, item_key: str, item_text: str, terms: int = 6, stretch: float = 2.0) -> DataFrame:
-    """(doc_id, item_id) where the item's `terms` rarest words stand close together, in any order.
+    """(doc_id, item_id) where the `terms` rarest words of the item, or of a stretch of it, stand close together, in any order.
 
-    Close is within `stretch` times the item's length in words around a place of the rarest one.
+    Close is within `stretch` times the length of the item or stretch in words around a place of the
+    rarest one. Of items with fewer known words all of them are looked for.
     """
     out = None
     for block in _blocks(items, item_key, item_text):
         rank = _ranks(index, block)
-        asked = []
-        for i, ws in block:
-            # words the corpus lacks cannot stand there and are left out, as long as enough remain
-            known = sorted({w for w in ws if w in rank}, key=lambda w: (rank[w], w))
-            if len(known) >= terms:
-                asked.append((i, known[:terms], int(len(ws) * stretch)))
+        asked = [(i, sorted(_near_terms(ws, rank, terms, stretch))) for i, ws in block]
         shared = index.sparkSession.sparkContext.broadcast(asked)
 
         def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
                     seg = Segment(row)
-                    rows = [(int(seg.docs[d]), item) for item, ts, span in shared.value for d in seg.near(ts, span).tolist()]
+                    rows = [(int(seg.docs[d]), item) for item, looks in shared.value for d in sorted({d for ts, span in looks for d in seg.near(ts, span).tolist()})]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
         got = index.mapInPandas(probe, "doc_id bigint, item_id bigint")

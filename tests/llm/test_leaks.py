@@ -50,3 +50,12 @@ def test_empty(spark):
     assert L.find_passages(index, q, "item_id", "text").count() == 0
     d, q = frames(spark, [(1, "a b c")], [])
     assert L.find_passages(L.build_index(d, "doc_id", "text"), q, "item_id", "text").count() == 0
+
+
+def test_near_finds_changed_parts_and_short_items(spark):
+    ws = [f"v{i}" for i in range(60)]
+    half = [w if i % 10 else "changed" for i, w in enumerate(ws[:30])]
+    docs = [(1, "a " + " ".join(half) + " b"), (2, " ".join(ws[::7])), (3, "one x two y three"), (4, " ".join(ws)), (5, "nothing")]
+    d, q = frames(spark, docs, [(7, " ".join(ws)), (8, "one two three"), (9, "unknown words")])
+    got = {tuple(r) for r in L.find_near(L.build_index(d, "doc_id", "text"), q, "item_id", "text").collect()}
+    assert got == {(1, 7), (4, 7), (3, 8)}
