@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from jsonloom.operators import snapshots as S
 
 
@@ -28,10 +31,43 @@ def test_against_brute_force(spark):
 
 
 def test_ordinals_persist(spark):
-    first = S.with_ordinals(spark.createDataFrame([("b",), ("a",)], "key string"))
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "key string")
+    first = S.new_ordinals(keys("b", "a"))
     before = {r["key"]: r["ord"] for r in first.collect()}
-    after = {r["key"]: r["ord"] for r in S.with_ordinals(spark.createDataFrame([("a",), ("0",), ("c",)], "key string"), first).collect()}
-    assert sorted(before.values()) == [0, 1] and {k: after[k] for k in before} == before and sorted(after.values()) == [0, 1, 2, 3]
+    later = {r["key"]: r["ord"] for r in S.with_ordinals(keys("a", "0", "c"), first).collect()}
+    assert sorted(before.values()) == [0, 1] and later.keys() == {"0", "c"} and sorted(later.values()) == [2, 3]
+
+
+def test_ordinal_after_a_single_known_key(spark):
+    known = spark.createDataFrame([("a", 0)], "key string, ord bigint")
+    got = S.with_ordinals(spark.createDataFrame([("a",), ("b",)], "key string"), known)
+    assert [tuple(r) for r in got.collect()] == [("b", 1)]
+
+
+def test_bitmaps():
+    rng = np.random.default_rng(5)
+    some = lambda n: np.sort(rng.choice(S.BLOCK, n, False))
+    sets = [np.zeros(0, np.int64), np.array([0]), np.array([S.BLOCK - 1]), some(50), some(30_000), np.arange(S.BLOCK), np.arange(100, 60_000), np.delete(np.arange(40_000), some(20)[:5] % 40_000)]
+    maps = [S.Bitmap.load(S.Bitmap.of(x).dump()) for x in sets]
+    assert {m.kind for m in maps} == {S.ARRAY, S.RUNS, S.BITS}
+    for x, m in zip(sets, maps):
+        assert list(m.values()) == list(x) and list(m.rank(x)) == list(range(len(x)))
+        for y, o in zip(sets, maps):
+            assert list(m.and_not(o)) == list(np.setdiff1d(x, y)) and list(m.both(o)) == list(np.intersect1d(x, y))
+
+
+def test_history_meets_only_the_last_snapshot(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(f"s{s}", f"k{k}", rnd.randint(0, 2)) for s in range(5) for k in range(40) if rnd.random() < 0.7]
+    df = lambda *names: spark.createDataFrame([r for r in rows if r[0] in names], "snapshot string, key string, a bigint")
+    path = str(tmp_path / "history")
+    got = []
+    for names in (["s0"], ["s1", "s2"], ["s3"], ["s4"]):
+        got += map(tuple, S.snapshot_changes(df(*names), ["a"], path).collect())
+    assert sorted(got) == brute(rows, 1)
+    with pytest.raises(ValueError, match="not later"):
+        S.snapshot_changes(df("s4"), ["a"], path)
+    assert S.snapshot_changes(df(), ["a"], path).count() == 0
 
 
 def test_catalog(spark, rows):
