@@ -115,7 +115,7 @@ def _chunks(df: DataFrame, key: str, file: str, text: str, split, most: int | No
     return got.withColumns({"chunk_id": chunk_id(F.col("file_path"), F.col("path")), "parent_id": parent, "depth": depth})
 
 
-def json_chunks(df: DataFrame, key: str, file: str, text: str, strategy: str = "hybrid", most: int | None = 100, context: bool = True) -> DataFrame:
+def json_chunks(df: DataFrame, key: str, file: str, text: str, strategy: str = "hybrid", most: int | None = None, context: bool = True) -> DataFrame:
     """Chunks of each document, the first `most` of them in document order (None: all).
 
     context: also what stands around each chunk, which can be much longer than the chunk.
@@ -124,7 +124,7 @@ def json_chunks(df: DataFrame, key: str, file: str, text: str, strategy: str = "
     return _chunks(df, key, file, text, lambda d: _hybrid(d, whole), most, context)
 
 
-def leaf_chunks(df: DataFrame, key: str, file: str, text: str, most: int | None = 100, context: bool = True) -> DataFrame:
+def leaf_chunks(df: DataFrame, key: str, file: str, text: str, most: int | None = None, context: bool = True) -> DataFrame:
     """Scalars of each document as chunks."""
     return _chunks(df, key, file, text, _leaves, most, context)
 
