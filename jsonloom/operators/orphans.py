@@ -3,10 +3,14 @@
 A reference is (ref_field, period, record_id, ref_key, at); what exists is a set of validity
 intervals (ref_field, ref_key, valid_from, valid_to), [from, to) in microseconds.
 
-Plan: references are pre-aggregated per key and period (map-side combine) to find heavy keys, of
-which there can be at most `HEAVY_PARTS` by construction. Heavy references stay where they are and
-meet the broadcast intervals of the heavy keys (counted first; salted shuffle beyond the bound);
-the other references are anti-joined by a shuffle on the key; both parts are united.
+Plan: references are pre-aggregated per key and period, with their first and last instant (map-side
+combine). The aggregates meet the merged intervals of their key: where one interval holds the whole
+time of the aggregate none of its references is an orphan, where none touches it all of them are,
+and only the others have to be looked at one by one. So the rows are joined with the aggregates that
+are not settled as sound: those of heavy keys, of which there can be at most `HEAVY_PARTS`, are
+broadcast after a count, the rest is joined by a shuffle on key and period (or broadcast too where
+it is counted to be small); both parts are united. The counts per period come from the aggregates
+and the counted rows of the unsettled ones.
 
 Defined cases: a null or blank key is no reference; a reference whose instant is unreadable cannot
 be resolved and is an orphan; overlapping or repeated validity rows of a key are merged; rows whose
@@ -19,13 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jsonloom.functions.keys import iso_micros, micros, norm_key
-from jsonloom.session import BROADCAST_ROWS, broadcast_if_small
+from jsonloom.session import BROADCAST_ROWS, broadcast_if_small, written
 
 FOREVER = 2**63 - 1
 #: A key is heavy if it has more than this fraction of all references: at most so many are.
 HEAVY_PARTS = 500
-SALTS = 32
 KEY = ["ref_field", "ref_key"]
+GROUP = [*KEY, "period"]
 
 
 def merge_intervals(iv: DataFrame) -> DataFrame:
@@ -39,38 +43,63 @@ def merge_intervals(iv: DataFrame) -> DataFrame:
     return iv.groupBy(*KEY, "_island").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to")).drop("_island")
 
 
+class Orphans:
+    """The aggregates of references against intervals; rows and counts of orphans are read off them."""
+
+    def __init__(self, refs: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+        self.refs, self.bound = refs.select(*GROUP, "record_id", "at"), broadcast_rows
+        groups = refs.groupBy(*GROUP).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("at").isNull()).alias("n_null"))
+        self.intervals = written(merge_intervals(intervals), "validity")
+        held, touched = (F.col("valid_from") <= F.col("lo")) & (F.col("valid_to") > F.col("hi")), (F.col("valid_from") <= F.col("hi")) & (F.col("valid_to") > F.col("lo"))
+        # nulls of lo and hi (no readable instant) and missing intervals touch nothing
+        met = groups.join(self.intervals, KEY, "left").groupBy(*GROUP, "n", "n_null").agg(F.max(F.coalesce(held, F.lit(False))).alias("held"), F.max(F.coalesce(touched, F.lit(False))).alias("touched"))
+        state = F.when(F.col("held") & (F.col("n_null") == 0), "sound").when(~F.col("touched"), "orphan").otherwise("mixed")
+        self.groups = written(met.select(*GROUP, "n", state.alias("state")), "reference-groups")
+
+    def _joined(self, refs: DataFrame, state: str) -> DataFrame:
+        """The references of groups in that state; those of heavy keys apart."""
+        groups = self.groups.where(F.col("state") == state).select(*GROUP)
+
+        def of(r: DataFrame, g: DataFrame) -> DataFrame:
+            return r.join(g, [r[k] == g[k] for k in KEY] + [r["period"].eqNullSafe(g["period"])], "left_semi")
+
+        if groups.limit(self.bound + 1).count() <= self.bound:
+            return of(refs, F.broadcast(groups))
+        total = self.groups.agg(F.sum("n")).first()[0] or 0
+        of_key = self.groups.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        heavy = F.broadcast(of_key.where(F.col("n") > max(1000, total // HEAVY_PARTS)).select(*KEY))  # at most HEAVY_PARTS rows
+        hot = of(refs.join(heavy, KEY, "left_semi"), broadcast_if_small(groups.join(heavy, KEY, "left_semi"), self.bound))
+        return hot.unionByName(of(refs.join(heavy, KEY, "left_anti"), groups))
+
+    def _mixed(self) -> DataFrame:
+        """The orphans among the references that are looked at one by one."""
+        rows, iv = self._joined(self.refs, "mixed"), self.intervals
+        keys = self.groups.where("state = 'mixed'").select(*KEY).distinct()
+        iv = broadcast_if_small(iv.join(broadcast_if_small(keys, self.bound), KEY, "left_semi"), self.bound)
+        on = [rows[k] == iv[k] for k in KEY] + [iv["valid_from"] <= rows["at"], rows["at"] < iv["valid_to"]]
+        return rows.join(iv, on, "left_anti")
+
+    def rows(self) -> DataFrame:
+        """(ref_field, ref_key, period, record_id, at) of every orphan reference."""
+        return self._joined(self.refs, "orphan").unionByName(self._mixed())
+
+    def report(self) -> DataFrame:
+        """Per table field and period: references, orphans among them and distinct orphan keys."""
+        by = ["ref_field", "period"]
+        found = self._mixed().groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bad"))
+        zero = F.lit(0).cast("bigint")
+        settled = self.groups.select(*by, "n", F.when(F.col("state") == "orphan", F.col("n")).otherwise(zero).alias("bad"), (F.col("state") == "orphan").cast("bigint").alias("keys"))
+        counts = settled.unionByName(found.select(*by, zero.alias("n"), "bad", F.lit(1).cast("bigint").alias("keys")))
+        return counts.groupBy(*by).agg(F.sum("n").alias("refs"), F.sum("bad").alias("orphans"), F.sum("keys").alias("orphan_keys"))
+
+
 def find_orphans(refs: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of refs for which no interval of their key holds their instant."""
-    counts = refs.groupBy(*KEY, "period").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEY).agg(F.sum("n").alias("n")).persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(counts.where(F.col("n") > max(1000, total // HEAVY_PARTS)).select(*KEY))  # at most HEAVY_PARTS rows
-    merged = merge_intervals(intervals)
-
-    def missing(r: DataFrame, iv: DataFrame, salted: bool = False) -> DataFrame:
-        on = [r[k] == iv[k] for k in KEY] + [iv["valid_from"] <= r["at"], r["at"] < iv["valid_to"]]
-        if salted:
-            on.append(r["_salt"] == iv["_salt"])
-        return r.join(iv, on, "left_anti")
-
-    light = missing(refs.join(heavy, KEY, "left_anti"), merged)
-    hot, of_hot = refs.join(heavy, KEY, "left_semi"), merged.join(heavy, KEY, "left_semi")
-    if of_hot.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        hot = missing(hot, F.broadcast(of_hot))
-    else:
-        hot = hot.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-        of_hot = of_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hot = missing(hot, of_hot, salted=True).drop("_salt")
-    return light.unionByName(hot)
-
-
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Per table field and period: references, orphans among them and distinct orphan keys."""
-    by = ["ref_field", "period"]
-    per_key = orphans.groupBy(*by, "ref_key").agg(F.count(F.lit(1)).alias("n"))
-    bad = per_key.groupBy(*by).agg(F.sum("n").alias("orphans"), F.count(F.lit(1)).alias("orphan_keys"))
-    every = refs.groupBy(*by).agg(F.count(F.lit(1)).alias("refs"))
-    zero = F.lit(0).cast("bigint")
-    return every.join(bad, by, "left").select(*by, "refs", F.coalesce("orphans", zero).alias("orphans"), F.coalesce("orphan_keys", zero).alias("orphan_keys"))
+    """The references for which no interval of their key holds their instant."""
+    return Orphans(refs, intervals, broadcast_rows).rows()
+
+
+def orphan_report(refs: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return Orphans(refs, intervals, broadcast_rows).report()
 
 
 # -- the references and targets of this data model ------------------------------------------------

@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     refs, iv = _references(spark, sf)
-    return orphans.orphan_report(refs, orphans.find_orphans(refs, iv))
+    return orphans.orphan_report(refs, iv)
 
 
 def _references(spark: SparkSession, sf: str):

@@ -12,13 +12,26 @@ def brute(refs, iv):
     return sorted(r[:4] for r in refs if not any(i[:2] == (r[0], r[3]) and i[2] is not None and r[4] is not None and i[2] <= r[4] < i[3] for i in iv))
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])  # broadcast and salted shuffle for heavy keys
+@pytest.mark.parametrize("bound", [10**6, 0])  # broadcast, and heavy keys apart
 def test_against_brute_force(spark, bound):
     rnd = random.Random(3)
     refs = [("f", f"2025-0{rnd.randint(1, 9)}", i, "HOT" if i % 3 == 0 else f"K{rnd.randint(0, 60)}", rnd.choice([None, *range(100)]), "x") for i in range(4000)]
     iv = [("f", rnd.choice(["HOT", *[f"K{k}" for k in range(40)]]), rnd.choice([None, *range(90)]), rnd.randint(0, 110)) for _ in range(150)]
     got = O.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(iv, IV), broadcast_rows=bound)
-    assert sorted(tuple(r)[:4] for r in got.select("ref_field", "period", "record_id", "ref_key").collect()) == brute(refs, iv)
+    want = brute(refs, iv)
+    assert sorted(tuple(r)[:4] for r in got.select("ref_field", "period", "record_id", "ref_key").collect()) == want
+    report = {r["period"]: (r["refs"], r["orphans"], r["orphan_keys"]) for r in O.orphan_report(spark.createDataFrame(refs, REFS), spark.createDataFrame(iv, IV), broadcast_rows=bound).collect()}
+    for p in {r[1] for r in refs}:
+        own = [w for w in want if w[1] == p]
+        assert report[p] == (sum(r[1] == p for r in refs), len(own), len({w[3] for w in own}))
+
+
+def test_only_unsettled_groups_are_looked_at_one_by_one(spark):
+    refs = [("f", "p1", 1, "IN", 10, "x"), ("f", "p1", 2, "IN", 20, "x"), ("f", "p1", 3, "OUT", 10, "x"), ("f", "p1", 4, "EDGE", 10, "x"), ("f", "p1", 5, "EDGE", 30, "x"), ("f", "p2", 6, "IN", None, "x"), ("f", None, 7, "IN", 10, "x"), ("f", None, 8, "OUT", 10, "x")]
+    iv = [("f", "IN", 0, 15), ("f", "IN", 15, 40), ("f", "OUT", 50, 60), ("f", "EDGE", 20, 40)]
+    o = O.Orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(iv, IV))
+    assert {(r["ref_key"], r["period"]): r["state"] for r in o.groups.collect()} == {("IN", "p1"): "sound", ("OUT", "p1"): "orphan", ("EDGE", "p1"): "mixed", ("IN", "p2"): "orphan", ("IN", None): "sound", ("OUT", None): "orphan"}
+    assert sorted(r["record_id"] for r in o.rows().collect()) == [3, 4, 6, 8]
 
 
 def test_intervals_are_merged(spark, rows):
@@ -31,4 +44,4 @@ def test_empty(spark):
     iv = spark.createDataFrame([], IV)
     assert O.find_orphans(none, iv).count() == 0
     assert O.find_orphans(some, iv).count() == 1
-    assert [tuple(r) for r in O.orphan_report(some, O.find_orphans(some, iv)).collect()] == [("f", "2025-01", 1, 1, 1)]
+    assert [tuple(r) for r in O.orphan_report(some, iv).collect()] == [("f", "2025-01", 1, 1, 1)]
