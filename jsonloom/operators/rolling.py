@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.keys import iso_micros, latest, norm_key
 from jsonloom.operators.snapshots import micros_or_zero
+from jsonloom.session import written
 
 TILE = 64
 #: Entities in a block, about: a dense block then takes TILE + halo times this many numbers.
 ENTITIES = 1024
-MAX_CENTS = 10**15
+#: Sums of whole cents up to this are exact in the float64 products; larger ones are refused.
+MAX_CENTS = 2**53
 
 
 def _band(window: int, halo: int, days: int) -> np.ndarray:
@@ -46,6 +48,8 @@ def _tile(windows: list[int], halo: int, idle: int | None, least: int | None):
         cents[code[real], at], n[code[real], at] = pdf["cents"].to_numpy(np.float64)[real], pdf["n"].to_numpy(np.float64)[real]
         days = start + np.arange(TILE)
         keep = (days[None, :] >= first[:, None]) & (days[None, :] <= last[:, None])
+        if (np.abs(cents) @ np.ones(halo + TILE)).max(initial=0) > MAX_CENTS:
+            raise ValueError(f"amounts of an entity beyond {MAX_CENTS} cents in one tile")
         sums = {w: (np.rint(cents @ b), np.rint(n @ b)) for w, b in bands.items()}
         if idle is not None:
             keep &= sums[idle][1] == 0
@@ -67,6 +71,7 @@ def trailing(daily: DataFrame, windows: list[int], idle: int | None = None, leas
     at least `least` cents in the longest window.
     """
     halo = max(windows) - 1
+    daily = written(daily, "daily")  # read for the spans, their number and the blocks
     spans = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     tile = lambda c: F.floor(F.col(c) / TILE).cast("bigint")
     frames = spans.select("entity", "first", "last", F.explode(F.sequence(tile("first"), tile("last"))).alias("tile"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from jsonloom.operators import rolling as R
 
 
@@ -49,3 +51,9 @@ def test_daily_amounts(spark, rows):
 def test_empty(spark):
     daily = spark.createDataFrame([], "entity string, day bigint, cents bigint, n bigint")
     assert R.trailing(daily, [7, 30]).count() == 0
+
+
+def test_amounts_beyond_exact_sums_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, 2**53, 1), ("a", 2, 2**53, 1)], "entity string, day bigint, cents bigint, n bigint")
+    with pytest.raises(Exception, match="beyond"):
+        R.trailing(df, [7]).collect()
