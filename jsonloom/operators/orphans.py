@@ -56,12 +56,13 @@ class Orphans:
         state = F.when(F.col("held") & (F.col("n_null") == 0), "sound").when(~F.col("touched"), "orphan").otherwise("mixed")
         self.groups = written(met.select(*GROUP, "n", state.alias("state")), "reference-groups")
 
-    def _joined(self, refs: DataFrame, state: str) -> DataFrame:
-        """The references of groups in that state; those of heavy keys apart."""
-        groups = self.groups.where(F.col("state") == state).select(*GROUP)
+    def _open(self, states: list[str]) -> DataFrame:
+        """The references of groups in those states, with the state; those of heavy keys apart."""
+        refs, groups = self.refs, self.groups.where(F.col("state").isin(states)).select(*GROUP, "state")
 
         def of(r: DataFrame, g: DataFrame) -> DataFrame:
-            return r.join(g, [r[k] == g[k] for k in KEY] + [r["period"].eqNullSafe(g["period"])], "left_semi")
+            g = g.toDF(*[f"_{c}" for c in GROUP], "state")
+            return r.join(g, [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("period").eqNullSafe(F.col("_period"))]).select(*r.columns, "state")
 
         if groups.limit(self.bound + 1).count() <= self.bound:
             return of(refs, F.broadcast(groups))
@@ -71,22 +72,22 @@ class Orphans:
         hot = of(refs.join(heavy, KEY, "left_semi"), broadcast_if_small(groups.join(heavy, KEY, "left_semi"), self.bound))
         return hot.unionByName(of(refs.join(heavy, KEY, "left_anti"), groups))
 
-    def _mixed(self) -> DataFrame:
-        """The orphans among the references that are looked at one by one."""
-        rows, iv = self._joined(self.refs, "mixed"), self.intervals
-        keys = self.groups.where("state = 'mixed'").select(*KEY).distinct()
-        iv = broadcast_if_small(iv.join(broadcast_if_small(keys, self.bound), KEY, "left_semi"), self.bound)
-        on = [rows[k] == iv[k] for k in KEY] + [iv["valid_from"] <= rows["at"], rows["at"] < iv["valid_to"]]
-        return rows.join(iv, on, "left_anti")
+    def _orphans(self, states: list[str]) -> DataFrame:
+        """Orphans in groups of those states; references of mixed groups are looked at one by one."""
+        rows, keys = self._open(states), self.groups.where("state = 'mixed'").select(*KEY).distinct()
+        iv = broadcast_if_small(self.intervals.join(broadcast_if_small(keys, self.bound), KEY, "left_semi"), self.bound)
+        iv = iv.toDF(*[f"_{c}" for c in iv.columns])
+        on = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("state") == "mixed", F.col("_valid_from") <= F.col("at"), F.col("at") < F.col("_valid_to")]
+        return rows.join(iv, on, "left_anti").drop("state")
 
     def rows(self) -> DataFrame:
         """(ref_field, ref_key, period, record_id, at) of every orphan reference."""
-        return self._joined(self.refs, "orphan").unionByName(self._mixed())
+        return self._orphans(["orphan", "mixed"])
 
     def report(self) -> DataFrame:
         """Per table field and period: references, orphans among them and distinct orphan keys."""
         by = ["ref_field", "period"]
-        found = self._mixed().groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bad"))
+        found = self._orphans(["mixed"]).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bad"))
         zero = F.lit(0).cast("bigint")
         settled = self.groups.select(*by, "n", F.when(F.col("state") == "orphan", F.col("n")).otherwise(zero).alias("bad"), (F.col("state") == "orphan").cast("bigint").alias("keys"))
         counts = settled.unionByName(found.select(*by, zero.alias("n"), "bad", F.lit(1).cast("bigint").alias("keys")))
