@@ -1,20 +1,28 @@
 """Long exact spans shared between texts (problem 10), by recompression.
 
-Naming. A text is a row of symbols, at first its code points. In each round every symbol is left or
-right by a bit of its name, and each adjacent pair (left, right) becomes one symbol whose name is a
-64-bit hash of the two. Names are thus the same in all tasks without a dictionary, and what becomes
-of a pair depends on nothing outside it: equal substrings get equal symbols but for at most one
-symbol a round at each end. Equal symbols never pair, so a run keeps its unit symbols, with the same
-bound, and is thinned where signatures are chosen. A symbol of level i has at most 2^i characters,
-so in a shared span of `least` characters all but 2^ROUNDS - 1 at each end have equal symbols.
-
-Signatures. From each symbol on, the following symbols with `REACH` characters or more are named
-together; of the starts within `spread` characters the least name is kept. By the bound above every
-shared span of `least` characters, wherever it stands, holds a kept signature that both texts have.
-
-Verification. Starts of `least` characters around signatures of two or more texts are hashed
-(128 bits) at every character; those that two texts have are shared, and touching ones are united.
-Groups are only aggregated (least and largest text id), never collected and never paired.
+Naming. A text is a row of symbols, at first its code points. A round names two things: each run of
+one symbol (the symbol and how often it stands there), and then each adjacent pair of a left and a
+right symbol, sides being a bit of the name. Names are 64-bit hashes of what they stand for, so every
+task gives equal runs and pairs the same name without a dictionary that would have to be shuffled,
+and one pass over a text makes all its rounds. What is named depends on nothing outside it but for
+the ends: a run may go on and a symbol may pair beyond the end of a substring.
+
+Names of substrings. So a substring is named by the symbols that every place of it has: in each
+round the run at either end is taken off as (symbol, how often inside), then a right symbol at the
+left end and a left symbol at the right end; what stays is a row of whole symbols of the next round.
+The name is the hash of what was taken off and of the row left after ROUNDS rounds. Substrings of
+the same characters have the same name wherever they stand, and it is read off the rows of symbols
+without going through the characters.
+
+Reveal. Of the names of the substrings of `REVEAL` characters at `least - REVEAL + 1` starts one
+after the other the smallest is kept. Every shared span of `least` characters, wherever it stands,
+contains all these substrings in both texts, so both keep the same one: symbols kept by two texts
+reveal all shared spans.
+
+Verification. A kept substring that two texts share lies in at most `least - REVEAL + 1` spans of
+`least` characters of a text; the names of these (with a checksum of the characters, 128 bits
+together) are compared among all texts. Those that two texts have are shared, and touching ones are
+united. Groups are only aggregated (least and largest text id), never collected and never paired.
 
 Exact copies are one text: their whole text is shared, and one of them stands for all elsewhere.
 
@@ -34,13 +42,11 @@ from pyspark.sql import functions as F
 from jsonloom.session import broadcast_if_small, spread, written
 
 ROUNDS = 4
-EDGE = 2**ROUNDS - 1
-LONGEST = 2**ROUNDS
-REACH = 90
-PIECE = 1_000_000
-OVERLAP = 4096
+REVEAL = 150
+PIECE = 500_000
 
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,75 +57,120 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def symbols(codes: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(names, starts) of the symbols after so many rounds; text_of tells neighbouring texts apart."""
-    name, start = _mix(codes.astype(np.uint64) + _U(0x9E3779B97F4A7C15)), np.arange(len(codes))
-    own = text_of
-    for r in range(rounds):
-        if len(name) < 2:
-            break
-        side = (_mix(name + _U(0xD1B54A32D192ED03 * (r + 1) % 2**64)) & _U(1)).astype(bool)
-        pair = np.flatnonzero(~side[:-1] & side[1:] & (own[:-1] == own[1:]))
-        name[pair] = _mix(name[pair] * _U(0x9E3779B97F4A7C15) + (name[pair + 1] ^ _U(0xA0761D6478BD642F)))
-        keep = np.ones(len(name), bool)
-        keep[pair + 1] = False
-        name, start, own = name[keep], start[keep], own[keep]
-    return name, start
-
-
-def _least(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Index of the first least of h[low:high] for each range (none is empty)."""
-    levels, size = [np.arange(len(h))], 1
-    longest = int((high - low).max())
-    while 2 * size <= longest:
-        a = levels[-1]
-        b = np.concatenate([a[size:], np.full(size, len(h) - 1)])[: len(a)]
-        levels.append(np.where(h[a] <= h[b], a, b))
-        size *= 2
-    k = np.floor(np.log2(np.maximum(high - low, 1))).astype(np.int64)
-    table = np.stack(levels)
-    a, b = table[k, low], table[k, high - (1 << k)]
+def _run_name(name: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The name of so many of one symbol; a single one keeps its name."""
+    return np.where(size > 1, _mix(name + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), name)
+
+
+class Symbols:
+    """All rounds of some texts, set one behind the other and told apart by text_of.
+
+    Per round: the runs (symbol, size, the round's symbol each position belongs to) and the sides and
+    places of the symbols after naming runs.
+    """
+
+    def __init__(self, codes: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS):
+        name, own = _mix(codes.astype(np.uint64) + _ODD), text_of
+        self.rounds = []
+        for r in range(rounds):
+            first = np.ones(len(name), bool)
+            first[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
+            start = np.flatnonzero(first)
+            run_of = np.cumsum(first) - 1
+            stop = np.append(start[1:], len(name))
+            base, named = name[start], _run_name(name[start], stop - start)
+            text = own[start]
+            left = (_mix(named + _U(0xD1B54A32D192ED03 * (r + 1) % 2**64)) & _U(1)) == 0
+            heads = np.zeros(len(named), bool)
+            heads[:-1] = left[:-1] & ~left[1:] & (text[1:] == text[:-1])
+            tails = np.zeros(len(named), bool)
+            tails[1:] = heads[:-1]
+            keep = ~tails
+            up = np.cumsum(keep) - 1  # of each symbol, the one of the next round
+            pair = np.flatnonzero(heads)
+            new = named.copy()
+            new[pair] = _mix(named[pair] * _ODD + (named[pair + 1] ^ _U(0xA0761D6478BD642F)))
+            self.rounds.append((base, start, stop, run_of, named, left, up))
+            name, own = new[keep], text[keep]
+        power = np.cumprod(np.full(len(name) + 1, _U(0xD6E8FEB86659FD93)), dtype=np.uint64)
+        self.back = np.cumprod(np.full(len(name) + 1, _U(pow(0xD6E8FEB86659FD93, -1, 2**64))), dtype=np.uint64)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * power[:-1], dtype=np.uint64)])
+        self.name = name
+
+    def names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The names of the substrings [a, b), none of which leaves its text."""
+        hl, hr = np.full(len(a), _U(1)), np.full(len(a), _U(2))
+
+        def take(h: np.ndarray, name: np.ndarray, mark: int, which: np.ndarray) -> np.ndarray:
+            return np.where(which, _mix(h * _ODD + name + _U(mark)), h)
+
+        for base, start, stop, run_of, named, left, up in self.rounds:
+            some = a < b
+            i, j = np.minimum(a, len(run_of) - 1), np.maximum(b - 1, 0)
+            x, y = run_of[i], run_of[j]
+            one = x == y
+            # the run at the left end, as far as it lies inside, and the one at the right end
+            size = np.minimum(stop[x], b) - a
+            hl = take(hl, _run_name(base[x], np.maximum(size, 1)), 0x51, some)
+            both = some & ~one
+            size = b - np.maximum(start[y], a)
+            hr = take(hr, _run_name(base[y], np.maximum(size, 1)), 0x52, both)
+            a, b = np.where(some, x + 1, 0), np.where(some, y, 0)
+            # a right symbol at the left end, a left symbol at the right end
+            some = a < b
+            i = np.minimum(a, len(named) - 1)
+            off = some & ~left[i]
+            hl = take(hl, named[i], 0x53, off)
+            a = a + off
+            some = a < b
+            j = np.maximum(b - 1, 0)
+            off = some & left[j]
+            hr = take(hr, named[j], 0x54, off)
+            b = b - off
+            some = a < b
+            i, j = np.minimum(a, len(up) - 1), np.maximum(b - 1, 0)
+            a, b = np.where(some, up[i], 0), np.where(some, up[j] + 1, 0)
+        core = (self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64)
+        return _mix(_mix(hl * _ODD + core) + hr)
+
+
+def _least(h: np.ndarray, size: int) -> np.ndarray:
+    """For each i, the index of the first least of h[i:i + size]; one for each full range."""
+    at, width = np.arange(len(h)), 1
+    while 2 * width <= size:
+        a, b = at[: len(at) - width], at[width:]
+        at, width = np.where(h[a] <= h[b], a, b), 2 * width
+    n = len(h) - size + 1
+    a, b = at[:n], at[size - width : size - width + n]
     return np.where(h[a] <= h[b], a, b)
 
 
-def signatures(codes: np.ndarray, text_of: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, starts, lengths) of the kept signatures; ends[t] is where text t ends."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    name, start = symbols(codes, text_of)
-    if not len(name):
-        return none
-    end = ends[text_of[start]]
-    # the symbols from i to j - 1 have REACH characters or more
-    j = np.searchsorted(start, start + REACH)
-    stop = np.append(start, len(codes))[j]
-    ok = stop <= end
-    power = np.cumprod(np.full(len(name) + 1, _U(0xD6E8FEB86659FD93)), dtype=np.uint64)
-    back = np.cumprod(np.full(len(name) + 1, _U(pow(0xD6E8FEB86659FD93, -1, 2**64))), dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * power[:-1], dtype=np.uint64)])
-    i = np.flatnonzero(ok)
-    if not len(i):
-        return none
-    sig = _mix((total[j[i]] - total[i]) * back[i] + (j[i] - i).astype(np.uint64))
-    at, size, own = start[i], stop[i] - start[i], text_of[start[i]]
-    spread = least - 2 * EDGE - (REACH + LONGEST - 1)
-    # ranges of starts of one text within `spread` characters, where the text goes on that far
-    place = at + own * (spread + 1)  # texts are kept apart
-    low = np.arange(len(i))
-    high = np.searchsorted(place, place + spread)
-    full = at + spread + REACH <= ends[own]
-    if not full.any():
-        return none
-    kept = np.unique(_least(sig, low[full], high[full]))
-    sig, at, size, own = sig[kept], at[kept], size[kept], own[kept]
-    # in a run many starts have one name: of those in `spread` characters the first and the last stay
-    link = (sig[1:] == sig[:-1]) & (own[1:] == own[:-1]) & (at[1:] // spread == at[:-1] // spread)
-    inner = np.zeros(len(sig), bool)
+def kept(symbols: Symbols, sizes: np.ndarray, least: int, reveal: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, starts) of the kept substrings of texts of these sizes, set one behind the other."""
+    ends = np.cumsum(sizes)
+    reach = least - reveal + 1
+    n = np.maximum(sizes - reveal + 1, 0)  # starts of each text
+    first = np.repeat(ends - sizes, n)
+    place = np.arange(n.sum())
+    starts = first + place - np.repeat(np.cumsum(n) - n, n)
+    if len(starts) < reach:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = symbols.names(starts, starts + reveal)
+    full = starts[: len(starts) - reach + 1] == starts[reach - 1 :] - reach + 1  # ranges within one text
+    best = np.unique(_least(h, reach)[full])
+    name, at = h[best], starts[best]
+    # in a run many starts have one name: of those close together the first and the last stay
+    link = (name[1:] == name[:-1]) & (at[1:] - at[:-1] < reach) & (at[1:] // reach == at[:-1] // reach)
+    inner = np.zeros(len(name), bool)
     inner[1:-1] = link[1:] & link[:-1]
-    return sig[~inner], at[~inner], size[~inner]
+    return name[~inner], at[~inner]
 
 
-def _pieces(docs: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of about PIECE code points: (codes, text_of, ends, doc ids, offset of each text in its doc, starts)."""
+def _pieces(docs: list[int], texts: list[str], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of about PIECE code points: (codes, sizes of the texts, doc ids, offset of each text in its doc less its place here).
+
+    Pieces of a long text overlap so far that each span of `least` characters lies in one of them.
+    """
     codes: list[np.ndarray] = []
     ids: list[int] = []
     offs: list[int] = []
@@ -127,13 +178,12 @@ def _pieces(docs: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, np.
 
     def batch():
         sizes = np.array([len(c) for c in codes])
-        ends = np.cumsum(sizes)
-        return np.concatenate(codes), np.repeat(np.arange(len(codes)), sizes), ends, np.array(ids), np.array(offs) - (ends - sizes)
+        return np.concatenate(codes), sizes, np.array(ids), np.array(offs) - (np.cumsum(sizes) - sizes)
 
     for doc, text in zip(docs, texts):
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for off in range(0, max(1, len(c) - OVERLAP), PIECE):
-            part = c[off : off + PIECE + OVERLAP]
+        for off in range(0, max(1, len(c) - least + 1), PIECE):
+            part = c[off : off + PIECE + least]
             codes.append(part), ids.append(doc), offs.append(off)
             n += len(part)
             if n >= PIECE:
@@ -143,46 +193,45 @@ def _pieces(docs: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, np.
         yield batch()
 
 
-def _signature_batches(least: int):
+def _kept_batches(least: int, reveal: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, text_of, ends, ids, offs in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sig, at, size = signatures(codes, text_of, ends, least)
+            for codes, sizes, ids, offs in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least):
+                text_of = np.repeat(np.arange(len(sizes)), sizes)
+                name, at = kept(Symbols(codes, text_of), sizes, least, reveal)
                 t = text_of[at]
-                yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array(ids[t], pa.int64()), pa.array(at + offs[t], pa.int64()), pa.array(size.astype(np.int32))], ["sig", "doc", "at", "size"])
+                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[t], pa.int64()), pa.array(at + offs[t], pa.int64())], ["name", "doc", "at"])
 
     return run
 
 
-def _window_hash(codes: np.ndarray, starts: np.ndarray, least: int, base: int, salt: int) -> np.ndarray:
-    n = len(codes)
-    power = np.cumprod(np.full(n, _U(base)), dtype=np.uint64)
-    back = np.cumprod(np.full(n, _U(pow(base, -1, 2**64))), dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(codes.astype(np.uint64) + _U(salt)) * power, dtype=np.uint64)])
+def _checksums(codes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    base = 0xC2B2AE3D27D4EB4F
+    power = np.cumprod(np.full(len(codes), _U(base)), dtype=np.uint64)
+    back = np.cumprod(np.full(len(codes), _U(pow(base, -1, 2**64))), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(codes.astype(np.uint64) + _U(2)) * power, dtype=np.uint64)])
     return _mix((total[starts + least] - total[starts]) * back[starts])
 
 
-def _start_batches(least: int):
-    """(h1, h2, doc, at): the hashed starts around the shared signatures of each text."""
+def _span_batches(least: int, reveal: int):
+    """(h1, h2, doc, at): name and checksum of the spans around the shared substrings of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, zones in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 every = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                z = np.array([(x["at"], x["size"]) for x in zones], np.int64).reshape(-1, 2)
+                z = np.array(places, np.int64)
                 mark = np.zeros(max(0, len(every) - least + 1) + 1, np.int32)
-                low = np.clip(z[:, 0] + z[:, 1] - least, 0, len(mark) - 1)
-                high = np.clip(z[:, 0] + 1, 0, len(mark) - 1)
-                np.add.at(mark, low, 1)
-                np.add.at(mark, high, -1)
+                np.add.at(mark, np.clip(z + reveal - least, 0, len(mark) - 1), 1)
+                np.add.at(mark, np.clip(z + 1, 0, len(mark) - 1), -1)
                 at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
                 for off in range(0, len(every), PIECE):
-                    own = at[(at >= off) & (at < off + PIECE)]
+                    own = at[(at >= off) & (at < off + PIECE)] - off
                     if len(own):
                         codes = every[off : off + PIECE + least]
-                        h1 = _window_hash(codes, own - off, least, 0x9FB21C651E98DF25, 1)
-                        h2 = _window_hash(codes, own - off, least, 0xC2B2AE3D27D4EB4F, 2)
-                        yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own, pa.int64())], ["h1", "h2", "doc", "at"])
+                        h1 = Symbols(codes, np.zeros(len(codes), np.int8)).names(own, own + least)
+                        h2 = _checksums(codes, own, least)
+                        yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own + off, pa.int64())], ["h1", "h2", "doc", "at"])
 
     return run
 
@@ -193,20 +242,25 @@ def _in_two(df: DataFrame, by: list[str]) -> DataFrame:
     return df.join(two, by, "left_semi")
 
 
-def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFrame:
-    """(doc_id, start_pos, end_pos): maximal runs of characters that lie in spans of `least` or more that another text has too."""
-    assert least >= 2 * EDGE + REACH + LONGEST + 16, "shorter spans need a smaller ROUNDS or REACH"
+def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, reveal: int | None = None) -> DataFrame:
+    """(doc_id, start_pos, end_pos): maximal runs of characters that lie in spans of `least` or more that another text has too.
+
+    reveal: characters of the substrings by which spans are first found (REVEAL, or three quarters of a smaller `least`).
+    """
+    reveal = min(REVEAL, least * 3 // 4) if reveal is None else reveal
+    if not 1 <= reveal <= least:
+        raise ValueError("reveal must be between 1 and least")
     docs = spread(df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))).withColumn("n", F.length("text")).where(F.col(key).isNotNull() & (F.col("n") >= least))
     docs = docs.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary"))))
     multi = written(docs.groupBy("same").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep <> last").select("same", "rep"), "text-classes")
     told = docs.join(broadcast_if_small(multi), "same", "left")
     copies = told.where("rep is not null").select(F.col("doc").alias("doc_id"), F.lit(0).cast("bigint").alias("start_pos"), F.col("n").cast("bigint").alias("end_pos"))
     reps = told.where("rep is null or rep = doc").select("doc", "text")
-    sigs = written(reps.mapInArrow(_signature_batches(least), "sig bigint, doc bigint, at bigint, size int"), "span-signatures")
-    zones = written(_in_two(sigs, ["sig"]).groupBy("doc").agg(F.collect_list(F.struct("at", "size")).alias("zones")), "span-zones")  # bounded by a text's length
-    near = reps.join(broadcast_if_small(zones.select("doc")), "doc", "left_semi").join(zones, "doc").select("doc", "text", "zones")
-    starts = written(near.mapInArrow(_start_batches(least), "h1 bigint, h2 bigint, doc bigint, at bigint"), "span-starts")
-    hits = _in_two(starts, ["h1", "h2"]).select("doc", "at").distinct()
+    names = written(reps.mapInArrow(_kept_batches(least, reveal), "name bigint, doc bigint, at bigint"), "span-names")
+    zones = written(_in_two(names, ["name"]).groupBy("doc").agg(F.collect_list("at").alias("places")), "span-zones")  # bounded by a text's length
+    near = reps.join(broadcast_if_small(zones.select("doc")), "doc", "left_semi").join(zones, "doc").select("doc", "text", "places")
+    spans = written(near.mapInArrow(_span_batches(least, reveal), "h1 bigint, h2 bigint, doc bigint, at bigint"), "span-spans")
+    hits = _in_two(spans, ["h1", "h2"]).select("doc", "at").distinct()
     w = Window.partitionBy("doc").orderBy("at")
     hits = hits.withColumn("_new", F.when(F.col("at") <= F.lag("at").over(w) + least, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     runs = hits.groupBy("doc", "_run").agg(F.min("at").alias("start_pos"), (F.max("at") + least).alias("end_pos")).select(F.col("doc").alias("doc_id"), "start_pos", "end_pos")

@@ -44,24 +44,41 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(docs, 200)
     for piece in (10**6, 1500):
         monkeypatch.setattr(S, "PIECE", piece)
-        monkeypatch.setattr(S, "OVERLAP", 600)
         got = spans(spark, docs)
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_equal_substrings_get_equal_symbols():
+def test_names_tell_substrings_apart():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        core = rng.integers(97, 103, 200)
-        names = []
+    codes = np.concatenate([rng.integers(97, 99, 1500), np.full(300, 97), np.tile([97, 98], 150), np.tile([97, 97, 98], 100), rng.integers(97, 99, 1500), np.full(200, 97)]).astype(np.uint32)
+    text_of = np.repeat([0, 1], [1800, len(codes) - 1800])  # a run ends at the border of two texts
+    symbols = S.Symbols(codes, text_of)
+    assert len(symbols.name) < len(codes) / 4
+    for size in (1, 2, 3, 7, 20, 60):
+        a = np.concatenate([np.arange(1800 - size + 1), np.arange(1800, len(codes) - size + 1)])
+        names = symbols.names(a, a + size)
+        by_text, by_name = {}, {}
+        for i, n in zip(a, names):
+            t = codes[i : i + size].tobytes()
+            assert by_text.setdefault(t, n) == n and by_name.setdefault(n, t) == t
+
+
+def test_rounds_name_runs_and_pairs():
+    codes = np.frombuffer("xyaaaaxyaaaaq".encode("utf-32-le"), np.uint32)
+    base, start, stop, *_ = S.Symbols(codes, np.zeros(len(codes), np.int8), 1).rounds[0]
+    assert list(stop - start) == [1, 1, 4, 1, 1, 4, 1] and base[2] == base[5]
+
+
+def test_kept_names_reveal_every_shared_span():
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        core = rng.integers(97, 100, 100) if n % 3 else np.tile(rng.integers(97, 100, 1 + n % 5), 100)[:100]
+        kept = []
         for _ in range(2):
-            left, right = rng.integers(97, 103, rng.integers(0, 40)), rng.integers(97, 103, rng.integers(0, 40))
-            codes = np.concatenate([left, core, right]).astype(np.uint32)
-            name, start = S.symbols(codes, np.zeros(len(codes), np.int64))
-            stop = np.append(start, len(codes))[1:]
-            inner = (start >= len(left) + S.EDGE) & (stop <= len(left) + 200 - S.EDGE)
-            names.append({(int(s) - len(left), int(n)) for s, n in zip(start[inner], name[inner])})
-        assert names[0] == names[1] and names[0]
+            codes = np.concatenate([rng.integers(97, 100, rng.integers(0, 40)), core, rng.integers(97, 100, rng.integers(0, 40))]).astype(np.uint32)
+            sizes = np.array([len(codes)])
+            kept.append(set(S.kept(S.Symbols(codes, np.zeros(len(codes), np.int8)), sizes, 100, 70)[0].tolist()))
+        assert kept[0] & kept[1]
 
 
 def test_repeats_within_one_text_do_not_count(spark):
@@ -75,6 +92,11 @@ def test_amount(spark):
     assert sorted(tuple(r) for r in S.shared_amount(df, "doc_id", "text").collect()) == [(1, 300, 300, 1.0), (2, 300, 300, 1.0), (3, 500, 250, 0.5), (4, 0, 0, 0.0)]
 
 
-def test_too_short_spans_are_refused(spark):
-    with pytest.raises(AssertionError):
-        S.shared_spans(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", 100)
+def test_shorter_spans(spark):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    docs = [(d, text(300)) for d in range(12)] + [(20, "a" * 40), (21, "b" + "a" * 30)]
+    for least in (12, 30):
+        assert set(spans(spark, docs, least)) == brute(docs, least)
+    with pytest.raises(ValueError):
+        S.shared_spans(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", 0)
