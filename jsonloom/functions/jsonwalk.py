@@ -110,15 +110,16 @@ def kind(v) -> str:
     return "array" if isinstance(v, list) else "object"
 
 
-def walk(root) -> Iterator[tuple]:
+def walk(root, path: str = "", above: str = "", general: str = "", top: bool = True) -> Iterator[tuple]:
     """Every node below the root, preorder: (path, object path above, ordinals, key, value, container path, general path).
 
-    The general path has [] for any element and is the name of the related table.
+    The general path has [] for any element and is the name of the related table. A node of a document
+    is walked by giving its paths and top=False.
     """
     if isinstance(root, dict):
-        stack = [_members(root, "", "", "", (), True)]
+        stack = [_members(root, path, path, general, (), top)]
     elif isinstance(root, list):
-        stack = [_elements(root, "", "", "", ())]
+        stack = [_elements(root, path, above, general, ())]
     else:
         return
     while stack:

@@ -3,9 +3,14 @@
 First a merged schema is inferred: which general paths (array positions written []) hold objects,
 and with which members and kinds. Then every array level and member object is exploded into rows of
 its table: the row's surrogate key, that of the object around it, and its position in the array.
-Native arrays of structs are exploded by Spark's generators. JSON texts, whose shape differs from
-row to row, are read once per row in Arrow batches, and all levels come out of that one pass
-without a shuffle, instead of a scan or a join per level.
+
+Native arrays of structs are exploded by one Spark generator for each level of their type. JSON
+texts are read as VARIANT, which holds rows of any shape, and exploded by one generator for each
+level of the merged schema (`variant_nodes`): a generator hands on the rows that are done and opens
+the others, so all levels are one pass over the texts without a shuffle, however many tables there
+are. What VARIANT cannot hold (repeated member names, lone surrogates) and levels below `LEVELS`
+are walked in Arrow batches. The members themselves (`json_tables`) are read in Arrow batches too,
+because VARIANT keeps neither their order nor how numbers are written.
 
 Defined cases: null, empty and invalid JSON gives nothing; a text that is one JSON string holding
 JSON is opened once; scalars give nothing; null array elements are no objects but count as
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jsonloom.functions.jsonwalk import clean, document, kind, walk
+from jsonloom.functions.jsonwalk import clean, document, kind, loads, walk
 from jsonloom.session import spread
 
 #: Distinct (member, kind) that a table may have before child_table refuses it.
@@ -32,42 +37,24 @@ FLUSH = 4096
 LINKS = ["row_key", "node_id", "parent_id", "ordinal", "node_path"]
 
 
-def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, paths, above = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ok, doc = document(text)
-            if ok:
-                for path, parent, _, _, value, _, _ in walk(doc):
-                    if isinstance(value, dict):
-                        keys.append(key), paths.append(clean(path)), above.append(clean(parent))
-            if len(keys) >= FLUSH:
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(above, pa.string())], ["row_key", "node_path", "parent_path"])
-                keys, paths, above = [], [], []
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(above, pa.string())], ["row_key", "node_path", "parent_path"])
-
-
-def json_object_paths(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_key, node_path, parent_path) of each object below the root of the JSON texts."""
-    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_path_batches, "row_key bigint, node_path string, parent_path string")
-
-
 def _schema_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[str, str, str]] = set()
+    seen: set[tuple[str, str, str, int]] = set()
     for batch in batches:
         new = set()
         for text in batch.column(0).to_pylist():
             ok, doc = document(text)
             nodes = [("", "", None, None, doc, None, "")] + list(walk(doc)) if ok else []
-            for _, _, _, _, value, _, general in nodes:
+            for _, _, ords, _, value, _, general in nodes:
                 if isinstance(value, dict):
-                    new.add((general, "", "object"))
-                    new.update((general, k, kind(v)) for k, v in value.items())
+                    depth = len(ords or ())
+                    new.add((general, "", "object", depth))
+                    new.update((general, k, kind(v), depth) for k, v in value.items())
         new -= seen
         if len(seen) < MAX_SCHEMA:
             seen |= new
-        rows = [tuple(map(clean, r)) for r in new]
-        yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["table_path", "member", "kind"])
+        rows = [(*map(clean, r[:3]), r[3]) for r in new]
+        cols = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+        yield pa.record_batch([*cols, pa.array([r[3] for r in rows], pa.int32())], ["table_path", "member", "kind", "depth"])
 
 
 def merged_schema(df: DataFrame, text: str) -> DataFrame:
@@ -75,7 +62,90 @@ def merged_schema(df: DataFrame, text: str) -> DataFrame:
 
     Members '' with kind 'object' stand for the table itself, also if all its objects are empty.
     """
-    return spread(df.select(F.col(text))).mapInArrow(_schema_batches, "table_path string, member string, kind string").distinct()
+    return _schema(df, text).select("table_path", "member", "kind").distinct()
+
+
+def _schema(df: DataFrame, text: str) -> DataFrame:
+    return spread(df.select(F.col(text))).mapInArrow(_schema_batches, "table_path string, member string, kind string, depth int")
+
+
+#: Levels exploded by generators; what lies deeper is walked.
+LEVELS = 24
+_END = "~end~"
+_NODE = "struct<table_path:string,node_path:string,parent_path:string,ordinal:int,depth:int,open:boolean,v:variant>"
+
+
+def _variant(text: Column) -> Column:
+    """A whole strict JSON text as VARIANT, else null.
+
+    try_parse_json lets pass what stands behind a value; between [ and a last element it does not.
+    """
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))), "$", "array<variant>")
+    told = ~text.contains(_END) & ~text.rlike(r"(?i)\\ud[89a-f]") & (F.size(whole) == 2)
+    return F.when(told & (F.try_variant_get(F.get(whole, 1), "$", "string") == _END), F.get(whole, 0))
+
+
+def _opened(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_key, t, v) of the non-empty texts; a text that is one JSON string holding JSON is read as that."""
+    d = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("t")).where("t <> ''").withColumn("v", _variant(F.col("t")))
+    inner = F.when(F.col("t").rlike(r'^[ \t\n\r]*"'), F.try_variant_get("v", "$", "string"))
+    return d.withColumn("i", inner).withColumn("iv", F.when(F.col("i").isNotNull(), _variant(F.col("i")))).select("row_key", "t", F.coalesce("iv", "v").alias("v"))
+
+
+def _step(rows: DataFrame) -> DataFrame:
+    """One level: open nodes give themselves, if they are objects, and what they hold; the others are handed on."""
+    n = F.col("n")
+    rows = rows.withColumn("m", F.when(n["open"], F.try_variant_get(n["v"], "$", "map<string,variant>")))
+    rows = rows.withColumn("a", F.when(n["open"] & F.col("m").isNull(), F.try_variant_get(n["v"], "$", "array<variant>")))
+    top, none, some = n["depth"] == 0, F.lit(None).cast("variant"), F.array().cast(f"array<{_NODE}>")
+
+    def node(table: Column, path: Column, parent: Column, ordinal: Column, depth: Column, is_open: bool, v: Column) -> Column:
+        return F.struct(table.alias("table_path"), path.alias("node_path"), parent.alias("parent_path"), ordinal.alias("ordinal"), depth.alias("depth"), F.lit(is_open).alias("open"), v.alias("v"))
+
+    no = F.lit(None).cast("int")
+    own = node(n["table_path"], n["node_path"], n["parent_path"], n["ordinal"], n["depth"], False, none)
+    dotted = lambda p, k: F.when(top, k).otherwise(F.concat(p, F.lit("."), k))
+    members = F.transform(F.map_entries("m"), lambda e: node(dotted(n["table_path"], e["key"]), dotted(n["node_path"], e["key"]), n["node_path"], no, n["depth"] + 1, True, e["value"]))
+    at = lambda i: F.concat(n["node_path"], F.lit("["), i.cast("string"), F.lit("]"))
+    elements = F.transform("a", lambda x, i: node(F.concat(n["table_path"], F.lit("[]")), at(i), n["parent_path"], i, n["depth"] + 1, True, x))
+    told = F.when(F.col("m").isNotNull(), F.concat(F.array(own), members)).when(F.col("a").isNotNull(), elements).when(n["open"], some).otherwise(F.array(n))
+    return rows.select("row_key", F.explode(told.cast(f"array<{_NODE}>")).alias("n"))
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects at and below nodes given as (row_key, table_path, node_path, parent_path, ordinal, depth, JSON)."""
+    for batch in batches:
+        rows = []
+        for key, table, path, parent, ordinal, depth, text in zip(*(c.to_pylist() for c in batch.columns)):
+            value = loads(text)
+            if isinstance(value, dict):
+                rows.append((key, table, path, parent, ordinal, depth))
+            for p, up, ords, member, v, _, general in walk(value, path, parent, table, False):
+                if isinstance(v, dict):
+                    rows.append((key, clean(general), clean(p), clean(up), ords[-1] if member is None else None, depth + len(ords)))
+        cols = list(zip(*rows)) or [()] * 6
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types)], ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth"])
+
+
+def variant_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_key, table_path, node_path, parent_path, ordinal, depth, node_id, parent_id) of each object below the root of the JSON texts."""
+    deepest = _schema(df, text).agg(F.max("depth")).first()[0] or 0
+    read = _opened(df, key, text)
+    names = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth"]
+    none, blank = F.lit(None).cast("int"), F.lit("")
+    root = F.struct(blank.alias("table_path"), blank.alias("node_path"), blank.alias("parent_path"), none.alias("ordinal"), F.lit(0).alias("depth"), F.lit(True).alias("open"), F.col("v"))
+    rows = spread(read).where("v is not null").select("row_key", root.cast(_NODE).alias("n"))
+    for _ in range(min(deepest, LEVELS) + 1):
+        rows = _step(rows)
+    got = rows.where("not n.open and n.depth > 0").select("row_key", *[F.col(f"n.{c}") for c in names[1:]])
+    if deepest > LEVELS:
+        left = rows.where("n.open").select("row_key", *[F.col(f"n.{c}") for c in names[1:]], F.to_json("n.v").alias("t"))
+        got = got.unionByName(left.mapInArrow(_below, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int"))
+    rest = read.where("v is null").select(F.col("row_key"), F.col("t"))
+    walked = rest.mapInArrow(_node_batches, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int, node_json string")
+    got = got.unionByName(walked.where("depth > 0").select(*names))
+    return got.withColumn("node_id", _link("node_path")).withColumn("parent_id", _link("parent_path"))
 
 
 def _values(array: list) -> list | None:
@@ -136,7 +206,7 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     flat = {k: _values(v) if isinstance(v, list) else v for k, v in value.items() if not isinstance(v, dict)}
                     flat = {k: v for k, v in flat.items() if v is not None or value[k] is None}
                     up = None if parent is None else clean(parent)
-                    rows.append((key, clean(general), clean(path), up, ords[-1] if member is None and path else None, len(ords) if path else 0, clean(_text(flat))))
+                    rows.append((key, clean(general), clean(path), up, None if member is not None or up is None else ords[-1], 0 if up is None else len(ords), clean(_text(flat))))
             if len(rows) >= FLUSH:
                 yield flush(rows)
                 rows = []

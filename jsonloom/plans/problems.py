@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         ("order_transactions", nested.struct_object_paths(table(spark, sf, "order_transactions"), "record_id", "items")),
         ("product_catalog", nested.struct_object_paths(table(spark, sf, "product_catalog"), "record_id", "variants")),
-        ("json_chunks", nested.json_object_paths(table(spark, sf, "json_chunks"), "chunk_no", "chunk_json")),
+        ("json_chunks", nested.variant_nodes(table(spark, sf, "json_chunks"), "chunk_no", "chunk_json")),
     ]
     out = [df.select(F.lit(name).alias("source_table"), "row_key", "node_path", "parent_path") for name, df in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])

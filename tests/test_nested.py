@@ -30,7 +30,7 @@ def test_any_depth():
 
 def paths(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
-    return sorted(tuple(r) for r in N.json_object_paths(df, "k", "t").collect())
+    return sorted(tuple(r) for r in N.variant_nodes(df, "k", "t").select("row_key", "node_path", "parent_path").collect())
 
 
 def test_object_paths(spark):
@@ -40,6 +40,22 @@ def test_object_paths(spark):
         (0, "orders[0].items[3].x.y.z", "orders[0].items[3].x"), (0, "orders[1][0][0]", ""), (0, "", ""), (0, ".q", ""), (1, "[0]", ""), (1, "[0].b", "[0]")])
 
 
+ODD = [*BAD, *GOOD, *[json.dumps(json.loads(t)) for t in GOOD if t[0] in '[{"'], *[json.dumps(t) for t in GOOD], '{"a":{}} x', '{"a":{}}]', '1] x', '{"a":{}},{"b":{}}', '[{}', '{"a":{"a":1,"a":{}}}', '{"\\ud800":{}}', '{"\\ud83d\\ude00":{"x":[]}}', '{"~end~":{}}', '{"":{"":{}},"a.b":[{"c":{}}]}', '[[[{"x":[[{}]]}]]]', json.dumps([json.dumps({"a": {}})])]
+
+
+@pytest.mark.parametrize("levels", [24, 2, 0])  # the levels below are walked
+def test_variant_levels_as_walked(spark, monkeypatch, levels):
+    monkeypatch.setattr(N, "LEVELS", levels)
+    doc = {"orders": [{"items": [{}, 1, None, {"x": {"y.z": {}}}]}, [[{"a": []}]]], "": {"q": {}}, "b": 1}
+    texts = [*ODD, json.dumps(doc), "[" * 40 + "{}" + "]" * 40, '{"a":' * 30 + "{}" + "}" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string").cache()
+    cols = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth", "node_id", "parent_id"]
+    got = N.variant_nodes(df, "k", "t").select(*cols)
+    want = N.json_tables(df, "k", "t").where("depth > 0").select(*cols)
+    plain = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    assert plain(got) == plain(want)
+
+
 def test_struct_paths(spark, rows):
     df = spark.sql("select 7L as id, array(struct(1 as a, array(struct(2 as b), null) as inner), null) as items, 1 as v union all select 8L, null, 2")
     assert rows(N.struct_object_paths(df, "id", "items")) == [(7, "items[0]", ""), (7, "items[0].inner[0]", "items[0]")]
@@ -58,7 +74,7 @@ def test_related_tables(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "k bigint, t string")
-    assert N.json_object_paths(df, "k", "t").count() == N.merged_schema(df, "t").count() == N.json_tables(df, "k", "t").count() == 0
+    assert N.variant_nodes(df, "k", "t").count() == N.merged_schema(df, "t").count() == N.json_tables(df, "k", "t").count() == 0
 
 
 def test_native_tables_have_keys_and_fields(spark, tmp_path):
