@@ -17,8 +17,18 @@ from jsonloom.operators.nodes import text_of
 from jsonloom.session import spread
 
 # What counts as a timestamp in a text, and as the beginning of an HTTP status.
-TIMESTAMP = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2}"
-HTTP = r"^([2-5][0-9]{2}|1[0-9]{2}$)"
+TIMESTAMPS = [
+    r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}",
+    r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}",
+    r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}",
+    r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}",
+    r"\d{4}-\d{2}-\d{2}",
+    r"\d{2}/\d{2}/\d{4}",
+    r"\d{4}/\d{2}/\d{2}",
+]
+HTTP_STATUS = [r"^[1-5][0-9]{2}$", r"2\d{2}", r"3\d{2}", r"4\d{2}", r"5\d{2}"]
+TIMESTAMP = "|".join(TIMESTAMPS)
+HTTP = "^(?:" + "|".join(HTTP_STATUS) + ")"
 # Member names by which objects are scored.
 EVENT_KEYS = [["event", "action", "type", "status", "level", "severity"], ["sequence", "id", "index", "order"]]
 METRIC_KEYS = [["value", "metric", "measure", "count", "rate", "total"], ["unit", "dimension", "scale", "period"]]
@@ -42,17 +52,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ok, doc = document(text)
             found = [("", doc)] + [(n[0], n[4]) for n in walk(doc)] if ok else []
-            for path, v in found:
+            for n, (path, v) in enumerate(found):
                 if isinstance(v, dict):
-                    rows.append((key, clean(path), [clean(k) for k in v], [kind(x) for x in v.values()], [text_of(x) for x in v.values()]))
-        cols = list(zip(*rows)) or [()] * 5
+                    rows.append((key, clean(path), n, [clean(k) for k in v], [kind(x) for x in v.values()], [text_of(x) for x in v.values()]))
+        cols = list(zip(*rows)) or [()] * 6
         names = pa.list_(pa.string())
-        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), pa.string(), names, names, names])], ["row_key", "node_path", "members", "kinds", "texts"])
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int32(), names, names, names])], ["row_key", "node_path", "ordinal", "members", "kinds", "texts"])
 
 
 def json_objects(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every object, roots included: (row_key, node_path, members, kinds, texts)."""
-    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_batches, "row_key bigint, node_path string, members array<string>, kinds array<string>, texts array<string>")
+    """Every object, roots included: (row_key, node_path, ordinal in the document, members, kinds, texts)."""
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text))).mapInArrow(_batches, "row_key bigint, node_path string, ordinal int, members array<string>, kinds array<string>, texts array<string>")
 
 
 def _has(keys: list[str]) -> Column:

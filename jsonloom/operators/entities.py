@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Identifying members in order of preference and the type they stand for; roles and groups in paths.
@@ -11,8 +11,16 @@ ROLES = ["member", "owner", "participant", "author", "assignee"]
 GROUPS = ["project", "team", "organization", "department"]
 
 
+def _context(which: Column) -> Column:
+    """The other members of an entity object with their texts (containers as null)."""
+    named = {kind: k for k, kind in IDENTIFYING}
+    own = F.create_map(*[F.lit(x) for kind, k in named.items() for x in (kind, k)])[which]
+    pairs = F.filter(F.arrays_zip("members", "texts"), lambda z: z["members"] != own)
+    return F.map_from_entries(F.transform(pairs, lambda z: F.struct(z["members"], z["texts"]))).alias("context")
+
+
 def track_entities(objects: DataFrame) -> DataFrame:
-    """One row per entity object of json_objects: type, value, role, group and what the group stands in.
+    """One row per entity object of json_objects: type, value, role, group, what the group stands in, and the other members.
 
     Role and group are the last such segments of the path; the group's context the segment before it.
     """
@@ -24,14 +32,14 @@ def track_entities(objects: DataFrame) -> DataFrame:
     parts = F.split("node_path", r"\.")
     last = lambda words: F.element_at(F.filter(parts, lambda p: p.isin(*words)), -1)
     spots = F.filter(F.transform(parts, lambda p, i: F.when(p.isin(*GROUPS) & (i > 0), i)), lambda i: i.isNotNull())
-    e = objects.select("row_key", "node_path", which.alias("entity_type"), value.alias("entity_value"), F.when(F.size(F.filter(parts, lambda p: p.isin(*ROLES))) > 0, last(ROLES)).alias("role"), F.when(F.size(F.filter(parts, lambda p: p.isin(*GROUPS))) > 0, last(GROUPS)).alias("group_type"), F.when(F.size(spots) > 0, F.get(parts, F.element_at(spots, -1) - 1)).alias("group_context"), F.size("members").alias("n_members"))
+    e = objects.select("row_key", "node_path", "ordinal", which.alias("entity_type"), value.alias("entity_value"), F.when(F.size(F.filter(parts, lambda p: p.isin(*ROLES))) > 0, last(ROLES)).alias("role"), F.when(F.size(F.filter(parts, lambda p: p.isin(*GROUPS))) > 0, last(GROUPS)).alias("group_type"), F.when(F.size(spots) > 0, F.get(parts, F.element_at(spots, -1) - 1)).alias("group_context"), F.size("members").alias("n_members"), _context(which))
     return e.where("entity_type is not null")
 
 
 def entity_registry(entities: DataFrame) -> DataFrame:
-    """One row per document and entity value: the last object with it, by path."""
+    """One row per document and entity value: the last object with it in document order."""
     e = entities.where("entity_value is not null")
-    g = e.groupBy("row_key", "entity_value").agg(F.max(F.struct("node_path", "entity_type", "role")).alias("r"), F.count(F.lit(1)).alias("mentions"))
+    g = e.groupBy("row_key", "entity_value").agg(F.max(F.struct("ordinal", "node_path", "entity_type", "role")).alias("r"), F.count(F.lit(1)).alias("mentions"))
     return g.select("row_key", "entity_value", F.col("r.node_path").alias("node_path"), F.col("r.entity_type").alias("entity_type"), F.col("r.role").alias("role"), "mentions")
 
 
@@ -50,3 +58,9 @@ def context_ids(nodes: DataFrame) -> DataFrame:
     """(row_key, field, value): textual id and *_id members; field holds the member names on the way, joined by _."""
     n = nodes.where("kind = 'string' and (member = 'id' or member like '%\\\\_id')")
     return n.select("row_key", F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", ""), r"\.", "_").alias("field"), "value")
+
+
+def entities_with_names(entities: DataFrame) -> DataFrame:
+    """(row_key, node_path, entity_type, entity_id, name): the name is that of the object, or the id where it has none."""
+    name = F.coalesce(F.when(F.col("entity_type") == "person", F.col("entity_value")), F.col("context")["name"], F.col("context")["title"], F.col("entity_value"))
+    return entities.select("row_key", "node_path", "entity_type", F.col("entity_value").alias("entity_id"), name.alias("name"))

@@ -7,15 +7,56 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns of each intent, searched anywhere in the question in lower case.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 ISO = r"\d{4}-\d{2}-\d{2}"
-INTENTS = {
-    "metric": "average|mean|avg|maximum|max|highest|peak|minimum|min|lowest|bottom|sum|total|count|number of|how many|greater than|more than|above|less than|under|below|equal to|exactly|value|amount|cost",
-    "relationship": "related to|connected with|linked to|associated with|depends on|references|relationship between",
-    "risk": "risk|danger|hazard|warning|alert|critical|threshold|limit|boundary|violation|breach|exceed|compliance|conform|adhere",
-    "temporal": rf"{ISO}|(before|after)\s+\d{{1,2}}:\d{{2}}|between\s+\d{{1,2}}:\d{{2}}\s*(am|pm)?\s+and\s+\d{{1,2}}:\d{{2}}|last\s+\d+\s+(day|week|month|year)|this (week|month|year)|on\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)|at\s+\d{{1,2}}",
+# The patterns of each intent, searched anywhere in the question in lower case.
+PATTERNS = {
+    "relationship": [
+        r"related to",
+        r"connected with",
+        r"linked to",
+        r"associated with",
+        r"depends on",
+        r"references",
+        r"relationship between",
+    ],
+    "temporal": [
+        r"(?:on\s+)?\d{4}-\d{2}-\d{2}",
+        r"before\s+\d{1,2}:\d{2}\s*(?:am|pm)?",
+        r"after\s+\d{1,2}:\d{2}\s*(?:am|pm)?",
+        r"between\s+\d{1,2}:\d{2}\s*(?:am|pm)?\s+and\s+\d{1,2}:\d{2}\s*(?:am|pm)?",
+        r"between\s+\d{4}-\d{2}-\d{2}\s+and\s+\d{4}-\d{2}-\d{2}",
+        r"last\s+\d+\s+(?:day|week|month|year)s?",
+        r"this (?:week|month|year)",
+        r"since\s+\d{4}-\d{2}-\d{2}",
+        r"before\s+\d{4}-\d{2}-\d{2}",
+        r"after\s+\d{4}-\d{2}-\d{2}",
+        r"on\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)",
+        r"at\s+\d{1,2}(?::\d{2})?\s*(?:am|pm)?",
+        r"from\s+\d{4}-\d{2}-\d{2}",
+        r"to\s+\d{4}-\d{2}-\d{2}",
+    ],
+    "metric": [
+        r"average|mean|avg",
+        r"maximum|max|highest|peak",
+        r"minimum|min|lowest|bottom",
+        r"sum|total",
+        r"count|number of|how many",
+        r"greater than|more than|above",
+        r"less than|under|below",
+        r"equal to|exactly",
+        r"value|amount|cost",
+    ],
+    "risk": [
+        r"risk|danger|hazard",
+        r"warning|alert|critical",
+        r"threshold|limit|boundary",
+        r"violation|breach|exceed",
+        r"compliance|conform|adhere",
+    ],
 }
+#: One expression for each intent, so that a question is searched four times and not thirty-five.
+INTENTS = {k: "|".join(ps) for k, ps in PATTERNS.items()}
 DATED = rf"{ISO}|({MONTHS})\s+\d{{1,2}}"
 VALUED = "total|value|amount|sum|cost|price|revenue|sales"
 AGGREGATES = {"average": "average|mean|avg", "maximum": "maximum|max|highest|peak", "minimum": "minimum|min|lowest|bottom", "sum": "sum|total", "count": "count|number of|how many"}
@@ -50,11 +91,21 @@ def time_range(q: Column, as_of_year: int) -> Column:
     that does not exist is passed over, as is a clock time after 23:59 (no range then).
     """
     low = F.lower(q)
-    shapes = [(rf"{name}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(\d{{4}})?", rf"{name}\s+(\d{{1,2}})()", rf"(\d{{1,2}})(?:st|nd|rd|th)?\s+{name}()") for name in MONTHS.split("|")]
-    tries = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(str(m)).alias("m")) for m, ps in enumerate(shapes, 1) for p in ps])
-    part = lambda t, g: F.nullif(F.call_function("regexp_extract", low, t["p"], F.lit(g)), F.lit(""))
-    dates = F.transform(tries, lambda t: F.try_to_timestamp(F.concat(F.coalesce(part(t, 2), F.lit(str(as_of_year))), F.lit("-"), t["m"], F.lit("-"), part(t, 1)), F.lit("yyyy-M-d")))
-    day = F.get(F.array_compact(F.when(low.rlike(MONTHS), dates)), 0).cast("timestamp_ntz")
+    # two searches find all spellings of a date; the first of each month is then tried
+    ends = "(?:st|nd|rd|th)?"
+    after = F.regexp_extract_all(low, F.lit(rf"((?:{MONTHS})\s+\d{{1,2}}{ends},?\s*(?:\d{{4}})?)"), 1)
+    front = F.regexp_extract_all(low, F.lit(rf"(\d{{1,2}}{ends}\s+(?:{MONTHS}))"), 1)
+    part = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+
+    def dates(name: Column, i: Column) -> Column:
+        a, b = F.get(F.filter(after, lambda h: F.startswith(h, name)), 0), F.get(F.filter(front, lambda h: F.endswith(h, name)), 0)
+        made = lambda year, day: F.try_to_timestamp(F.concat(year, F.lit("-"), (i + 1).cast("string"), F.lit("-"), day), F.lit("yyyy-M-d"))
+        this, day = F.lit(str(as_of_year)), part(a, r"^[a-z]+\s+(\d{1,2})")
+        return F.array(made(F.coalesce(part(a, r"(\d{4})$"), this), day), made(this, day), made(this, part(b, r"^(\d{1,2})")))
+
+    tries = F.flatten(F.transform(F.array(*map(F.lit, MONTHS.split("|"))), dates))
+    some = (F.size(after) > 0) | (F.size(front) > 0)
+    day = F.get(F.array_compact(F.when(some, tries)), 0).cast("timestamp_ntz")
     p = r"(before|after)\s+(\d{1,2}):?(\d{2})?\s*(am|pm)?"
     side, half = F.regexp_extract(low, p, 1), F.regexp_extract(low, p, 4)
     hour, minute = F.regexp_extract(low, p, 2).try_cast("int"), F.coalesce(F.regexp_extract(low, p, 3).try_cast("int"), F.lit(0))
@@ -103,9 +154,12 @@ def key_values(q: Column) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    at = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")))
-    keep = F.filter(at, lambda e: ~F.exists(at, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
-    return F.map_from_entries(F.transform(keep, lambda e: F.struct(e["key"], e["value"])))
+    """A map of (key, value) entries in which the last of a key counts; one pass over the entries."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    # reversed, the first place of a key is its last one
+    back = F.reverse(entries)
+    names = F.transform(back, lambda e: e["key"])
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(back, (F.array_position(names, k) - 1).cast("int"))["value"]))
 
 
 def entity_references(q: Column) -> Column:
