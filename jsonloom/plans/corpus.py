@@ -6,6 +6,8 @@ in upper case; money is summed in whole cents. Questions about one day are answe
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +20,92 @@ from jsonloom.session import table
 HOUR = 3_600_000_000
 
 
+@dataclass
+class Scope:
+    """The records a question is about: a range of instants [start, end] in microseconds, values of fields, and order values.
+
+    Fields are customer_id, product_id, order_id, status and type; keys are compared as keys, the others
+    trimmed and without regard to case. A record without the field is not meant; a product is in an
+    order if one of its lines has it. cents holds conditions (operator, whole cents).
+    """
+
+    start: int | None = None
+    end: int | None = None
+    fields: dict[str, str] = field(default_factory=dict)
+    cents: list[tuple[str, int]] = field(default_factory=list)
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        if self.start is not None:
+            df = df.where(F.col("at") >= self.start)
+        if self.end is not None:
+            df = df.where(F.col("at") <= self.end)
+        for name, v in self.fields.items():
+            if name == "product_id" and "items" in df.columns:
+                df = df.where(F.exists("items", lambda x: norm_key(x["product_id"]) == v.strip().upper()))
+            elif name not in df.columns:
+                df = df.where(F.lit(False))
+            elif name.endswith("_id"):
+                df = df.where(norm_key(F.col(name)) == v.strip().upper())
+            else:
+                df = df.where(F.lower(F.trim(name)) == v.strip().lower())
+        if "cents" in df.columns:
+            for op, n in self.cents:
+                df = df.where({">": F.col("cents") > n, "<": F.col("cents") < n, "=": F.col("cents") == n}[op])
+        return df
+
+
+class Scoped(str):
+    """A folder of tables whose records are narrowed to a scope wherever a plan reads them."""
+
+    scope: Scope
+
+    def __new__(cls, folder: str, scope: Scope):
+        self = super().__new__(cls, folder)
+        self.scope = scope
+        return self
+
+
+def _narrowed(sf: str, df: DataFrame) -> DataFrame:
+    return sf.scope.rows(df) if isinstance(sf, Scoped) else df
+
+
+def _needed(sf: str, cols: tuple[str, ...], possible: list[str]) -> list[str]:
+    """The columns a plan asks for and those its scope looks at."""
+    if not isinstance(sf, Scoped):
+        return list(cols)
+    s = sf.scope
+    looked = [*(["at"] if s.start is not None or s.end is not None else []), *(["items"] if "product_id" in s.fields else []), *s.fields, *(["cents"] if s.cents else [])]
+    return list(dict.fromkeys([*cols, *[c for c in looked if c in possible]]))
+
+
 def _seen() -> Column:
     return F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(0)).alias("_seen")
 
 
 def orders(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     o = table(spark, sf, "order_transactions").where("order_id is not null").select("order_id", _seen(), "record_id", F.col("transaction_date").alias("day"), iso_micros(F.col("timestamp")).alias("at"), norm_key(F.col("customer_id")).alias("customer_id"), "items", F.round(F.col("total_amount") * 100).cast("bigint").alias("cents"), "status")
-    return latest(o.select("order_id", "_seen", "record_id", *cols), ["order_id"], "_seen", "record_id").drop("_seen", "record_id")
+    got = latest(o.select("order_id", "_seen", "record_id", *[c for c in _needed(sf, cols, o.columns) if c != "order_id"]), ["order_id"], "_seen", "record_id")
+    return _narrowed(sf, got).select("order_id", *cols)
 
 
 def interactions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     i = table(spark, sf, "customer_interactions").where("interaction_id is not null").select("interaction_id", _seen(), "record_id", F.col("date").alias("day"), iso_micros(F.col("timestamp")).alias("at"), "type", norm_key(F.col("customer_id")).alias("customer_id"), norm_key(F.col("product_id")).alias("product_id"))
-    return latest(i.select("interaction_id", "_seen", "record_id", *cols), ["interaction_id"], "_seen", "record_id").drop("_seen", "record_id")
+    got = latest(i.select("interaction_id", "_seen", "record_id", *_needed(sf, cols, i.columns)), ["interaction_id"], "_seen", "record_id")
+    return _narrowed(sf, got).select("interaction_id", *cols)
+
+
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "product_catalog").select(iso_micros(F.col("last_updated")).alias("at"), "catalog_id", norm_key(F.col("id")).alias("product_id"))
+    return _narrowed(sf, c)
 
 
 def lines(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     """Order lines with their product key."""
     o = orders(spark, sf, *dict.fromkeys(["items", *cols]))
-    return o.select("order_id", *cols, F.explode("items").alias("x")).where("x is not null").select("order_id", *cols, norm_key(F.col("x.product_id")).alias("product_id"), "x.quantity", F.round(F.col("x.price") * 100).cast("bigint").alias("price"))
+    got = o.select("order_id", *cols, F.explode("items").alias("x")).where("x is not null").select("order_id", *cols, norm_key(F.col("x.product_id")).alias("product_id"), "x.quantity", F.round(F.col("x.price") * 100).cast("bigint").alias("price"))
+    if isinstance(sf, Scoped) and "product_id" in sf.scope.fields:
+        got = got.where(F.col("product_id") == sf.scope.fields["product_id"].strip().upper())
+    return got
 
 
 def _money(c: str | Column) -> Column:
@@ -58,7 +128,7 @@ def q03(spark, sf):
     none = F.lit(None).cast("string")
     o = orders(spark, sf, "at", "customer_id").select("at", F.lit("order").alias("record_type"), F.col("order_id").alias("record"), "customer_id", none.alias("product_id"))
     i = interactions(spark, sf, "at", "type", "customer_id", "product_id").select("at", F.col("type").alias("record_type"), F.col("interaction_id").alias("record"), "customer_id", "product_id")
-    c = table(spark, sf, "product_catalog").select(iso_micros(F.col("last_updated")).alias("at"), F.lit("catalog").alias("record_type"), F.col("catalog_id").alias("record"), none.alias("customer_id"), none.alias("product_id")).distinct()
+    c = catalog(spark, sf).select("at", F.lit("catalog").alias("record_type"), F.col("catalog_id").alias("record"), none.alias("customer_id"), none.alias("product_id")).distinct()
     return o.unionByName(i).unionByName(c).orderBy("at", "record_type", "record")
 
 
@@ -72,7 +142,7 @@ def q04(spark, sf):
 def q05(spark, sf):
     """Every product id and the record types it appears in."""
     t = lambda df, k: df.where("product_id is not null").select("product_id", k.alias("record_type"))
-    c = table(spark, sf, "product_catalog").select(norm_key(F.col("id")).alias("product_id"))
+    c = catalog(spark, sf).select("product_id")
     return t(lines(spark, sf), F.lit("order")).unionByName(t(interactions(spark, sf, "type", "product_id"), F.col("type"))).unionByName(t(c, F.lit("catalog"))).distinct()
 
 
@@ -98,10 +168,10 @@ def q08(spark, sf):
     return t.where(F.array_contains(keys, "customer_id") & F.array_contains(keys, "product_id")).select("row_key", "node_path", has["customer_id"].alias("customer_id"), has["product_id"].alias("product_id"))
 
 
-def q09(spark, sf):
-    """Every number over 100 with the path of the object around it."""
+def q09(spark, sf, least: float | None = 100):
+    """Every number over 100 (or another bound, or none) with the path of the object around it."""
     n = json_nodes(table(spark, sf, "json_chunks"), "chunk_no", "chunk_json")
-    return n.where("kind in ('int', 'float') and number > 100").select("row_key", "path", F.col("parent_path").alias("object_path"), "number")
+    return n.where("kind in ('int', 'float')").where("true" if least is None else F.col("number") > least).select("row_key", "path", F.col("parent_path").alias("object_path"), "number")
 
 
 def q10(spark, sf):
@@ -118,9 +188,19 @@ def _contacts(spark, sf):
 
 
 def q11(spark, sf):
-    """Each customer's contacts in order, the first one marked."""
-    w = Window.partitionBy("customer_id").orderBy("at", "kind", "record")
-    return _contacts(spark, sf).withColumn("nth", F.row_number().over(w)).withColumn("is_first", F.col("nth") == 1)
+    """Each customer's contacts in order, the first one marked.
+
+    Contacts are numbered within a day and the counts of the days before added, so that a customer
+    with a large part of all rows is many small groups.
+    """
+    c = _contacts(spark, sf).withColumn("_day", F.floor(F.col("at") / (24 * HOUR)))
+    days = c.groupBy("customer_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col("customer_id").alias("_c"), F.col("_day").alias("_d"), before.alias("_before"))
+    c = c.withColumn("_k", F.row_number().over(Window.partitionBy("customer_id", "_day").orderBy("at", "kind", "record")))
+    got = c.join(days, (F.col("customer_id") == F.col("_c")) & F.col("_day").eqNullSafe(F.col("_d")))
+    nth = (F.col("_before") + F.col("_k")).cast("int")
+    return got.select("customer_id", "at", "kind", "record", nth.alias("nth"), (nth == 1).alias("is_first"))
 
 
 def q12(spark, sf):

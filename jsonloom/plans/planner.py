@@ -1,83 +1,150 @@
 """From a question to a DataFrame plan, by a documented grammar instead of a language model.
 
-A question is matched against the templates below, in order; its time range narrows the rows and its
-aggregation chooses the function. A question that fits none gives a one-row 'unsupported' answer.
+A question is matched against the templates below, in order. What it says beside that narrows the
+records before anything is computed of them:
+
+- a time: a month and day with or without a clock time, ISO dates (on, since, from, after, before,
+  to, between), 'last N days/weeks/months/years', 'this week/month/year';
+- fields: key=value or key:value with customer, product, order, status or type (with or without _id);
+- an order value: above, more than, greater than, below, under, less than, equal to, exactly N;
+- 'page N' and 'show N results' choose rows of the answer, ordered by its columns.
+
+A question that fits no template, or says something that its template cannot obey, gives a one-row
+'unsupported' answer with the reason; nothing that was understood is left aside in silence.
 """
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jsonloom.functions.keys import iso_micros
 from jsonloom.plans import corpus, intent
+from jsonloom.plans.corpus import Scope, Scoped
 
-#: Pattern of the question in lower case, and the plan that answers it.
-TEMPLATES: list[tuple[str, Callable]] = [
-    (r"percentage of customers.*review", corpus.q16),
-    (r"percentage of its interactions.*ticket|what percentage.*ticket", corpus.q19),
-    (r"compare .*orders|average order value (by|per) status", corpus.q20),
-    (r"average time between purchase and review", corpus.q17),
-    (r"how many interactions|interactions.* each customer", corpus.q18),
-    (r"within (6|six) hours", corpus.q15),
-    (r"same-day", corpus.q13),
-    (r"multiple products", corpus.q14),
-    (r"revenue", corpus.q12),
-    (r"first interaction", corpus.q11),
-    (r"for each timestamp", corpus.q10),
-    (r"numerical value", corpus.q09),
-    (r"both a customer_id and a product_id", corpus.q08),
-    (r"items array", corpus.q07),
-    (r"field named 'product_id'", corpus.q06),
-    (r"every product id", corpus.q05),
-    (r"timeline", corpus.q04),
-    (r"all timestamps|chronological", corpus.q03),
+#: Rows of a page.
+PAGE = 20
+RECORDS = frozenset({"time", "fields", "value"})
+#: Pattern of the question in lower case, the plan that answers it, and what it can obey.
+TEMPLATES: list[tuple[str, Callable, frozenset[str]]] = [
+    (r"percentage of customers.*review", corpus.q16, RECORDS),
+    (r"percentage of its interactions.*ticket|what percentage.*ticket", corpus.q19, frozenset({"time", "fields"})),
+    (r"compare .*orders|average order value (by|per) status", corpus.q20, RECORDS),
+    (r"average time between purchase and review", corpus.q17, RECORDS),
+    (r"how many interactions|interactions.* each customer", corpus.q18, RECORDS),
+    (r"within (6|six) hours", corpus.q15, RECORDS),
+    (r"same-day", corpus.q13, RECORDS),
+    (r"multiple products", corpus.q14, RECORDS),
+    (r"revenue", corpus.q12, RECORDS),
+    (r"first interaction", corpus.q11, RECORDS),
+    (r"for each timestamp", corpus.q10, frozenset({"time"})),
+    (r"numerical value", corpus.q09, frozenset({"value"})),
+    (r"both a customer_id and a product_id", corpus.q08, frozenset()),
+    (r"items array", corpus.q07, RECORDS),
+    (r"field named 'product_id'", corpus.q06, frozenset()),
+    (r"every product id", corpus.q05, RECORDS),
+    (r"timeline", corpus.q04, RECORDS),
+    (r"all timestamps|chronological", corpus.q03, RECORDS),
 ]
+FIELD = re.compile(r"\b(customer|product|order|status|type)(?:_id)?\s*[=:]\s*([\w\-.]+)", re.I)
+DAY = 86_400_000_000
+OPERATORS = {"greater_than": ">", "less_than": "<", "equals": "="}
 
 
-def plan(spark: SparkSession, question: str, as_of_year: int) -> dict:
+def plan(spark: SparkSession, question: str, as_of: str) -> dict:
     """What the question asks for, as plain values."""
     q = F.lit(question)
-    row = spark.range(1).select(intent.primary_intent(q).alias("intent"), intent.time_range(q, as_of_year).alias("range"), intent.metric_condition(q).alias("metric"), intent.paging(q).alias("paging"), intent.entity_references(q).alias("entities")).first()
+    year = int(as_of[:4])
+    row = spark.range(1).select(intent.primary_intent(q).alias("intent"), intent.time_range(q, year).alias("range"), intent.relative_range(q, as_of).alias("relative"), intent.metric_condition(q).alias("metric"), intent.paging(q).alias("paging"), intent.entity_references(q).alias("entities")).first()
     return row.asDict(recursive=True)
 
 
-def ask(spark: SparkSession, sf: str, question: str, as_of_year: int = 2025) -> DataFrame:
-    p = plan(spark, question, as_of_year)
+def _micros(t: datetime.datetime) -> int:
+    return round((t - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1))
+
+
+def _iso_range(question: str) -> tuple[int | None, int | None] | None:
+    """The range that ISO dates in a question give, or None; whole days, both ends included."""
     low = question.lower()
-    found = next((f for pattern, f in TEMPLATES if re.search(pattern, low)), None)
-    if found:
-        got = found(spark, sf)
-    elif "order" in low and p["metric"]["aggregation"]:
-        return _order_metric(spark, sf, p)
+    day = lambda m, k=1: _micros(datetime.datetime.fromisoformat(m[k]))
+    try:
+        if m := re.search(rf"between\s+({intent.ISO})\s+and\s+({intent.ISO})", low):
+            return day(m), day(m, 2) + DAY - 1
+        start = re.search(rf"(since|from|after)\s+({intent.ISO})", low)
+        end = re.search(rf"(before|to|until)\s+({intent.ISO})", low)
+        if start or end:
+            a = day(start, 2) + (DAY if start[1] == "after" else 0) if start else None
+            b = day(end, 2) - 1 + (0 if end[1] == "before" else DAY) if end else None
+            return a, b
+        if m := re.search(rf"({intent.ISO})", low):
+            return day(m), day(m) + DAY - 1
+    except ValueError:  # no such day
+        return None
+    return None
+
+
+def scope_of(p: dict, question: str) -> Scope:
+    """The records a planned question is about."""
+    s = Scope()
+    if p["range"]:
+        s.start, s.end = _micros(p["range"]["start"]), _micros(p["range"]["end"])
+    elif iso := _iso_range(question):
+        s.start, s.end = iso
+    elif p["relative"]:
+        a, b = (datetime.datetime.combine(p["relative"][k], datetime.time()) for k in ("start", "end"))
+        s.start, s.end = _micros(a), _micros(b) + DAY - 1
+    for name, value in FIELD.findall(question):
+        s.fields[name.lower() if name.lower() in ("status", "type") else f"{name.lower()}_id"] = value
+    if p["metric"]["comparison"]:
+        s.cents.append((OPERATORS[p["metric"]["comparison"]], round(p["metric"]["number"] * 100)))
+    return s
+
+
+def _unsupported(spark: SparkSession, question: str, reason: str) -> DataFrame:
+    return spark.createDataFrame([("unsupported", question, reason)], "status string, question string, reason string")
+
+
+def ask(spark: SparkSession, sf: str, question: str, as_of: str | None = None) -> DataFrame:
+    """The answer to a question about the tables in folder sf; as_of is the day that relative times and dates without a year go by (today)."""
+    p = plan(spark, question, as_of or datetime.date.today().isoformat())
+    low, scope = question.lower(), scope_of(p, question)
+    found, obeys = next(((f, o) for pattern, f, o in TEMPLATES if re.search(pattern, low)), (None, RECORDS))
+    said = {k for k, v in (("time", scope.start is not None or scope.end is not None), ("fields", scope.fields), ("value", scope.cents)) if v}
+    if found is None and not ("order" in low and p["metric"]["aggregation"]):
+        return _unsupported(spark, question, "no template fits")
+    if said - obeys:
+        return _unsupported(spark, question, f"the answer cannot be narrowed by {', '.join(sorted(said - obeys))}")
+    if p["paging"] and p["paging"]["kind"] == "relative":
+        return _unsupported(spark, question, "which page comes next or before is not known; name it")
+    if found is None:
+        got = _order_metric(spark, Scoped(sf, scope), p["metric"]["aggregation"])
+    elif found is corpus.q09:
+        got = corpus.q09(spark, sf)
+        if scope.cents:
+            op, n = scope.cents[0]
+            got = corpus.q09(spark, sf, None).where(f"number {op} {n / 100}")
+    elif found is corpus.q10:
+        got, at = corpus.q10(spark, sf), iso_micros(F.col("at"))
+        got = got.where(at >= scope.start) if scope.start is not None else got
+        got = got.where(at <= scope.end) if scope.end is not None else got
     else:
-        return spark.createDataFrame([("unsupported", question)], "status string, question string")
-    if p["range"] and "at" in got.columns and dict(got.dtypes)["at"] == "bigint":
-        lo, hi = p["range"]["start"], p["range"]["end"]
-        t = F.timestamp_micros("at")
-        got = got.where((t >= F.lit(str(lo)).cast("timestamp")) & (t <= F.lit(str(hi)).cast("timestamp")))
-    if p["paging"] and p["paging"]["kind"] == "limit":
-        got = got.limit(p["paging"]["number"])
+        got = found(spark, Scoped(sf, scope) if said else sf)
+    if p["paging"]:
+        n = p["paging"]["number"]
+        got = got.orderBy(*got.columns)
+        got = got.limit(n) if p["paging"]["kind"] == "limit" else got.offset((n - 1) * PAGE).limit(PAGE)
     return got
 
 
-def _order_metric(spark: SparkSession, sf: str, p: dict) -> DataFrame:
-    """An aggregate of order values, in a time range and above or below an amount if given."""
-    o = corpus.orders(spark, sf, "at", "cents", "status")
-    if p["range"]:
-        t = F.timestamp_micros("at")
-        o = o.where((t >= F.lit(str(p["range"]["start"])).cast("timestamp")) & (t <= F.lit(str(p["range"]["end"])).cast("timestamp")))
-    m = p["metric"]
-    if m["comparison"]:
-        n = m["number"] * 100
-        o = o.where({"greater_than": F.col("cents") > n, "less_than": F.col("cents") < n, "equals": F.col("cents") == n}[m["comparison"]])
-    if p["entities"].get("status"):
-        known = p["entities"]["status"]
-        o = o.where(F.lower("status") == known)
-    agg = {"average": F.avg("cents") / 100, "maximum": F.max("cents") / 100, "minimum": F.min("cents") / 100, "sum": F.sum("cents") / 100, "count": F.count(F.lit(1)).cast("double")}[m["aggregation"]]
-    return o.agg(F.lit(m["aggregation"]).alias("aggregation"), F.count(F.lit(1)).alias("orders"), F.round(agg, 6).alias("value"))
+def _order_metric(spark: SparkSession, sf: str, aggregation: str) -> DataFrame:
+    """An aggregate of order values."""
+    o = corpus.orders(spark, sf, "cents")
+    agg = {"average": F.avg("cents") / 100, "maximum": F.max("cents") / 100, "minimum": F.min("cents") / 100, "sum": F.sum("cents") / 100, "count": F.count(F.lit(1)).cast("double")}[aggregation]
+    return o.agg(F.lit(aggregation).alias("aggregation"), F.count(F.lit(1)).alias("orders"), F.round(agg, 6).alias("value"))
 
 
 def corpus_questions(path: str) -> list[str]:
