@@ -43,7 +43,9 @@ from jsonloom.session import broadcast_if_small, spread, written
 
 ROUNDS = 4
 REVEAL = 150
-PIECE = 500_000
+PIECE = 1 << 16
+#: Names found in two texts that may be broadcast (16 bytes each) to find their places.
+SENT = 1_000_000
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -62,43 +64,111 @@ def _run_name(name: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(size > 1, _mix(name + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), name)
 
 
+def _pair_name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _mix(left * _ODD + (right ^ _U(0xA0761D6478BD642F)))
+
+
+#: Weights of what a round takes off the ends: the run and the single symbol, at the left and at the right.
+_WEIGHTS = _mix(np.arange(1, 4 * 16 + 1, dtype=np.uint64) * _ODD).reshape(16, 4) | _U(1)
+
+
 class Symbols:
     """All rounds of some texts, set one behind the other and told apart by text_of.
 
-    Per round: the runs (symbol, size, the round's symbol each position belongs to) and the sides and
-    places of the symbols after naming runs.
+    Per round: the symbols of the runs (base), where they begin and stop, the run of each position,
+    the names of the runs, which of them are left, and the symbol of the next round each is in.
     """
 
     def __init__(self, codes: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS):
-        name, own = _mix(codes.astype(np.uint64) + _ODD), text_of
+        name = _mix(codes.astype(np.uint64) + _ODD)
+        border = np.ones(len(name), bool)  # the first symbol of a text
+        np.not_equal(text_of[1:], text_of[:-1], out=border[1:])
         self.rounds = []
         for r in range(rounds):
-            first = np.ones(len(name), bool)
-            first[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
+            first = border.copy()
+            first[1:] |= name[1:] != name[:-1]
             start = np.flatnonzero(first)
-            run_of = np.cumsum(first) - 1
+            run_of = np.cumsum(first, dtype=np.int32) - 1
             stop = np.append(start[1:], len(name))
-            base, named = name[start], _run_name(name[start], stop - start)
-            text = own[start]
-            left = (_mix(named + _U(0xD1B54A32D192ED03 * (r + 1) % 2**64)) & _U(1)) == 0
-            heads = np.zeros(len(named), bool)
-            heads[:-1] = left[:-1] & ~left[1:] & (text[1:] == text[:-1])
-            tails = np.zeros(len(named), bool)
-            tails[1:] = heads[:-1]
-            keep = ~tails
-            up = np.cumsum(keep) - 1  # of each symbol, the one of the next round
-            pair = np.flatnonzero(heads)
-            new = named.copy()
-            new[pair] = _mix(named[pair] * _ODD + (named[pair + 1] ^ _U(0xA0761D6478BD642F)))
+            base = name[start]
+            named, border = base.copy(), border[start]
+            many = np.flatnonzero(stop - start > 1)
+            named[many] = _run_name(base[many], (stop - start)[many])
+            left = (named & _U(1 << (5 + r))) == 0  # names are hashes, so any bit tells two sides
+            heads = np.flatnonzero(left[:-1] & ~left[1:] & ~border[1:])
+            keep = np.ones(len(named), bool)
+            keep[heads + 1] = False
+            up = np.cumsum(keep, dtype=np.int32) - 1
             self.rounds.append((base, start, stop, run_of, named, left, up))
-            name, own = new[keep], text[keep]
+            name, border = named[keep], border[keep]
+            name[up[heads]] = _pair_name(named[heads], named[heads + 1])
         power = np.cumprod(np.full(len(name) + 1, _U(0xD6E8FEB86659FD93)), dtype=np.uint64)
         self.back = np.cumprod(np.full(len(name) + 1, _U(pow(0xD6E8FEB86659FD93, -1, 2**64))), dtype=np.uint64)
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * power[:-1], dtype=np.uint64)])
         self.name = name
+        self._ends()
+
+    def _ends(self) -> None:
+        """For each position the hash of what a substring that begins (ends) there loses, and where its row left begins (ends).
+
+        From the last round down, so that each round costs its own number of symbols. They hold for
+        substrings long enough that the two ends do not meet. The hash is the sum of the names taken
+        off, weighed by round and end.
+        """
+        n = len(self.name)
+        lose_l, lose_r = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        from_l = np.arange(n + 1, dtype=np.int32)
+        to_r, zero = from_l, np.zeros(1, np.uint64)
+        for r in range(len(self.rounds) - 1, -1, -1):
+            base, start, stop, run_of, named, left, up = self.rounds[r]
+            m = len(named)
+            # behind each run a right symbol is taken off too
+            off = np.zeros(m, bool)
+            off[:-1] = ~left[1:]
+            extra = np.zeros(m, np.uint64)
+            extra[:-1] = named[1:] * off[:-1]
+            up_to = np.append(up, np.int32(len(lose_l) - 1))
+            nxt = up_to[np.minimum(np.arange(1, m + 1, dtype=np.int32) + off, m)]
+            g_l, c_l = extra * _WEIGHTS[r, 1] + lose_l[nxt], from_l[nxt]
+            # before each run a left symbol
+            off = np.zeros(m, bool)
+            off[1:] = left[:-1]
+            extra = np.zeros(m, np.uint64)
+            extra[1:] = named[:-1] * off[1:]
+            last = np.arange(m, dtype=np.int32) - off  # one past the last symbol that stays
+            nxt = np.concatenate([np.zeros(1, np.int32), up + np.int32(1)])[last]
+            g_r, c_r = extra * _WEIGHTS[r, 3] + lose_r[nxt], to_r[nxt]
+            size = stop - start
+            if (size > 1).any():
+                own = base[run_of]
+                rest, past = own, own.copy()  # runs cut by the beginning, by the end
+                i = np.flatnonzero(size[run_of] > 1)
+                x = run_of[i]
+                past[i] = _run_name(base[x], i + 1 - start[x])
+                rest[i] = _run_name(base[x], stop[x] - i)
+                g_l, c_l, g_r, c_r = g_l[run_of], c_l[run_of], g_r[run_of], c_r[run_of]
+            else:
+                rest = past = base
+            lose_l = np.concatenate([rest * _WEIGHTS[r, 0] + g_l, zero])
+            lose_r = np.concatenate([zero, past * _WEIGHTS[r, 2] + g_r])
+            from_l, to_r = np.append(c_l, np.int32(n)), np.concatenate([np.zeros(1, np.int32), c_r])
+        self.lose_l, self.lose_r, self.from_l, self.to_r = lose_l, lose_r, from_l, to_r
 
     def names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The names of the substrings [a, b), none of which leaves its text."""
+        """The names of the substrings [a, b), none of which leaves its text.
+
+        Whether the ends meet (few do: in a long run, say) is told by the characters of the substring
+        alone; these are named step by step.
+        """
+        i, j = self.from_l[a], self.to_r[b]
+        core = (self.total[j] - self.total[i]) * self.back[i] + (j - i).astype(np.uint64)
+        out = _mix(_mix(self.lose_l[a] * _ODD + core) + self.lose_r[b])
+        meet = np.flatnonzero(i >= j)
+        if len(meet):
+            out[meet] = self._stepwise(a[meet], b[meet])
+        return out
+
+    def _stepwise(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         hl, hr = np.full(len(a), _U(1)), np.full(len(a), _U(2))
 
         def take(h: np.ndarray, name: np.ndarray, mark: int, which: np.ndarray) -> np.ndarray:
@@ -134,15 +204,13 @@ class Symbols:
         return _mix(_mix(hl * _ODD + core) + hr)
 
 
-def _least(h: np.ndarray, size: int) -> np.ndarray:
-    """For each i, the index of the first least of h[i:i + size]; one for each full range."""
-    at, width = np.arange(len(h)), 1
+def _slide(h: np.ndarray, size: int, of) -> np.ndarray:
+    """of(h[i:i + size]) for each i, `of` being np.minimum or np.maximum."""
+    width = 1
     while 2 * width <= size:
-        a, b = at[: len(at) - width], at[width:]
-        at, width = np.where(h[a] <= h[b], a, b), 2 * width
-    n = len(h) - size + 1
-    a, b = at[:n], at[size - width : size - width + n]
-    return np.where(h[a] <= h[b], a, b)
+        h, width = of(h[: len(h) - width], h[width:]), 2 * width
+    n = len(h) - (size - width)
+    return of(h[:n], h[size - width : size - width + n])
 
 
 def kept(symbols: Symbols, sizes: np.ndarray, least: int, reveal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +225,10 @@ def kept(symbols: Symbols, sizes: np.ndarray, least: int, reveal: int) -> tuple[
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = symbols.names(starts, starts + reveal)
     full = starts[: len(starts) - reach + 1] == starts[reach - 1 :] - reach + 1  # ranges within one text
-    best = np.unique(_least(h, reach)[full])
+    low = np.where(full, _slide(h, reach, np.minimum), _U(0))
+    # a name is the least of some range around it if the greatest of their least is itself
+    pad = np.zeros(reach - 1, np.uint64)
+    best = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), reach, np.maximum) == h)
     name, at = h[best], starts[best]
     # in a run many starts have one name: of those close together the first and the last stay
     link = (name[1:] == name[:-1]) & (at[1:] - at[:-1] < reach) & (at[1:] // reach == at[:-1] // reach)
@@ -166,8 +237,8 @@ def kept(symbols: Symbols, sizes: np.ndarray, least: int, reveal: int) -> tuple[
     return name[~inner], at[~inner]
 
 
-def _pieces(docs: list[int], texts: list[str], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of about PIECE code points: (codes, sizes of the texts, doc ids, offset of each text in its doc less its place here).
+def _pieces(docs: list[int], texts: list[str], least: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of about `piece` code points: (codes, sizes of the texts, doc ids, offset of each text in its doc less its place here).
 
     Pieces of a long text overlap so far that each span of `least` characters lies in one of them.
     """
@@ -182,21 +253,21 @@ def _pieces(docs: list[int], texts: list[str], least: int) -> Iterator[tuple[np.
 
     for doc, text in zip(docs, texts):
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for off in range(0, max(1, len(c) - least + 1), PIECE):
-            part = c[off : off + PIECE + least]
+        for off in range(0, max(1, len(c) - least + 1), piece):
+            part = c[off : off + piece + least]
             codes.append(part), ids.append(doc), offs.append(off)
             n += len(part)
-            if n >= PIECE:
+            if n >= piece:
                 yield batch()
                 codes, ids, offs, n = [], [], [], 0
     if codes:
         yield batch()
 
 
-def _kept_batches(least: int, reveal: int):
+def _kept_batches(least: int, reveal: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, sizes, ids, offs in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least):
+            for codes, sizes, ids, offs in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least, piece):
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
                 name, at = kept(Symbols(codes, text_of), sizes, least, reveal)
                 t = text_of[at]
@@ -213,25 +284,31 @@ def _checksums(codes: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     return _mix((total[starts + least] - total[starts]) * back[starts])
 
 
-def _span_batches(least: int, reveal: int):
+def _span_batches(least: int, reveal: int, piece: int):
     """(h1, h2, doc, at): name and checksum of the spans around the shared substrings of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                every = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                z = np.array(places, np.int64)
-                mark = np.zeros(max(0, len(every) - least + 1) + 1, np.int32)
-                np.add.at(mark, np.clip(z + reveal - least, 0, len(mark) - 1), 1)
-                np.add.at(mark, np.clip(z + 1, 0, len(mark) - 1), -1)
+            docs = batch.column(0).to_pylist()
+            places = dict(zip(docs, batch.column(2).to_pylist()))
+            for codes, sizes, ids, offs in _pieces(docs, batch.column(1).to_pylist(), least, piece):
+                ends = np.cumsum(sizes)
+                low, high = [], []
+                for doc, off, end, size in zip(ids.tolist(), offs.tolist(), ends.tolist(), sizes.tolist()):
+                    z = np.array(places[doc], np.int64) - off  # places in the piece, of which some may lie outside
+                    z = z[(z > end - size - reveal) & (z < end)]
+                    low.append(np.clip(z + reveal - least, end - size, end - least + 1)), high.append(np.clip(z + 1, end - size, end - least + 1))
+                mark = np.zeros(len(codes) + 1, np.int32)
+                np.add.at(mark, np.concatenate(low), 1)
+                np.add.at(mark, np.concatenate(high), -1)
                 at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                for off in range(0, len(every), PIECE):
-                    own = at[(at >= off) & (at < off + PIECE)] - off
-                    if len(own):
-                        codes = every[off : off + PIECE + least]
-                        h1 = Symbols(codes, np.zeros(len(codes), np.int8)).names(own, own + least)
-                        h2 = _checksums(codes, own, least)
-                        yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own + off, pa.int64())], ["h1", "h2", "doc", "at"])
+                text_of = np.repeat(np.arange(len(sizes)), sizes)
+                at = at[at - (ends - sizes)[text_of[at]] < piece]  # later ones are the next piece's
+                if not len(at):
+                    continue
+                h1, h2 = Symbols(codes, text_of).names(at, at + least), _checksums(codes, at, least)
+                t = text_of[at]
+                yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[t], pa.int64()), pa.array(at + offs[t], pa.int64())], ["h1", "h2", "doc", "at"])
 
     return run
 
@@ -239,7 +316,7 @@ def _span_batches(least: int, reveal: int):
 def _in_two(df: DataFrame, by: list[str]) -> DataFrame:
     """The rows of df whose `by` stands in two or more docs."""
     two = df.groupBy(*by).agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a <> _b").select(*by)
-    return df.join(two, by, "left_semi")
+    return df.join(broadcast_if_small(written(two, "in-two"), SENT), by, "left_semi")
 
 
 def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, reveal: int | None = None) -> DataFrame:
@@ -256,11 +333,11 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200, reveal: i
     told = docs.join(broadcast_if_small(multi), "same", "left")
     copies = told.where("rep is not null").select(F.col("doc").alias("doc_id"), F.lit(0).cast("bigint").alias("start_pos"), F.col("n").cast("bigint").alias("end_pos"))
     reps = told.where("rep is null or rep = doc").select("doc", "text")
-    names = written(reps.mapInArrow(_kept_batches(least, reveal), "name bigint, doc bigint, at bigint"), "span-names")
+    names = written(reps.mapInArrow(_kept_batches(least, reveal, PIECE), "name bigint, doc bigint, at bigint"), "span-names")
     zones = written(_in_two(names, ["name"]).groupBy("doc").agg(F.collect_list("at").alias("places")), "span-zones")  # bounded by a text's length
     near = reps.join(broadcast_if_small(zones.select("doc")), "doc", "left_semi").join(zones, "doc").select("doc", "text", "places")
-    spans = written(near.mapInArrow(_span_batches(least, reveal), "h1 bigint, h2 bigint, doc bigint, at bigint"), "span-spans")
-    hits = _in_two(spans, ["h1", "h2"]).select("doc", "at").distinct()
+    spans = written(near.mapInArrow(_span_batches(least, reveal, PIECE), "h1 bigint, h2 bigint, doc bigint, at bigint"), "span-spans")
+    hits = _in_two(spans, ["h1", "h2"]).select("doc", "at")
     w = Window.partitionBy("doc").orderBy("at")
     hits = hits.withColumn("_new", F.when(F.col("at") <= F.lag("at").over(w) + least, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     runs = hits.groupBy("doc", "_run").agg(F.min("at").alias("start_pos"), (F.max("at") + least).alias("end_pos")).select(F.col("doc").alias("doc_id"), "start_pos", "end_pos")
