@@ -6,10 +6,12 @@ spelled as words, and disguised at and dot. Identifiers are detected in the norm
 their spans mapped back, so positions are code points of the text as it stands.
 
 E-mail, phone and identity numbers and addresses are patterns with the words around them as
-evidence; names are what follows or precedes words that introduce a person (forms of address,
-sign-offs, contact lines, recipients ...) and is built like a name. Where a name ends among
-capitalised words is decided by word statistics over all distinct texts of the table: how often
-a word starts sentences, stands in lower case, and leads or ends clear names.
+evidence. Names are found in two ways. What follows words that introduce a person (forms of
+address, sign-offs, contact lines, recipients) and is built like a name is one. And the words of such
+names are counted over all distinct texts of the table: how often a word leads or ends a name,
+starts sentences, or stands in lower case. By these counts a name is also found where nothing
+introduces it: a word that leads names before one that ends names. The same counts tell where a name
+ends among capitalised words.
 
 Defined cases: null and empty texts have nothing; spans of one text don't overlap (the earlier
 kind in the order of KINDS wins); repeated rows each count.
@@ -53,14 +55,17 @@ LOCAL = r"[\p{L}\d][\p{L}\d._%+\-]*(?<![.])"
 DISGUISED = re.compile(rf"(?i)(?<![\p{{L}}\d._%+\-])({LOCAL})({AT})((?:[\p{{L}}\d\-]+{DOT}){{1,4}}\p{{L}}{{2,}})(?![\p{{L}}\d\-])")
 DOTS = re.compile(rf"(?i){DOT}")
 MAIL_CUE = re.compile(r"(?i)(?:e-?mail|mail|write to|schreiben sie an|écrivez à|escriban? a|mail me|[,(:])\s*:?\s*$")
+DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
+HOST = _re.compile(r"[\w\-]\.[^\W\d_]{2}")
 TRIGGER = _re.compile(r"@|\bat\b|\(at|\[at|\{at", _re.I)
 
 
 class Mapped:
-    """A text and, per character, the start and end of the source characters it stands for (None: itself)."""
+    """A text with its words (as a list, and in lower case as a set) and, per character, the start and end of the source characters it stands for (None: itself)."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
+    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None, words: tuple = (None, None)):
         self.text, self.start, self.end = text, start, end
+        self.list, self.words = words
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
@@ -77,16 +82,20 @@ class Mapped:
             s += start[at:a] + [start[a]] * len(new)
             e += end[at:a] + [end[b - 1]] * len(new)
             at = b
-        return Mapped("".join(out) + self.text[at:], s + start[at:], e + end[at:])
+        return Mapped("".join(out) + self.text[at:], s + start[at:], e + end[at:], (self.list, self.words))
+
+
+#: Characters outside ASCII that a rewrite may touch: all but Latin letters and what is common between them.
+ODD = _re.compile("[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u1e00-\\u1eff\\u2018\\u201a-\\u201f\\u2020-\\u2027\\u2030-\\u2058\\u20a0-\\u20bf\\u2600-\\u27bf\\U0001f000-\\U0001faff]")
+SPACED_WORD = _re.compile(r"[^\W\d_]+(?:['\-][^\W\d_]+)*")
 
 
 def normalise(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii():
         changes = []
-        for i, c in enumerate(text):
-            if c.isascii():
-                continue
+        for x in ODD.finditer(text):
+            i, c = x.start(), x[0]
             if c in INVISIBLE:
                 changes.append((i, i + 1, ""))
             elif c in LOOK:
@@ -102,9 +111,12 @@ def normalise(text: str) -> Mapped:
             elif unicodedata.category(c) == "Nd" or "\uff01" <= c <= "\uff5e" or "\U0001d400" <= c <= "\U0001d7ff":
                 changes.append((i, i + 1, unicodedata.normalize("NFKC", c) if unicodedata.category(c) != "Nd" else str(unicodedata.digit(c))))
         m = m.rewrite(changes)
-    spelled = [(x.start(), x.end(), "".join(str(DIGITS[w.lower()]) for w in ONE.findall(x[0]))) for x in SPELLED.finditer(m.text)]
-    m = m.rewrite(spelled)
-    if not TRIGGER.search(m.text):
+    m.list = SPACED_WORD.findall(m.text)
+    m.words = set(map(str.lower, m.list))
+    if not m.words.isdisjoint(DIGITS) and sum(w.lower() in DIGITS for w in m.list) >= 5:
+        m = m.rewrite([(x.start(), x.end(), "".join(str(DIGITS[w.lower()]) for w in ONE.findall(x[0]))) for x in SPELLED.finditer(m.text)])
+    # a name of a host has a dot between its parts, written or as a word
+    if not TRIGGER.search(m.text) or m.words.isdisjoint(DOT_WORDS) and not HOST.search(m.text):
         return m
     changes = []
     for x in DISGUISED.finditer(m.text):
@@ -125,7 +137,7 @@ def normalise(text: str) -> Mapped:
 
 EMAIL = re.compile(r"(?<![\p{L}\d._%+\-])[\p{L}\d][\p{L}\d._%+\-]*@(?:[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?\.)+\p{L}{2,}(?![\p{L}\d])")
 
-NOT_A_NUMBER = re.compile(r"(?i)(?:\bean|\bisbn|tracking|sendungs\w*|serial(?: no\.?| number)?|\bno\.|\bnr\.|invoice|rechnung|facture|factura|ticket|order|bestell\w*|commande|pedido|\bref|batch|version|size|\bpart|\bsku|\bitem|expediente|dossier|\bnote|nota|shelf|aisle|[$€£])[\s:#]*\p{L}{0,2}\s*$")
+NOT_A_NUMBER = re.compile(r"(?i)(?:\bean|\bisbn|tracking|sendungs\w*|serial(?: no\.?| number)?|\bno\.|\bnr\.|invoice|rechnung|facture|factura|ticket|order|bestell\w*|commande|pedido|\bref|batch|version|size|\bpart|\bsku|\bitem|expediente|dossier|\bnote|nota|[$€£])[\s:#]*\p{L}{0,2}\s*$")
 NUMBER = re.compile(r"(?<![\p{L}\d.,\-/+@#$€£])(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d)(?:[ .\-/]{0,1}(?:\(\d{1,5}\)|\d+))*(?![\p{L}\d@]|[.,\-/]\d)")
 PHONE_CUE = re.compile(r"(?i)(?:\btel(?:\.|efon|ephone|éfono|éphone)?|\bcall(?: me)?(?: at| on)?|\bphone|\bmobile|\bhandy|\bcell|call to|\bunder|\breach me (?:at|on|under)|rufen sie|anrufen?|unter|erreichbar unter|appelez(?: le)?|joignable au|rappeler au|appeler(?: le| au)?|llamen? al?|llamar al?|disponible en el|\bfax|\bsms|whatsapp)\s*:?\s*$")
 SHAPE = [
@@ -141,7 +153,12 @@ ID_CUE = re.compile(
     r"(?i)(?:\bmy ID\b[^.\n]{0,12}?|\bID (?:number|no\.?|card)[^.\n]{0,12}?|social security(?: number)?|national insurance(?: number)?|passport(?: number| no\.?)?|licen[cs]e(?: number| no\.?)?|\bSSN|tax (?:id|number)|ausweis(?:nummer|-nr\.?)?|personalausweis|reisepass(?:nummer)?|steuer-?(?:id|nummer|identifikationsnummer)|sozialversicherungsnummer|sécurité sociale|carte d'identité|pièce d'identité|passeport|permis de conduire|numéro fiscal|\bDNI|\bNIE|\bNIF|documento|pasaporte|seguridad social)"
     r"[\s:#,]*(?:(?:is|it is|lautet|ist|est|es|número|numéro|numero|nr\.?|n\.º|no\.?|n°)[\s:]+){0,2}$"
 )
-ID_AFTER = re.compile(r"(?i)^\s*(?:was used at pick-?up|is the number on my|is my (?:id|licen[cs]e|passport|social)|steht (?:im formular|auf)|ist meine (?:ausweis|steuer)|presentado en|es mi (?:dni|nie|documento)|est mon numéro)")
+#: Papers with numbers of persons, named behind the number in the same sentence.
+ID_AFTER = re.compile(r"(?i)^[^.!?\n]{0,30}?\b(?:ID|SSN|social security|national insurance|passport|driving licen[cs]e|driver'?s licen[cs]e|licen[cs]e|ausweis\w*|reisepass\w*|führerschein\w*|steuer-?(?:id|nummer)|passeport|carte d'identité|permis de conduire|sécurité sociale|DNI|NIE|NIF|pasaporte|documento de identidad|seguridad social)\b")
+#: Words of which one stands in whatever ID_CUE or ID_AFTER finds, or beginnings of them.
+PAPERS = frozenset("id ssn social insurance passport license licence tax sozialversicherungsnummer sécurité carte d'identité passeport permis fiscal dni nie nif documento pasaporte seguridad pièce".split())
+PAPER_STEMS = ("ausweis", "personalausweis", "reisepass", "steuer", "führerschein")
+SIX_DIGITS = _re.compile(r"\d(?:[ .\-]?\d){5}")
 ID = re.compile(r"(?<![\p{L}\d\-.])(?:[A-Z]{1,3}(?=[\d\-. ]))?(?:[ .\-]?(?:\d+[A-Z]{0,3}\d*|[A-Z](?=[\d.\-])\d*|[A-Z]\d+))+(?:[ .\-]?[A-Z](?![\p{L}\d]))?(?![\p{L}\d])")
 ID_SURE = re.compile(r"(?<![\p{L}\d\-./])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-Z]|DL-[A-Z]\d{2}-\d{4}-\d{3}|[XYZ]\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{1,2}\.\d{3}\.\d{3}-?[A-Z]|[1-9] \d{2} \d{2} [\dAB]{2} \d{3} \d{3} \d{2})(?![\p{L}\d\-])")
 
@@ -170,7 +187,15 @@ ES_ADDRESS = re.compile(
     rf"(?<![\p{{L}}\d])(?i:{ES_STREET}) ?(?:(?:de la|de los|de las|del|de|la|el|los|las) ){{0,2}}\p{{Lu}}[\p{{L}}'\-]+(?: (?:(?:de la|de los|de las|del|de|y) )?\p{{Lu}}[\p{{L}}'\-]+){{0,3}},?(?: n\.? ?[ºo°]\.?| núm\.?| nº)? \d{{1,4}}(?![\p{{L}}\d]|[.,]\d)"
     rf"(?:, \d{{1,2}}\.?[ºª°](?: ?(?:\p{{Lu}}|izq\.?|dcha\.?)(?![\p{{L}}]))?)?(?:, (?:\d{{5}} )?{TOWN})?"
 )
-ADDRESSES = (EN_ADDRESS, DE_ADDRESS, FR_ADDRESS, ES_ADDRESS)
+EN_WORDS, FR_WORDS, ES_WORDS = (frozenset(_re.findall(r"[^\W\d_]+", x)) for x in (EN_STREET, FR_STREET, ES_STREET))
+DE_ENDS = tuple(x.removesuffix("\\.") for x in DE_STREET.split("|"))
+
+
+def _streets(words: set[str]) -> list:
+    """The address patterns that can match a text of these words."""
+    got = [p for p, own in ((EN_ADDRESS, EN_WORDS), (FR_ADDRESS, FR_WORDS), (ES_ADDRESS, ES_WORDS)) if not words.isdisjoint(own)]
+    placed = not words.isdisjoint(("am", "im", "zum", "zur")) or not words.isdisjoint(("an", "auf", "unter", "in", "hinter", "vor")) and not words.isdisjoint(("der", "den", "dem"))
+    return [*got, DE_ADDRESS] if placed or any(w.endswith(DE_ENDS) for w in words) else got
 
 WORD = r"\p{L}+(?:['\-]\p{L}+)*"
 WORDS = re.compile(WORD)
@@ -180,13 +205,21 @@ BEFORE = re.compile(
     r"(?:(?i:\b(?:kind |best |warm )?regards|\bsincerely(?: yours)?|\byours(?: truly| faithfully| sincerely)?|\bbest wishes|\bcheers|\bmit (?:freundlichen|besten|herzlichen|lieben) grüßen|\b(?:viele|liebe|beste|herzliche) grüße|\bcordialement|\bbien à vous|\b(?:meilleures |sincères )?salutations|\bun (?:cordial )?saludo|\bsaludos(?: cordiales)?|\batentamente|\bcordialmente)\s*,?\s+"
     r"|(?i:\b(?:contact|kontakt|contacto|ansprechpartner(?:in)?|name|nom|nombre|customer|kunde|kundin|client|cliente|recipient|empfänger(?:in)?|destinataire|destinatario|signed|sender|absender|attn|attention))\s?:\s*"
     r"|(?i:\bmy name is|\bmein name ist|\bich heiße|\bje m'appelle|\bmon nom est|\bme llamo|\bmi nombre es)\s+"
-    r"|(?i:\b(?:you can |please |could you |just )ask|\bask for|\bspeak (?:to|with)|\bship (?:it|this|them) to|\bdeliver (?:it|this|them) to|\bat pick-?up by|\blabel says?|\bdoes the label say|\bin the name of|\bcare of|\bc/o|\blieferung an|\bliefern sie an|\bz\. ?hd\.|\bà livrer chez|\blivrer à|\bà l'attention de|\bentregar a|\bentréguen?lo a|\ba la atención de|\ba nombre de|\bpregunte(?:n)? por|\bfragen sie nach|\bdemandez)\s+"
+    r"|(?i:\b(?:please |you can |could you |just )?ask(?: for)?|\b(?:speak|talk|spoke|talked) (?:to|with)|\b(?:ship|send|deliver|hand) (?:it|this|them) to|\bin the name of|\bcare of|\bc/o|\b(?:lieferung|liefern sie|senden sie) an|\bz\. ?hd\.|\blivrer (?:à|chez)|\bà l'attention de|\bentregar a|\bentréguen?lo a|\ba la atención de|\ba nombre de|\bpregunte(?:n)? por|\bfragen sie nach|\bdemandez)\s+"
     rf"|(?<![\p{{L}}]){TITLE}\s+)"
 )
 TITLED = re.compile(rf"{TITLE}\s")
 CLEAR = re.compile(rf"({WORD})(?: \p{{Lu}}\.)? ({WORD})(?: ({WORD}))?(?=[,.;:)(]|\n| \p{{Ll}}|$)")
-AFTER = re.compile(r"\s+(?:signed for|has signed|picked (?:it|this|up)|hat (?:das paket|die lieferung|die sendung|den empfang)|firmó (?:la|el)|ha firmado|a signé|a réceptionné)\b", re.I)
-SENTENCE = re.compile(r"(?:^|[.!?…:;]\s+|\n\s*|\s{2,}|[^\p{L}\d\s,'\-()\"]\s+)$")
+#: Of these words, in lower case, one stands in whatever BEFORE finds.
+INTRODUCING = frozenset(
+    "regards sincerely yours wishes cheers grüßen grüße cordialement vous salutations saludo saludos atentamente cordialmente contact kontakt contacto ansprechpartner ansprechpartnerin"
+    " name nom nombre customer kunde kundin client cliente recipient empfänger empfängerin destinataire destinatario signed sender absender attn attention heiße m'appelle llamo ask speak talk spoke"
+    " talked ship send deliver hand care c lieferung liefern senden hd livrer l'attention entregar entréguelo entréguenlo atención pregunte pregunten fragen demandez"
+    " mr mrs ms mx dr prof sr sra srta mme mlle m hr fr miss herr herrn frau monsieur madame mademoiselle señor señora don doña sir lady".split()
+)
+INTRODUCING_WORD = _re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: The first word of a sentence, a line or what follows a sign.
+FIRST = _re.compile(r"(?:^|[.!?…:;]\s+|\n\s*|\s{2,}|[^\w\s,'\-()\"]\s+)([^\W\d_]+(?:['\-][^\W\d_]+)*)")
 NAME_STOP = frozenset("a an and i is it the we you my our your he she they when who with from for to of in on at by or as not no so und ich ist der die das den dem ein eine wir sie er es mein unser mit von im am an zu bei et je le la les un une des du de nous vous il elle est mon notre y el los las una yo me mi su con en por al del que se".split())
 
 
@@ -195,32 +228,40 @@ class Model:
 
     def __init__(self):
         self.small, self.cap, self.start, self.first, self.last = (Counter() for _ in PLACES)
+        self._ends: frozenset[str] | None = None
 
     @staticmethod
     def count(texts: list[str]) -> Counter:
-        """Counts of (what, word ...) in texts: words by place, and clear names by their parts.
+        """Counts of (what, word ...) in texts: words by place, clear names by their parts, and as 'use' the words near introductions.
 
         Clear names are two or three words between an introduction and a mark or a word in lower case.
+        Decisions about names ask for no words but those near introductions.
         """
-        got: Counter = Counter()
-        for t in texts:
-            for m in WORDS.finditer(t):
-                w = m[0]
-                if w[:1].islower():
-                    got["small", w.lower(), "", ""] += 1
-                elif SENTENCE.search(t[max(0, m.start() - 4) : m.start()]):
-                    got["start", w.lower(), "", ""] += 1
-                else:
-                    got["cap", w.lower(), "", ""] += 1
-            for m in BEFORE.finditer(t):
-                n = CLEAR.match(t[m.end() : m.end() + 80])
+        every, first, got = Counter(), Counter(), Counter()
+        for text in texts:
+            m = normalise(text)
+            t = m.text
+            every.update(m.list)
+            first.update(FIRST.findall(t))
+            for at in introductions(m):
+                near = {w[0].lower() for w in islice(TOKEN.finditer(t, at), 6)}
+                for w in near | {p for w in near for p in w.split("-")}:
+                    got["use", w, "", ""] = 1
+                n = CLEAR.match(t[at : at + 80])
                 if n and n[1][0].isupper() and n[2][0].isupper() and min(len(n[1]), len(n[2])) > 1:
                     got["name", n[1].lower(), n[2].lower(), n[3] or ""] += 1
+        for w, n in every.items():
+            if w[0].islower():
+                got["small", w.lower(), "", ""] += n
+            else:
+                starts = min(n, first.get(w, 0))
+                got["start", w.lower(), "", ""] += starts
+                got["cap", w.lower(), "", ""] += n - starts
         return got
 
     def fit(self, counts: dict[tuple[str, str, str, str], int]) -> Model:
         for (what, w, _, _), n in counts.items():
-            if what != "name":
+            if what in PLACES:
                 getattr(self, what)[w] += n
         for (what, a, b, c), n in counts.items():
             if what != "name":
@@ -235,6 +276,17 @@ class Model:
                     self.last[p] += n
         return self
 
+    def surely_given(self, w: str) -> bool:
+        """The word leads names, more than once, and is written as a name or is seldom anything else."""
+        return self.given(w) and all(self.first[p] >= 2 for p in w.lower().split("-")) and self._named(w)
+
+    def surely_family(self, w: str) -> bool:
+        return self.family(w) and self.last[w.lower()] > self.first[w.lower()] and self._named(w)
+
+    def _named(self, w: str) -> bool:
+        k = w.lower()
+        return w[0].isupper() or 2 * (self.first[k] + self.last[k]) >= self.small[k]
+
     def given(self, w: str) -> bool:
         """The word leads names."""
         return all(self.first[p] > self.last[p] for p in w.lower().split("-"))
@@ -244,6 +296,12 @@ class Model:
         w = w.lower()
         return self.last[w] >= 2 and self.last[w] >= self.first[w]
 
+    def ends(self) -> frozenset[str]:
+        """The words that end names."""
+        if self._ends is None:
+            self._ends = frozenset(w for w in self.last if self.last[w] >= 2 and self.last[w] > self.first[w])
+        return self._ends
+
     def common(self, w: str) -> bool:
         """The word is one of the language: often in lower case or first in a sentence, seldom part of a name."""
         k = w.lower()
@@ -255,6 +313,7 @@ class Model:
 
 TOKEN = re.compile(rf"(?:{WORD})")
 INITIAL = re.compile(r"\p{Lu}\.")
+NAME_PART = re.compile(rf"(?<![\p{{L}}\d'\-])(?:\p{{Lu}}\.|{WORD})")
 
 
 def _words_from(t: str, at: int) -> Iterator[tuple[int, int, str]]:
@@ -331,35 +390,54 @@ def read_name(t: str, at: int, model: Model) -> tuple[int, int] | None:
     return at, end
 
 
-def _names(t: str, model: Model) -> Iterator[tuple[int, int]]:
-    for m in BEFORE.finditer(t):
-        got = read_name(t, m.end(), model)
-        if got:
-            yield got
-    for m in AFTER.finditer(t):
-        # the words before it, back to a mark or a longer gap; a start with a given name or an initial comes first
-        low = max(0, m.start() - 80)
-        head = re.search(rf"(?:{WORD}|\p{{Lu}}\.|,)(?: (?:{WORD}|\p{{Lu}}\.)|,)*$", t[low : m.start()])
-        if not head:
-            continue
-        starts = [w.start() for w in re.finditer(rf"(?<![\p{{L}}\d'\-])(?:{WORD}|\p{{Lu}}\.)", t, pos=low + head.start(), endpos=m.start())]
-        ends = [got for at in starts if (got := read_name(t, at, model)) and got[1] == m.start()]
-        lead = lambda at: re.match(r"\p{Lu}\.", t[at : at + 2]) or model.given(TOKEN.match(t, at)[0])
-        best = [x for x in ends if lead(x[0])][:1] if not any("," in t[a:b] for a, b in ends) else []
-        yield from best or ends[:1]
-
-
-def used(texts: list[str]) -> set[str]:
-    """The words, and parts of words with hyphens, that `_names` can ask the model for (some more, never fewer)."""
-    got: set[str] = set()
-    for text in texts:
-        t = normalise(text).text
-        for m in BEFORE.finditer(t):
-            got.update(w[0].lower() for w in islice(TOKEN.finditer(t, m.end()), 6))
-        for m in AFTER.finditer(t):
-            got.update(w[0].lower() for w in TOKEN.finditer(t, max(0, m.start() - 80), m.start()))
-            got.update(w[0].lower() for w in islice(TOKEN.finditer(t, m.start()), 6))
-    return got | {p for w in got for p in w.split("-")}
+def _known_names(t: str, model: Model) -> Iterator[tuple[int, int]]:
+    """Names without an introduction: given names or initials before family names, or 'family, given', all of them known from elsewhere."""
+    ws = [(m.start(), m.end(), m[0]) for m in NAME_PART.finditer(t)]
+    k = 0
+    while k < len(ws):
+        s, e, w = ws[k]
+        led, j, first = 0, k, True
+        # given names and initials, each a blank from the next
+        while j < len(ws) and (first or t[ws[j - 1][1] : ws[j][0]] == " ") and (INITIAL.fullmatch(ws[j][2]) or model.surely_given(ws[j][2])):
+            led, j, first = led + 1, j + 1, False
+        end = None
+        if led:
+            while j < len(ws) and j - k < 5 and t[ws[j - 1][1] : ws[j][0]] == " " and model.surely_family(ws[j][2]):
+                end, j = ws[j][1], j + 1
+        elif model.surely_family(w):
+            j = k + 1
+            if j < len(ws) and t[e : ws[j][0]] == " " and model.surely_family(ws[j][2]):
+                j += 1
+            if j < len(ws) and t[ws[j - 1][1] : ws[j][0]] == ", " and (model.surely_given(ws[j][2]) or INITIAL.fullmatch(ws[j][2])):
+                end, j = ws[j][1], j + 1
+                if j < len(ws) and t[ws[j - 1][1] : ws[j][0]] == " " and INITIAL.fullmatch(ws[j][2]):
+                    end, j = ws[j][1], j + 1
+        if end is not None:
+            yield s, end
+            k = j
+        else:
+            k += 1
+
+
+def introductions(m: Mapped) -> list[int]:
+    """Where words end that introduce a person. Only the surroundings of words that do are searched."""
+    if m.words.isdisjoint(INTRODUCING):
+        return []
+    got, low, done = set(), m.text.lower(), 0
+    if len(low) != len(m.text):  # a few letters change their length
+        return sorted({x.end() for x in BEFORE.finditer(m.text)})
+    for x in INTRODUCING_WORD.finditer(low):
+        if x[0] in INTRODUCING and x.end() > done:
+            done = min(len(low), x.end() + 40)
+            got.update(y.end() for y in BEFORE.finditer(m.text, max(0, x.start() - 40), done))
+    return sorted(got)
+
+
+def _names(m: Mapped, model: Model) -> Iterator[tuple[int, int]]:
+    told = [got for at in introductions(m) if (got := read_name(m.text, at, model))]
+    yield from told
+    if not m.words.isdisjoint(model.ends()):
+        yield from ((a, b) for a, b in _known_names(m.text, model) if all(b <= s or e <= a for s, e in told))
 
 
 def _digits(s: str) -> int:
@@ -385,18 +463,20 @@ def find(text: str | None, model: Model) -> list[tuple[str, int, int]]:
         for x in EMAIL.finditer(t):
             add("email", x.start(), x.end())
     if any(c.isdigit() for c in t):
-        streets = [(x.start(), x.end()) for p in ADDRESSES for x in p.finditer(t)]
+        streets = [(x.start(), x.end()) for p in _streets(m.words) for x in p.finditer(t)]
         for a, b in sorted(streets, key=lambda x: x[0] - x[1]):  # the longer of two that overlap
             add("address", a, b)
-        for x in ID_SURE.finditer(t):
-            if not NOT_A_NUMBER.search(t[max(0, x.start() - 24) : x.start()]) and not PHONE_CUE.search(t[max(0, x.start() - 30) : x.start()]):
-                add("id_number", x.start(), x.end())
-        for x in ID.finditer(t):
-            a, b = x.start(), x.end()
-            while a < b and t[a] in " .-":
-                a += 1
-            if 5 <= _digits(t[a:b]) <= 20 and (ID_CUE.search(t[max(0, a - 60) : a]) or ID_AFTER.match(t[b : b + 40])):
-                add("id_number", a, b)
+        if SIX_DIGITS.search(t):
+            for x in ID_SURE.finditer(t):
+                if not NOT_A_NUMBER.search(t[max(0, x.start() - 24) : x.start()]) and not PHONE_CUE.search(t[max(0, x.start() - 30) : x.start()]):
+                    add("id_number", x.start(), x.end())
+        if not m.words.isdisjoint(PAPERS) or any(w.startswith(PAPER_STEMS) for w in m.words):
+            for x in ID.finditer(t):
+                a, b = x.start(), x.end()
+                while a < b and t[a] in " .-":
+                    a += 1
+                if 5 <= _digits(t[a:b]) <= 20 and (ID_CUE.search(t[max(0, a - 60) : a]) or ID_AFTER.match(t[b : b + 60])):
+                    add("id_number", a, b)
         for x in NUMBER.finditer(t):
             a, b, s = x.start(), x.end(), x[0]
             if s.count("(") != s.count(")") or not 7 <= _digits(s) <= 15:
@@ -407,7 +487,7 @@ def find(text: str | None, model: Model) -> list[tuple[str, int, int]]:
                 add("phone", a, b)
             elif 9 <= _digits(s) <= 11 and re.search(r"\p{L}, $", t[max(0, a - 3) : a]) and t[b : b + 2] == ", ":
                 add("phone", a, b)  # a contact line
-    for a, b in sorted(_names(t, model), key=lambda x: x[0] - x[1]):  # the longer of two that overlap
+    for a, b in sorted(_names(m, model), key=lambda x: x[0] - x[1]):  # the longer of two that overlap
         add("name", a, b)
     return sorted(((k, *m.source(a, b)) for k, a, b in got), key=lambda x: x[1])
 
@@ -436,11 +516,7 @@ def fit_model(df: DataFrame, key: str, fields: list[str]) -> Model:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = list(pdf["t"])
-            rows = [("use", w, "", "", 1) for w in used(own)]
-            for (what, a, b, c), n in Model.count(own).items():
-                if what != "name" or not c or not (c[0].islower() or len(c) < 2):
-                    rows.append((what, a, b, c.lower(), n))
+            rows = [(what, a, b, c.lower(), n) for (what, a, b, c), n in Model.count(list(pdf["t"])).items() if what != "name" or not c or not (c[0].islower() or len(c) < 2)]
             yield pd.DataFrame(rows, columns=["what", "a", "b", "c", "n"])
 
     counts = texts.mapInPandas(run, "what string, a string, b string, c string, n bigint").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n"))
