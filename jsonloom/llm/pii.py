@@ -217,6 +217,7 @@ INTRODUCING = frozenset(
     " talked ship send deliver hand care c lieferung liefern senden hd livrer l'attention entregar entréguelo entréguenlo atención pregunte pregunten fragen demandez"
     " mr mrs ms mx dr prof sr sra srta mme mlle m hr fr miss herr herrn frau monsieur madame mademoiselle señor señora don doña sir lady".split()
 )
+FRENCH = frozenset("les des une est et du je nous vous pour dans sur avec mais pas qui que".split())
 INTRODUCING_WORD = _re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: The first word of a sentence, a line or what follows a sign.
 FIRST = _re.compile(r"(?:^|[.!?…:;]\s+|\n\s*|\s{2,}|[^\w\s,'\-()\"]\s+)([^\W\d_]+(?:['\-][^\W\d_]+)*)")
@@ -424,12 +425,13 @@ def introductions(m: Mapped) -> list[int]:
     if m.words.isdisjoint(INTRODUCING):
         return []
     got, low, done = set(), m.text.lower(), 0
+    french = len(FRENCH & m.words) > 1  # elsewhere M. is an initial
     if len(low) != len(m.text):  # a few letters change their length
-        return sorted({x.end() for x in BEFORE.finditer(m.text)})
+        return sorted({x.end() for x in BEFORE.finditer(m.text) if french or not x[0].startswith("M. ")})
     for x in INTRODUCING_WORD.finditer(low):
         if x[0] in INTRODUCING and x.end() > done:
             done = min(len(low), x.end() + 40)
-            got.update(y.end() for y in BEFORE.finditer(m.text, max(0, x.start() - 40), done))
+            got.update(y.end() for y in BEFORE.finditer(m.text, max(0, x.start() - 40), done) if french or not y[0].startswith("M. "))
     return sorted(got)
 
 

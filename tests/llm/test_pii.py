@@ -39,6 +39,8 @@ CASES = [
     ("Dunleary, Iris signed for the parcel.", [("name", "Dunleary, Iris")]),
     ("Ms J. O'Brack from the desk", [("name", "J. O'Brack")]),
     ("Un saludo, Nuria Campuzano Vidal Nota de nada", [("name", "Nuria Campuzano Vidal")]),
+    ("Ask for M. Fenmore at the desk", [("name", "M. Fenmore")]),
+    ("Le colis est chez M. Fenmore et nous attendons", [("name", "Fenmore")]),
     ("my name is tamsin fenmore and I", [("name", "tamsin fenmore")]),
     ("The Walker tent and the Mason drill. My sister signed for the parcel.", []),
     ("", []),
