@@ -6,6 +6,8 @@ collection against all others there is an index elsewhere.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,28 +111,40 @@ def hybrid_search(chunks: DataFrame, edges: DataFrame, query: list[float], k: in
     return own.unionByName(more)
 
 
-def context_needs(chunks: DataFrame) -> DataFrame:
-    """One row: distinct identifiers and the time span of JSON objects (chunk_json), with how many they are."""
-    f = F.from_json("chunk_json", "map<string,string>")
-    e = chunks.select(F.explode(F.map_entries(f)).alias("e")).select("e.key", "e.value")
-    ident = (F.col("key") == "id") | F.col("key").endswith("_id")
-    stamp = F.when(F.col("key").rlike("time|date"), iso_micros(F.col("value")))
-    return e.agg(F.count_distinct(F.when(ident, F.col("value"))).alias("identifiers"), F.min(stamp).alias("first_at"), F.max(stamp).alias("last_at"))
+def context_needs(nodes: DataFrame) -> DataFrame:
+    """One row: distinct identifiers at any depth and the time span of members named after a time, from the node table."""
+    ident = (F.col("member") == "id") | F.col("member").endswith("_id")
+    stamp = F.when(F.col("member").rlike("time|date"), iso_micros(F.col("value")))
+    return nodes.where("kind in ('string', 'int')").agg(F.count_distinct(F.when(ident, F.col("value"))).alias("identifiers"), F.min(stamp).alias("first_at"), F.max(stamp).alias("last_at"))
 
 
 # Least score of a band and the share of the budget that is used up when the band stops.
 BANDS = [("Primary Information", 0.8, 0.7), ("Supporting Information", 0.6, 0.9), ("Additional Context", None, 1.0)]
 
 
+#: Ranges of ordinals in which tokens are summed first.
+RANGES = 4096
+
+
 def assemble_context(chunks: DataFrame, group: list[str], budget: int = 8000) -> DataFrame:
     """The chunks (text, score, ordinal) of each group that fit its token budget, with band and running tokens.
 
     Bands go from the best scores on. A chunk is taken if the tokens before it, those of earlier
-    bands included, are below the band's limit, so each band may overshoot by one chunk.
+    bands included, are below the band's limit, so each band may overshoot by one chunk. Tokens are
+    summed over ranges of ordinals first, and only ranges that begin below the budget are looked at
+    chunk by chunk, so a group of any size is never sorted as a whole.
     """
     score = F.coalesce("score", F.lit(0.0))
     band = F.when(score >= BANDS[0][1], 0).when(score >= BANDS[1][1], 1).otherwise(2)
     c = chunks.withColumn("band", band).withColumn("tokens", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")))
+    low, high = c.agg(F.min("ordinal"), F.max("ordinal")).first()
+    width = max(1.0, ((high or 0) - (low or 0)) / RANGES)
+    c = c.withColumn("_range", F.floor((F.col("ordinal") - F.lit(low or 0)) / width).cast("bigint"))
+    by = [*group, "band", "_range"]
+    sums = c.groupBy(*by).agg(F.sum("tokens").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*group, "band").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sums.withColumn("_before", before).where(F.col("_before") < budget).select(*[F.col(x).alias(f"_{x}_") for x in by])
+    c = c.join(near, reduce(lambda p, q: p & q, [F.col(x).eqNullSafe(F.col(f"_{x}_")) for x in by]), "left_semi").drop("_range")
     w = Window.partitionBy(*group, "band").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_in", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     limits = [int(budget * 0.7), int(budget * 0.7) + int(budget * 0.2), budget]

@@ -288,6 +288,8 @@ with raw as (select chunk_no, case when json_valid(chunk_json) and json_type(chu
 doc as (select chunk_no, js from raw where json_type(js) in ('OBJECT', 'ARRAY')),
 t as materialized (select doc.chunk_no, j.id, j.parent, j.key, j.type, j.value, replace(regexp_replace(j.fullkey, '^\\$\\.?', ''), '"', '') as node from doc, lateral json_tree(doc.js) j)
 """
+#: The kind of a node t.
+KIND = "case when t.type in ('UBIGINT', 'BIGINT', 'HUGEINT') then 'int' when t.type = 'DOUBLE' then 'float' when t.type = 'VARCHAR' then 'string' when t.type = 'BOOLEAN' then 'bool' else lower(t.type) end"
 #: From each node up over arrays to the nearest object, or the root.
 CLIMB = DOCS.replace("with raw", "with recursive raw") + """,
 up as (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jsonloom.operators import nested, orphans, rolling, snapshots
-from jsonloom.plans.corpus import CLIMB
+from jsonloom.plans.corpus import CLIMB, DOCS, KIND
 from jsonloom.session import table
 
 
@@ -121,6 +121,10 @@ ORACLE = {
 select 'json_chunks' as source_table, t.chunk_no as row_key, t.node as node_path, coalesce(a.object_path, '') as parent_path from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.type = 'OBJECT' and t.parent is not null
 union all select 'order_transactions', record_id, 'items[' || (k - 1) || ']', '' from (select record_id, unnest(items) x, generate_subscripts(items, 1) k from order_transactions) where x is not null
 union all select 'product_catalog', record_id, 'variants[' || (k - 1) || ']', '' from (select record_id, unnest(variants) x, generate_subscripts(variants, 1) k from product_catalog) where x is not null""",
+    "p2_schema": DOCS + f"""
+, g as (select chunk_no, id, parent, key, type, node, regexp_replace(node, '\\[\\d+\\]', '[]', 'g') as path from t)
+select distinct path as table_path, '' as member, 'object' as kind from g where type = 'OBJECT'
+union select distinct p.path, t.key, {KIND} from g t join g p on p.chunk_no = t.chunk_no and p.id = t.parent where p.type = 'OBJECT'""",
     "p6_found": _DAILY + "select c as customer_id, strftime(d, '%Y-%m-%d') as activity_day from roll where n7 = 0 and a30 >= 90000",
     "p6_rolling": _DAILY + "select c as customer_id, strftime(d, '%Y-%m-%d') as activity_day, cast(a7 as bigint) as cents_7, cast(n7 as bigint) as orders_7, round(a7 / 700.0, 6) as avg_7, cast(a30 as bigint) as cents_30, cast(n30 as bigint) as orders_30, round(a30 / 3000.0, 6) as avg_30 from roll",
     "p7_found": f"""

