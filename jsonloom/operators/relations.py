@@ -84,6 +84,11 @@ def string_times(nodes: DataFrame) -> DataFrame:
     return t.select("row_key", iso_micros(F.col("value")).alias("at"))
 
 
+def holds_identifier(path: Column) -> Column:
+    """A segment of the path ends in id."""
+    return F.exists(F.split(path, r"\."), lambda s: s.endswith("id"))
+
+
 def reference_edges(leaves: DataFrame, context: DataFrame) -> DataFrame:
     """Edges from chunks to the chunk that holds an identifier of their context.
 
@@ -91,8 +96,7 @@ def reference_edges(leaves: DataFrame, context: DataFrame) -> DataFrame:
     ends in id hold identifiers, the last one by ordinal owning a value. context: (chunk, path,
     field, value) identifiers around each chunk. The kind follows the field's first word.
     """
-    holds = F.exists(F.split("path", r"\."), lambda s: s.endswith("id"))
-    owner = leaves.where(holds & (F.col("value") != "")).groupBy("value").agg(F.max(F.struct("ordinal", "chunk", "path")).alias("o")).select("value", F.col("o.chunk").alias("target"), F.col("o.path").alias("target_path"))
+    owner = leaves.where(holds_identifier(F.col("path")) & (F.col("value") != "")).groupBy("value").agg(F.max(F.struct("ordinal", "chunk", "path")).alias("o")).select("value", F.col("o.chunk").alias("target"), F.col("o.path").alias("target_path"))
     kind = F.lit("reference")
     for word in ("shipment", "warehouse", "product", "supplier"):
         kind = F.when(F.startswith("field", F.lit(f"{word}s_")), f"{word}_reference").otherwise(kind)

@@ -19,7 +19,7 @@ def json_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("test_
 
 def changed(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files that are new or whose hash differs from the registry's."""
-    return files.join(registry.select("filename", "file_hash"), ["filename", "file_hash"], "left_anti")
+    return files.join(registry.select(F.col("file_path").alias("filename"), "file_hash"), ["filename", "file_hash"], "left_anti")
 
 
 def object_roots(docs: DataFrame, text: str) -> DataFrame:
