@@ -38,13 +38,24 @@ def embed(text: Column, provider: Callable[[list[str]], np.ndarray] = hash_vecto
     return run(text)
 
 
-# Members put in front of a text, by the kind of object it is.
+# Members put in front of a text, by the kind of object it is; of a metric all numbers are.
 FRONT = {"entity_definition": ["id", "name", "type", "code"], "event": ["timestamp", "date", "created_at", "status", "state", "type"]}
+#: The kind that an archetype is embedded as.
+KIND_OF = {"entity_collection": "entity_definition", "event_log": "event", "metric_data": "metric"}
 
 
-def fronted(text: Column, fields: Column, kind: str) -> Column:
-    """The text with the telling members of its JSON object in front, as member:value."""
-    if kind not in FRONT:
-        return text
-    parts = [F.concat(F.lit(f"{k}:"), F.get_json_object(fields, f"$.{k}")) for k in FRONT[kind]]
-    return F.trim(F.concat_ws(" ", *parts, text))
+def fronted(text: Column, fields: Column, archetype: Column) -> Column:
+    """The text with the telling members of its JSON object in front, as member:value, by its archetype."""
+
+    def front(parts: Column) -> Column:
+        return F.trim(F.concat_ws(" ", parts, text))
+
+    out = text
+    for name, kind in KIND_OF.items():
+        if kind in FRONT:
+            parts = F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), F.get_json_object(fields, f"$.{k}")) for k in FRONT[kind]]))
+        else:
+            own = F.filter(F.map_entries(F.from_json(fields, "map<string,string>")), lambda e: e["value"].rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"))
+            parts = F.transform(own, lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+        out = F.when(archetype == name, front(F.coalesce(parts, F.array().cast("array<string>")))).otherwise(out)
+    return out

@@ -144,6 +144,13 @@ def pattern_counts(patterns: DataFrame, least: float = 0.5) -> DataFrame:
     return long.groupBy("pattern").agg(F.count_if(F.col("confidence") > least).alias("documents"))
 
 
+def best_patterns(patterns: DataFrame) -> DataFrame:
+    """(row_key, pattern, confidence): the pattern that fits a document best, ties by name; documents without any are left out."""
+    names = [c for c in patterns.columns if c != "row_key"]
+    best = F.array_min(F.array(*[F.struct((-F.col(n)).alias("c"), F.lit(n).alias("pattern")) for n in names]))
+    return patterns.select("row_key", best["pattern"].alias("pattern"), (-best["c"]).alias("confidence")).where("confidence > 0")
+
+
 def key_edges(nodes: DataFrame) -> DataFrame:
     """In-document references: members id, ref, parent_id or *_id, from the object above to the name."""
     n = nodes.where(F.col("member").isin("id", "ref", "parent_id") | F.col("member").endswith("_id"))

@@ -49,6 +49,36 @@ def tagged(chunk_json: Column) -> Column:
     return run(chunk_json)
 
 
+#: Characters beyond which a JSON text, and a container in it, is shown shortened.
+LONG, LONG_MEMBER = 500, 200
+
+
+def shrunk(chunk_json: Column) -> Column:
+    """A long JSON text with its long containers shortened: of an object the first members, of an array the number of its items."""
+
+    def short(v):
+        if isinstance(v, dict) and len(json.dumps(v)) > LONG_MEMBER:
+            return {k: "..." for k in list(v)[:SAMPLE]}
+        if isinstance(v, list) and len(json.dumps(v)) > LONG_MEMBER:
+            return ["...", f"({len(v)} items total)"]
+        return v
+
+    def one(t):
+        if not isinstance(t, str) or len(t) <= LONG:
+            return t
+        try:
+            v = loads(t)
+        except ValueError:
+            return t
+        return clean(json.dumps({k: short(x) for k, x in v.items()}, ensure_ascii=False)) if isinstance(v, dict) else t
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in s], dtype=object)
+
+    return run(chunk_json)
+
+
 def enhance(chunks: DataFrame) -> DataFrame:
     """Chunks with tagged value, path depth, kind and category, and what their scalar tells as number, text and time."""
     raw = F.when(F.col("value_type") == "str", F.get_json_object(F.concat(F.lit('{"v":'), "chunk_json", F.lit("}")), "$.v"))

@@ -12,7 +12,7 @@ GROUPS = ["project", "team", "organization", "department"]
 
 
 def _context(which: Column) -> Column:
-    """The other members of an entity object with their texts (containers as null)."""
+    """The other members of an entity object with their texts (containers as JSON)."""
     named = {kind: k for k, kind in IDENTIFYING}
     own = F.create_map(*[F.lit(x) for kind, k in named.items() for x in (kind, k)])[which]
     pairs = F.filter(F.arrays_zip("members", "texts"), lambda z: z["members"] != own)

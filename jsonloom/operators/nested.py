@@ -85,7 +85,7 @@ def _variant(text: Column) -> Column:
     return F.when(told & (F.try_variant_get(F.get(whole, 1), "$", "string") == _END), F.get(whole, 0))
 
 
-def _opened(df: DataFrame, key: str, text: str) -> DataFrame:
+def opened(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_key, t, v) of the non-empty texts; a text that is one JSON string holding JSON is read as that."""
     d = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("t")).where("t <> ''").withColumn("v", _variant(F.col("t")))
     inner = F.when(F.col("t").rlike(r'^[ \t\n\r]*"'), F.try_variant_get("v", "$", "string"))
@@ -131,7 +131,7 @@ def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def variant_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_key, table_path, node_path, parent_path, ordinal, depth, node_id, parent_id) of each object below the root of the JSON texts."""
     deepest = _schema(df, text).agg(F.max("depth")).first()[0] or 0
-    read = _opened(df, key, text)
+    read = opened(df, key, text)
     names = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth"]
     none, blank = F.lit(None).cast("int"), F.lit("")
     root = F.struct(blank.alias("table_path"), blank.alias("node_path"), blank.alias("parent_path"), none.alias("ordinal"), F.lit(0).alias("depth"), F.lit(True).alias("open"), F.col("v"))

@@ -69,6 +69,15 @@ def key_value_pairs(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind not in ('object', 'array')").select("row_key", name.alias("key_name"), F.col("value").alias("value_text"), F.col("kind").alias("data_type"), "path")
 
 
+def with_pairs(pairs: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """(row_key) of the documents that have all the wanted key=value pairs somewhere; none wanted gives all documents with pairs."""
+    out = None
+    for k, v in wanted.items():
+        own = pairs.where((F.col("key_name") == k) & (F.col("value_text") == v)).select("row_key").distinct()
+        out = own if out is None else out.join(own, "row_key", "left_semi")
+    return pairs.select("row_key").distinct() if out is None else out
+
+
 def structure_stats(nodes: DataFrame) -> DataFrame:
     """Per document: nodes, greatest depth, arrays, and scalars by kind."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")

@@ -111,6 +111,22 @@ def keyed_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def united(*edges: DataFrame) -> DataFrame:
+    """Edges of several kinds as one."""
+    out = edges[0].select(*EDGE)
+    for e in edges[1:]:
+        out = out.unionByName(e.select(*EDGE))
+    return out
+
+
+def membership_edges(links: DataFrame) -> DataFrame:
+    """semantic_links as edges: from a chunk to each class of its group that it is related to, with the number of its members."""
+    group = [c for c in links.columns if c not in ("chunk", "source_class", "target_class", "confidence", "links")]
+    target = F.concat_ws("#", F.col("target_class"), *[F.col(c) for c in group])
+    e = links.groupBy(F.col("chunk").cast("string").alias("source"), target.alias("target")).agg(F.max("confidence").alias("c"), F.max("links").alias("links"))
+    return _edge(e, "semantic", F.col("c"), links=F.col("links"))
+
+
 def top_edges(edges: DataFrame, n: int = 3) -> DataFrame:
     """The n outgoing edges of each source with the highest confidence, ties by target and type."""
     w = Window.partitionBy("source").orderBy(F.desc("confidence"), "target", "relationship_type")

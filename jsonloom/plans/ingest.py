@@ -11,7 +11,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.functions.embedding import embed
+from jsonloom.functions.embedding import embed, fronted
 from jsonloom.operators import archetypes as A
 from jsonloom.operators import chunks as C
 from jsonloom.operators import relations as R
@@ -64,13 +64,16 @@ def ingest_rows(files: DataFrame, store: Store, most: int | None = None) -> None
     got = written(C.json_chunks(docs, "row_key", "filename", "raw", most=most), "ingest-chunks")
     if most is not None:
         log.warning("documents are cut after %d chunks each", most)
-    store.replace("json_chunks", got.withColumns({"embedding": embed(F.col("chunk_json")), "updated_at": F.current_timestamp()}), names)
     nodes = json_nodes(docs, "row_key", "raw")
     of = docs.select("row_key", F.col("filename").alias("file_path"))
     kv = key_value_pairs(nodes).join(of, "row_key").withColumn("chunk_id", C.chunk_id(F.col("file_path"), F.col("path")))
     store.replace("chunk_key_values", kv, names)
     ranked = A.rank_archetypes(A.json_objects(docs, "row_key", "raw")).join(of, "row_key").withColumn("chunk_id", C.chunk_id(F.col("file_path"), F.col("node_path")))
-    store.replace("chunk_archetypes", ranked.join(got.where("value_type = 'dict'").select("file_path", "chunk_id"), ["file_path", "chunk_id"], "left_semi"), names)
+    ranked = written(ranked.join(got.where("value_type = 'dict'").select("file_path", "chunk_id"), ["file_path", "chunk_id"], "left_semi"), "ingest-archetypes")
+    store.replace("chunk_archetypes", ranked, names)
+    top = ranked.where("rank = 1").select("file_path", "chunk_id", "archetype").dropDuplicates(["file_path", "chunk_id"])
+    text = fronted(F.col("chunk_json"), F.col("chunk_json"), F.col("archetype"))
+    store.replace("json_chunks", got.join(top, ["file_path", "chunk_id"], "left").withColumns({"embedding": embed(text), "updated_at": F.current_timestamp()}), names)
     store.replace("group_parts", group_summary(got.where("value_type = 'dict'"), "chunk_json", within=["file_path"]), names)
     store.replace("chunk_ids", identifiers(got), names)
     store.replace("chunk_mentions", mentions(got), names)

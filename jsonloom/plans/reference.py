@@ -16,8 +16,11 @@ from jsonloom.operators import relations as R
 from jsonloom.operators import retrieval as V
 from jsonloom.operators.summaries import group_summary
 from jsonloom.plans import intent as I
+from jsonloom.plans.ingest import identifiers, mentions
 from jsonloom.plans.corpus import BASE, CLIMB, DOCS, KIND, interactions
 from jsonloom.session import table
+from jsonloom.sources.files import changed
+from jsonloom.sources.files import object_roots as object_documents
 from jsonloom.streaming.streams import event_windows, sessions
 
 QUERIES, ORACLE = {}, {}
@@ -99,7 +102,7 @@ def chunk_children(spark, sf):
 @query()
 def enhanced_chunks(spark, sf):
     c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", "full", most=None, context=False)
-    return X.enhance(c).select("row_key", "path", "tagged", "path_depth", "path_kind", "path_category", F.col("numeric_meta.magnitude").alias("magnitude"), F.col("string_meta.length").alias("length"), F.col("temporal_meta.weekday").alias("weekday"))
+    return X.enhance(c).select("row_key", "path", "tagged", X.shrunk(F.col("chunk_json")).alias("shown"), "path_depth", "path_kind", "path_category", F.col("numeric_meta.magnitude").alias("magnitude"), F.col("string_meta.length").alias("length"), F.col("temporal_meta.weekday").alias("weekday"))
 
 
 @query()
@@ -243,6 +246,37 @@ def key_edges(spark, sf):
     return A.key_edges(_nodes(spark, sf))
 
 
+@query(_DOC_PATTERNS + ", u as (" + " union all ".join(f"select row_key, '{n}' as pattern, {n} as confidence from s" for n in _PATTERNS) + ") select row_key, pattern, confidence from (select *, row_number() over (partition by row_key order by confidence desc, pattern) as rn from u) where rn = 1 and confidence > 0")
+def best_patterns(spark, sf):
+    return A.best_patterns(A.document_patterns(_nodes(spark, sf)))
+
+
+@query(DOCS + "select chunk_no as row_key from raw where json_type(js) = 'OBJECT'")
+def object_roots(spark, sf):
+    return object_documents(_docs(spark, sf), "chunk_no", "chunk_json").select("row_key")
+
+
+@query(DOCS + "select chunk_no as row_key, replace(regexp_replace(node, '\\[\\d+\\]', '', 'g'), '.', '_') as field, value ->> '$' as value from t where parent is not null and type = 'VARCHAR' and not regexp_matches(node, '\\]$') and (key = 'id' or ends_with(key, '_id'))")
+def context_ids(spark, sf):
+    return E.context_ids(_nodes(spark, sf))
+
+
+@query(DOCS + "select a.chunk_no as row_key from (select distinct chunk_no from t where key = 'type' and value ->> '$' = 'product_review') a join (select distinct chunk_no from t where key = 'rating' and value ->> '$' = '5') b using (chunk_no)")
+def key_value_search(spark, sf):
+    """Documents with all key=value pairs of a question."""
+    kv = N.key_value_pairs(_nodes(spark, sf))
+    return N.with_pairs(kv, spark.range(1).select(I.key_values(F.lit("reviews with type=product_review rating=5")).alias("m")).first()["m"])
+
+
+@query("select doc_id as filename from documents where doc_id % 2 = 0 or doc_id % 10 = 5")
+def changed_files(spark, sf):
+    """Texts as files, against a registry in which every second has another hash and some are missing."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("filename"), F.coalesce("text", F.lit("")).alias("t"))
+    files = d.select("filename", F.sha2("t", 256).alias("file_hash"))
+    old = F.when(F.col("filename") % 2 == 0, F.concat("t", F.lit("."))).otherwise(F.col("t"))
+    return changed(files, d.where("filename % 10 <> 5").select(F.col("filename").alias("file_path"), F.sha2(old, 256).alias("file_hash"))).select("filename")
+
+
 # -- entities and relations -----------------------------------------------------------------------------
 
 
@@ -303,11 +337,25 @@ def rel_temporal(spark, sf):
 
 @query()
 def rel_reference(spark, sf):
-    n = _nodes(spark, sf).where("kind = 'string'")
-    chunk = F.concat_ws("#", F.col("row_key").cast("string"), F.col("path"))
-    leaves = n.select(chunk.alias("chunk"), F.col("row_key").alias("ordinal"), "path", "value")
-    ctx = n.where("member = 'id' or member like '%\\\\_id'").select(chunk.alias("chunk"), "path", F.col("member").alias("field"), "value")
-    return R.reference_edges(leaves, ctx)
+    """Edges from each chunk to the chunks that hold the identifiers around it."""
+    c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json").withColumn("chunk_id", F.concat_ws("#", F.col("row_key").cast("string"), F.col("path")))
+    return R.reference_edges(identifiers(c), mentions(c).drop("file_path"))
+
+
+_EXPLICIT = ORACLE["rel_explicit"]
+
+
+@query(f"""
+select source::varchar as source, target::varchar as target, 'explicit' as relationship_type, 1.0::double as confidence from ({_EXPLICIT})
+union all select source, target, 'temporal', confidence from ({ORACLE["rel_temporal"]})
+union all select chunk::varchar, target_class || '#' || file_path, 'semantic', max(confidence)::double from ({ORACLE["rel_semantic"]}) group by 1, 2""")
+def rel_all(spark, sf):
+    n = _nodes(spark, sf).where("kind = 'string' and member is not null")
+    key = F.col("row_key").cast("string")
+    explicit = R.explicit_edges(n.select(key.alias("chunk"), F.col("row_key").alias("ordinal"), "member", "value"))
+    i = interactions(spark, sf, "at", "customer_id", "product_id").where("customer_id is not null and product_id is not null")
+    temporal = R.temporal_edges(i.withColumnRenamed("interaction_id", "chunk"), ["customer_id", "product_id"])
+    return R.united(explicit, temporal, R.membership_edges(rel_semantic(spark, sf))).drop("metadata")
 
 
 def _tree(spark, sf):
@@ -322,6 +370,16 @@ def graph_expand(spark, sf):
     return R.expand(e, e.select(F.col("source").alias("chunk")).where("source like 'c%'"))
 
 
+_EDGES = "select 'c' || c_custkey as source, 'n' || c_nationkey as target from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation"
+
+
+@query(f"with e as ({_EDGES}) select source as chunk, target as other, 'out' as direction, 'in_place' as relationship_type, 1.0::double as confidence from e union all select target, source, 'in', 'in_place', 1.0 from e")
+def edges_touching(spark, sf):
+    e = _tree(spark, sf).withColumns({"relationship_type": F.lit("in_place"), "confidence": F.lit(1.0)})
+    nodes = e.select(F.col("source").alias("chunk")).unionByName(e.select(F.col("target").alias("chunk")))
+    return R.touching(e, nodes)
+
+
 @query("with e as (select distinct l_orderkey as source, l_partkey as target, 'order_part' as relationship_type, round(1 - l_discount, 4) as confidence from lineitem) select * from (select *, row_number() over (partition by source order by confidence desc, target, relationship_type)::int as rank from e) where rank <= 3")
 def top_edges(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -367,6 +425,14 @@ def knn_each(spark, sf):
     return got.select("q", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("with p as (select q.vec_id as q, v.vec_id as id, round(1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as distance from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) select q, id, round(1 - distance, 6) as relevance from (select *, row_number() over (partition by q order by distance, id) as rank from p) where rank <= 3 and distance <= 0.15")
+def similar_pairs(spark, sf):
+    """Of each row of the query set the three most similar others at 0.85 or above."""
+    e = table(spark, sf, "embeddings")
+    got = V.nearest_each(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    return got.where("distance <= 0.15").select("q", "id", F.round(1 - F.col("distance"), 6).alias("relevance"))
+
+
 @query(f"with e as (select vec_id as source, lead(vec_id) over (partition by label order by vec_id) as target from embeddings), seed as (select vec_id, round(1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), 6) as distance, row_number() over (order by 1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), vec_id)::int as place from embeddings qualify place <= 5) select vec_id as seed, vec_id as chunk, 'base' as role, place, distance from seed union all select s.vec_id, a.target, 'related', 1, null from seed s join e a on a.source = s.vec_id where a.target is not null union all select s.vec_id, b.target, 'related', 2, null from seed s join e a on a.source = s.vec_id join e b on b.source = a.target where b.target is not null")
 def hybrid_search(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -474,6 +540,15 @@ def time_ranges(spark, sf):
     return r.select("record_id", second("r.start").alias("range_start"), second("r.end").alias("range_end"))
 
 
+@query(f"""
+with x as (select record_id, "timestamp" as s from order_transactions union all select -record_id, transaction_date from order_transactions)
+select record_id, strftime(case when regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z$') then try_strptime(s, '%Y-%m-%dT%H:%M:%SZ') when regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}}$') then try_strptime(s, '%Y-%m-%d %H:%M:%S') when regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') then try_strptime(s, '%Y-%m-%d') end, '%Y-%m-%d %H:%M:%S') as parsed from x""")
+def parsed_timestamps(spark, sf):
+    o = table(spark, sf, "order_transactions")
+    x = o.select("record_id", F.col("timestamp").alias("s")).unionByName(o.select((-F.col("record_id")).alias("record_id"), F.col("transaction_date").alias("s")))
+    return x.select("record_id", F.date_format(S.parse_timestamp(F.col("s")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
 @query()
 def entity_references(spark, sf):
     return _texts(spark, sf).select("id", F.explode(I.entity_references(F.col("text"))).alias("key", "value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jsonloom.operators.nested import opened
+
 
 def json_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("test_queries",)) -> DataFrame:
     """(filename, file_hash, last_modified, raw, corrupt) of all .json files below a folder.
@@ -22,6 +24,6 @@ def changed(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(registry.select(F.col("file_path").alias("filename"), "file_hash"), ["filename", "file_hash"], "left_anti")
 
 
-def object_roots(docs: DataFrame, text: str) -> DataFrame:
-    """The documents whose root is an object."""
-    return docs.where(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"))
+def object_roots(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents (row_key, t) whose root is an object."""
+    return opened(docs, key, text).where(F.try_variant_get("v", "$", "map<string,variant>").isNotNull()).select("row_key", "t")

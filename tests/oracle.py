@@ -39,3 +39,11 @@ def compare(spark, con, query, sql, folder=DATA):
     assert sorted(rel.columns) == names
     b = sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
     assert a == b
+
+
+def filled(df):
+    """For queries that SQL cannot express, beside their own tests: rows come out, none twice, and no column is empty."""
+    rows = [tuple(map(repr, r)) for r in df.collect()]
+    assert rows and len(rows) == len(set(rows))
+    for i, c in enumerate(df.columns):
+        assert any(r[i] != "None" for r in rows), c
