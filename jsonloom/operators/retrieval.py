@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.keys import iso_micros
 from jsonloom.operators.relations import expand
+from jsonloom.session import written
 
 #: Query vectors that go to the workers at once.
 BLOCK = 4096
@@ -102,7 +103,7 @@ def hybrid_search(chunks: DataFrame, edges: DataFrame, query: list[float], k: in
     """
     seeds = nearest(chunks, "v", query, k, where=where).select("id", "distance")
     w = Window.orderBy("distance", "id")  # over the k seeds
-    seeds = seeds.withColumn("place", F.row_number().over(w)).persist()
+    seeds = written(seeds.withColumn("place", F.row_number().over(w)), "seeds")
     own = seeds.select(F.col("id").alias("seed"), F.col("id").alias("chunk"), F.lit("base").alias("role"), "place", "distance")
     step = edges.where(F.col("confidence") >= least)
     got = expand(step, seeds.select(F.col("id").alias("chunk")), depth, related)

@@ -2,6 +2,7 @@ import json
 
 from jsonloom.operators import chunks as C
 from jsonloom.operators import enrich as X
+from jsonloom.operators.nodes import json_nodes
 from jsonloom.operators.retrieval import context_needs, hybrid_search
 
 
@@ -32,6 +33,6 @@ def test_hybrid_search(spark, rows):
 
 
 def test_needs(spark):
-    d = spark.createDataFrame([('{"id": "a", "x_id": "b", "timestamp": "2024-01-01T00:00:00Z"}',), ('{"id": "a", "date": "2024-01-02"}',), ("{",), (None,)], "chunk_json string")
-    r = context_needs(d).first()
+    d = spark.createDataFrame([(1, '{"id": "a", "x": [{"x_id": "b", "timestamp": "2024-01-01T00:00:00Z"}]}'), (2, '{"id": "a", "date": "2024-01-02"}'), (3, "{"), (4, None)], "k bigint, chunk_json string")
+    r = context_needs(json_nodes(d, "k", "chunk_json")).first()
     assert r["identifiers"] == 2 and r["last_at"] - r["first_at"] == 86_400_000_000
