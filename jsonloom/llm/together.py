@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.keys import latest, norm_key
-from jsonloom.session import BROADCAST_ROWS
+from jsonloom.session import BROADCAST_ROWS, written
 
 WIDE = 1000
 PARTS = 16
@@ -104,9 +104,10 @@ def llr(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
 def pairs_together(baskets: DataFrame, items: str, support: int = 1, lift: float = 0.0) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n_all, lift, llr), item_a < item_b, of arrays of items, one row a basket."""
     xs = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull())))
-    b = baskets.select(F.coalesce(xs, F.array().cast("array<string>")).alias("xs")).persist()
+    b = written(baskets.select(F.coalesce(xs, F.array().cast("array<string>")).alias("xs")), "baskets")
     total = b.count()
-    singles = b.select(F.explode("xs").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= support) & (F.col("n") * lift <= total)).persist()
+    singles = b.select(F.explode("xs").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= support) & (F.col("n") * lift <= total))
+    singles = written(singles, "single-items")
     few = singles.select("item").limit(BROADCAST_ROWS + 1).collect()  # at most BROADCAST_ROWS + 1 rows
     wanted = baskets.sparkSession.sparkContext.broadcast({r[0] for r in few}) if len(few) <= BROADCAST_ROWS else None
     usual = b.where((F.size("xs") > 1) & (F.size("xs") <= WIDE)).select("xs", F.lit(-1).alias("low"))
