@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,51 +47,68 @@ def nearest(rows: DataFrame, vector: str, query: list[float], k: int = 3, metric
 def nearest_each(queries: DataFrame, rows: DataFrame, k: int = 3, metric: str = "cosine") -> DataFrame:
     """(q, id, distance, rank): for each row (q, qv) of a stated query set the k nearest of (id, v), itself left out.
 
-    The query set is taken to the workers in blocks of `BLOCK` vectors; each partition of rows keeps
-    its own k best per query, so only those are shuffled. Rows whose vector is null, of another
-    length or, for cosine, all zero are nobody's neighbours. Distances are double; ties go to the smaller id.
+    A query set of at most `BLOCK` vectors goes to the workers as a whole; a larger one, and the rows,
+    are cut into blocks by hash, and each block of queries meets each block of rows in a task of
+    bounded size. Each keeps its own k best per query, so only those are shuffled. Rows whose vector
+    is null, of another length or, for cosine, all zero are nobody's neighbours. Distances are double;
+    ties go to the smaller id.
     """
-    out, block = None, []
-    for r in queries.select("q", "qv").where("qv is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            got, block = _near_block(rows, block, k, metric), []
-            out = got if out is None else out.unionByName(got)
-    if block or out is None:
-        got = _near_block(rows, block, k, metric)
-        out = got if out is None else out.unionByName(got)
+    q, r = queries.select("q", "qv").where("qv is not null"), rows.select("id", "v").where("v is not null")
+    n = q.count()
+    if n <= BLOCK:
+        held = q.toArrow()  # at most BLOCK vectors
+        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(held["q"], np.int64), held["qv"].to_pylist()))
+
+        def run(batches):
+            yield from _best(*shared.value, batches, k, metric)
+
+        got = r.mapInArrow(run, "q bigint, id bigint, distance double")
+    else:
+        n_q, n_r = -(-n // BLOCK), max(1, -(-r.count() // (16 * BLOCK)))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        a = q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn("c", every(n_r))
+        d = r.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n_r)).cast("int")).withColumn("b", every(n_q))
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_best(np.asarray(x["q"], np.int64), x["qv"].to_pylist(), y.select(["id", "v"]).to_batches(), k, metric), schema=_NEAR)
+
+        got = a.groupBy("b", "c").cogroup(d.groupBy("b", "c")).applyInArrow(meet, "q bigint, id bigint, distance double")
     w = Window.partitionBy("q").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _near_block(rows: DataFrame, block: list, k: int, metric: str) -> DataFrame:
-    dim = len(block[0][1]) if block else 0
-    ids = np.array([q for q, v in block if len(v) == dim], np.int64)
-    x = np.array([v for _, v in block if len(v) == dim], np.float64).reshape(len(ids), dim)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+_NEAR = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
-    def run(batches):
-        ids, x = shared.value
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for pdf in batches:
-            good = [i for i, v in enumerate(pdf["v"]) if v is not None and len(v) == dim]
-            if not good or not len(ids):
+
+def _best(ids: np.ndarray, vectors: list, batches, k: int, metric: str) -> list[pa.RecordBatch]:
+    """The k nearest rows (id, v) of the batches for each query vector."""
+    best = {}
+    for dim in sorted({len(v) for v in vectors} - {0}):
+        own = [i for i, v in enumerate(vectors) if len(v) == dim]
+        best[dim] = [ids[own], np.array([vectors[i] for i in own], np.float64), np.full((len(own), 0), np.inf), np.zeros((len(own), 0), np.int64)]
+    for batch in batches:
+        sizes = np.asarray(batch.column(1).value_lengths().fill_null(-1))
+        for dim, state in best.items():
+            of, x, best_d, best_i = state
+            ok = pa.array(np.flatnonzero(sizes == dim))
+            if not len(ok):
                 continue
-            own, y = pdf["id"].to_numpy(np.int64)[good], np.array([pdf["v"].iloc[i] for i in good], np.float64)
+            own, y = np.asarray(batch.column(0).take(ok), np.int64), np.asarray(batch.column(1).take(ok).flatten().fill_null(np.nan), np.float64).reshape(-1, dim)
             if metric == "cosine":
                 size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.where(size > 0, 1 - (x @ y.T) / size, np.inf)
             else:
                 d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
-            d = np.where(ids[:, None] == own[None, :], np.inf, np.round(d, 9))
-            d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, (len(ids), len(own)))])
+            d = np.where((of[:, None] == own[None, :]) | np.isnan(d), np.inf, np.round(d, 9))
+            d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, (len(of), len(own)))])
             order = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        q, n = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"q": ids[q], "id": best_i[q, n], "distance": best_d[q, n]})
-
-    return rows.select("id", "v").mapInPandas(run, "q bigint, id bigint, distance double")
+            state[2:] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    out = []
+    for of, _, d, i in best.values():
+        q, n = np.nonzero(np.isfinite(d))
+        out.append(pa.record_batch([pa.array(of[q]), pa.array(i[q, n]), pa.array(d[q, n])], schema=_NEAR))
+    return out
 
 
 def hybrid_search(chunks: DataFrame, edges: DataFrame, query: list[float], k: int = 3, related: int = 3, depth: int = 2, where: Column | None = None, least: float = 0.0) -> DataFrame:

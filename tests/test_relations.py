@@ -1,6 +1,7 @@
 import random
 
 from jsonloom.operators import relations as R
+from jsonloom.operators import retrieval
 from jsonloom.operators.intervals import within
 from jsonloom.operators.retrieval import assemble_context, nearest, nearest_each
 
@@ -66,7 +67,32 @@ def test_nearest(spark):
     assert nearest_each(q.limit(0), v).count() == 0 and nearest_each(q, v.limit(0)).count() == 0
 
 
+def test_blocks_of_queries_as_one(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, None if i % 17 == 0 else [rnd.gauss(0, 1) for _ in range(3 if i % 5 else 2)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id bigint, v array<float>")
+    q = v.where("id % 3 = 0").selectExpr("id as q", "v as qv")
+    plain = lambda: sorted(map(tuple, nearest_each(q, v, 4).collect()))
+    want = plain()
+    monkeypatch.setattr(retrieval, "BLOCK", 10)
+    assert plain() == want and want
+
+
 def test_context(spark):
     c = spark.createDataFrame([("g", 1, "a b c d", 0.9), ("g", 2, "e f g h", 0.9), ("g", 3, "i", 0.9), ("g", 4, "x y", 0.7), ("g", 5, "z", None), ("g", 6, None, 0.1)], "g string, ordinal int, text string, score double")
     got = sorted((r["ordinal"], r["tokens_before"]) for r in assemble_context(c, ["g"], 10).collect())
     assert got == [(1, 0), (2, 4), (4, 8)]
+
+
+def test_context_of_a_large_group(spark):
+    rnd = random.Random(3)
+    rows = [("g", i, " ".join("w" * rnd.randint(0, 3)), rnd.choice([0.9, 0.7, 0.1])) for i in rnd.sample(range(10**6), 3000)]
+    got = sorted((r["ordinal"], r["tokens_before"]) for r in assemble_context(spark.createDataFrame(rows, "g string, ordinal int, text string, score double"), ["g"], 500).collect())
+    want, before = [], 0
+    for band, limit in ((0.9, 350), (0.7, 450), (0.1, 500)):
+        for _, i, t, _ in sorted((r for r in rows if r[3] == band), key=lambda r: r[1]):
+            if before >= limit:
+                break
+            want.append((i, before))
+            before += len(t.split())
+    assert got == sorted(want)
