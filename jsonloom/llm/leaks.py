@@ -120,6 +120,32 @@ class Segment:
         return np.unique(at >> SHIFT)
 
 
+class Windows:
+    """All runs of n words of some texts, and which of them a segment can hold at all."""
+
+    def __init__(self, texts: list[list[str]], n: int):
+        flat = [w for ws in texts for w in ws]
+        code, self.terms = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), np.zeros(0, object))
+        self.code, self.n = code, n
+        sizes = np.array([len(ws) for ws in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.text = np.repeat(np.arange(len(texts)), np.maximum(sizes - n + 1, 0))
+        self.offset = np.arange(len(self.text)) - np.repeat(np.cumsum(np.maximum(sizes - n + 1, 0)) - np.maximum(sizes - n + 1, 0), np.maximum(sizes - n + 1, 0))
+        self.at = starts[self.text] + self.offset if len(texts) else np.zeros(0, np.int64)
+
+    def possible(self, seg: Segment) -> Iterator[tuple[int, list[int]]]:
+        """(text, offsets) of the runs of which the segment has every word."""
+        if not len(self.at):
+            return
+        lacks = np.fromiter((t not in seg.at for t in self.terms), bool, len(self.terms))
+        missing = np.concatenate([[0], np.cumsum(lacks[self.code])])
+        ok = np.flatnonzero(missing[self.at + self.n] == missing[self.at])
+        cuts = np.flatnonzero(np.diff(self.text[ok])) + 1
+        for part in np.split(ok, cuts):
+            if len(part):
+                yield int(self.text[part[0]]), self.offset[part].tolist()
+
+
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
     """The query set in blocks of at most BLOCK_WORDS words (or one text), streamed to the driver."""
     block, n = [], 0
@@ -150,16 +176,17 @@ def find_passages(index: DataFrame, items: DataFrame, item_key: str, item_text:
     for block in _blocks(items, item_key, item_text):
         rank = _ranks(index, block)
         asked = [(i, ws) for i, ws in block if len(ws) >= n]
-        shared = index.sparkSession.sparkContext.broadcast((asked, rank))
+        shared = index.sparkSession.sparkContext.broadcast((asked, rank, Windows([ws for _, ws in asked], n)))
 
         def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            asked, rank = shared.value
+            asked, rank, windows = shared.value
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
                     seg, rows = Segment(row), []
-                    for item, ws in asked:
+                    for k, offsets in windows.possible(seg):
+                        item, ws = asked[k]
                         hits: dict[int, list[tuple[int, int]]] = {}
-                        for o in range(len(ws) - n + 1):
+                        for o in offsets:
                             for place in seg.phrase(ws[o : o + n], rank).tolist():
                                 hits.setdefault(place >> SHIFT, []).append(((place & ((1 << SHIFT) - 1)) - o, o))
                         for doc, found in hits.items():
