@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jsonloom.functions.jsonwalk import clean, document
@@ -154,12 +154,21 @@ def children(chunks: DataFrame, levels: int = 2) -> DataFrame:
     return parents(chunks, levels).select(F.col("parent").alias("chunk_id"), "level", F.col("chunk_id").alias("child"))
 
 
-def with_context(chunks: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
-    """(chunk_id, text): lines for the stored parents, the chunk and its children, root first."""
+def with_context(chunks: DataFrame, up: int = 3, down: int = 2, most: int | None = None) -> DataFrame:
+    """(chunk_id, text): lines for the stored parents, the chunk and its children, root first.
+
+    most: of the children of a chunk only the first so many, by level, ordinal and line. Without it
+    the text of a chunk with very many children is as long as all of them.
+    """
     line = lambda word: F.concat(F.lit(word), F.lit(" ("), "path", F.lit("): "), "chunk_json")
     body = chunks.select("chunk_id", "path", "chunk_json", "ordinal")
     p = parents(chunks, up).join(body.withColumnRenamed("chunk_id", "parent"), "parent").select("chunk_id", (-F.col("level")).alias("place"), "ordinal", line("Parent").alias("line"))
     c = children(chunks, down).join(body.withColumnRenamed("chunk_id", "child"), "child").select("chunk_id", "level", "ordinal", line("Child").alias("line")).withColumnRenamed("level", "place")
+    if most is not None:
+        order = ["place", "ordinal", "line"]
+        salted = Window.partitionBy("chunk_id", F.pmod(F.xxhash64("line"), F.lit(64))).orderBy(*order)
+        c = c.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= most)
+        c = c.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where(F.col("_r") <= most).drop("_r")
     own = body.select("chunk_id", F.lit(0).alias("place"), "ordinal", F.concat(F.lit("Current: "), "chunk_json").alias("line"))
     rows = p.unionByName(own).unionByName(c)
     return rows.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "ordinal", "line"))), lambda x: x["line"]), "\n").alias("text"))

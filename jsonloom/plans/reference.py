@@ -93,10 +93,54 @@ def leaf_chunks(spark, sf):
     return C.leaf_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "chunk_id", "path", "value_type")
 
 
-@query()
+def _place_chunks(spark, sf):
+    """Regions, nations and customers as chunks of one tree."""
+    r, n, c = (table(spark, sf, t) for t in ("region", "nation", "customer"))
+    key = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    none = F.lit(None).cast("string")
+    of = lambda df, k, parent, name: df.select(k.alias("chunk_id"), parent.alias("parent_id"), F.concat(F.lit("p."), k).alias("path"), F.concat(F.lit('"'), F.col(name), F.lit('"')).alias("chunk_json"))
+    rows = of(r, key("r", "r_regionkey"), none, "r_name").unionByName(of(n, key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name")).unionByName(of(c, key("c", "c_custkey"), key("n", "c_nationkey"), "c_name"))
+    return rows.withColumns({"ordinal": F.substring("chunk_id", 2, 20).cast("int"), "depth": F.when(F.col("chunk_id").startswith("r"), 0).when(F.col("chunk_id").startswith("n"), 1).otherwise(2), "metadata": F.when(F.col("chunk_id").startswith("c"), F.lit("{}")).otherwise(F.lit('{"has_children": true}'))})
+
+
+_PLACES = """
+with k as (
+  select 'r' || r_regionkey as id, null as parent, r_name as name, r_regionkey as o, 0 as depth from region
+  union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey, 1 from nation
+  union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, c_custkey, 2 from customer),
+up as (
+  select id, 1 as level, parent from k where parent is not null
+  union all select k.id, 2, p.parent from k join k p on p.id = k.parent where p.parent is not null)
+"""
+
+
+@query(_PLACES + "select parent as chunk_id, level::int as level, id as child from up")
 def chunk_children(spark, sf):
-    c = C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", "full", most=None, context=False).dropDuplicates(["chunk_id"])
-    return C.children(c)
+    return C.children(_place_chunks(spark, sf))
+
+
+@query(_PLACES + "select id as chunk_id, level::int as level, parent from up")
+def chunk_parents(spark, sf):
+    return C.parents(_place_chunks(spark, sf))
+
+
+@query(_PLACES + "select id as chunk_id, parent as parent_id, depth::int as depth, 'p.' || id as path, depth < 2 as has_children from k")
+def chunk_hierarchy(spark, sf):
+    return C.hierarchy_info(_place_chunks(spark, sf))
+
+
+@query(
+    _PLACES
+    + """,
+line as (
+  select up.id, -level as place, k.o, 'Parent (p.' || k.id || '): "' || k.name || '"' as line from up join k on k.id = up.parent
+  union all select id, 0, o, 'Current: "' || name || '"' from k
+  union all select id, place, o, line from (
+    select up.parent as id, level as place, k.o, 'Child (p.' || k.id || '): "' || k.name || '"' as line, row_number() over (partition by up.parent order by level, k.o, 'Child (p.' || k.id || '): "' || k.name || '"') as rn from up join k on k.id = up.id) where rn <= 10)
+select id as chunk_id, string_agg(line, chr(10) order by place, o, line) as text from line group by 1"""
+)
+def chunk_context(spark, sf):
+    return C.with_context(_place_chunks(spark, sf), most=10)
 
 
 @query()
@@ -297,6 +341,37 @@ def entity_registry(spark, sf):
     return E.entity_registry(E.track_entities(_objects(spark, sf)))
 
 
+@query(
+    _OBJECTS.replace("t.node, coalesce(ks", "t.node, t.id, coalesce(ks")
+    + """,
+e as (select o.chunk_no, o.node, o.id, case when list_contains(ks, 'name') then 'name' when list_contains(ks, 'id') then 'id' when list_contains(ks, 'title') then 'title' when list_contains(ks, 'key') then 'key' when list_contains(ks, 'uuid') then 'uuid' when list_contains(ks, 'email') then 'email' end as k from obj o),
+m as (select chunk_no, parent as id, key, value ->> '$' as v from t where type not in ('OBJECT', 'ARRAY'))
+select e.chunk_no as row_key, e.node as node_path, case k when 'name' then 'person' when 'id' then 'identifier' when 'title' then 'document' when 'key' then 'reference' when 'uuid' then 'unique_id' else 'contact' end as entity_type,
+  own.v as entity_id, coalesce(case when k = 'name' then own.v end, n.v, ti.v, own.v) as name
+from e left join m own on own.chunk_no = e.chunk_no and own.id = e.id and own.key = e.k left join m n on n.chunk_no = e.chunk_no and n.id = e.id and n.key = 'name' and k <> 'name' left join m ti on ti.chunk_no = e.chunk_no and ti.id = e.id and ti.key = 'title' and k <> 'title'
+where k is not null"""
+)
+def entity_names(spark, sf):
+    return E.entities_with_names(E.track_entities(_objects(spark, sf)))
+
+
+@query(
+    DOCS
+    + """,
+s as (select chunk_no, value ->> '$' as v from t where parent is not null and type = 'VARCHAR'),
+d as (select chunk_no, epoch_us(try_cast(case when not contains(v, ':') or regexp_matches(v, '(Z|[+-][0-9]{2}:?[0-9]{2})$') then v else v || 'Z' end as timestamptz)) as ts from s where regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?$'))
+select chunk_no as row_key, count(*) as times, min(ts) as first_at, max(ts) as last_at from d group by 1"""
+)
+def document_times(spark, sf):
+    return R.string_times(_nodes(spark, sf)).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as ts from events")
+def epoch_timestamps(spark, sf):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, sf, "events").select("event_id", F.date_format(S.epoch_timestamp(seconds), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 @query(
     DOCS
     + """,
