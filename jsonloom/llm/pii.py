@@ -57,15 +57,14 @@ DOTS = re.compile(rf"(?i){DOT}")
 MAIL_CUE = re.compile(r"(?i)(?:e-?mail|mail|write to|schreiben sie an|écrivez à|escriban? a|mail me|[,(:])\s*:?\s*$")
 DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
 HOST = _re.compile(r"[\w\-]\.[^\W\d_]{2}")
-TRIGGER = _re.compile(r"@|\bat\b|\(at|\[at|\{at", _re.I)
 
 
 class Mapped:
-    """A text with its words (as a list, and in lower case as a set) and, per character, the start and end of the source characters it stands for (None: itself)."""
+    """A text with what it is in lower case, the set of the words of that and, per character, the start and end of the source characters it stands for (None: itself)."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None, words: tuple = (None, None)):
-        self.text, self.start, self.end = text, start, end
-        self.list, self.words = words
+    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None, words: set[str] | None = None):
+        self.text, self.start, self.end, self.words = text, start, end, words
+        self.low = ""
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
@@ -82,7 +81,9 @@ class Mapped:
             s += start[at:a] + [start[a]] * len(new)
             e += end[at:a] + [end[b - 1]] * len(new)
             at = b
-        return Mapped("".join(out) + self.text[at:], s + start[at:], e + end[at:], (self.list, self.words))
+        new = Mapped("".join(out) + self.text[at:], s + start[at:], e + end[at:], self.words)
+        new.low = self.low
+        return new
 
 
 #: Characters outside ASCII that a rewrite may touch: all but Latin letters and what is common between them.
@@ -90,7 +91,8 @@ ODD = _re.compile("[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u1e00-\\u1eff\\u
 SPACED_WORD = _re.compile(r"[^\W\d_]+(?:['\-][^\W\d_]+)*")
 
 
-def normalise(text: str) -> Mapped:
+def fold(text: str) -> Mapped:
+    """Characters as they are usually written: no invisible ones, Latin look-alikes, plain widths, signs and digits."""
     m = Mapped(text)
     if not text.isascii():
         changes = []
@@ -111,12 +113,19 @@ def normalise(text: str) -> Mapped:
             elif unicodedata.category(c) == "Nd" or "\uff01" <= c <= "\uff5e" or "\U0001d400" <= c <= "\U0001d7ff":
                 changes.append((i, i + 1, unicodedata.normalize("NFKC", c) if unicodedata.category(c) != "Nd" else str(unicodedata.digit(c))))
         m = m.rewrite(changes)
-    m.list = SPACED_WORD.findall(m.text)
-    m.words = set(map(str.lower, m.list))
-    if not m.words.isdisjoint(DIGITS) and sum(w.lower() in DIGITS for w in m.list) >= 5:
+    return m
+
+
+def normalise(text: str) -> Mapped:
+    m = fold(text)
+    low = m.low = m.text.lower()
+    m.words = set(SPACED_WORD.findall(low))
+    if not m.words.isdisjoint(DIGITS) and sum(map(DIGITS.__contains__, SPACED_WORD.findall(low))) >= 5:
         m = m.rewrite([(x.start(), x.end(), "".join(str(DIGITS[w.lower()]) for w in ONE.findall(x[0]))) for x in SPELLED.finditer(m.text)])
+    if "@" not in m.text and "at" not in m.words:
+        return m
     # a name of a host has a dot between its parts, written or as a word
-    if not TRIGGER.search(m.text) or m.words.isdisjoint(DOT_WORDS) and not HOST.search(m.text):
+    if m.words.isdisjoint(DOT_WORDS) and not HOST.search(m.text):
         return m
     changes = []
     for x in DISGUISED.finditer(m.text):
@@ -140,6 +149,8 @@ EMAIL = re.compile(r"(?<![\p{L}\d._%+\-])[\p{L}\d][\p{L}\d._%+\-]*@(?:[\p{L}\d](
 NOT_A_NUMBER = re.compile(r"(?i)(?:\bean|\bisbn|tracking|sendungs\w*|serial(?: no\.?| number)?|\bno\.|\bnr\.|invoice|rechnung|facture|factura|ticket|order|bestell\w*|commande|pedido|\bref|batch|version|size|\bpart|\bsku|\bitem|expediente|dossier|\bnote|nota|[$€£])[\s:#]*\p{L}{0,2}\s*$")
 NUMBER = re.compile(r"(?<![\p{L}\d.,\-/+@#$€£])(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d)(?:[ .\-/]{0,1}(?:\(\d{1,5}\)|\d+))*(?![\p{L}\d@]|[.,\-/]\d)")
 PHONE_CUE = re.compile(r"(?i)(?:\btel(?:\.|efon|ephone|éfono|éphone)?|\bcall(?: me)?(?: at| on)?|\bphone|\bmobile|\bhandy|\bcell|call to|\bunder|\breach me (?:at|on|under)|rufen sie|anrufen?|unter|erreichbar unter|appelez(?: le)?|joignable au|rappeler au|appeler(?: le| au)?|llamen? al?|llamar al?|disponible en el|\bfax|\bsms|whatsapp)\s*:?\s*$")
+TELEPHONE = _re.compile(r"(?i)\b(?:tel(?:\.|efon|ephone|éfono|éphone)?|phone|mobile|handy|fax|sms|whatsapp)\s*:?\s*(?=[\d+(])")
+TELEPHONES = frozenset("tel telefon telephone teléfono téléphone phone mobile handy fax sms whatsapp".split())
 SHAPE = [
     re.compile(r"^\(?\+\d{1,3}\)?[ .\-/]?(?:\(\d{1,5}\)[ .\-/]?)?\d[\d .\-/]{5,}$"),  # international
     re.compile(r"^00\d{1,3}[ .\-/]?\d[\d .\-/]{6,}$"),
@@ -157,7 +168,8 @@ ID_CUE = re.compile(
 ID_AFTER = re.compile(r"(?i)^[^.!?\n]{0,30}?\b(?:ID|SSN|social security|national insurance|passport|driving licen[cs]e|driver'?s licen[cs]e|licen[cs]e|ausweis\w*|reisepass\w*|führerschein\w*|steuer-?(?:id|nummer)|passeport|carte d'identité|permis de conduire|sécurité sociale|DNI|NIE|NIF|pasaporte|documento de identidad|seguridad social)\b")
 #: Words of which one stands in whatever ID_CUE or ID_AFTER finds, or beginnings of them.
 PAPERS = frozenset("id ssn social insurance passport license licence tax sozialversicherungsnummer sécurité carte d'identité passeport permis fiscal dni nie nif documento pasaporte seguridad pièce".split())
-PAPER_STEMS = ("ausweis", "personalausweis", "reisepass", "steuer", "führerschein")
+PAPER_STEMS = ("ausweis", "reisepass", "steuer", "führerschein")
+DIGIT = _re.compile(r"\d")
 SIX_DIGITS = _re.compile(r"\d(?:[ .\-]?\d){5}")
 ID = re.compile(r"(?<![\p{L}\d\-.])(?:[A-Z]{1,3}(?=[\d\-. ]))?(?:[ .\-]?(?:\d+[A-Z]{0,3}\d*|[A-Z](?=[\d.\-])\d*|[A-Z]\d+))+(?:[ .\-]?[A-Z](?![\p{L}\d]))?(?![\p{L}\d])")
 ID_SURE = re.compile(r"(?<![\p{L}\d\-./])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-Z]|DL-[A-Z]\d{2}-\d{4}-\d{3}|[XYZ]\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{1,2}\.\d{3}\.\d{3}-?[A-Z]|[1-9] \d{2} \d{2} [\dAB]{2} \d{3} \d{3} \d{2})(?![\p{L}\d\-])")
@@ -240,10 +252,12 @@ class Model:
         """
         every, first, got = Counter(), Counter(), Counter()
         for text in texts:
-            m = normalise(text)
+            m = fold(text)
             t = m.text
-            every.update(m.list)
+            words = SPACED_WORD.findall(t)
+            every.update(words)
             first.update(FIRST.findall(t))
+            m.words = set(map(str.lower, words))
             for at in introductions(m):
                 near = {w[0].lower() for w in islice(TOKEN.finditer(t, at), 6)}
                 for w in near | {p for w in near for p in w.split("-")}:
@@ -282,7 +296,10 @@ class Model:
         return self.given(w) and all(self.first[p] >= 2 for p in w.lower().split("-")) and self._named(w)
 
     def surely_family(self, w: str) -> bool:
-        return self.family(w) and self.last[w.lower()] > self.first[w.lower()] and self._named(w)
+        return self.ends_names(w) and self._named(w)
+
+    def ends_names(self, w: str) -> bool:
+        return self.family(w) and self.last[w.lower()] > self.first[w.lower()]
 
     def _named(self, w: str) -> bool:
         k = w.lower()
@@ -403,7 +420,8 @@ def _known_names(t: str, model: Model) -> Iterator[tuple[int, int]]:
             led, j, first = led + 1, j + 1, False
         end = None
         if led:
-            while j < len(ws) and j - k < 5 and t[ws[j - 1][1] : ws[j][0]] == " " and model.surely_family(ws[j][2]):
+            # behind a known given name a family name may be a usual word too, written like it
+            while j < len(ws) and j - k < 5 and t[ws[j - 1][1] : ws[j][0]] == " " and (model.surely_family(ws[j][2]) or j == k + 1 and w[0].islower() and model.ends_names(ws[j][2])):
                 end, j = ws[j][1], j + 1
         elif model.surely_family(w):
             j = k + 1
@@ -464,15 +482,19 @@ def find(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     if "@" in t:
         for x in EMAIL.finditer(t):
             add("email", x.start(), x.end())
-    if any(c.isdigit() for c in t):
+    if DIGIT.search(t):
         streets = [(x.start(), x.end()) for p in _streets(m.words) for x in p.finditer(t)]
         for a, b in sorted(streets, key=lambda x: x[0] - x[1]):  # the longer of two that overlap
             add("address", a, b)
+        for x in TELEPHONE.finditer(t) if not m.words.isdisjoint(TELEPHONES) else ():  # said to be a telephone, so no number of a paper named later
+            n = NUMBER.match(t, x.end())
+            if n and 7 <= _digits(n[0]) <= 15 and n[0].count("(") == n[0].count(")"):
+                add("phone", n.start(), n.end())
         if SIX_DIGITS.search(t):
             for x in ID_SURE.finditer(t):
                 if not NOT_A_NUMBER.search(t[max(0, x.start() - 24) : x.start()]) and not PHONE_CUE.search(t[max(0, x.start() - 30) : x.start()]):
                     add("id_number", x.start(), x.end())
-        if not m.words.isdisjoint(PAPERS) or any(w.startswith(PAPER_STEMS) for w in m.words):
+        if not m.words.isdisjoint(PAPERS) or any(x in m.low for x in PAPER_STEMS):
             for x in ID.finditer(t):
                 a, b = x.start(), x.end()
                 while a < b and t[a] in " .-":
@@ -481,7 +503,7 @@ def find(text: str | None, model: Model) -> list[tuple[str, int, int]]:
                     add("id_number", a, b)
         for x in NUMBER.finditer(t):
             a, b, s = x.start(), x.end(), x[0]
-            if s.count("(") != s.count(")") or not 7 <= _digits(s) <= 15:
+            if len(s) < 7 or s.count("(") != s.count(")") or not 7 <= _digits(s) <= 15:
                 continue
             if NOT_A_NUMBER.search(t[max(0, a - 24) : a]):
                 continue
