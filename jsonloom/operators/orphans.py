@@ -47,8 +47,8 @@ class Orphans:
     """The aggregates of references against intervals; rows and counts of orphans are read off them."""
 
     def __init__(self, refs: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
-        self.refs, self.bound = refs.select(*GROUP, "record_id", "at"), broadcast_rows
-        groups = refs.groupBy(*GROUP).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("at").isNull()).alias("n_null"))
+        self.refs, self.bound = written(refs.select(*GROUP, "record_id", "at"), "references"), broadcast_rows
+        groups = self.refs.groupBy(*GROUP).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("at").isNull()).alias("n_null"))
         self.intervals = written(merge_intervals(intervals), "validity")
         held, touched = (F.col("valid_from") <= F.col("lo")) & (F.col("valid_to") > F.col("hi")), (F.col("valid_from") <= F.col("hi")) & (F.col("valid_to") > F.col("lo"))
         # nulls of lo and hi (no readable instant) and missing intervals touch nothing
@@ -108,19 +108,20 @@ def orphan_report(refs: DataFrame, intervals: DataFrame, broadcast_rows: int = B
 
 def domain_references(orders: DataFrame, interactions: DataFrame) -> DataFrame:
     """Customer and sku references of orders, product references of interactions; once per row and key."""
-    o = orders.select("record_id", F.substring("transaction_date", 1, 7).alias("period"), F.coalesce(iso_micros(F.col("timestamp")), iso_micros(F.col("transaction_date"))).alias("at"), "customer_id", "items")
-    i = interactions.select("record_id", F.substring("date", 1, 7).alias("period"), F.coalesce(iso_micros(F.col("timestamp")), iso_micros(F.col("date"))).alias("at"), "product_id")
-    cols = ["period", "record_id", "ref_key", "at"]
-    parts = [
-        ("order_transactions.customer_id", o.withColumn("ref_key", norm_key(F.col("customer_id")))),
-        ("order_transactions.items.sku", o.withColumn("ref_key", F.explode(F.array_distinct(F.transform("items", lambda x: norm_key(x["sku"])))))),
-        ("customer_interactions.product_id", i.withColumn("ref_key", norm_key(F.col("product_id")))),
-    ]
-    out = None
-    for field, df in parts:
-        df = df.where(F.col("ref_key").isNotNull()).select(F.lit(field).alias("ref_field"), *cols)
-        out = df if out is None else out.unionByName(df)
-    return out
+
+    def at(time: str, day: str):
+        return F.coalesce(iso_micros(F.col(time)), iso_micros(F.col(day))).alias("at")
+
+    def ref(field: str, key):
+        return F.struct(F.lit(field).alias("ref_field"), key.alias("ref_key"))
+
+    # both kinds of an order come from one scan of it
+    skus = F.array_distinct(F.transform("items", lambda x: norm_key(x["sku"])))
+    of_items = F.coalesce(F.transform(skus, lambda k: ref("order_transactions.items.sku", k)), F.array().cast("array<struct<ref_field:string,ref_key:string>>"))
+    keys = F.concat(F.array(ref("order_transactions.customer_id", norm_key(F.col("customer_id")))), of_items)
+    o = orders.select(F.substring("transaction_date", 1, 7).alias("period"), "record_id", at("timestamp", "transaction_date"), F.explode(keys).alias("r"))
+    i = interactions.select(F.substring("date", 1, 7).alias("period"), "record_id", at("timestamp", "date"), ref("customer_interactions.product_id", norm_key(F.col("product_id"))).alias("r"))
+    return o.unionByName(i).where("r.ref_key is not null").select("r.ref_field", "period", "record_id", "r.ref_key", "at")
 
 
 def profile_intervals(profiles: DataFrame) -> DataFrame:
