@@ -130,11 +130,12 @@ def profile_intervals(profiles: DataFrame) -> DataFrame:
 
 def catalog_intervals(catalog: DataFrame) -> DataFrame:
     """A product or sku of a snapshot exists from its last_updated to that of the next snapshot."""
-    rows = catalog.select(iso_micros(F.col("last_updated")).alias("valid_from"), norm_key(F.col("id")).alias("product"), F.transform("variants", lambda v: norm_key(v["sku"])).alias("skus")).where("valid_from is not null")
+    product = F.struct(F.lit("customer_interactions.product_id").alias("ref_field"), norm_key(F.col("id")).alias("ref_key"))
+    skus = F.transform("variants", lambda v: F.struct(F.lit("order_transactions.items.sku").alias("ref_field"), norm_key(v["sku"]).alias("ref_key")))
+    refs = F.concat(F.array(product), F.coalesce(skus, F.array().cast("array<struct<ref_field:string,ref_key:string>>")))
+    rows = catalog.select(iso_micros(F.col("last_updated")).alias("valid_from"), refs.alias("refs")).where("valid_from is not null")
     # one row per snapshot: the ordering window runs over the snapshots' times only
     times = rows.select("valid_from").distinct()
     times = times.select("valid_from", F.coalesce(F.lead("valid_from").over(Window.partitionBy(F.lit(0)).orderBy("valid_from")), F.lit(FOREVER)).alias("valid_to"))
-    rows = rows.join(broadcast_if_small(times, 10_000), "valid_from")
-    products = rows.select(F.lit("customer_interactions.product_id").alias("ref_field"), F.col("product").alias("ref_key"), "valid_from", "valid_to")
-    skus = rows.select(F.lit("order_transactions.items.sku").alias("ref_field"), F.explode("skus").alias("ref_key"), "valid_from", "valid_to")
-    return products.unionByName(skus).where("ref_key is not null")
+    rows = rows.join(broadcast_if_small(times, 10_000), "valid_from").select(F.explode("refs").alias("r"), "valid_from", "valid_to")
+    return rows.where("r.ref_key is not null").select("r.ref_field", "r.ref_key", "valid_from", "valid_to")
