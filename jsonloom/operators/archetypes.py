@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.functions.jsonwalk import clean, document, kind, walk
-from jsonloom.operators.nodes import text_of
+from jsonloom.functions.jsonwalk import clean, document, kind, text_of, walk
 from jsonloom.session import spread
 
 # What counts as a timestamp in a text, and as the beginning of an HTTP status.

@@ -5,14 +5,13 @@ One Arrow pass per document; nothing is shuffled. Null, empty and invalid docume
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.functions.jsonwalk import clean, document, kind, walk
+from jsonloom.functions.jsonwalk import clean, document, kind, text_of, walk
 from jsonloom.session import spread
 
 SCHEMA = "row_key bigint, ordinals array<int>, path string, parent_path string, container_path string, member string, kind string, value string, number double, depth int, size int"
@@ -21,13 +20,6 @@ _TYPES = [pa.int64(), pa.list_(pa.int32()), *[pa.string()] * 6, pa.float64(), pa
 FLUSH = 8192
 
 
-def text_of(v) -> str | None:
-    """A scalar as text (strings as they are), a container as JSON."""
-    if v is None or isinstance(v, str):
-        return None if v is None else clean(v)
-    return clean(json.dumps(v, ensure_ascii=False))
-
-
 def number_of(v) -> float | None:
     """A number, or a truth value as 0 or 1; too large ones are null."""
     if not isinstance(v, (bool, int, float)):

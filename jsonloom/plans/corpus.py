@@ -26,12 +26,14 @@ class Scope:
 
     Fields are customer_id, product_id, order_id, status and type; keys are compared as keys, the others
     trimmed and without regard to case. A record without the field is not meant; a product is in an
-    order if one of its lines has it. cents holds conditions (operator, whole cents).
+    order if one of its lines has it. `without` names what records must not have; a record without the
+    field stays. cents holds conditions (operator, whole cents).
     """
 
     start: int | None = None
     end: int | None = None
     fields: dict[str, str] = field(default_factory=dict)
+    without: dict[str, str] = field(default_factory=dict)
     cents: list[tuple[str, int]] = field(default_factory=list)
 
     def rows(self, df: DataFrame) -> DataFrame:
@@ -40,19 +42,22 @@ class Scope:
         if self.end is not None:
             df = df.where(F.col("at") <= self.end)
         for name, v in self.fields.items():
-            if name == "product_id" and "items" in df.columns:
-                df = df.where(F.exists("items", lambda x: norm_key(x["product_id"]) == v.strip().upper()))
-            elif name not in df.columns:
-                df = df.where(F.lit(False))
-            elif name.endswith("_id"):
-                df = df.where(norm_key(F.col(name)) == v.strip().upper())
-            else:
-                df = df.where(F.lower(F.trim(name)) == v.strip().lower())
+            df = df.where(self._has(df, name, v))
+        for name, v in self.without.items():
+            df = df.where(~F.coalesce(self._has(df, name, v), F.lit(False)))
         if "cents" in df.columns:
             for op, n in self.cents:
-                df = df.where({">": F.col("cents") > n, "<": F.col("cents") < n, "=": F.col("cents") == n}[op])
+                df = df.where(F.expr(f"cents {op} {n}"))
         return df
 
+    @staticmethod
+    def _has(df: DataFrame, name: str, v: str) -> Column:
+        if name == "product_id" and "items" in df.columns:
+            return F.exists("items", lambda x: norm_key(x["product_id"]) == v.strip().upper())
+        if name not in df.columns:
+            return F.lit(False)
+        return norm_key(F.col(name)) == v.strip().upper() if name.endswith("_id") else F.lower(F.trim(name)) == v.strip().lower()
+
 
 class Scoped(str):
     """A folder of tables whose records are narrowed to a scope wherever a plan reads them."""
@@ -74,7 +79,7 @@ def _needed(sf: str, cols: tuple[str, ...], possible: list[str]) -> list[str]:
     if not isinstance(sf, Scoped):
         return list(cols)
     s = sf.scope
-    looked = [*(["at"] if s.start is not None or s.end is not None else []), *(["items"] if "product_id" in s.fields else []), *s.fields, *(["cents"] if s.cents else [])]
+    looked = [*(["at"] if s.start is not None or s.end is not None else []), *(["items"] if "product_id" in {**s.fields, **s.without} else []), *s.fields, *s.without, *(["cents"] if s.cents else [])]
     return list(dict.fromkeys([*cols, *[c for c in looked if c in possible]]))
 
 

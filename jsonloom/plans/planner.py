@@ -5,8 +5,9 @@ records before anything is computed of them:
 
 - a time: a month and day with or without a clock time, ISO dates (on, since, from, after, before,
   to, between), 'last N days/weeks/months/years', 'this week/month/year';
-- fields: key=value or key:value with customer, product, order, status or type (with or without _id);
-- an order value: above, more than, greater than, below, under, less than, equal to, exactly N;
+- fields: key=value, key:value or key!=value with customer, product, order, status or type (with or without _id);
+- an order value: above, more than, greater than, below, under, less than, equal to, exactly N, between M and N;
+- 'by' or 'per' status, customer, day or month: an order value for each of them;
 - 'page N' and 'show N results' choose rows of the answer, ordered by its columns.
 
 A question that fits no template, or says something that its template cannot obey, gives a one-row
@@ -50,7 +51,10 @@ TEMPLATES: list[tuple[str, Callable, frozenset[str]]] = [
     (r"timeline", corpus.q04, RECORDS),
     (r"all timestamps|chronological", corpus.q03, RECORDS),
 ]
-FIELD = re.compile(r"\b(customer|product|order|status|type)(?:_id)?\s*[=:]\s*([\w\-.]+)", re.I)
+FIELD = re.compile(r"\b(customer|product|order|status|type)(?:_id)?\s*(!=|=|:)\s*([\w\-.]+)", re.I)
+BETWEEN = re.compile(r"\bbetween\s+\$?(\d+(?:\.\d+)?)\s+and\s+\$?(\d+(?:\.\d+)?)(?![\d\-:])")
+GROUPS = {"status": F.col, "customer": lambda _: F.col("customer_id"), "day": F.col, "month": lambda _: F.substring("day", 1, 7)}
+GROUP_BY = re.compile(r"\b(?:by|per|for each|grouped by)\s+(?:order\s+)?(status|customer|day|month)\b")
 DAY = 86_400_000_000
 OPERATORS = {"greater_than": ">", "less_than": "<", "equals": "="}
 
@@ -97,8 +101,11 @@ def scope_of(p: dict, question: str) -> Scope:
     elif p["relative"]:
         a, b = (datetime.datetime.combine(p["relative"][k], datetime.time()) for k in ("start", "end"))
         s.start, s.end = _micros(a), _micros(b) + DAY - 1
-    for name, value in FIELD.findall(question):
-        s.fields[name.lower() if name.lower() in ("status", "type") else f"{name.lower()}_id"] = value
+    for name, op, value in FIELD.findall(question):
+        into = s.without if op == "!=" else s.fields
+        into[name.lower() if name.lower() in ("status", "type") else f"{name.lower()}_id"] = value
+    if m := BETWEEN.search(question.lower()):
+        s.cents += [(">=", round(float(m[1]) * 100)), ("<=", round(float(m[2]) * 100))]
     if p["metric"]["comparison"]:
         s.cents.append((OPERATORS[p["metric"]["comparison"]], round(p["metric"]["number"] * 100)))
     return s
@@ -113,7 +120,7 @@ def ask(spark: SparkSession, sf: str, question: str, as_of: str | None = None) -
     p = plan(spark, question, as_of or datetime.date.today().isoformat())
     low, scope = question.lower(), scope_of(p, question)
     found, obeys = next(((f, o) for pattern, f, o in TEMPLATES if re.search(pattern, low)), (None, RECORDS))
-    said = {k for k, v in (("time", scope.start is not None or scope.end is not None), ("fields", scope.fields), ("value", scope.cents)) if v}
+    said = {k for k, v in (("time", scope.start is not None or scope.end is not None), ("fields", scope.fields or scope.without), ("value", scope.cents)) if v}
     if found is None and not ("order" in low and p["metric"]["aggregation"]):
         return _unsupported(spark, question, "no template fits")
     if said - obeys:
@@ -121,12 +128,12 @@ def ask(spark: SparkSession, sf: str, question: str, as_of: str | None = None) -
     if p["paging"] and p["paging"]["kind"] == "relative":
         return _unsupported(spark, question, "which page comes next or before is not known; name it")
     if found is None:
-        got = _order_metric(spark, Scoped(sf, scope), p["metric"]["aggregation"])
+        by = GROUP_BY.search(low)
+        got = _order_metric(spark, Scoped(sf, scope), p["metric"]["aggregation"], by and by[1])
     elif found is corpus.q09:
         got = corpus.q09(spark, sf)
         if scope.cents:
-            op, n = scope.cents[0]
-            got = corpus.q09(spark, sf, None).where(f"number {op} {n / 100}")
+            got = corpus.q09(spark, sf, None).where(" and ".join(f"number {op} {n / 100}" for op, n in scope.cents))
     elif found is corpus.q10:
         got, at = corpus.q10(spark, sf), iso_micros(F.col("at"))
         got = got.where(at >= scope.start) if scope.start is not None else got
@@ -140,11 +147,14 @@ def ask(spark: SparkSession, sf: str, question: str, as_of: str | None = None) -
     return got
 
 
-def _order_metric(spark: SparkSession, sf: str, aggregation: str) -> DataFrame:
-    """An aggregate of order values."""
-    o = corpus.orders(spark, sf, "cents")
+def _order_metric(spark: SparkSession, sf: str, aggregation: str, by: str | None = None) -> DataFrame:
+    """An aggregate of order values, of all orders or for each status, customer, day or month."""
+    o = corpus.orders(spark, sf, "cents", "status", "customer_id", "day")
     agg = {"average": F.avg("cents") / 100, "maximum": F.max("cents") / 100, "minimum": F.min("cents") / 100, "sum": F.sum("cents") / 100, "count": F.count(F.lit(1)).cast("double")}[aggregation]
-    return o.agg(F.lit(aggregation).alias("aggregation"), F.count(F.lit(1)).alias("orders"), F.round(agg, 6).alias("value"))
+    columns = [F.count(F.lit(1)).alias("orders"), F.round(agg, 6).alias("value")]
+    if by is None:
+        return o.agg(F.lit(aggregation).alias("aggregation"), *columns)
+    return o.groupBy(GROUPS[by](by).alias(by)).agg(F.lit(aggregation).alias("aggregation"), *columns)
 
 
 def corpus_questions(path: str) -> list[str]:

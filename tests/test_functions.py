@@ -54,3 +54,13 @@ def test_embedding(spark):
     got = column(spark, embed, ["two words", "", None, "words two"])
     assert got[1] is None and got[2] is None and got[0] == got[3] and abs(sum(x * x for x in got[0]) - 1) < 1e-5
     assert not hash_vectors(["!?"]).any()
+
+
+def test_functions_in_sql(spark):
+    from jsonloom.functions import sql
+
+    sql.register(spark)
+    rows = spark.sql("""select k, n.* from values (1, '{"a": [1, {"b": null}]}'), (2, 'no'), (3, null) as d(k, t), lateral json_nodes(d.t) n""").collect()
+    assert [(r["k"], r["path"], r["kind"], r["value"], r["depth"]) for r in rows] == [(1, "a", "array", None, 1), (1, "a[0]", "int", "1", 2), (1, "a[1]", "object", None, 2), (1, "a[1].b", "null", None, 3)]
+    r = spark.sql("select normalize_json_path('.a [0]..b.') as p, hash_embedding('x y') as v, hash_embedding('') as e").first()
+    assert r["p"] == "a.0.b" and len(r["v"]) == 384 and r["e"] is None

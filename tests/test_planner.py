@@ -73,3 +73,15 @@ def test_what_cannot_be_obeyed_is_said(spark):
 def test_numbers_of_documents(spark):
     low, high = (answer(spark, f"every numerical value above {n}").count() for n in (50, 500))
     assert low > answer(spark, "every numerical value").count() > high
+
+
+def test_without_between_and_by(spark, own):
+    status = own["status"].dropna().mode()[0]
+    rest = own[own["status"].str.strip().str.lower() != status.strip().lower()]
+    assert answer(spark, f"count of orders status!={status}").first()["orders"] == len(rest)
+    assert answer(spark, "count of orders between 100 and 200").first()["orders"] == ((own["cents"] >= 10000) & (own["cents"] <= 20000)).sum()
+    got = {r["month"]: r["orders"] for r in answer(spark, "total value of orders per month").collect()}
+    assert got == own["day"].str[:7].value_counts().to_dict()
+    got = {r["status"]: r["value"] for r in answer(spark, "maximum amount of orders by status").collect()}
+    want = own.groupby("status", dropna=False)["cents"].max()
+    assert got[status] == pytest.approx(want[status] / 100)
