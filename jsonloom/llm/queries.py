@@ -25,7 +25,7 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    got = neighbours.similar_rows(table(spark, sf, "json_chunks"), "chunk_no", "embedding", DIM, k=10, least=0.9)
+    got = neighbours.similar_rows(table(spark, sf, "json_chunks"), "chunk_no", "embedding", DIM, k=10, recall=0.995, least=0.9)
     return got.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).distinct()
 
 
