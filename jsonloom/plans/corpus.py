@@ -306,22 +306,39 @@ above as (select up.chunk_no, up.node_id, max(case when p.type = 'OBJECT' then p
 ORACLE = {
     "q01": BASE + "select d as day, round(sum(cents) / 100.0, 2) as total from o group by 1",
     "q02": BASE + "select d as day, round(avg(cents) / 100.0, 6) as average from o group by 1",
-    "q03": BASE + f"select ts as at, 'order' as record_type, order_id as record, customer_id, null::varchar as product_id from o union all select ts, type, interaction_id, customer_id, product_id from i union all select distinct {AT.format('last_updated')}, 'catalog', catalog_id, null, null from product_catalog",
-    "q04": BASE + "select distinct d as day, ts as at, 'order' as event, order_id as record, customer_id, product_id from l union all select d, ts, type, interaction_id, customer_id, product_id from i",
-    "q05": BASE + f"select product_id, 'order' as record_type from l where product_id is not null union select product_id, type from i where product_id is not null union select {KEY.format('id')}, 'catalog' from product_catalog where {KEY.format('id')} is not null",
+    "q03": BASE + f"select ts as at, 'order' as record_type, order_id as record, customer_id, null::varchar as product_id from o union all select ts, type, interaction_id, customer_id, product_id "
+        f"from i union all select distinct {AT.format('last_updated')}, 'catalog', catalog_id, null, null from product_catalog",
+    "q04": BASE + "select distinct d as day, ts as at, 'order' as event, order_id as record, customer_id, product_id from l union all select d, ts, type, interaction_id, customer_id, product_id "
+        "from i",
+    "q05": BASE + f"select product_id, 'order' as record_type from l where product_id is not null union select product_id, type from i where product_id is not null "
+        f"union select {KEY.format('id')}, 'catalog' from product_catalog where {KEY.format('id')} is not null",
     "q06": DOCS + "select chunk_no as row_key, node as path, value ->> '$' as value from t where key = 'product_id' and not regexp_matches(node, '\\]$')",
-    "q07": BASE + "select order_id, len(items)::int as n, coalesce(array_to_string([coalesce(x.product_id, '') || '|' || coalesce(x.sku, '') || '|' || coalesce(x.quantity::varchar, '') || '|' || coalesce(cast(round(x.price * 100) as bigint)::varchar, '') for x in items], ';'), '') as contents from o where items is not null union all select order_id, 0, '' from o where items is null",
-    "q08": DOCS + "select chunk_no as row_key, node as node_path, value ->> '$.customer_id' as customer_id, value ->> '$.product_id' as product_id from t where type = 'OBJECT' and json_exists(value, '$.customer_id') and json_exists(value, '$.product_id')",
-    "q09": CLIMB + "select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as object_path, cast(t.value as double) as number from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.type in ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') and cast(t.value as double) > 100",
-    "q10": DOCS + "select chunk_no as row_key, node as node_path, value ->> '$.timestamp' as at, value ->> '$.order_id' as order_id, value ->> '$.customer_id' as customer_id, value ->> '$.product_id' as product_id from t where type = 'OBJECT' and (value ->> '$.timestamp') is not null",
-    "q11": BASE + "select customer_id, ts as at, kind, record, row_number() over (partition by customer_id order by ts, kind, record)::int as nth, row_number() over (partition by customer_id order by ts, kind, record) = 1 as is_first from contacts",
+    "q07": BASE + "select order_id, len(items)::int as n, coalesce(array_to_string([coalesce(x.product_id, '') || '|' || coalesce(x.sku, '') || '|' || coalesce(x.quantity::varchar, '') || '|' || coalesce(cast(round(x.price * 100) as bigint)::varchar, '') for x in items], ';'), '') as contents "
+        "from o where items is not null union all select order_id, 0, '' from o where items is null",
+    "q08": DOCS + "select chunk_no as row_key, node as node_path, value ->> '$.customer_id' as customer_id, value ->> '$.product_id' as product_id from t "
+        "where type = 'OBJECT' and json_exists(value, '$.customer_id') and json_exists(value, '$.product_id')",
+    "q09": CLIMB + "select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as object_path, cast(t.value as double) as number from t "
+        "left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.type in ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') and cast(t.value as double) > 100",
+    "q10": DOCS + "select chunk_no as row_key, node as node_path, value ->> '$.timestamp' as at, value ->> '$.order_id' as order_id, value ->> '$.customer_id' as customer_id, value ->> '$.product_id' as product_id "
+        "from t where type = 'OBJECT' and (value ->> '$.timestamp') is not null",
+    "q11": BASE + "select customer_id, ts as at, kind, record, row_number() over (partition by customer_id order by ts, kind, record)::int as nth, row_number() over (partition by customer_id order by ts, kind, record) = 1 as is_first "
+        "from contacts",
     "q12": BASE + "select product_id, status, round(sum(quantity * price) / 100.0, 2) as revenue from l where product_id is not null group by 1, 2",
-    "q13": BASE + f"select o.order_id, o.d as day, o.customer_id, coalesce((select string_agg(k, ',' order by k) from (select distinct {KEY.format('u.product_id')} k from (select unnest(o.items) u)) where k is not null), '') as products, i.interaction_id from o left join i on o.d = i.d and o.customer_id = i.customer_id",
-    "q14": BASE + "select customer_id, count(distinct product_id) as products, string_agg(distinct kind, ',' order by kind) as kinds from (select customer_id, product_id, 'order' as kind from l union all select customer_id, product_id, type from i) where customer_id is not null and product_id is not null group by 1 having count(distinct product_id) > 1",
+    "q13": BASE + f"select o.order_id, o.d as day, o.customer_id, coalesce((select string_agg(k, ',' order by k) from (select distinct {KEY.format('u.product_id')} k "
+        f"from (select unnest(o.items) u)) where k is not null), '') as products, i.interaction_id from o left join i on o.d = i.d and o.customer_id = i.customer_id",
+    "q14": BASE + "select customer_id, count(distinct product_id) as products, string_agg(distinct kind, ',' order by kind) as kinds from (select customer_id, product_id, 'order' as kind "
+        "from l union all select customer_id, product_id, type from i) where customer_id is not null and product_id is not null "
+        "group by 1 having count(distinct product_id) > 1",
     "q15": BASE + "select order_id, interaction_id, o.customer_id, i.ts - o.ts as micros_after from o join i on o.customer_id = i.customer_id and abs(i.ts - o.ts) <= 21600000000",
-    "q16": BASE + "select count(*) as customers, count(r.customer_id) as reviewers, round(100.0 * count(r.customer_id) / nullif(count(*), 0), 6) as percent from (select distinct customer_id from o where customer_id is not null) b left join (select distinct customer_id from i where type = 'product_review') r using (customer_id)",
-    "q17": BASE + "select product_id, count(*) as pairs, round(avg(reviewed - bought) / 3600000000, 4) as hours from (select b.customer_id, b.product_id, bought, min(i.ts) as reviewed from (select customer_id, product_id, min(ts) as bought from l group by 1, 2) b join i on i.customer_id = b.customer_id and i.product_id = b.product_id and i.type = 'product_review' and i.ts >= bought group by 1, 2, 3) group by 1",
-    "q18": BASE + "select customer_id, count(*) as contacts, count(*) filter (kind = 'order') as orders, count(*) filter (kind = 'product_review') as reviews, count(*) filter (kind = 'support_ticket') as tickets from contacts group by 1",
-    "q19": BASE + "select product_id, count(*) as interactions, round(100.0 * count(*) filter (type = 'support_ticket') / count(*), 6) as percent from i where product_id is not null group by 1",
+    "q16": BASE + "select count(*) as customers, count(r.customer_id) as reviewers, round(100.0 * count(r.customer_id) / nullif(count(*), 0), 6) as percent "
+        "from (select distinct customer_id from o where customer_id is not null) b left join (select distinct customer_id "
+        "from i where type = 'product_review') r using (customer_id)",
+    "q17": BASE + "select product_id, count(*) as pairs, round(avg(reviewed - bought) / 3600000000, 4) as hours from (select b.customer_id, b.product_id, bought, min(i.ts) as reviewed "
+        "from (select customer_id, product_id, min(ts) as bought from l group by 1, 2) b join i on i.customer_id = b.customer_id and i.product_id = b.product_id and i.type = 'product_review' and i.ts >= bought "
+        "group by 1, 2, 3) group by 1",
+    "q18": BASE + "select customer_id, count(*) as contacts, count(*) filter (kind = 'order') as orders, count(*) filter (kind = 'product_review') as reviews, count(*) filter (kind = 'support_ticket') as tickets "
+        "from contacts group by 1",
+    "q19": BASE + "select product_id, count(*) as interactions, round(100.0 * count(*) filter (type = 'support_ticket') / count(*), 6) as percent from i "
+        "where product_id is not null group by 1",
     "q20": BASE + "select status, count(*) as orders, round(avg(cents) / 100.0, 6) as average from o group by 1",
 }

@@ -116,7 +116,8 @@ roll as (
 
 ORACLE = {
     "p1_found": _P1 + "select ref_field, period, record_id, ref_key from orphan",
-    "p1_report": _P1 + "select r.ref_field, r.period, count(*) as refs, count(o.record_id) as orphans, count(distinct o.ref_key) as orphan_keys from refs r left join orphan o on r.ref_field = o.ref_field and r.record_id = o.record_id and r.ref_key = o.ref_key group by 1, 2",
+    "p1_report": _P1 + "select r.ref_field, r.period, count(*) as refs, count(o.record_id) as orphans, count(distinct o.ref_key) as orphan_keys from refs r "
+        "left join orphan o on r.ref_field = o.ref_field and r.record_id = o.record_id and r.ref_key = o.ref_key group by 1, 2",
     "p2_found": CLIMB + """
 select 'json_chunks' as source_table, t.chunk_no as row_key, t.node as node_path, coalesce(a.object_path, '') as parent_path from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.type = 'OBJECT' and t.parent is not null
 union all select 'order_transactions', record_id, 'items[' || (k - 1) || ']', '' from (select record_id, unnest(items) x, generate_subscripts(items, 1) k from order_transactions) where x is not null
@@ -126,7 +127,8 @@ union all select 'product_catalog', record_id, 'variants[' || (k - 1) || ']', ''
 select distinct path as table_path, '' as member, 'object' as kind from g where type = 'OBJECT'
 union select distinct p.path, t.key, {KIND} from g t join g p on p.chunk_no = t.chunk_no and p.id = t.parent where p.type = 'OBJECT'""",
     "p6_found": _DAILY + "select c as customer_id, strftime(d, '%Y-%m-%d') as activity_day from roll where n7 = 0 and a30 >= 90000",
-    "p6_rolling": _DAILY + "select c as customer_id, strftime(d, '%Y-%m-%d') as activity_day, cast(a7 as bigint) as cents_7, cast(n7 as bigint) as orders_7, round(a7 / 700.0, 6) as avg_7, cast(a30 as bigint) as cents_30, cast(n30 as bigint) as orders_30, round(a30 / 3000.0, 6) as avg_30 from roll",
+    "p6_rolling": _DAILY + "select c as customer_id, strftime(d, '%Y-%m-%d') as activity_day, cast(a7 as bigint) as cents_7, cast(n7 as bigint) as orders_7, round(a7 / 700.0, 6) as avg_7, cast(a30 as bigint) as cents_30, cast(n30 as bigint) as orders_30, round(a30 / 3000.0, 6) as avg_30 "
+        "from roll",
     "p7_found": f"""
 with s as (
   select catalog_id, k, cast(round(price * 100) as bigint) p, stock_count n, lower(trim(inventory_status)) t from (

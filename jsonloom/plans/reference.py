@@ -58,7 +58,8 @@ deep as (select chunk_no, node_id, count(*) as depth from up group by 1, 2)
 # -- nodes and chunks ---------------------------------------------------------------------------------
 
 
-@query(CLIMB + f"select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as parent_path, {KIND} as kind from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null")
+@query(CLIMB + f"select t.chunk_no as row_key, t.node as path, coalesce(a.object_path, '') as parent_path, {KIND} as kind from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id "
+    f"where t.parent is not null")
 def json_nodes(spark, sf):
     return _nodes(spark, sf).select("row_key", "path", "parent_path", "kind")
 
@@ -68,17 +69,20 @@ def key_value_pairs(spark, sf):
     return N.key_value_pairs(_nodes(spark, sf))
 
 
-@query(_ANCESTORS + "select t.chunk_no as row_key, count(*) as nodes, max(depth)::int as max_depth, " + ", ".join(f"count(*) filter ({c}) as n_{k}" for k, c in (("array", "type = 'ARRAY'"), ("object", "type = 'OBJECT'"), ("string", "type = 'VARCHAR'"), ("int", "type in ('UBIGINT', 'BIGINT', 'HUGEINT')"), ("float", "type = 'DOUBLE'"), ("bool", "type = 'BOOLEAN'"), ("null", "type = 'NULL'"))) + " from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where t.parent is not null group by 1")
+@query(_ANCESTORS + "select t.chunk_no as row_key, count(*) as nodes, max(depth)::int as max_depth, " + ", ".join(f"count(*) filter ({c}) as n_{k}" for k, c in (("array", "type = 'ARRAY'"), ("object", "type = 'OBJECT'"), ("string", "type = 'VARCHAR'"), ("int", "type in ('UBIGINT', 'BIGINT', 'HUGEINT')"), ("float", "type = 'DOUBLE'"), ("bool", "type = 'BOOLEAN'"), ("null", "type = 'NULL'"))) + " from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id "
+    "where t.parent is not null group by 1")
 def structure_stats(spark, sf):
     return N.structure_stats(_nodes(spark, sf))
 
 
-@query(DOCS + "select key as member, count(*) as n, count(distinct chunk_no) as documents, case when contains(key, '_') then split_part(key, '_', -1) end as suffix from t where parent is not null and not regexp_matches(node, '\\]$') group by 1")
+@query(DOCS + "select key as member, count(*) as n, count(distinct chunk_no) as documents, case when contains(key, '_') then split_part(key, '_', -1) end as suffix "
+    "from t where parent is not null and not regexp_matches(node, '\\]$') group by 1")
 def key_frequencies(spark, sf):
     return N.key_frequencies(_nodes(spark, sf))
 
 
-@query(_ANCESTORS + f"select min(depth)::int as min_depth, max(depth)::int as max_depth, round(avg(depth), 6) as avg_depth from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id where {_SCALAR}")
+@query(_ANCESTORS + f"select min(depth)::int as min_depth, max(depth)::int as max_depth, round(avg(depth), 6) as avg_depth from t join deep d on d.chunk_no = t.chunk_no and d.node_id = t.id "
+    f"where {_SCALAR}")
 def depth_stats(spark, sf):
     return N.depth_stats(_nodes(spark, sf))
 
@@ -88,7 +92,11 @@ def hybrid_chunks(spark, sf):
     return C.json_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "ordinal", "chunk_id", "path", "parent_path", "depth", "value_type", "chunk_json", "metadata")
 
 
-@query(DOCS + f", f as (select chunk_no, file_path from json_chunks) select t.chunk_no as row_key, md5(regexp_replace(file_path, '^/+', '') || ':' || trim(replace(t.node, ' ', ''), '.')) as chunk_id, t.node as path, case {KIND} when 'string' then 'str' when 'null' then 'NoneType' else {KIND} end as value_type from t join f using (chunk_no) where {_SCALAR} and t.parent is not null union all select chunk_no, md5(regexp_replace(file_path, '^/+', '') || ':'), '', case json_type(js) when 'VARCHAR' then 'str' when 'NULL' then 'NoneType' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' else 'int' end from raw join f using (chunk_no) where json_type(js) not in ('OBJECT', 'ARRAY')")
+@query(DOCS + f", f as (select chunk_no, file_path from json_chunks) select t.chunk_no as row_key, md5(regexp_replace(file_path, '^/+', '') || ':' || trim(replace(t.node, ' ', ''), '.')) as chunk_id, t.node as path, case {KIND} "
+    f"when 'string' then 'str' when 'null' then 'NoneType' else {KIND} end as value_type from t join f using (chunk_no) "
+    f"where {_SCALAR} and t.parent is not null union all select chunk_no, md5(regexp_replace(file_path, '^/+', '') || ':'), '', case json_type(js) "
+    f"when 'VARCHAR' then 'str' when 'NULL' then 'NoneType' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'float' else 'int' end "
+    f"from raw join f using (chunk_no) where json_type(js) not in ('OBJECT', 'ARRAY')")
 def leaf_chunks(spark, sf):
     return C.leaf_chunks(_docs(spark, sf), "chunk_no", "file_path", "chunk_json", most=None, context=False).select("row_key", "chunk_id", "path", "value_type")
 
@@ -160,24 +168,30 @@ _CATEGORY = "case " + " ".join(f"when regexp_matches(s, '{p}') then '{c}'" for c
 _PATHKIND = "case " + " ".join(f"when regexp_matches(lower(t.node), '{'|'.join(ps)}') then '{c}'" for c, ps in S.PATH_PARTS) + " else 'unknown' end"
 
 
-@query(DOCS + f"select t.chunk_no as row_key, t.node as path, trim(regexp_replace(regexp_replace(replace(t.node, ' ', ''), '\\[(\\d+)\\]', '.\\1', 'g'), '\\.{{2,}}', '.', 'g'), '.') as normal, {_PATHKIND} as kind, len(string_split(t.node, '.'))::int as depth, coalesce(list_filter(list_transform(string_split(lower(t.node), '.'), lambda s: {_CATEGORY}), lambda c: c is not null)[1], 'general') as category from t where t.parent is not null")
+@query(DOCS + f"select t.chunk_no as row_key, t.node as path, trim(regexp_replace(regexp_replace(replace(t.node, ' ', ''), '\\[(\\d+)\\]', '.\\1', 'g'), '\\.{{2,}}', '.', 'g'), '.') as normal, {_PATHKIND} as kind, len(string_split(t.node, '.'))::int as depth, coalesce(list_filter(list_transform(string_split(lower(t.node), '.'), lambda s: {_CATEGORY}), lambda c: c is not null)[1], 'general') as category "
+    f"from t where t.parent is not null")
 def path_functions(spark, sf):
     p = F.col("path")
     return _nodes(spark, sf).select("row_key", "path", S.normalize_path(p).alias("normal"), S.path_kind(p).alias("kind"), S.path_depth(p).alias("depth"), S.path_category(p).alias("category"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(l_extendedprice - abs(l_extendedprice * 0.1), 4) as range_min, round(l_extendedprice + abs(l_extendedprice * 0.1), 4) as range_max, case when l_extendedprice = 0 then 0 else floor(log10(abs(l_extendedprice))) end::int as magnitude from lineitem")
+@query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(l_extendedprice - abs(l_extendedprice * 0.1), 4) as range_min, round(l_extendedprice + abs(l_extendedprice * 0.1), 4) as range_max, case "
+    "when l_extendedprice = 0 then 0 else floor(log10(abs(l_extendedprice))) end::int as magnitude from lineitem")
 def numeric_meta(spark, sf):
     m = S.numeric_meta(F.col("l_extendedprice"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(m["range_min"], 4).alias("range_min"), F.round(m["range_max"], 4).alias("range_max"), m["magnitude"].alias("magnitude"))
 
 
-@query("select doc_id, len(text)::int as length, coalesce(regexp_matches(text, '[0-9]'), false) as contains_numbers, coalesce(regexp_matches(text, 'https?://\\S+'), false) as contains_urls from documents")
+@query("select doc_id, len(text)::int as length, coalesce(regexp_matches(text, '[0-9]'), false) as contains_numbers, coalesce(regexp_matches(text, 'https?://\\S+'), false) as contains_urls "
+    "from documents")
 def string_meta(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.string_meta(F.col("text")).alias("m")).select("doc_id", "m.length", *[F.coalesce(f"m.{c}", F.lit(False)).alias(c) for c in ("contains_numbers", "contains_urls")])
 
 
-@query("with x as (select record_id, try_cast(replace(regexp_extract(timestamp, '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}'), 'T', ' ') as timestamp) t, timestamp from order_transactions) select record_id, strftime(t, '%Y-%m-%d %H:%M:%S') as found, year(t)::int as year, month(t)::int as month, day(t)::int as day, (isodow(t) - 1)::int as weekday, case when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z') then 'ISO8601_UTC' when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?[+-]') then 'ISO8601_OFFSET' when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2} ') then 'DATETIME' else 'DATE' end as layout from x")
+@query("with x as (select record_id, try_cast(replace(regexp_extract(timestamp, '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}'), 'T', ' ') as timestamp) t, timestamp "
+    "from order_transactions) select record_id, strftime(t, '%Y-%m-%d %H:%M:%S') as found, year(t)::int as year, month(t)::int as month, day(t)::int as day, (isodow(t) - 1)::int as weekday, case "
+    "when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z') then 'ISO8601_UTC' when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?[+-]') then 'ISO8601_OFFSET' "
+    "when regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2} ') then 'DATETIME' else 'DATE' end as layout from x")
 def temporal_meta(spark, sf):
     t = F.col("timestamp")
     m = S.temporal_meta(t)
@@ -214,7 +228,8 @@ def archetype_scores(spark, sf):
     return A.score_objects(_objects(spark, sf))
 
 
-@query(_OBJECTS + ", long as (" + " union all ".join(f"select chunk_no, node, '{n}' as archetype, round(({s})::double, 6) as confidence from obj" for n, s in _SCORES.items()) + ") select chunk_no as row_key, node as node_path, row_number() over (partition by chunk_no, node order by confidence desc, archetype)::int as rank, archetype, confidence from long where confidence > 0")
+@query(_OBJECTS + ", long as (" + " union all ".join(f"select chunk_no, node, '{n}' as archetype, round(({s})::double, 6) as confidence from obj" for n, s in _SCORES.items()) + ") select chunk_no as row_key, node as node_path, row_number() over (partition by chunk_no, node order by confidence desc, archetype)::int as rank, archetype, confidence "
+    "from long where confidence > 0")
 def archetype_ranks(spark, sf):
     return A.rank_archetypes(_objects(spark, sf))
 
@@ -228,11 +243,13 @@ def _any(*names: str) -> str:
 
 
 _PATTERNS = {
-    "record": f"{_keys('record')} / 9.0 * case when {_any('id', 'uuid')} and {_any('name', 'type', 'code')} then 2.0 when {_any('id', 'uuid')} and stable then 1.5 when {_keys('record')} < 2 then 0.25 else 1.0 end",
+    "record": f"{_keys('record')} / 9.0 * case when {_any('id', 'uuid')} and {_any('name', 'type', 'code')} then 2.0 when {_any('id', 'uuid')} and stable then 1.5 "
+        f"when {_keys('record')} < 2 then 0.25 else 1.0 end",
     "event": f"{_keys('event')} / 13.0 * case when stamps > 0 and states > 0 then 2.0 when stamps > 0 then 1.5 else 1.0 end",
     "collection": "least(arrays / 2.0, 1.0)",
     "reference": "least(len(list_filter(ks, lambda k: regexp_matches(k, '(_id|_ref)$'))) / 2.0, 1.0)",
-    "metric": f"{_keys('metric')} / 14.0 * case when numbers > 0 and {_any('quantity', 'stock', 'reserved', 'available')} then 2.0 when numbers > 0 then 1.5 else 1.0 end",
+    "metric": f"{_keys('metric')} / 14.0 * case when numbers > 0 and {_any('quantity', 'stock', 'reserved', 'available')} then 2.0 when numbers > 0 then 1.5 "
+        f"else 1.0 end",
     "state": f"{_keys('state')} / 9.0",
     "document": f"({_keys('document')} / 8.0 + case when depth > 2 then 1.0 else 0.0 end) / 2.0",
 }
@@ -285,12 +302,14 @@ def metadata_profile(spark, sf):
     return A.metadata_profile(_nodes(spark, sf))
 
 
-@query(CLIMB + "select t.chunk_no as row_key, nullif(coalesce(a.object_path, ''), '') as source, t.key as target, 'key-based' as type, t.node as path from t left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null and not regexp_matches(t.node, '\\]$') and (t.key in ('id', 'ref', 'parent_id') or t.key like '%\\_id' escape '\\')")
+@query(CLIMB + "select t.chunk_no as row_key, nullif(coalesce(a.object_path, ''), '') as source, t.key as target, 'key-based' as type, t.node as path from t "
+    "left join above a on a.chunk_no = t.chunk_no and a.node_id = t.id where t.parent is not null and not regexp_matches(t.node, '\\]$') and (t.key in ('id', 'ref', 'parent_id') or t.key like '%\\_id' escape '\\')")
 def key_edges(spark, sf):
     return A.key_edges(_nodes(spark, sf))
 
 
-@query(_DOC_PATTERNS + ", u as (" + " union all ".join(f"select row_key, '{n}' as pattern, {n} as confidence from s" for n in _PATTERNS) + ") select row_key, pattern, confidence from (select *, row_number() over (partition by row_key order by confidence desc, pattern) as rn from u) where rn = 1 and confidence > 0")
+@query(_DOC_PATTERNS + ", u as (" + " union all ".join(f"select row_key, '{n}' as pattern, {n} as confidence from s" for n in _PATTERNS) + ") select row_key, pattern, confidence from (select *, row_number() over (partition by row_key order by confidence desc, pattern) as rn "
+    "from u) where rn = 1 and confidence > 0")
 def best_patterns(spark, sf):
     return A.best_patterns(A.document_patterns(_nodes(spark, sf)))
 
@@ -305,7 +324,8 @@ def context_ids(spark, sf):
     return E.context_ids(_nodes(spark, sf))
 
 
-@query(DOCS + "select a.chunk_no as row_key from (select distinct chunk_no from t where key = 'type' and value ->> '$' = 'product_review') a join (select distinct chunk_no from t where key = 'rating' and value ->> '$' = '5') b using (chunk_no)")
+@query(DOCS + "select a.chunk_no as row_key from (select distinct chunk_no from t where key = 'type' and value ->> '$' = 'product_review') a join (select distinct chunk_no "
+    "from t where key = 'rating' and value ->> '$' = '5') b using (chunk_no)")
 def key_value_search(spark, sf):
     """Documents with all key=value pairs of a question."""
     kv = N.key_value_pairs(_nodes(spark, sf))
@@ -324,7 +344,9 @@ def changed_files(spark, sf):
 # -- entities and relations -----------------------------------------------------------------------------
 
 
-@query(_OBJECTS + ", e as (select chunk_no, node, case when list_contains(ks, 'name') then 'person' when list_contains(ks, 'id') then 'identifier' when list_contains(ks, 'title') then 'document' when list_contains(ks, 'key') then 'reference' when list_contains(ks, 'uuid') then 'unique_id' when list_contains(ks, 'email') then 'contact' end as kind, n from obj) select chunk_no as row_key, node as node_path, kind as entity_type, n::int as n_members from e where kind is not null")
+@query(_OBJECTS + ", e as (select chunk_no, node, case when list_contains(ks, 'name') then 'person' when list_contains(ks, 'id') then 'identifier' when list_contains(ks, 'title') then 'document' "
+    "when list_contains(ks, 'key') then 'reference' when list_contains(ks, 'uuid') then 'unique_id' when list_contains(ks, 'email') then 'contact' end as kind, n "
+    "from obj) select chunk_no as row_key, node as node_path, kind as entity_type, n::int as n_members from e where kind is not null")
 def entities(spark, sf):
     return E.track_entities(_objects(spark, sf)).select("row_key", "node_path", "entity_type", "n_members")
 
@@ -385,7 +407,9 @@ def display_names(spark, sf):
     return E.display_names(_nodes(spark, sf))
 
 
-@query(DOCS + ", s as (select distinct chunk_no, key, value ->> '$' as v from t where type = 'VARCHAR' and parent is not null and not regexp_matches(node, '\\]$')), own as (select v, max(chunk_no) as target from s where key = 'id' or key like '%\\_id' escape '\\' or regexp_matches(v, '^[A-Z]+-\\d+$') group by 1) select s.chunk_no as source, own.target, s.key as field, s.v as value from s join own using (v) where s.chunk_no <> own.target")
+@query(DOCS + ", s as (select distinct chunk_no, key, value ->> '$' as v from t where type = 'VARCHAR' and parent is not null and not regexp_matches(node, '\\]$')), "
+    "own as (select v, max(chunk_no) as target from s where key = 'id' or key like '%\\_id' escape '\\' or regexp_matches(v, '^[A-Z]+-\\d+$') "
+    "group by 1) select s.chunk_no as source, own.target, s.key as field, s.v as value from s join own using (v) where s.chunk_no <> own.target")
 def rel_explicit(spark, sf):
     n = _nodes(spark, sf).where("kind = 'string' and member is not null")
     e = R.explicit_edges(n.select(F.col("row_key").alias("chunk"), F.col("row_key").alias("ordinal"), "member", "value"))
@@ -397,13 +421,16 @@ _CLS = " union all ".join(f"select chunk_no, file_path, '{n}' as cls, {c} as w f
 _REL = " union all ".join(f"select '{a}' as a, '{b}' as b" for a, b in R.RELATED)
 
 
-@query(f"with c as ({_CLS}), r as ({_REL}), pairs as (select x.chunk_no, x.file_path, a, b, x.w, count(*) as links from c x join r on x.cls = a join c y on y.cls = b and y.file_path = x.file_path and y.chunk_no <> x.chunk_no group by 1, 2, 3, 4, 5) select chunk_no as chunk, file_path, a as source_class, b as target_class, w::double as confidence, links from pairs")
+@query(f"with c as ({_CLS}), r as ({_REL}), pairs as (select x.chunk_no, x.file_path, a, b, x.w, count(*) as links from c x join r on x.cls = a join c y on y.cls = b and y.file_path = x.file_path and y.chunk_no <> x.chunk_no "
+    f"group by 1, 2, 3, 4, 5) select chunk_no as chunk, file_path, a as source_class, b as target_class, w::double as confidence, links "
+    f"from pairs")
 def rel_semantic(spark, sf):
     d = _docs(spark, sf).where("file_path is not null").select(F.col("chunk_no").alias("chunk"), "file_path", F.col("chunk_json").alias("text"))
     return R.semantic_links(d, ["file_path"]).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query(BASE + ", x as (select interaction_id as id, customer_id, product_id, ts from i where customer_id is not null and product_id is not null) select a.id as source, b.id as target, round(1 - floor(abs(a.ts - b.ts) / 86400000000) / 30.0, 6) as confidence from x a join x b on a.customer_id = b.customer_id and a.product_id = b.product_id and (a.ts < b.ts or (a.ts = b.ts and a.id < b.id)) and floor(abs(a.ts - b.ts) / 86400000000) <= 30")
+@query(BASE + ", x as (select interaction_id as id, customer_id, product_id, ts from i where customer_id is not null and product_id is not null) select a.id as source, b.id as target, round(1 - floor(abs(a.ts - b.ts) / 86400000000) / 30.0, 6) as confidence "
+    "from x a join x b on a.customer_id = b.customer_id and a.product_id = b.product_id and (a.ts < b.ts or (a.ts = b.ts and a.id < b.id)) and floor(abs(a.ts - b.ts) / 86400000000) <= 30")
 def rel_temporal(spark, sf):
     i = interactions(spark, sf, "at", "customer_id", "product_id").where("customer_id is not null and product_id is not null")
     e = R.temporal_edges(i.withColumnRenamed("interaction_id", "chunk"), ["customer_id", "product_id"])
@@ -439,7 +466,8 @@ def _tree(spark, sf):
     return c.select(key("c", "c_custkey").alias("source"), key("n", "c_nationkey").alias("target")).unionByName(n.select(key("n", "n_nationkey").alias("source"), key("r", "n_regionkey").alias("target")))
 
 
-@query("select 'c' || c_custkey as seed, 'n' || c_nationkey as chunk, 1 as depth from customer union all select 'c' || c_custkey, 'r' || n_regionkey, 2 from customer join nation on c_nationkey = n_nationkey")
+@query("select 'c' || c_custkey as seed, 'n' || c_nationkey as chunk, 1 as depth from customer union all select 'c' || c_custkey, 'r' || n_regionkey, 2 "
+    "from customer join nation on c_nationkey = n_nationkey")
 def graph_expand(spark, sf):
     e = _tree(spark, sf)
     return R.expand(e, e.select(F.col("source").alias("chunk")).where("source like 'c%'"))
@@ -448,20 +476,25 @@ def graph_expand(spark, sf):
 _EDGES = "select 'c' || c_custkey as source, 'n' || c_nationkey as target from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation"
 
 
-@query(f"with e as ({_EDGES}) select source as chunk, target as other, 'out' as direction, 'in_place' as relationship_type, 1.0::double as confidence from e union all select target, source, 'in', 'in_place', 1.0 from e")
+@query(f"with e as ({_EDGES}) select source as chunk, target as other, 'out' as direction, 'in_place' as relationship_type, 1.0::double as confidence from e "
+    f"union all select target, source, 'in', 'in_place', 1.0 from e")
 def edges_touching(spark, sf):
     e = _tree(spark, sf).withColumns({"relationship_type": F.lit("in_place"), "confidence": F.lit(1.0)})
     nodes = e.select(F.col("source").alias("chunk")).unionByName(e.select(F.col("target").alias("chunk")))
     return R.touching(e, nodes)
 
 
-@query("with e as (select distinct l_orderkey as source, l_partkey as target, 'order_part' as relationship_type, round(1 - l_discount, 4) as confidence from lineitem) select * from (select *, row_number() over (partition by source order by confidence desc, target, relationship_type)::int as rank from e) where rank <= 3")
+@query("with e as (select distinct l_orderkey as source, l_partkey as target, 'order_part' as relationship_type, round(1 - l_discount, 4) as confidence "
+    "from lineitem) select * from (select *, row_number() over (partition by source order by confidence desc, target, relationship_type)::int as rank "
+    "from e) where rank <= 3")
 def top_edges(spark, sf):
     li = table(spark, sf, "lineitem")
     return R.top_edges(li.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.lit("order_part").alias("relationship_type"), F.round(1 - F.col("l_discount"), 4).alias("confidence")).distinct())
 
 
-@query("with d as (select order_id, status, row_number() over (partition by order_id order by ingested_at, record_id) as n from order_transactions where order_id is not null), s as (select order_id, status, lag(status) over (partition by order_id order by n) as before, n from d) select before as status_from, status as status_to, count(*) as n from s where n > 1 group by 1, 2")
+@query("with d as (select order_id, status, row_number() over (partition by order_id order by ingested_at, record_id) as n from order_transactions where order_id is not null), "
+    "s as (select order_id, status, lag(status) over (partition by order_id order by n) as before, n from d) select before as status_from, status as status_to, count(*) as n "
+    "from s where n > 1 group by 1, 2")
 def state_transitions(spark, sf):
     w = Window.partitionBy("order_id").orderBy("ingested_at", "record_id")
     d = table(spark, sf, "order_transactions").where("order_id is not null").withColumn("before", F.lag("status").over(w)).withColumn("k", F.row_number().over(w))
@@ -493,14 +526,18 @@ def knn_filtered(spark, sf):
     return V.nearest(table(spark, sf, "embeddings"), "embedding", _first_vector(spark, sf), 5, where=F.col("label").isin(1, 2), tie="vec_id").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
-@query("with p as (select q.vec_id as q, v.vec_id as id, round(1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as distance from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) select q, id, round(distance, 6) as distance, rank from (select *, row_number() over (partition by q order by distance, id)::int as rank from p) where rank <= 3")
+@query("with p as (select q.vec_id as q, v.vec_id as id, round(1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as distance "
+    "from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) select q, id, round(distance, 6) as distance, rank "
+    "from (select *, row_number() over (partition by q order by distance, id)::int as rank from p) where rank <= 3")
 def knn_each(spark, sf):
     e = table(spark, sf, "embeddings")
     got = V.nearest_each(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
     return got.select("q", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("with p as (select q.vec_id as q, v.vec_id as id, round(1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as distance from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) select q, id, round(1 - distance, 6) as relevance from (select *, row_number() over (partition by q order by distance, id) as rank from p) where rank <= 3 and distance <= 0.15")
+@query("with p as (select q.vec_id as q, v.vec_id as id, round(1 - list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as distance "
+    "from embeddings q, embeddings v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) select q, id, round(1 - distance, 6) as relevance "
+    "from (select *, row_number() over (partition by q order by distance, id) as rank from p) where rank <= 3 and distance <= 0.15")
 def similar_pairs(spark, sf):
     """Of each row of the query set the three most similar others at 0.85 or above."""
     e = table(spark, sf, "embeddings")
@@ -508,7 +545,11 @@ def similar_pairs(spark, sf):
     return got.where("distance <= 0.15").select("q", "id", F.round(1 - F.col("distance"), 6).alias("relevance"))
 
 
-@query(f"with e as (select vec_id as source, lead(vec_id) over (partition by label order by vec_id) as target from embeddings), seed as (select vec_id, round(1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), 6) as distance, row_number() over (order by 1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), vec_id)::int as place from embeddings qualify place <= 5) select vec_id as seed, vec_id as chunk, 'base' as role, place, distance from seed union all select s.vec_id, a.target, 'related', 1, null from seed s join e a on a.source = s.vec_id where a.target is not null union all select s.vec_id, b.target, 'related', 2, null from seed s join e a on a.source = s.vec_id join e b on b.source = a.target where b.target is not null")
+@query(f"with e as (select vec_id as source, lead(vec_id) over (partition by label order by vec_id) as target from embeddings), seed as (select vec_id, round(1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), 6) as distance, row_number() over (order by 1 - list_cosine_similarity(embedding::double[], {_Q0}::double[]), vec_id)::int as place "
+    f"from embeddings qualify place <= 5) select vec_id as seed, vec_id as chunk, 'base' as role, place, distance from seed "
+    f"union all select s.vec_id, a.target, 'related', 1, null from seed s join e a on a.source = s.vec_id where a.target is not null "
+    f"union all select s.vec_id, b.target, 'related', 2, null from seed s join e a on a.source = s.vec_id join e b on b.source = a.target "
+    f"where b.target is not null")
 def hybrid_search(spark, sf):
     e = table(spark, sf, "embeddings")
     edges = e.select(F.col("vec_id").alias("source"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("target"), F.lit(1.0).alias("confidence")).where("target is not null")
@@ -579,7 +620,9 @@ _HIT = {k: f"(regexp_matches(low, '{p}')" + (f" or {_BOTH})" if k in ("metric",
 _FIRST = lambda p, g=1: f"nullif(regexp_extract(low, '{p}', {g}), '')"
 
 
-@query(_TEXTS + ", h as (select id, " + ", ".join(f"{c} as {k}" for k, c in _HIT.items()) + " from q) select id, case when temporal and metric then 'temporal_metric' when risk then 'risk' when temporal then 'temporal' when metric then 'metric' when relationship then 'relationship' else 'general' end as primary_intent, concat_ws(',', " + ", ".join(f"case when {k} then '{k}' end" for k in sorted(I.INTENTS)) + ") as intents from h")
+@query(_TEXTS + ", h as (select id, " + ", ".join(f"{c} as {k}" for k, c in _HIT.items()) + " from q) select id, case when temporal and metric then 'temporal_metric' "
+    "when risk then 'risk' when temporal then 'temporal' when metric then 'metric' when relationship then 'relationship' "
+    "else 'general' end as primary_intent, concat_ws(',', " + ", ".join(f"case when {k} then '{k}' end" for k in sorted(I.INTENTS)) + ") as intents from h")
 def intents(spark, sf):
     return _texts(spark, sf).select("id", I.primary_intent(F.col("text")).alias("primary_intent"), F.concat_ws(",", I.intents(F.col("text"))).alias("intents"))
 
@@ -593,7 +636,9 @@ def metric_conditions(spark, sf):
     return _texts(spark, sf).select("id", I.metric_condition(F.col("text")).alias("m")).select("id", "m.*")
 
 
-@query(_TEXTS + f", p as (select id, {_FIRST('page' + chr(92) + 's+(' + chr(92) + 'd+)')} as page, contains(low, 'next page') as nx, regexp_matches(low, 'prev(ious)? page') as pv, {_FIRST('show' + chr(92) + 's+(' + chr(92) + 'd+)' + chr(92) + 's+(results|items)')} as sh from q) select id, case when page is not null then 'absolute' when nx or pv then 'relative' when sh is not null then 'limit' end as kind, case when page is not null then page::bigint when nx then 1 when pv then -1 else sh::bigint end as number from p")
+@query(_TEXTS + f", p as (select id, {_FIRST('page' + chr(92) + 's+(' + chr(92) + 'd+)')} as page, contains(low, 'next page') as nx, regexp_matches(low, 'prev(ious)? page') as pv, {_FIRST('show' + chr(92) + 's+(' + chr(92) + 'd+)' + chr(92) + 's+(results|items)')} as sh "
+    f"from q) select id, case when page is not null then 'absolute' when nx or pv then 'relative' when sh is not null then 'limit' end as kind, case "
+    f"when page is not null then page::bigint when nx then 1 when pv then -1 else sh::bigint end as number from p")
 def paging(spark, sf):
     return _texts(spark, sf).select("id", I.paging(F.col("text")).alias("p")).select("id", "p.kind", "p.number")
 
@@ -632,12 +677,15 @@ def entity_references(spark, sf):
 # -- streams as tables ----------------------------------------------------------------------------------
 
 
-@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by 1, 2")
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents "
+    "from events group by 1, 2")
 def hourly_events(spark, sf):
     return event_windows(table(spark, sf, "events"))
 
 
-@query("with a as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), b as (select *, sum(fresh) over (partition by user_id order by ts) as s from a) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as session_start, count(*) as n from b group by user_id, s")
+@query("with a as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), "
+    "b as (select *, sum(fresh) over (partition by user_id order by ts) as s from a) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as session_start, count(*) as n "
+    "from b group by user_id, s")
 def user_sessions(spark, sf):
     return sessions(table(spark, sf, "events"))
 
