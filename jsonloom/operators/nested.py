@@ -72,7 +72,7 @@ def _schema(df: DataFrame, text: str) -> DataFrame:
 #: Levels exploded by generators; what lies deeper is walked.
 LEVELS = 24
 _END = "~end~"
-_NODE = "struct<table_path:string,node_path:string,parent_path:string,ordinal:int,depth:int,open:boolean,v:variant>"
+_NODE = "struct<table_path:string,node_path:string,parent_path:string,ordinal:int,depth:int,m:map<string,variant>,a:array<variant>>"
 
 
 def _variant(text: Column) -> Column:
@@ -87,28 +87,28 @@ def _variant(text: Column) -> Column:
 
 def opened(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_key, t, v) of the non-empty texts; a text that is one JSON string holding JSON is read as that."""
-    d = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("t")).where("t <> ''").withColumn("v", _variant(F.col("t")))
+    d = spread(df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("t"))).where("t <> ''").withColumn("v", _variant(F.col("t")))
     inner = F.when(F.col("t").rlike(r'^[ \t\n\r]*"'), F.try_variant_get("v", "$", "string"))
     return d.withColumn("i", inner).withColumn("iv", F.when(F.col("i").isNotNull(), _variant(F.col("i")))).select("row_key", "t", F.coalesce("iv", "v").alias("v"))
 
 
+def _node(table: Column, path: Column, parent: Column, ordinal: Column, depth: Column, v: Column | None) -> Column:
+    """A node with what it holds, as object (m) or array (a); without v an object that is done."""
+    m = F.lit(None).cast("map<string,variant>") if v is None else F.try_variant_get(v, "$", "map<string,variant>")
+    a = F.lit(None).cast("array<variant>") if v is None else F.try_variant_get(v, "$", "array<variant>")
+    return F.struct(table.alias("table_path"), path.alias("node_path"), parent.alias("parent_path"), ordinal.alias("ordinal"), depth.alias("depth"), m.alias("m"), a.alias("a"))
+
+
 def _step(rows: DataFrame) -> DataFrame:
-    """One level: open nodes give themselves, if they are objects, and what they hold; the others are handed on."""
-    n = F.col("n")
-    rows = rows.withColumn("m", F.when(n["open"], F.try_variant_get(n["v"], "$", "map<string,variant>")))
-    rows = rows.withColumn("a", F.when(n["open"] & F.col("m").isNull(), F.try_variant_get(n["v"], "$", "array<variant>")))
-    top, none, some = n["depth"] == 0, F.lit(None).cast("variant"), F.array().cast(f"array<{_NODE}>")
-
-    def node(table: Column, path: Column, parent: Column, ordinal: Column, depth: Column, is_open: bool, v: Column) -> Column:
-        return F.struct(table.alias("table_path"), path.alias("node_path"), parent.alias("parent_path"), ordinal.alias("ordinal"), depth.alias("depth"), F.lit(is_open).alias("open"), v.alias("v"))
-
-    no = F.lit(None).cast("int")
-    own = node(n["table_path"], n["node_path"], n["parent_path"], n["ordinal"], n["depth"], False, none)
-    dotted = lambda p, k: F.when(top, k).otherwise(F.concat(p, F.lit("."), k))
-    members = F.transform(F.map_entries("m"), lambda e: node(dotted(n["table_path"], e["key"]), dotted(n["node_path"], e["key"]), n["node_path"], no, n["depth"] + 1, True, e["value"]))
+    """One level: an object gives itself, done, and the objects and arrays in it, an array those in it; what is done is handed on."""
+    n, no = F.col("n"), F.lit(None).cast("int")
+    dotted = lambda p, k: F.when(n["depth"] == 0, k).otherwise(F.concat(p, F.lit("."), k))
+    boxes = lambda c: F.filter(c, lambda k: k["m"].isNotNull() | k["a"].isNotNull())
+    own = _node(n["table_path"], n["node_path"], n["parent_path"], n["ordinal"], n["depth"], None)
+    members = F.transform(F.map_entries(n["m"]), lambda e: _node(dotted(n["table_path"], e["key"]), dotted(n["node_path"], e["key"]), n["node_path"], no, n["depth"] + 1, e["value"]))
     at = lambda i: F.concat(n["node_path"], F.lit("["), i.cast("string"), F.lit("]"))
-    elements = F.transform("a", lambda x, i: node(F.concat(n["table_path"], F.lit("[]")), at(i), n["parent_path"], i, n["depth"] + 1, True, x))
-    told = F.when(F.col("m").isNotNull(), F.concat(F.array(own), members)).when(F.col("a").isNotNull(), elements).when(n["open"], some).otherwise(F.array(n))
+    elements = F.transform(n["a"], lambda x, i: _node(F.concat(n["table_path"], F.lit("[]")), at(i), n["parent_path"], i, n["depth"] + 1, x))
+    told = F.when(n["m"].isNotNull(), F.concat(F.array(own), boxes(members))).when(n["a"].isNotNull(), boxes(elements)).otherwise(F.array(n))
     return rows.select("row_key", F.explode(told.cast(f"array<{_NODE}>")).alias("n"))
 
 
@@ -133,14 +133,15 @@ def variant_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     deepest = _schema(df, text).agg(F.max("depth")).first()[0] or 0
     read = opened(df, key, text)
     names = ["row_key", "table_path", "node_path", "parent_path", "ordinal", "depth"]
-    none, blank = F.lit(None).cast("int"), F.lit("")
-    root = F.struct(blank.alias("table_path"), blank.alias("node_path"), blank.alias("parent_path"), none.alias("ordinal"), F.lit(0).alias("depth"), F.lit(True).alias("open"), F.col("v"))
-    rows = spread(read).where("v is not null").select("row_key", root.cast(_NODE).alias("n"))
+    blank, none = F.lit(""), F.lit(None).cast("int")
+    root = _node(blank, blank, blank, none, F.lit(0), F.col("v"))
+    rows = read.where("v is not null").select("row_key", root.cast(_NODE).alias("n")).where("n.m is not null or n.a is not null")
     for _ in range(min(deepest, LEVELS) + 1):
         rows = _step(rows)
-    got = rows.where("not n.open and n.depth > 0").select("row_key", *[F.col(f"n.{c}") for c in names[1:]])
+    flat = rows.select("row_key", *[F.col(f"n.{c}") for c in names[1:]], F.col("n.m").alias("m"), F.col("n.a").alias("a"))
+    got = flat.where("m is null and a is null and depth > 0").select(*names)
     if deepest > LEVELS:
-        left = rows.where("n.open").select("row_key", *[F.col(f"n.{c}") for c in names[1:]], F.to_json("n.v").alias("t"))
+        left = flat.where("m is not null or a is not null").select(*names, F.coalesce(F.to_json("m"), F.to_json("a")).alias("t"))
         got = got.unionByName(left.mapInArrow(_below, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int"))
     rest = read.where("v is null").select(F.col("row_key"), F.col("t"))
     walked = rest.mapInArrow(_node_batches, "row_key bigint, table_path string, node_path string, parent_path string, ordinal int, depth int, node_json string")

@@ -97,25 +97,39 @@ def time_range(q: Column, as_of_year: int) -> Column:
     front = F.regexp_extract_all(low, F.lit(rf"(\d{{1,2}}{ends}\s+(?:{MONTHS}))"), 1)
     part = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
 
-    def dates(name: Column, i: Column) -> Column:
-        a, b = F.get(F.filter(after, lambda h: F.startswith(h, name)), 0), F.get(F.filter(front, lambda h: F.endswith(h, name)), 0)
-        made = lambda year, day: F.try_to_timestamp(F.concat(year, F.lit("-"), (i + 1).cast("string"), F.lit("-"), day), F.lit("yyyy-M-d"))
-        this, day = F.lit(str(as_of_year)), part(a, r"^[a-z]+\s+(\d{1,2})")
-        return F.array(made(F.coalesce(part(a, r"(\d{4})$"), this), day), made(this, day), made(this, part(b, r"^(\d{1,2})")))
+    names = F.array(*map(F.lit, MONTHS.split("|")))
+    this = F.lit(as_of_year)
 
-    tries = F.flatten(F.transform(F.array(*map(F.lit, MONTHS.split("|"))), dates))
+    def firsts(hits: Column, month: Column, of) -> Column:
+        """The dates that `of` gives of the first hit of each month."""
+        told = F.transform(month, lambda m, i: F.when(F.array_position(month, m) == i + 1, of(F.get(hits, i), F.array_position(names, m).cast("int"))))
+        return F.flatten(F.array_compact(told))
+
+    def date(month: Column, place: int, year: Column, day: Column) -> Column:
+        return F.struct(month.alias("m"), F.lit(place).alias("n"), F.try_make_timestamp(year, month, day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).alias("day"))
+
+    def later(h: Column, m: Column) -> Column:  # month and day, with the year behind them or without
+        day = part(h, r"^[a-z]+\s+(\d{1,2})")
+        return F.array(date(m, 0, F.coalesce(part(h, r"(\d{4})$").try_cast("int"), this), day), date(m, 1, this, day))
+
+    months = F.transform(after, lambda h: F.regexp_extract(h, "^([a-z]+)", 1))
+    before = F.transform(front, lambda h: F.regexp_extract(h, "([a-z]+)$", 1))
+    tries = F.concat(firsts(after, months, later), firsts(front, before, lambda h, m: F.array(date(m, 2, this, part(h, r"^(\d{1,2})")))))
     some = (F.size(after) > 0) | (F.size(front) > 0)
-    day = F.get(F.array_compact(F.when(some, tries)), 0).cast("timestamp_ntz")
+    day = F.when(some, F.array_min(F.filter(tries, lambda x: x["day"].isNotNull()))["day"]).cast("timestamp_ntz")
     p = r"(before|after)\s+(\d{1,2}):?(\d{2})?\s*(am|pm)?"
     side, half = F.regexp_extract(low, p, 1), F.regexp_extract(low, p, 4)
     hour, minute = F.regexp_extract(low, p, 2).try_cast("int"), F.coalesce(F.regexp_extract(low, p, 3).try_cast("int"), F.lit(0))
     hour = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
     ok = (side == "") | ((hour < 24) & (minute < 60))
-    at = day + F.make_dt_interval(F.lit(0), hour, minute)
     rest = lambda h, m: F.make_dt_interval(F.lit(0), h, m, F.lit(59.999999).cast("decimal(18,6)"))
-    start = F.when(side == "after", at).otherwise(day)
-    end = F.when(side == "before", day + rest(hour, minute)).otherwise(day + rest(F.lit(23), F.lit(59)))
-    return F.when(day.isNotNull() & ok, F.struct(start.alias("start"), end.alias("end")))
+
+    def around(day: Column) -> Column:
+        start = F.when(side == "after", day + F.make_dt_interval(F.lit(0), hour, minute)).otherwise(day)
+        end = F.when(side == "before", day + rest(hour, minute)).otherwise(day + rest(F.lit(23), F.lit(59)))
+        return F.when(day.isNotNull() & ok, F.struct(start.alias("start"), end.alias("end")))
+
+    return F.get(F.transform(F.array(day), around), 0)  # so that the day is searched for once
 
 
 def relative_range(q: Column, as_of: str) -> Column:
