@@ -111,4 +111,15 @@ v as (select item_id id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws f
 dg as (select id, unnest([array_to_string(ws[i:i + 9], ' ') for i in range(1, len(ws) - 8)]) g from w where len(ws) >= 10),
 ig as (select id, unnest([array_to_string(ws[i:i + 9], ' ') for i in range(1, len(ws) - 8)]) g from v where len(ws) >= 10)
 select distinct dg.id as doc_id, ig.id as item_id from dg join ig using (g)""",
+    "p9_report": """
+with w as (select doc_id id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from documents where text is not null),
+v as (select item_id id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from eval_items where text is not null),
+dg as (select id, unnest([{'p': i, 'g': array_to_string(ws[i:i + 9], ' ')} for i in range(1, len(ws) - 8)], recursive := true) from w where len(ws) >= 10),
+ig as (select id, unnest([{'p': i, 'g': array_to_string(ws[i:i + 9], ' ')} for i in range(1, len(ws) - 8)], recursive := true) from v where len(ws) >= 10),
+m as (select dg.id d, ig.id it, dg.p dp, ig.p ip from dg join ig using (g)),
+covered as (select d, it, count(distinct ip + k) c from m, (select unnest(range(10)) k) group by 1, 2),
+islands as (select d, it, dp - ip shift, ip - row_number() over (partition by d, it, dp - ip order by ip) island from m),
+runs as (select d, it, max(n) + 9 run from (select d, it, shift, island, count(*) n from islands group by 1, 2, 3, 4) group by 1, 2)
+select it as item_id, count(*) as documents, max(c)::bigint as most_words, max(len(v.ws))::bigint as item_words, max(run)::bigint as longest_run
+from covered join runs using (d, it) join v on v.id = it group by 1""",
 }
