@@ -16,12 +16,16 @@ all rows, and the reach widened until the wanted share of them lies in visited l
 neighbours from a threshold on are asked for, only those count, and more rows are held out, because
 few have any. Rows, leaves, visits and recall are printed.
 
-A row is shuffled once as data of its own leaf and once per further visited leaf, as float16. A task
-holds the data of one leaf and streams its queries past it. A leaf visited by very many queries is
-processed in parts, its data being copied to each; a leaf that no centre could divide because its
-vectors are alike (scaled copies) is divided by hash, and a query looks into one of its parts, whose
-vectors are as similar as those of the others. Similarities of codes only choose candidates: the k
-best and all that the error of the codes could hide, which are computed again in double precision
+Neighbouring leaves of a cell form blocks of at most `BLOCK_LEAVES` wanted leaves (at least `BLOCKS`
+blocks where the rows allow it). A row is shuffled once as data and query of its own block and once per
+further block with leaves it visits, as float16 with a bit for each leaf. A task holds the data of one
+block and streams its queries past the leaves they visit. Blocks are only a matter of transport: which
+leaves meet does not depend on them. A block visited by very many queries is processed in parts, its
+data being copied to each; a leaf larger than a block (vectors that no centre could divide) is divided
+by hash, and its queries look into every part. Where neighbours from a threshold on are asked for, the
+leading third of the numbers and the lengths of the rest bound the similarity from above, and only
+pairs whose bound reaches the threshold are computed. Similarities of codes only choose candidates: the
+k best and all that the error of the codes could hide, which are computed again in double precision
 before k of them are taken.
 
 Exact copies are one vector: copies are grouped by content first, each distinct vector is searched
@@ -60,8 +64,14 @@ BRANCH = 32
 CALIBRATE = (128, 2048)
 #: Leaves whose centres may be broadcast (50 MB of 384 numbers).
 SENT = 32_768
-#: Queries of a leaf beyond which it is processed in parts.
+#: Leaves of the wanted size in a block at most (200 MB of 384 float16 numbers), and blocks at least.
+BLOCK_LEAVES = 64
+BLOCKS = 32
+#: Queries of a block beyond which it may be processed in parts, of at least so many queries for each row of data.
 CROWD = 32 * LEAF_ROWS
+CROWD_DATA = 4
+#: Ids that may be broadcast without their vectors.
+IDS = 2_000_000
 #: Reserve below the threshold when candidates are chosen for an exact check.
 SLACK = 0.01
 #: Standard deviations of the error of a difference of two similarities that candidates may lie below the k-th.
@@ -94,7 +104,7 @@ class Tree:
     def __init__(self, x: np.ndarray, leaf: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         centres, first, count, leaf_of = [x.mean(0) if len(x) else np.zeros(x.shape[1], np.float32)], [0], [0], [-1]
-        todo, self.leaves = [(0, x)], 0
+        todo, self.leaves, sampled = [(0, x)], 0, []
         while todo:
             node, own = todo.pop()
             k = min(BRANCH, max(2, math.ceil(len(own) / max(1, leaf))))
@@ -104,6 +114,7 @@ class Tree:
                 near = np.argmax(own @ c.T - 0.5 * (c * c).sum(1), 1)
             if near is None or (np.bincount(near, minlength=k) == len(own)).any():  # small enough, or all alike
                 leaf_of[node], self.leaves = self.leaves, self.leaves + 1
+                sampled.append(len(own))
                 continue
             used = [j for j in range(k) if (near == j).any()]
             first[node], count[node] = len(centres), len(used)
@@ -114,6 +125,20 @@ class Tree:
         self.centres = np.asarray(centres, np.float32)
         self.half = 0.5 * (self.centres.astype(np.float64) ** 2).sum(1)
         self.first, self.count, self.leaf_of = (np.asarray(a, np.int32) for a in (first, count, leaf_of))
+        self.sampled = np.asarray(sampled, np.int64)
+        self.group(1.0, 1, 1 << 62)
+
+    def group(self, weight: float, rows: int, most: int) -> None:
+        """Blocks of leaves that follow each other, of about `rows` rows, a row of the sample standing for `weight`; a leaf beyond `most` has parts."""
+        self.block_of, self.start, self.parts, held = np.zeros(self.leaves, np.int64), [], [], 0.0
+        for leaf, size in enumerate(self.sampled * weight):
+            if not self.start or held + size > rows:
+                self.start.append(leaf), self.parts.append(max(1, math.ceil(size / most)))
+                held = 0.0
+            held += size
+            self.block_of[leaf] = len(self.start) - 1
+        self.start, self.parts = np.asarray(self.start, np.int64), np.asarray(self.parts, np.int64)
+        self.wide = int(np.bincount(self.block_of).max())
 
     def _borders(self, node: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest child of an inner node for each row, and the distance of the row to the border of each other child."""
@@ -235,8 +260,8 @@ def _digests(dim: int):
 class Index:
     """A fitted tree with the reach of a query and the recall measured for it."""
 
-    def __init__(self, top: Tree, subs: dict[int, Tree] | None, table: DataFrame | None, salts: DataFrame | None, rows: int, leaves: int):
-        self.top, self.subs, self.table, self.salts, self.rows, self.leaves = top, subs, table, salts, rows, leaves
+    def __init__(self, top: Tree, subs: dict[int, Tree] | None, table: DataFrame | None, salts: DataFrame | None, rows: int, leaves: int, blocks: int):
+        self.top, self.subs, self.table, self.salts, self.rows, self.leaves, self.blocks = top, subs, table, salts, rows, leaves, blocks
         self.reach, self.recall, self.visits, self.crowds = -1.0, 1.0, 1.0, None
         self.shared = table.sparkSession.sparkContext.broadcast((top, subs))
 
@@ -247,8 +272,12 @@ class Index:
         return routed.groupBy("cell", "salt").cogroup(trees.groupBy("cell", "salt")).applyInArrow(run, schema)
 
     def place(self, rows: DataFrame, dim: int, reach: float) -> DataFrame:
-        """(cell, leaf, home, id, code) of the leaves that rows (id, v, ask) visit; rows that ask nothing have their own only."""
-        schema = "cell bigint, leaf int, home boolean, id bigint, ask boolean, code binary"
+        """The blocks of the leaves that rows (id, v, ask) visit; rows that ask nothing have their own only.
+
+        leaf and pos: the row's own leaf in the cell and in the block, -1 in other blocks; seen: number of
+        visited leaves; mask: a bit for each leaf of the block; part: of a leaf larger than a block.
+        """
+        schema = "cell bigint, block int, part int, leaf int, pos int, seen int, id bigint, ask boolean, mask binary, code binary"
         if self.subs is not None:
             return rows.select("id", "v", "ask").mapInArrow(_place(self.shared, dim, reach), schema)
         routed = rows.select("id", "v", "ask").mapInArrow(_route(self.shared, dim, reach), "cell bigint, nth int, far double, id bigint, ask boolean, vec binary")
@@ -262,10 +291,10 @@ class Index:
         return self._in_cells(routed, _far_cell(dim), "far double")
 
 
-def _batch(cell, leaf, home, ids, asks, x) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_()]
-    cols = [pa.array(c, t) for c, t in zip((cell, leaf, home, ids, asks), types)]
-    return pa.record_batch([*cols, _binary(x.astype(np.float16))], ["cell", "leaf", "home", "id", "ask", "code"])
+def _batch(cell: int, block, part, leaf, pos, seen, ids, asks, mask, x) -> pa.RecordBatch:
+    types = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.bool_()]
+    cols = [pa.array(c, t) for c, t in zip((np.full(len(ids), cell), block, part, leaf, pos, seen, ids, asks), types)]
+    return pa.record_batch([*cols, _binary(mask), _binary(x.astype(np.float16))], ["cell", "block", "part", "leaf", "pos", "seen", "id", "ask", "mask", "code"])
 
 
 def _reached(tree: Tree, x: np.ndarray, asks: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -276,9 +305,24 @@ def _reached(tree: Tree, x: np.ndarray, asks: np.ndarray, reach: float) -> tuple
 
 
 def _in_cell(tree: Tree, cell: int, nth: np.ndarray, x: np.ndarray, ids: np.ndarray, asks: np.ndarray, reach: float) -> pa.RecordBatch:
-    """The leaves below one cell that rows visit; nth is the place of the cell among those of the row."""
+    """The blocks below one cell that rows visit; nth is the place of the cell among those of the row."""
     row, j, leaf, _ = _reached(tree, x, asks, reach)
-    return _batch(np.full(len(row), cell), leaf, (nth[row] == 0) & (j == 0), ids[row], asks[row], x[row])
+    home = (nth[row] == 0) & (j == 0)
+    key, at = np.unique(row * len(tree.start) + tree.block_of[leaf], return_inverse=True)
+    row, block = key // len(tree.start), key % len(tree.start)
+    bits = np.zeros((len(key), tree.wide), bool)
+    bits[at, leaf - tree.start[block[at]]] = True
+    own = np.full(len(key), -1)
+    own[at[home]] = leaf[home]
+    # queries look into all parts of a leaf, and a row is data of one
+    copies = np.where(asks[row] | (own < 0), tree.parts[block], 1)
+    entry = np.repeat(np.arange(len(key)), copies)
+    part = np.arange(len(entry)) - np.repeat(np.cumsum(copies) - copies, copies)
+    row, block, own, seen = row[entry], block[entry], own[entry], np.where(part == 0, bits.sum(1)[entry], 0)
+    data = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tree.parts[block]
+    part = np.where(asks[row], part, data)
+    own = np.where(part == data, own, -1)
+    return _batch(cell, block, part, own, np.where(own < 0, -1, own - tree.start[block]), seen, ids[row], asks[row], np.packbits(bits, 1)[entry], x[row])
 
 
 def _by_cell(cell: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -325,7 +369,7 @@ def _place_cell(dim: int, reach: float):
             tree, cell = pickle.loads(trees["blob"][0].as_py()), rows["cell"][0].as_py()
             for part in rows.to_batches(2048):
                 out.append(_in_cell(tree, cell, np.asarray(part.column("nth")), _doubles(part.column("vec"), dim), np.asarray(part.column("id")), np.asarray(part.column("ask")).astype(bool), reach))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch([], [], [], [], [], np.zeros((0, dim)))])
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0, *[np.zeros(0, np.int64)] * 6, np.zeros(0, bool), np.zeros((0, 1), np.uint8), np.zeros((0, dim)))])
 
     return run
 
@@ -359,11 +403,12 @@ def _far_cell(dim: int):
     return run
 
 
-def _fit_cell(dim: int, leaf: int):
+def _fit_cell(dim: int, leaf: int, share: float, rows: int, most: int):
     def run(tab: pa.Table) -> pa.Table:
         x, _ = _matrix(tab["v"], dim)
         tree = Tree(x.astype(np.float32), leaf)
-        return pa.table({"cell": pa.array([tab["cell"][0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps(tree)], pa.binary()), "leaves": pa.array([tree.leaves], pa.int64())})
+        tree.group(1 / (share * tab["keep"][0].as_py()), rows, most)
+        return pa.table({"cell": pa.array([tab["cell"][0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps(tree)], pa.binary()), "leaves": pa.array([tree.leaves], pa.int64()), "blocks": pa.array([len(tree.start)], pa.int64())})
 
     return run
 
@@ -405,25 +450,28 @@ def fit(rows: DataFrame, dim: int, k: int, recall: float, least: float | None =
     told = sample.mapInArrow(_with_cells(spark.sparkContext.broadcast(top), dim), "cell bigint, id bigint, v array<float>")
     sizes = told.groupBy("cell").count().toPandas()  # at most CELLS rows
     crowded = sizes[sizes["count"] > 2 * CELL_SAMPLE[1]]
+    told = told if len(crowded) else told.withColumn("keep", F.lit(1.0))
     if len(crowded):  # cells that the upper tree could not divide
         few = spark.createDataFrame([(int(c), float(2 * CELL_SAMPLE[1] / m)) for c, m in zip(crowded["cell"], crowded["count"])], "cell bigint, keep double")
-        told = told.join(F.broadcast(few), "cell", "left").where(F.col("keep").isNull() | (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(_SPACE)) < F.col("keep") * _SPACE)).drop("keep")
+        told = told.join(F.broadcast(few), "cell", "left").withColumn("keep", F.coalesce("keep", F.lit(1.0))).where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(_SPACE)) < F.col("keep") * _SPACE)
     leaf = max(8, round(share * LEAF_ROWS))
-    table = written(told.groupBy("cell").applyInArrow(_fit_cell(dim, leaf), "cell bigint, blob binary, leaves bigint"), "vector-trees")
-    missing = [(c, pickle.dumps(Tree(none, 1)), 1) for c in range(top.leaves) if c not in set(sizes["cell"])]
+    most = BLOCK_LEAVES * LEAF_ROWS
+    block = min(most, max(LEAF_ROWS, n // BLOCKS))
+    table = written(told.groupBy("cell").applyInArrow(_fit_cell(dim, leaf, share, block, most), "cell bigint, blob binary, leaves bigint, blocks bigint"), "vector-trees")
+    missing = [(c, pickle.dumps(Tree(none, 1)), 1, 1) for c in range(top.leaves) if c not in set(sizes["cell"])]
     table = table.unionByName(spark.createDataFrame(missing, table.schema)) if missing else table
-    leaves = table.agg(F.sum("leaves")).first()[0]
+    leaves, blocks = table.agg(F.sum("leaves"), F.sum("blocks")).first()
     subs = {r["cell"]: pickle.loads(r["blob"]) for r in table.collect()} if leaves <= SENT else None
     counts = {int(c): float(m) for c, m in zip(sizes["cell"], sizes["count"])}
     salts = spark.createDataFrame([(c, max(1, math.ceil(counts.get(c, 0) / share / 32_768))) for c in range(top.leaves)], "cell bigint, salts bigint")
-    index = Index(top, subs, table, salts, n, leaves)
+    index = Index(top, subs, table, salts, n, leaves, blocks)
     if leaves > 1:
         if recall >= 1:
             index.reach = math.inf  # all leaves
         else:
             _calibrate(index, rows, _picked(hashed, asks, held, last=True), dim, k, recall, least)
         _crowds(index, sample, share, dim)
-    print(f"neighbours: {n} rows, {top.leaves} cells, {leaves} leaves; a query visits {index.visits:.2f} on average, recall {index.recall:.4f} on held-out rows", file=sys.stderr)
+    print(f"neighbours: {n} rows, {top.leaves} cells, {leaves} leaves, {blocks} blocks; a query visits {index.visits:.2f} on average, recall {index.recall:.4f} on held-out rows", file=sys.stderr)
     return index
 
 
@@ -473,14 +521,14 @@ def _calibrate(index: Index, rows: DataFrame, picked: pa.Table, dim: int, k: int
 
 
 def _crowds(index: Index, sample: DataFrame, share: float, dim: int) -> None:
-    """Visits of a row on average and the leaves that must be processed in parts, (cell, leaf, parts, alike), estimated on the sample."""
+    """Visits of a row on average and the blocks that must be processed in parts, (cell, block, part, crowd), estimated on the sample."""
     placed = index.place(sample.withColumn("ask", F.lit(True)), dim, index.reach)
-    g = placed.groupBy("cell", "leaf").agg((F.count(F.lit(1)) / share).alias("asks"), (F.count_if(F.col("home")) / share).alias("data"))
-    g = written(g, "leaf-sizes")
-    alike = F.col("data") > 4 * LEAF_ROWS
-    parts = F.when(alike, F.ceil(F.col("data") / LEAF_ROWS)).when(F.col("asks") > CROWD, F.ceil(F.col("asks") / CROWD))
-    got = g.select("cell", "leaf", parts.cast("int").alias("parts"), alike.alias("alike")).where("parts > 1")
-    total = g.agg(F.sum("asks"), F.sum("data")).first()
+    home = F.col("leaf") >= 0
+    g = placed.groupBy("cell", "block", "part").agg((F.count(F.lit(1)) / share).alias("asks"), (F.count_if(home) / share).alias("data"), (F.sum("seen") / share).alias("seen"))
+    g = written(g, "block-sizes")
+    each = F.greatest(F.lit(float(CROWD)), CROWD_DATA * F.col("data"))
+    got = g.select("cell", "block", "part", F.ceil(F.col("asks") / each).cast("int").alias("crowd")).where("crowd > 1")
+    total = g.agg(F.sum("seen"), F.sum("data")).first()
     index.visits = (total[0] or 0) / max(1.0, total[1] or 0)
     index.crowds = got if got.limit(1).count() else None
 
@@ -494,55 +542,144 @@ def _fourth(x: np.ndarray) -> np.ndarray:
     return (x**4).sum(1) ** 0.25
 
 
+class _Block:
+    """The data of a block, leaf after leaf, as codes, and their leading numbers with the length of the rest."""
+
+    def __init__(self, codes: np.ndarray, own: np.ndarray, pos: np.ndarray, k: int, floor: float):
+        self.codes, self.own, self.k, self.floor, self.lead = codes, own, k, floor, max(1, codes.shape[1] // 3)
+        cuts = np.flatnonzero(np.diff(pos, prepend=-1))
+        self.slices = [(int(pos[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(pos)])]
+        self.by_id = np.argsort(self.own, kind="stable")
+        self.short = np.zeros((len(own), self.lead + 1), np.float32) if floor > 0 else None
+        fourth = 0.0
+        for a in range(0, len(own), 4096):
+            x = self.unit(slice(a, a + 4096))
+            fourth = max(fourth, float(_fourth(x).max()))
+            if self.short is not None:
+                self.short[a : a + 4096] = self.shorten(x)
+        self.error = SIGMAS * math.sqrt(2) * math.sqrt(2 / 3) * 2**-11 * fourth
+
+    def unit(self, which) -> np.ndarray:
+        x = self.codes[which].astype(np.float32)
+        return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+
+    def shorten(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([x[:, : self.lead], np.sqrt((x[:, self.lead :] ** 2).sum(1))[:, None]])
+
+    def ask(self, q: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(q), 1024):
+            yield self._ask(*(a[start : start + 1024] for a in (q, ids, bits)))
+
+    def _ask(self, q: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        """Of each query the k best of the visited leaves and those within `reserve` of the k-th, from the floor on."""
+        n, k = len(q), self.k
+        best = np.full((n, k), -2.0, np.float32)
+        reserve = np.minimum(self.error * _fourth(q), 2**-9).astype(np.float32)
+        bound = np.full(n, max(self.floor, -1.5), np.float32)
+        short = self.shorten(q) if self.short is not None else None
+        at = np.minimum(np.searchsorted(self.own, ids, sorter=self.by_id), len(self.own) - 1)
+        itself = np.where(self.own[self.by_id[at]] == ids, self.by_id[at], -1)
+        found: list[tuple] = []
+        for pos, a, b in self.slices:
+            r = np.flatnonzero(bits[:, pos])
+            if not len(r):
+                continue
+            row = None
+            if short is not None:
+                # what the bound excludes cannot reach the floor or the k-th
+                row, col = np.nonzero(short[r] @ self.short[a:b].T >= bound[r][:, None] - 1e-5)
+                if len(row) > 0.03 * len(r) * (b - a):
+                    row = None
+            if row is None:
+                sim = q[r] @ self.unit(slice(a, b)).T
+                me = np.flatnonzero((itself[r] >= a) & (itself[r] < b))
+                sim[me, itself[r[me]] - a] = -2
+                m = min(k, b - a)
+                if (sim >= bound[r][:, None]).sum() > 4 * k * len(r):
+                    top = -np.partition(-sim, m - 1, 1)[:, :m]
+                    bound[r] = np.maximum(bound[r], -np.partition(-np.hstack([best[r], top]), k - 1, 1)[:, k - 1] - reserve[r])
+                row, col = np.nonzero(sim >= bound[r][:, None])
+                sims, row, col = sim[row, col], r[row], col + a
+            else:
+                row, col = r[row], col + a
+                other = col != itself[row]
+                row, col = row[other], col[other]
+                sims = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", q[row[i : i + 8192]], self.unit(col[i : i + 8192])) for i in range(0, len(row), 8192))])
+                near = sims >= bound[row]
+                row, col, sims = row[near], col[near], sims[near]
+            if len(row):
+                found.append((row, col, sims))
+                # the k best so far of the queries that found something
+                who = np.unique(row)
+                of, what = np.concatenate([np.repeat(who, k), row]), np.concatenate([best[who].ravel(), sims])
+                order = np.lexsort((-what, of))
+                of, what = of[order], what[order]
+                rank = np.arange(len(of)) - np.searchsorted(of, of)
+                best[of[rank < k], rank[rank < k]] = what[rank < k]
+                bound[who] = np.maximum(bound[who], best[who, k - 1] - reserve[who])
+        row, col, sims = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        keep = sims >= bound[row]
+        row, col, sims = row[keep], col[keep], sims[keep]
+        return pa.record_batch([pa.array(ids[row], pa.int64()), pa.array(self.own[col], pa.int64()), pa.array(sims, pa.float32()), pa.array(reserve[row], pa.float32())], ["a", "b", "sim", "reserve"])
+
+
+def _codes(column: pa.Array, kind, size: int) -> np.ndarray:
+    """The numbers of a binary column whose values have equal length."""
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], kind, len(column) * size, start).reshape(-1, size)
+
+
 def _search(k: int, dim: int, floor: float):
-    """For rows sorted by leaf, part and role: of each query the k best of the data and those within `reserve` of the k-th, from `floor` on.
+    """For rows sorted by block, part and leaf, queries last: of each query the k best of the data and those within `reserve` of the k-th, from `floor` on.
 
     Rounding to float16 changes each number by up to 2**-11 of it, evenly distributed; so the error of a
     similarity has a standard deviation of at most sqrt(2 / 3) * 2**-11 times the product of the 4-norms.
     """
 
-    def ask(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, error: float) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(q), 512):
-            part, of = q[start : start + 512], ids[start : start + 512]
-            sim = part @ x.T
-            sim[of[:, None] == own[None, :]] = -2
-            m = min(k, sim.shape[1])
-            kth = -np.partition(-sim, m - 1, 1)[:, m - 1]
-            reserve = np.minimum(error * _fourth(part), 2**-9).astype(np.float32)
-            row, col = np.nonzero(sim >= np.maximum(kth - reserve, max(floor, -1.5))[:, None])
-            yield pa.record_batch([pa.array(of[row], pa.int64()), pa.array(own[col], pa.int64()), pa.array(sim[row, col], pa.float32()), pa.array(reserve[row], pa.float32())], ["a", "b", "sim", "reserve"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, data, ready = None, [], None
 
         def close():
-            """The data of the group as a matrix; its own queries are answered at once."""
-            x, own, asks = (np.concatenate([d[i] for d in data]) for i in range(3))
-            error = SIGMAS * math.sqrt(2) * math.sqrt(2 / 3) * 2**-11 * _fourth(x).max()
-            return (x, own, error), ask(x[asks], own[asks], x, own, error)
+            """The data of the block, and the answers to its own queries."""
+            own, pos, asks, bits = (np.concatenate([d[i] for d in data]) for i in range(1, 5))
+            codes, end = np.empty((len(own), dim), np.float16), len(own)
+            while data:  # each piece is freed when it is copied
+                piece = data.pop()[0]
+                codes[end - len(piece) : end], end = piece, end - len(piece)
+            asks = np.flatnonzero(asks)
+            block = _Block(codes, own, pos, k, floor)
+
+            def answers():
+                for i in range(0, len(asks), 8192):
+                    which = asks[i : i + 8192]
+                    x = codes[which].astype(np.float32)
+                    yield from block.ask(x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None], own[which], bits[which])
+
+            return block, answers()
 
         for batch in batches:
-            group = np.stack([np.asarray(batch.column(i), np.int64) for i in range(3)], 1)  # cell, leaf, part
-            role, ids = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            group = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)], 1)  # cell, block, part, crowd
+            role, ids, pos = np.asarray(batch.column(4)), np.asarray(batch.column(5)), np.asarray(batch.column(6))
             kind = np.column_stack([group, role == QUERY])
             cuts = np.flatnonzero((kind[1:] != kind[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
                 if a == b:
                     continue
                 if tuple(group[a]) != now:
-                    if data and ready is None:
+                    if data:
                         yield from close()[1]
                     now, data, ready = tuple(group[a]), [], None
-                x = _unpack(batch.column(5).slice(a, b - a), dim)
+                masks, codes = batch.column(7).slice(a, b - a), batch.column(8).slice(a, b - a)
+                bits = np.unpackbits(_codes(masks, np.uint8, len(masks[0].as_py())), axis=1).astype(bool)
                 if role[a] != QUERY:
-                    data.append((x, ids[a:b], role[a:b] == DATA_AND_QUERY))
+                    data.append((_codes(codes, np.float16, dim).copy(), ids[a:b], pos[a:b], role[a:b] == DATA_AND_QUERY, bits))
                     continue
-                if ready is None and data:
+                if data:
                     ready, own = close()
                     yield from own
                 if ready is not None:
-                    yield from ask(x, ids[a:b], *ready)
-        if data and ready is None:
+                    yield from ready.ask(_unpack(codes, dim), ids[a:b], bits)
+        if data:
             yield from close()[1]
 
     return run
@@ -556,21 +693,22 @@ def nearest(rows: DataFrame, dim: int, k: int, index: Index, queries: DataFrame
     """
     marked = rows.select("id", "v", F.lit(True).alias("ask"))
     if queries is not None:
-        marked = rows.select("id", "v").join(broadcast_if_small(queries.withColumn("ask", F.lit(True))), "id", "left").select("id", "v", F.coalesce("ask", F.lit(False)).alias("ask"))
+        marked = rows.select("id", "v").join(broadcast_if_small(queries.withColumn("ask", F.lit(True)), IDS), "id", "left").select("id", "v", F.coalesce("ask", F.lit(False)).alias("ask"))
     placed = index.place(marked, dim, index.reach)
-    role = F.when(F.col("home") & F.col("ask"), DATA_AND_QUERY).when(F.col("home"), DATA).otherwise(QUERY)
-    placed = placed.select("cell", "leaf", F.lit(0).alias("part"), role.cast("tinyint").alias("role"), "id", "code")
+    home = F.col("leaf") >= 0
+    role = F.when(home & F.col("ask"), DATA_AND_QUERY).when(home, DATA).otherwise(QUERY)
+    columns = ["cell", "block", "part", "crowd", "role", "id", "pos", "mask", "code"]
+    placed = placed.withColumn("crowd", F.lit(0)).withColumn("role", role.cast("tinyint")).select(columns)
     if index.crowds is not None:
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        placed = placed.drop("part").join(broadcast_if_small(index.crowds), ["cell", "leaf"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
-        # data of a visited leaf go to all its parts, and ask in one of them
-        copies = F.when(F.col("parts").isNotNull() & ~F.col("alike") & (F.col("role") != QUERY), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
-        placed = placed.withColumn("part", F.explode(copies))
-        placed = placed.withColumn("role", F.when((F.col("role") == DATA_AND_QUERY) & (F.col("part") != F.col("own")), F.lit(DATA)).otherwise(F.col("role")).cast("tinyint")).select("cell", "leaf", "part", "role", "id", "code")
+        placed = placed.drop("crowd").join(broadcast_if_small(index.crowds), ["cell", "block", "part"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("crowd")).cast("int"), F.lit(0)))
+        # data of a visited block go to all its crowds, and ask in one of them
+        copies = F.when(F.col("crowd").isNotNull() & (F.col("role") != QUERY), F.sequence(F.lit(0), F.col("crowd") - 1)).otherwise(F.array("own"))
+        placed = placed.withColumn("crowd", F.explode(copies))
+        placed = placed.withColumn("role", F.when((F.col("role") == DATA_AND_QUERY) & (F.col("crowd") != F.col("own")), F.lit(DATA)).otherwise(F.col("role")).cast("tinyint")).select(columns)
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(index.leaves, max(4 * cores, index.leaves // 4)))
-    number = (F.col("cell") * 7919 + F.col("leaf") + F.col("part") * 104_729) % parts  # one leaf, or a few, to a task
-    sorted_rows = placed.repartitionById(parts, number.cast("int")).sortWithinPartitions("cell", "leaf", "part", "role")
+    parts = max(1, min(index.leaves, max(4 * cores, index.blocks)))
+    number = (F.col("cell") * 7919 + F.col("block") + F.col("part") * 104_729 + F.col("crowd") * 15_485_863) % parts  # one block, or a few, to a task
+    sorted_rows = placed.repartitionById(parts, number.cast("int")).sortWithinPartitions("cell", "block", "part", "crowd", F.desc("pos"))
     got = sorted_rows.mapInArrow(_search(k, dim, floor), "a bigint, b bigint, sim float, reserve float")
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     got = got.withColumn("r", F.row_number().over(w)).withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("sim"))).over(Window.partitionBy("a")))
@@ -588,10 +726,13 @@ def _cosines(dim: int):
 
 
 def _exact(pairs: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
-    """The pairs with their similarity in double precision; only vectors of ids in pairs move."""
-    need = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = rows.join(need, "id", "left_semi").select("id", "v")
-    vecs = lambda name: some.select(F.col("id").alias(name), F.col("v").alias(f"v{name}"))
+    """The pairs with their similarity in double precision; up to IDS ids on a side only their vectors move."""
+
+    def vecs(name: str) -> DataFrame:
+        need = pairs.select(F.col(name).alias("id")).distinct()
+        some = rows.join(F.broadcast(need), "id", "left_semi") if need.limit(IDS + 1).count() <= IDS else rows
+        return some.select(F.col("id").alias(name), F.col("v").alias(f"v{name}"))
+
     return pairs.join(vecs("a"), "a").join(vecs("b"), "b").select("a", "b", "va", "vb").mapInArrow(_cosines(dim), "a bigint, b bigint, sim double")
 
 
@@ -621,7 +762,7 @@ def similar_rows(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, re
     members, few = _classes(written(rows.mapInArrow(_digests(dim), "id bigint, cls binary"), "vector-digests"), k)
     asked = members if ask is None else members.where(ask)
     copies = members.where("id <> rep").select("id")
-    reps = rows.join(broadcast_if_small(copies), "id", "left_anti").select("id", "v")
+    reps = rows.join(broadcast_if_small(copies, IDS), "id", "left_anti").select("id", "v")
     index = fit(reps, dim, k, recall, least)
     queries = None if ask is None else asked.select(F.col("rep").alias("id")).distinct()
     near = _exact(written(nearest(reps, dim, k, index, queries, -2.0 if least is None else least - SLACK), "vector-pairs"), reps, dim)

@@ -150,3 +150,30 @@ def test_only_neighbours_that_are_asked_for_widen_the_visits(spark, monkeypatch)
     assert alike.visits < every.visits and alike.recall >= 0.97
     got = {(r["a"], r["b"]) for r in N.similar_rows(frame(spark, range(900), x), "no", "v", 24, 5, least=0.95).collect()}
     assert len(got & {(i, (i + 450) % 900) for i in range(900)}) >= 0.95 * 900
+
+
+@pytest.mark.parametrize("least", [None, 0.6])
+def test_vectors_travel_by_block_and_not_by_leaf(spark, monkeypatch, least):
+    monkeypatch.setattr(N, "LEAF_ROWS", 20)
+    monkeypatch.setattr(N, "BLOCKS", 4, raising=False)
+    x = np.float32(np.random.default_rng(8).normal(size=(1600, 24)))
+    x[800:] = x[:800] + np.float32(0.5 * np.random.default_rng(9).normal(size=(800, 24)))
+    df = frame(spark, range(1600), x)
+    rows = df.select(N.F.col("no").alias("id"), "v")
+    index = N.fit(rows, 24, 5, 0.99, least)
+    assert index.leaves >= 60 and index.visits > 15
+    assert index.place(rows.withColumn("ask", N.F.lit(True)), 24, index.reach).count() <= 8 * 1600
+    # the same neighbours however the leaves travel
+    unit = np.float64(x) / np.linalg.norm(np.float64(x), axis=1)[:, None]
+
+    def best(index):
+        got = {}
+        for a, b in N.nearest(rows, 24, 5, index, floor=-2.0 if least is None else least).collect():
+            got.setdefault(a, []).append((-unit[a] @ unit[b], b))
+        return {a: sorted(of)[:5] for a, of in got.items()}
+
+    blocks = best(index)
+    monkeypatch.setattr(N, "BLOCK_LEAVES", 1, raising=False)
+    single = N.fit(rows, 24, 5, 0.99, least)
+    assert single.reach == index.reach and single.blocks > 3 * index.blocks
+    assert best(single) == blocks
