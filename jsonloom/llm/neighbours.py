@@ -8,10 +8,9 @@ cell an executor fits a tree on the cell's own sample, a fixed share of the rows
 beyond, rows and trees meet by a shuffle on the cell, in salted parts. Both ways run the same code on
 the same trees and give the same leaves.
 
-Every vector descends by best-bin-first traversal: branches not taken wait in a priority queue by
-their distance, which is that to the border with the branch taken (the greatest on the way), and the
-nearest is taken next. A query visits the leaves within a reach, deep inside a leaf only that one, near
-borders several. The reach is calibrated: for held-out rows the true neighbours are computed against
+Every vector descends to the nearest leaf, and on the way to every branch within a reach; the distance
+of a branch is that to the border with the branch taken (the greatest on the way). Deep inside a leaf a
+query visits only that one, near borders several. The reach is calibrated: for held-out rows the true neighbours are computed against
 all rows, and the reach widened until the wanted share of them lies in visited leaves. Where only
 neighbours from a threshold on are asked for, only those count, and more rows are held out, because
 few have any. Rows, leaves, visits and recall are printed.
@@ -151,44 +150,36 @@ class Tree:
         return best, far
 
     def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, nth, leaf, distance) of the leaves within reach of each row, in best-bin-first order; the row's own is always the first.
+        """(row, nth, leaf, distance) of the leaves within reach of each row, by distance; the row's own is always the first.
 
-        All rows go on at once: a row at an inner node steps to the nearest child, whose siblings
-        within reach wait in its queue; a row at a leaf notes it and goes on with the nearest of what
-        waits. Only borders of nodes that are passed are computed.
+        All rows go on at once, level by level: from an inner node a row steps to the nearest child and
+        to all whose border is within reach. Only borders of nodes that are passed are computed, once
+        for all rows there.
         """
-        n = len(x)
-        at, dist, found = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-        queue_d, queue_n = np.full((n, 1), np.inf), np.zeros((n, 1), np.int64)
-        todo, out = np.arange(n), []
-        while len(todo):
-            r = todo[self.leaf_of[at[todo]] >= 0]
-            if len(r):
-                out.append((r, found[r], self.leaf_of[at[r]], dist[r]))
-                found[r] += 1
-                best = queue_d[r].argmin(1)
-                dist[r], at[r] = queue_d[r, best], queue_n[r, best]
-                queue_d[r, best] = np.inf
-                todo = todo[np.isfinite(dist[todo])]
-            r = todo[self.leaf_of[at[todo]] < 0]
-            for node in np.unique(at[r]):
-                own = r[at[r] == node]
-                best, far = self._borders(node, x[own])
-                at[own] = self.first[node] + best
-                if reach >= 0:
-                    far = np.maximum(far, dist[own][:, None])
-                    far[np.arange(len(own)), best] = np.inf
-                    far[far > reach] = np.inf
-                    both = np.hstack([queue_d[own], far])
-                    names = np.hstack([queue_n[own], np.broadcast_to(self.first[node] + np.arange(far.shape[1]), far.shape)])
-                    wide = int(np.isfinite(both).sum(1).max())
-                    if wide > queue_d.shape[1]:
-                        more = wide - queue_d.shape[1]
-                        queue_d, queue_n = np.hstack([queue_d, np.full((n, more), np.inf)]), np.hstack([queue_n, np.zeros((n, more), np.int64)])
-                    keep = np.argsort(both, 1)[:, : queue_d.shape[1]]
-                    queue_d[own, : keep.shape[1]], queue_n[own, : keep.shape[1]] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
-        cat = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return tuple(cat)
+        row, node, dist, own = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
+        out = []
+        while len(row):
+            end = self.leaf_of[node] >= 0
+            out.append((row[end], self.leaf_of[node[end]], dist[end], own[end]))
+            order = np.argsort(np.where(end, len(self.leaf_of), node), kind="stable")[: len(row) - int(end.sum())]
+            row, node, dist, own = row[order], node[order], dist[order], own[order]
+            cuts = np.flatnonzero(np.diff(node)) + 1
+            steps = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
+            for a, b in zip([0, *cuts], [*cuts, len(node)]):
+                if a == b:
+                    continue
+                best, far = self._borders(node[a], x[row[a:b]])
+                far = np.maximum(far, dist[a:b][:, None])
+                far[np.arange(b - a), best] = dist[a:b]
+                i, kid = np.nonzero(far <= reach) if reach >= 0 else (np.arange(b - a), best)
+                steps.append((row[a:b][i], self.first[node[a]] + kid, far[i, kid], own[a:b][i] & (kid == best[i])))
+            row, node, dist, own = (np.concatenate(c) for c in zip(*steps))
+        if not out:
+            return *([np.zeros(0, np.int64)] * 3), np.zeros(0)
+        row, leaf, dist, own = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((dist, ~own, row))
+        row, leaf, dist = row[order], leaf[order], dist[order]
+        return row, np.arange(len(row)) - np.searchsorted(row, row), leaf, dist
 
     def homes(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
