@@ -20,8 +20,9 @@ blocks where the rows allow it). A row is shuffled once as data and query of its
 further block with leaves it visits, as float16 with a bit for each leaf. A task holds the data of one
 block and streams its queries past the leaves they visit. Blocks are only a matter of transport: which
 leaves meet does not depend on them. A block visited by very many queries is processed in parts, its
-data being copied to each; a leaf larger than a block (vectors that no centre could divide) is divided
-by hash, and its queries look into every part. Where neighbours from a threshold on are asked for, the
+data being copied to each. A leaf of more than four times the wanted size, which no centre could divide
+(scaled copies), is a block of its own: its rows are divided by hash, its queries look into every part,
+and all is in double precision, because codes could not tell its vectors apart. Where neighbours from a threshold on are asked for, the
 leading third of the numbers and the lengths of the rest bound the similarity from above, and only
 pairs whose bound reaches the threshold are computed. Similarities of codes only choose candidates: the
 k best and all that the error of the codes could hide, which are computed again in double precision
@@ -125,18 +126,22 @@ class Tree:
         self.half = 0.5 * (self.centres.astype(np.float64) ** 2).sum(1)
         self.first, self.count, self.leaf_of = (np.asarray(a, np.int32) for a in (first, count, leaf_of))
         self.sampled = np.asarray(sampled, np.int64)
-        self.group(1.0, 1, 1 << 62)
+        self.group(1.0, 1 << 62, 1 << 62, 1)
 
-    def group(self, weight: float, rows: int, most: int) -> None:
-        """Blocks of leaves that follow each other, of about `rows` rows, a row of the sample standing for `weight`; a leaf beyond `most` has parts."""
-        self.block_of, self.start, self.parts, held = np.zeros(self.leaves, np.int64), [], [], 0.0
+    def group(self, weight: float, rows: int, dense: int, most: int) -> None:
+        """Blocks of leaves that follow each other, of about `rows` rows, a row of the sample standing for `weight`.
+
+        A leaf beyond `dense` rows, which no centre could divide, is a block of its own with parts of `most` rows.
+        """
+        self.block_of, start, parts, own, held = np.zeros(self.leaves, np.int64), [], [], [], 0.0
         for leaf, size in enumerate(self.sampled * weight):
-            if not self.start or held + size > rows:
-                self.start.append(leaf), self.parts.append(max(1, math.ceil(size / most)))
+            alone = size > dense
+            if not start or alone or own[-1] or held + size > rows:
+                start.append(leaf), parts.append(math.ceil(size / most) if alone else 1), own.append(alone)
                 held = 0.0
             held += size
-            self.block_of[leaf] = len(self.start) - 1
-        self.start, self.parts = np.asarray(self.start, np.int64), np.asarray(self.parts, np.int64)
+            self.block_of[leaf] = len(start) - 1
+        self.start, self.parts, self.dense = np.asarray(start, np.int64), np.asarray(parts, np.int64), np.asarray(own, bool)
         self.wide = int(np.bincount(self.block_of).max())
 
     def _borders(self, node: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,10 +227,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _unpack(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors (float32) of a column of float16 codes."""
-    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
-    x = np.frombuffer(column.buffers()[2], np.float16, len(column) * dim, start).reshape(-1, dim).astype(np.float32) if len(column) else np.zeros((0, dim), np.float32)
+def _units(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors (float32) of float16 codes; float64 ones are as they are."""
+    if codes.dtype == np.float64:
+        return codes
+    x = codes.astype(np.float32)
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
@@ -266,7 +272,7 @@ class Index:
         """The blocks of the leaves that rows (id, v, ask) visit; rows that ask nothing have their own only.
 
         leaf and pos: the row's own leaf in the cell and in the block, -1 in other blocks; seen: number of
-        visited leaves; mask: a bit for each leaf of the block; part: of a leaf larger than a block.
+        visited leaves; mask: a bit for each leaf of the block; part: of a dense leaf.
         """
         schema = "cell bigint, block int, part int, leaf int, pos int, seen int, id bigint, ask boolean, mask binary, code binary"
         if self.subs is not None:
@@ -285,7 +291,7 @@ class Index:
 def _batch(cell: int, block, part, leaf, pos, seen, ids, asks, mask, x) -> pa.RecordBatch:
     types = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.bool_()]
     cols = [pa.array(c, t) for c, t in zip((np.full(len(ids), cell), block, part, leaf, pos, seen, ids, asks), types)]
-    return pa.record_batch([*cols, _binary(mask), _binary(x.astype(np.float16))], ["cell", "block", "part", "leaf", "pos", "seen", "id", "ask", "mask", "code"])
+    return pa.record_batch([*cols, _binary(mask), _binary(x)], ["cell", "block", "part", "leaf", "pos", "seen", "id", "ask", "mask", "code"])
 
 
 def _reached(tree: Tree, x: np.ndarray, asks: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,8 +301,8 @@ def _reached(tree: Tree, x: np.ndarray, asks: np.ndarray, reach: float) -> tuple
     return np.concatenate([ask[a[0]], not_ask[b[0]]]), *(np.concatenate([p, q]) for p, q in zip(a[1:], b[1:]))
 
 
-def _in_cell(tree: Tree, cell: int, nth: np.ndarray, x: np.ndarray, ids: np.ndarray, asks: np.ndarray, reach: float) -> pa.RecordBatch:
-    """The blocks below one cell that rows visit; nth is the place of the cell among those of the row."""
+def _in_cell(tree: Tree, cell: int, nth: np.ndarray, x: np.ndarray, ids: np.ndarray, asks: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
+    """The blocks below one cell that rows visit; nth is the place of the cell among those of the row. Vectors of dense leaves go as they are."""
     row, j, leaf, _ = _reached(tree, x, asks, reach)
     home = (nth[row] == 0) & (j == 0)
     key, at = np.unique(row * len(tree.start) + tree.block_of[leaf], return_inverse=True)
@@ -313,7 +319,10 @@ def _in_cell(tree: Tree, cell: int, nth: np.ndarray, x: np.ndarray, ids: np.ndar
     data = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tree.parts[block]
     part = np.where(asks[row], part, data)
     own = np.where(part == data, own, -1)
-    return _batch(cell, block, part, own, np.where(own < 0, -1, own - tree.start[block]), seen, ids[row], asks[row], np.packbits(bits, 1)[entry], x[row])
+    columns = block, part, own, np.where(own < 0, -1, own - tree.start[block]), seen, ids[row], asks[row], np.packbits(bits, 1)[entry]
+    for which, kind in ((~tree.dense[block], np.float16), (tree.dense[block], np.float64)):
+        if which.any():
+            yield _batch(cell, *(c[which] for c in columns), x[row[which]].astype(kind))
 
 
 def _by_cell(cell: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -332,7 +341,7 @@ def _place(shared, dim: int, reach: float):
                 row, nth, cell, _ = _reached(top, x, asks, reach)
                 for c, own in _by_cell(cell):
                     r = row[own]
-                    yield _in_cell(subs[c], c, nth[own], x[r], ids[r], asks[r], reach)
+                    yield from _in_cell(subs[c], c, nth[own], x[r], ids[r], asks[r], reach)
 
     return run
 
@@ -359,8 +368,8 @@ def _place_cell(dim: int, reach: float):
         if rows.num_rows:
             tree, cell = pickle.loads(trees["blob"][0].as_py()), rows["cell"][0].as_py()
             for part in rows.to_batches(2048):
-                out.append(_in_cell(tree, cell, np.asarray(part.column("nth")), _doubles(part.column("vec"), dim), np.asarray(part.column("id")), np.asarray(part.column("ask")).astype(bool), reach))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0, *[np.zeros(0, np.int64)] * 6, np.zeros(0, bool), np.zeros((0, 1), np.uint8), np.zeros((0, dim)))])
+                out.extend(_in_cell(tree, cell, np.asarray(part.column("nth")), _doubles(part.column("vec"), dim), np.asarray(part.column("id")), np.asarray(part.column("ask")).astype(bool), reach))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0, *[np.zeros(0, np.int64)] * 6, np.zeros(0, bool), np.zeros((0, 1), np.uint8), np.zeros((0, dim), np.float16))])
 
     return run
 
@@ -394,11 +403,11 @@ def _far_cell(dim: int):
     return run
 
 
-def _fit_cell(dim: int, leaf: int, share: float, rows: int, most: int):
+def _fit_cell(dim: int, leaf: int, share: float, *sizes: int):
     def run(tab: pa.Table) -> pa.Table:
-        x, _ = _matrix(tab["v"], dim)
+        x, _ = _matrix(tab.sort_by("id")["v"], dim)  # the same tree in whatever order rows arrive
         tree = Tree(x.astype(np.float32), leaf)
-        tree.group(1 / (share * tab["keep"][0].as_py()), rows, most)
+        tree.group(1 / (share * tab["keep"][0].as_py()), *sizes)
         return pa.table({"cell": pa.array([tab["cell"][0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps(tree)], pa.binary()), "leaves": pa.array([tree.leaves], pa.int64()), "blocks": pa.array([len(tree.start)], pa.int64())})
 
     return run
@@ -448,7 +457,7 @@ def fit(rows: DataFrame, dim: int, k: int, recall: float, least: float | None =
     leaf = max(8, round(share * LEAF_ROWS))
     most = BLOCK_LEAVES * LEAF_ROWS
     block = min(most, max(LEAF_ROWS, n // BLOCKS))
-    table = written(told.groupBy("cell").applyInArrow(_fit_cell(dim, leaf, share, block, most), "cell bigint, blob binary, leaves bigint, blocks bigint"), "vector-trees")
+    table = written(told.groupBy("cell").applyInArrow(_fit_cell(dim, leaf, share, block, 4 * LEAF_ROWS, max(1, most // 8)), "cell bigint, blob binary, leaves bigint, blocks bigint"), "vector-trees")
     missing = [(c, pickle.dumps(Tree(none, 1)), 1, 1) for c in range(top.leaves) if c not in set(sizes["cell"])]
     table = table.unionByName(spark.createDataFrame(missing, table.schema)) if missing else table
     leaves, blocks = table.agg(F.sum("leaves"), F.sum("blocks")).first()
@@ -544,16 +553,12 @@ class _Block:
         self.short = np.zeros((len(own), self.lead + 1), np.float32) if floor > 0 else None
         fourth = 0.0
         for a in range(0, len(own), 4096):
-            x = self.unit(slice(a, a + 4096))
+            x = _units(codes[a : a + 4096])
             fourth = max(fourth, float(_fourth(x).max()))
             if self.short is not None:
                 self.short[a : a + 4096] = self.shorten(x)
         self.error = SIGMAS * math.sqrt(2) * math.sqrt(2 / 3) * 2**-11 * fourth
 
-    def unit(self, which) -> np.ndarray:
-        x = self.codes[which].astype(np.float32)
-        return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
-
     def shorten(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x[:, : self.lead], np.sqrt((x[:, self.lead :] ** 2).sum(1))[:, None]])
 
@@ -582,7 +587,7 @@ class _Block:
                 if len(row) > 0.03 * len(r) * (b - a):
                     row = None
             if row is None:
-                sim = q[r] @ self.unit(slice(a, b)).T
+                sim = q[r] @ _units(self.codes[a:b]).T
                 me = np.flatnonzero((itself[r] >= a) & (itself[r] < b))
                 sim[me, itself[r[me]] - a] = -2
                 m = min(k, b - a)
@@ -595,7 +600,7 @@ class _Block:
                 row, col = r[row], col + a
                 other = col != itself[row]
                 row, col = row[other], col[other]
-                sims = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", q[row[i : i + 8192]], self.unit(col[i : i + 8192])) for i in range(0, len(row), 8192))])
+                sims = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", q[row[i : i + 8192]], _units(self.codes[col[i : i + 8192]])) for i in range(0, len(row), 8192))])
                 near = sims >= bound[row]
                 row, col, sims = row[near], col[near], sims[near]
             if len(row):
@@ -614,6 +619,28 @@ class _Block:
         return pa.record_batch([pa.array(ids[row], pa.int64()), pa.array(self.own[col], pa.int64()), pa.array(sims, pa.float32()), pa.array(reserve[row], pa.float32())], ["a", "b", "sim", "reserve"])
 
 
+class _Dense:
+    """The data of a part of a dense leaf, in double precision: similarities that differ by rounding only are ties."""
+
+    def __init__(self, x: np.ndarray, own: np.ndarray, k: int, floor: float):
+        order = np.argsort(own, kind="stable")
+        self.x, self.own, self.k, self.floor = x[order], own[order], k, floor
+
+    def ask(self, q: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of each query the k best, the smaller ids among equals."""
+        for start in range(0, len(q), 256):
+            of = ids[start : start + 256]
+            sim = np.round(q[start : start + 256] @ self.x.T, 12)
+            sim[of[:, None] == self.own[None, :]] = -2
+            m = min(self.k, sim.shape[1])
+            kth = -np.partition(-sim, m - 1, 1)[:, m - 1 : m]
+            above, equal = sim > kth, sim == kth
+            keep = above | (equal & (np.cumsum(equal, 1, dtype=np.int32) <= m - above.sum(1)[:, None]))
+            row, col = np.nonzero(keep & (sim >= max(self.floor, -1.5)))
+            # beside similarities of codes they count with the greatest error of those
+            yield pa.record_batch([pa.array(of[row], pa.int64()), pa.array(self.own[col], pa.int64()), pa.array(sim[row, col].astype(np.float32)), pa.array(np.full(len(row), 2**-9, np.float32))], ["a", "b", "sim", "reserve"])
+
+
 def _codes(column: pa.Array, kind, size: int) -> np.ndarray:
     """The numbers of a binary column whose values have equal length."""
     start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
@@ -633,26 +660,25 @@ def _search(k: int, dim: int, floor: float):
         def close():
             """The data of the block, and the answers to its own queries."""
             own, pos, asks, bits = (np.concatenate([d[i] for d in data]) for i in range(1, 5))
-            codes, end = np.empty((len(own), dim), np.float16), len(own)
+            codes, end = np.empty((len(own), dim), data[0][0].dtype), len(own)
             while data:  # each piece is freed when it is copied
                 piece = data.pop()[0]
                 codes[end - len(piece) : end], end = piece, end - len(piece)
             asks = np.flatnonzero(asks)
-            block = _Block(codes, own, pos, k, floor)
+            block = _Block(codes, own, pos, k, floor) if codes.dtype == np.float16 else _Dense(codes, own, k, floor)
 
             def answers():
                 for i in range(0, len(asks), 8192):
                     which = asks[i : i + 8192]
-                    x = codes[which].astype(np.float32)
-                    yield from block.ask(x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None], own[which], bits[which])
+                    yield from block.ask(_units(codes[which]), own[which], bits[which])
 
             return block, answers()
 
         for batch in batches:
             group = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)], 1)  # cell, block, part, crowd
             role, ids, pos = np.asarray(batch.column(4)), np.asarray(batch.column(5)), np.asarray(batch.column(6))
-            kind = np.column_stack([group, role == QUERY])
-            cuts = np.flatnonzero((kind[1:] != kind[:-1]).any(1)) + 1
+            runs = np.column_stack([group, role == QUERY])
+            cuts = np.flatnonzero((runs[1:] != runs[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
                 if a == b:
                     continue
@@ -662,14 +688,15 @@ def _search(k: int, dim: int, floor: float):
                     now, data, ready = tuple(group[a]), [], None
                 masks, codes = batch.column(7).slice(a, b - a), batch.column(8).slice(a, b - a)
                 bits = np.unpackbits(_codes(masks, np.uint8, len(masks[0].as_py())), axis=1).astype(bool)
+                kind = np.float16 if len(codes[0].as_py()) == 2 * dim else np.float64
                 if role[a] != QUERY:
-                    data.append((_codes(codes, np.float16, dim).copy(), ids[a:b], pos[a:b], role[a:b] == DATA_AND_QUERY, bits))
+                    data.append((_codes(codes, kind, dim).copy(), ids[a:b], pos[a:b], role[a:b] == DATA_AND_QUERY, bits))
                     continue
                 if data:
                     ready, own = close()
                     yield from own
                 if ready is not None:
-                    yield from ready.ask(_unpack(codes, dim), ids[a:b], bits)
+                    yield from ready.ask(_units(_codes(codes, kind, dim)), ids[a:b], bits)
         if data:
             yield from close()[1]
 

@@ -177,3 +177,15 @@ def test_vectors_travel_by_block_and_not_by_leaf(spark, monkeypatch, least):
     single = N.fit(rows, 24, 5, 0.99, least)
     assert single.reach == index.reach and single.blocks > 3 * index.blocks
     assert best(single) == blocks
+
+
+def test_a_dense_leaf_is_searched_whole(spark, monkeypatch):
+    # exact multiples by powers of two are ties, which go to the smallest ids, whatever the size of a leaf
+    v = np.float32(np.random.default_rng(4).normal(size=16))
+    x = np.vstack([v * np.float32(2.0) ** j for j in range(-50, 50)] + [np.float32(np.random.default_rng(5).normal(size=(40, 16)))])
+    want = {i: set([j for j in range(6) if j != i][:5]) for i in range(100)}
+    for size in (1000, 10):
+        monkeypatch.setattr(N, "LEAF_ROWS", size)
+        for least in (None, 0.9):
+            got = found(spark, x, 5, recall=1.0, least=least)
+            assert {i: got[i] for i in range(100)} == want
